@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from threatscan.llm import dedup_lines, simhash
+from threatscan.llm import dedup_lines, packing, quality, simhash
 
 
 def registered() -> dict:
     out: dict = {}
-    for m in (dedup_lines, simhash):
+    for m in (dedup_lines, packing, quality, simhash):
         out |= m.QUERIES
     return out
