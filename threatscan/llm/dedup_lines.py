@@ -5,8 +5,9 @@ marks chunk ends, so the same run of lines is cut alike wherever it stands and
 an insertion moves only the chunks around it. A line of ``long_words`` or more
 is a chunk by itself. A chunk of several lines, or a long line, that occurs
 again anywhere in the corpus is removed everywhere but at its first place
-(smallest ``doc_id``, then position); chunks count as equal only if their bytes
-are, as the grouping key holds the text itself.
+(smallest ``doc_id``, then position); a single short line goes only with a
+repeated neighbour, and the first place of any line always stays. Chunks count
+as equal only if their bytes are: the grouping key holds the text itself.
 """
 
 from __future__ import annotations
@@ -50,16 +51,35 @@ def _part(lines: Column, chunk: Column) -> Column:
     return F.array_join(F.slice(lines, F.floor(chunk / _PACK).cast("int") + 1, F.pmod(chunk, F.lit(_PACK)).cast("int")), "\n")
 
 
+def _units(lines: Column, chunks: Column, long_words: int, least_words: int) -> Column:
+    """``(chunk, part)``: a chunk with the text that must repeat for it to go.
+
+    For a chunk of several lines or a long line that is its own text. A short
+    one goes with the chunk before it or the one after it: then two chunks are
+    a repeated run of lines.
+    """
+
+    def units(parts):
+        def unit(c, i):
+            at = F.get(parts, i)
+            words = F.regexp_count(at, F.lit(WORD))
+            alone = (words >= long_words) | ((F.pmod(c, F.lit(_PACK)) >= 2) & (words >= least_words))
+            pair = lambda x, y: F.struct(c.alias("chunk"), F.concat(x, F.lit("\n"), y).alias("part"))
+            near = F.filter(F.array(pair(F.get(parts, i - 1), at), pair(at, F.get(parts, i + 1))), lambda u: F.regexp_count(u["part"], F.lit(WORD)) >= least_words)
+            return F.when(alone, F.array(F.struct(c.alias("chunk"), at.alias("part")))).otherwise(near)
+
+        return F.flatten(F.transform(chunks, unit))
+
+    return let(F.transform(chunks, lambda c: _part(lines, c)), units)
+
+
 def repeated_chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
     """``(doc_id, chunk)`` of every later place of a repeated chunk of ``docs (doc_id, text)``."""
     chunks = (
         docs.filter("text is not null and doc_id is not null")
         .select("doc_id", F.split("text", "\n").alias("lines"), _chunks(F.col("text"), every, long_words).alias("chunks"))
-        .select("doc_id", F.explode(F.transform("chunks", lambda c: F.struct(c.alias("chunk"), _part(F.col("lines"), c).alias("part")))).alias("c"))
-        .select("doc_id", "c.chunk", "c.part")
-        .withColumn("words", F.regexp_count("part", F.lit(WORD)))
-        .filter((F.col("words") >= long_words) | ((F.pmod("chunk", F.lit(_PACK)) >= 2) & (F.col("words") >= least_words)))
-        .select("doc_id", "chunk", F.xxhash64("part").alias("h"), "part")
+        .select("doc_id", F.explode(_units(F.col("lines"), F.col("chunks"), long_words, least_words)).alias("c"))
+        .select("doc_id", "c.chunk", F.xxhash64("c.part").alias("h"), "c.part")
     )
     again = chunks.groupBy("h").count().filter("count > 1").select("h")
     cand = stored(chunks.join(again, "h", "left_semi"))

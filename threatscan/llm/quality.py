@@ -133,13 +133,15 @@ def quality(docs: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) -
 
     Null text has no words and fails the base rules, as does empty text. Null
     ``lang`` or ``source`` is a group of its own. Rows with equal ids are
-    judged each by itself. An empty table gives an empty result. A column of
-    ``docs`` named as an added one must be renamed before. The measured rows
-    are stored once; ties at a fence stay.
+    judged each by itself. An empty table gives an empty result. Other columns
+    pass through; one named as an added column gives way to it. The measured
+    rows are stored once; ties at a fence stay.
     """
-    measured = stored(measures(docs))
+    measured = stored(measures(docs.select(F.struct(*docs.columns).alias("__row"), "lang", "source", "text")).drop("text"))
     fences = stored(thresholds(sketch(measured), reach, least_docs))
-    return judged(measured, fences)
+    out = judged(measured, fences)
+    added = [c for c in out.columns if c not in ("__row", "lang", "source")]
+    return out.select(*(F.col("__row")[c].alias(c) for c in docs.columns if c not in added), *added)
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

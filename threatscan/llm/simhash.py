@@ -163,6 +163,100 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, blocks: int =
     return fp.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Bands and minima in a band: two texts of similarity s share a band with probability 1 - (1 - s**4)**20, 0.99997 at 0.8.
+BANDS, ROWS = 20, 4
+#: Slots of the sketch that a shared band is verified with; at similarity 0.8 the estimate's standard deviation is 0.018.
+SLOTS = 512
+_MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def slot_sketch(text: str | None, k: int) -> tuple[bytes, list[int]]:
+    """The least shingle hash of each slot, as one byte (0: none), and the keys of the bands."""
+    low, minima = np.full(SLOTS, ~np.uint64(0)), np.full(BANDS * ROWS, ~np.uint64(0))
+    for h in shingle_hashes(text, k):
+        np.minimum.at(low, (h % SLOTS).astype(np.int64), h // np.uint64(SLOTS))
+        for at in range(0, len(h), 4096):
+            part = h[at : at + 4096, None] * _MULTIPLIERS
+            minima = np.minimum(minima, (part ^ (part >> np.uint64(29))).min(axis=0))
+    sketch = np.where(low == ~np.uint64(0), 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8)
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(minima.reshape(BANDS, ROWS))]
+    return sketch.tobytes(), list(np.array(bands, dtype=np.uint64).view(np.int64))
+
+
+def _similar(one: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
+    """Which of ``rest`` have an estimated similarity of ``least`` or more with ``one``; equal bytes by chance are allowed for."""
+    used = ((rest | one) > 0).sum(axis=1)
+    same = ((rest == one) & (rest > 0)).sum(axis=1)
+    return (used == 0) | ((same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255) >= least)
+
+
+def similar_links(sketches: DataFrame, least: float, most: int = 4096) -> DataFrame:
+    """Edges ``(a, b)`` that connect rows of ``sketches (id, sketch, bands)`` of similarity ``least`` or more that share a band.
+
+    Rows of one band key are walked as in ``links``. A key with over ``most``
+    rows is dealt into parts of about that size by a hash that differs from
+    band to band, so two rows parted in one band meet in another.
+    """
+    keyed = stored(sketches.select("id", F.posexplode("bands").alias("band", "key")))
+    sizes = keyed.groupBy("band", "key").count().filter("count > 1")
+    part = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("count") / F.lit(most)))
+    lists = keyed.join(sizes, ["band", "key"]).groupBy("band", "key", part.alias("part")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    lists = stored(lists.filter(F.size("ids") > 1).select("ids").distinct().select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id")))
+    groups = lists.join(sketches.select("id", "sketch"), "id").groupBy("g").agg(F.collect_list(F.struct("id", "sketch")).alias("m")).select("m.id", "m.sketch")
+
+    def walk(batches):
+        for pdf in batches:
+            a, b = [], []
+            for ids, sk in zip(pdf["id"], pdf["sketch"], strict=True):
+                order = np.argsort(ids)
+                m = np.frombuffer(b"".join(sk[i] for i in order), dtype=np.uint8).reshape(len(ids), SLOTS)
+                ids, rest = np.asarray(ids)[order], np.arange(len(ids))
+                while len(rest):
+                    queue, rest = [rest[0]], rest[1:]
+                    while queue and len(rest):
+                        at = queue.pop()
+                        near = _similar(m[at], m[rest], least)
+                        a += [ids[at]] * int(near.sum())
+                        b += list(ids[rest[near]])
+                        queue.extend(rest[near])
+                        rest = rest[~near]
+            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
+
+    bound_batches(sketches.sparkSession)
+    return groups.mapInPandas(walk, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``: groups of texts connected by similarity ``least`` or more of their ``k``-word shingle sets.
+
+    Null, empty and blank texts form one group. Rows with equal ``doc_id`` are
+    one node. Rows without ``doc_id`` are left out. An empty table gives an
+    empty result.
+    """
+    bound_batches(docs.sparkSession)
+
+    @F.pandas_udf("sketch binary, bands array<long>")
+    def sketch(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([slot_sketch(x, k) for x in s], columns=["sketch", "bands"])
+
+    each = stored(docs.filter("doc_id is not null").select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*", F.xxhash64("s.sketch", "s.bands").alias("h")))
+    nodes = stored(each.groupBy("h", "sketch", "bands").agg(F.min("doc_id").alias("id")))
+    found = components(similar_links(nodes.select("id", "sketch", "bands"), least))
+    named = nodes.join(found, "id", "left").select("h", F.coalesce("component", "id").alias("component_id"))
+    return each.select("doc_id", "h").join(named, "h").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each similar group: the one of the smallest ``doc_id``.
+
+    Rows equal in ``doc_id`` and ``text`` become one; rows without ``doc_id``
+    stay. Other columns pass through.
+    """
+    rest = stored(similar_groups(docs.select("doc_id", "text"), k, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
+    left = docs.join(rest, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionAll(left.filter("doc_id is null"))
+
+
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"), k=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
