@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from threatscan.llm import decontaminate, dedup_lines, packing, quality, simhash
+from threatscan.llm import chat, decontaminate, dedup_lines, packing, quality, simhash
 
 
 def registered() -> dict:
     out: dict = {}
-    for m in (decontaminate, dedup_lines, packing, quality, simhash):
+    for m in (chat, decontaminate, dedup_lines, packing, quality, simhash):
         out |= m.QUERIES
     return out
