@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from threatscan.llm import chat, decontaminate, dedup_lines, langid, packing, pii, quality, simhash
+from threatscan.llm import chat, decontaminate, dedup_lines, html, langid, packing, pii, quality, simhash
 
 
 def registered() -> dict:
     out: dict = {}
-    for m in (chat, decontaminate, dedup_lines, langid, packing, pii, quality, simhash):
+    for m in (chat, decontaminate, dedup_lines, html, langid, packing, pii, quality, simhash):
         out |= m.QUERIES
     return out
