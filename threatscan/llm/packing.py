@@ -26,7 +26,7 @@ from threatscan.llm.common import bound_batches, stored, table
 CAPACITY = 1024
 END = 2
 #: Ranks within a length are counted in so many parts, so that a length that half of all pieces have is no single group.
-PARTS = 256
+PARTS = 1024
 #: Pretokens kept with their ids in a worker.
 _MEMO = 400_000
 
@@ -162,7 +162,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sizes = parted.groupBy("length", "__part").count()
     before = sizes.select("length", "__part", (F.sum("count").over(W.partitionBy("length").orderBy("__part")) - F.col("count")).alias("__before"))
     ranked = parted.withColumn("__rank", F.row_number().over(W.partitionBy("length", "__part").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(F.broadcast(before), ["length", "__part"])  # at most capacity * PARTS rows of three numbers
+    ranked = ranked.join(before, ["length", "__part"])
     placed = ranked.withColumn("__rank", F.col("__rank") + F.col("__before")).join(F.broadcast(ranges), "length")
     slot = F.filter("slots", lambda s: (s["since"] <= F.col("__rank")) & (F.col("__rank") < s["upto"]))[0]
     return placed.withColumn("__slot", slot).select(*cut.columns, (F.col("__slot.first") + F.col("__rank") - F.col("__slot.since")).alias("sequence_id"), F.col("__slot.at").alias("offset"))
