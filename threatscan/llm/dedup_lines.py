@@ -21,73 +21,89 @@ from threatscan.llm.common import WORD, let, stored, table
 EVERY = 2
 #: A line with so many words is its own chunk.
 LONG_WORDS = 50
-#: A chunk of several lines with fewer words is left alone.
-LEAST_WORDS = 10
-_PACK = 1 << 31
+#: A run of several lines with fewer characters is left alone.
+LEAST_CHARS = 40
+
+
+def _pack(first: Column, count: Column, is_long: Column) -> Column:
+    """A run of lines as one long: first line, number of lines, whether it is one long line."""
+    return F.shiftleft(first.cast("long"), 32) + 2 * count.cast("long") + is_long.cast("long")
+
+
+def _first(c: Column) -> Column:
+    return F.shiftright(c, 32).cast("int")
+
+
+def _count(c: Column) -> Column:
+    return F.shiftright(c.bitwiseAND(F.lit((1 << 32) - 1)), 1).cast("int")
+
+
+def _is_long(c: Column) -> Column:
+    return c.bitwiseAND(F.lit(1).cast("long")) == 1
 
 
 def _chunks(text: Column, every: int, long_words: int) -> Column:
-    """Chunks of a text as packed longs ``first line * 2**31 + lines``, in order."""
+    """Chunks of a text, packed, in order."""
 
     def cut(lines):
-        words = F.transform(lines, lambda x: F.regexp_count(x, F.lit(WORD)))
+        last = F.size(lines) - 1
+        # a line too short for so many words needs no counting
+        long_line = F.transform(lines, lambda x: F.when(F.length(x) < 2 * long_words - 1, F.lit(False)).otherwise(F.regexp_count(x, F.lit(WORD)) >= long_words))
         hashes = F.transform(lines, lambda x: F.xxhash64(x))
-        marks = F.arrays_zip(
-            words.alias("w"),
-            F.concat(F.slice(words, 2, F.size(lines)), F.array(F.lit(0))).alias("next"),
-            hashes.alias("h"),
-            F.concat(F.array(F.lit(0).cast("long")), F.slice(hashes, 1, F.size(lines) - 1)).alias("before"),
-        )
-        ends = F.filter(
-            F.transform(marks, lambda m, i: F.when((i == F.size(lines) - 1) | (m["w"] >= long_words) | (m["next"] >= long_words) | (F.pmod(F.xxhash64(m["h"], m["before"]), F.lit(every)) == 0), i.cast("long"))),
-            lambda x: x.isNotNull(),
-        )
-        return let(ends, lambda e: F.zip_with(F.concat(F.array(F.lit(-1).cast("long")), F.slice(e, 1, F.size(e) - 1)), e, lambda a, b: (a + 1) * _PACK + (b - a)))
+
+        def ends(marks):
+            def end(m, i):
+                rolled = F.xxhash64(m["h"], F.get(marks, i - 1)["h"])
+                is_end = (i == last) | m["long"] | F.coalesce(F.get(marks, i + 1)["long"], F.lit(False)) | (F.pmod(rolled, F.lit(every)) == 0)
+                return F.when(is_end, F.struct(i.alias("i"), m["long"].alias("long")))
+
+            return F.filter(F.transform(marks, end), lambda x: x.isNotNull())
+
+        found = let(F.arrays_zip(hashes.alias("h"), long_line.alias("long")), ends)
+        return let(found, lambda e: F.transform(e, lambda x, k: let(F.coalesce(F.get(e, k - 1)["i"] + 1, F.lit(0)), lambda since: _pack(since, x["i"] - since + 1, x["long"]))))
 
     return let(F.split(text, "\n"), cut)
 
 
 def _part(lines: Column, chunk: Column) -> Column:
-    return F.array_join(F.slice(lines, F.floor(chunk / _PACK).cast("int") + 1, F.pmod(chunk, F.lit(_PACK)).cast("int")), "\n")
+    return F.array_join(F.slice(lines, _first(chunk) + 1, _count(chunk)), "\n")
 
 
-def _units(lines: Column, chunks: Column, long_words: int, least_words: int) -> Column:
-    """``(chunk, part)``: a chunk with the text that must repeat for it to go.
+def _units(lines: Column, chunks: Column, long_words: int, least_chars: int) -> Column:
+    """``(chunk, span, h)``: a chunk, the lines that must repeat for it to go, and their hash.
 
-    For a chunk of several lines or a long line that is its own text. A short
-    one goes with the chunk before it or the one after it: then two chunks are
-    a repeated run of lines.
+    For a chunk of several lines or a long line that is the chunk itself. A
+    short one goes with the chunk before it or the one after it: then two
+    chunks are a repeated run of lines.
     """
 
-    def units(parts):
-        def unit(c, i):
-            at = F.get(parts, i)
-            words = F.regexp_count(at, F.lit(WORD))
-            alone = (words >= long_words) | ((F.pmod(c, F.lit(_PACK)) >= 2) & (words >= least_words))
-            pair = lambda x, y: F.struct(c.alias("chunk"), F.concat(x, F.lit("\n"), y).alias("part"))
-            near = F.filter(F.array(pair(F.get(parts, i - 1), at), pair(at, F.get(parts, i + 1))), lambda u: F.regexp_count(u["part"], F.lit(WORD)) >= least_words)
-            return F.when(alone, F.array(F.struct(c.alias("chunk"), at.alias("part")))).otherwise(near)
+    def unit(c, i):
+        told = lambda span: let(_part(lines, span), lambda t: F.struct(c.alias("chunk"), span.alias("span"), F.when(F.length(t) >= least_chars, F.xxhash64(t)).alias("h")))
+        before, after = F.get(chunks, i - 1), F.get(chunks, i + 1)
+        spans = F.filter(F.array(_pack(_first(before), _count(before) + 1, F.lit(False)), _pack(_first(c), 1 + _count(after), F.lit(False))), lambda x: x.isNotNull())
+        return F.transform(F.when(_is_long(c) | (_count(c) > 1), F.array(c)).otherwise(spans), told)
 
-        return F.flatten(F.transform(chunks, unit))
+    return F.filter(F.flatten(F.transform(chunks, unit)), lambda u: u["h"].isNotNull())
 
-    return let(F.transform(chunks, lambda c: _part(lines, c)), units)
 
+def repeated_chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """``(doc_id, chunk)`` of every later place of a repeated chunk of ``docs (doc_id, text)``.
 
-def repeated_chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``(doc_id, chunk)`` of every later place of a repeated chunk of ``docs (doc_id, text)``."""
-    chunks = (
-        docs.filter("text is not null and doc_id is not null")
-        .select("doc_id", F.split("text", "\n").alias("lines"), _chunks(F.col("text"), every, long_words).alias("chunks"))
-        .select("doc_id", F.explode(_units(F.col("lines"), F.col("chunks"), long_words, least_words)).alias("c"))
-        .select("doc_id", "c.chunk", F.xxhash64("c.part").alias("h"), "c.part")
-    )
-    again = chunks.groupBy("h").count().filter("count > 1").select("h")
-    cand = stored(chunks.join(again, "h", "left_semi"))
-    first = cand.groupBy("h", "part").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return cand.join(first, ["h", "part"]).filter(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk")
-
-
-def dedup_lines(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    Only hashes are dealt out at first; texts follow for what repeats.
+    """
+    docs = docs.filter("text is not null and doc_id is not null")
+    cut = docs.select("doc_id", F.split("text", "\n").alias("lines"), _chunks(F.col("text"), every, long_words).alias("chunks"))
+    units = stored(cut.select("doc_id", F.explode(_units(F.col("lines"), F.col("chunks"), long_words, least_chars)).alias("u")).select("doc_id", "u.*"))
+    again = units.groupBy("h").count().filter("count > 1").select("h")
+    cand = units.join(again, "h", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("chunk", "span", "h")).alias("units"))
+    met = docs.join(cand, docs["doc_id"] == F.col("__id")).select("doc_id", F.split("text", "\n").alias("lines"), "units")
+    parts = met.select("doc_id", F.explode(F.transform("units", lambda u: F.struct(u["chunk"].alias("chunk"), u["h"].alias("h"), _part(F.col("lines"), u["span"]).alias("part")))).alias("u")).select("doc_id", "u.*")
+    parts = stored(parts.filter(F.xxhash64("part") == F.col("h")))
+    first = parts.groupBy("h", "part").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return parts.join(first, ["h", "part"]).filter(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk")
+
+
+def dedup_lines(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
     """``docs`` with repeated chunks cut out of ``text``, plus ``lines_removed`` (long).
 
     Null text stays null and empty text empty. A text that is all repeats
@@ -96,13 +112,13 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORD
     differ: identical rows with one id keep their text. Other columns pass
     through, whatever their names.
     """
-    gone = repeated_chunks(docs.select("doc_id", "text"), every, long_words, least_words).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("chunk")).alias("__gone"))
+    gone = repeated_chunks(docs.select("doc_id", "text"), every, long_words, least_chars).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("chunk")).alias("__gone"))
     left = F.when(
         F.col("__gone").isNotNull() & F.col("text").isNotNull(),
         let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(F.array_except(_chunks(F.col("text"), every, long_words), F.col("__gone")), lambda c: _part(lines, c)), "\n")),
     ).otherwise(F.col("text"))
     out = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
-    removed = F.coalesce(F.aggregate("__gone", F.lit(0).cast("long"), lambda s, c: s + F.pmod(c, F.lit(_PACK))), F.lit(0).cast("long"))
+    removed = F.coalesce(F.aggregate("__gone", F.lit(0).cast("long"), lambda s, c: s + _count(c)), F.lit(0).cast("long"))
     return out.select(*[left.alias("text") if c == "text" else docs[c] for c in docs.columns], removed.alias("lines_removed"))
 
 
