@@ -38,6 +38,13 @@ def bound_batches(spark: SparkSession, size: str = "16m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, also inside other lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -147,7 +147,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int =
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """``docs`` without the documents (by ``doc_id``) that hold a whole benchmark window. Rows without ``doc_id`` stay."""
     bad = matches(docs, benchmark, size).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,20 +70,23 @@ def _part(lines: Column, chunk: Column) -> Column:
 
 
 def _units(lines: Column, chunks: Column, long_words: int, least_chars: int) -> Column:
-    """``(chunk, span, h)``: a chunk, the lines that must repeat for it to go, and their hash.
+    """``(chunk, span, own, h)``: a chunk, the lines that must repeat for it to go, whether it stands for them, and their hash.
 
     For a chunk of several lines or a long line that is the chunk itself. A
     short one goes with the chunk before it or the one after it: then two
-    chunks are a repeated run of lines.
+    chunks are a repeated run of lines. Of two short neighbours, whose run is
+    the same place, one stands for it (``own`` 1) and the other does not (0).
     """
 
     def unit(c, i):
-        told = lambda span: let(_part(lines, span), lambda t: F.struct(c.alias("chunk"), span.alias("span"), F.when(F.length(t) >= least_chars, F.xxhash64(t)).alias("h")))
+        told = lambda span, own: let(_part(lines, span), lambda t: F.struct(c.alias("chunk"), span.alias("span"), own.alias("own"), F.when(F.length(t) >= least_chars, F.xxhash64(t)).alias("h")))
+        short = lambda x: ~_is_long(x) & (_count(x) == 1)
         before, after = F.get(chunks, i - 1), F.get(chunks, i + 1)
-        spans = F.filter(F.array(_pack(_first(before), _count(before) + 1, F.lit(False)), _pack(_first(c), 1 + _count(after), F.lit(False))), lambda x: x.isNotNull())
-        return F.transform(F.when(_is_long(c) | (_count(c) > 1), F.array(c)).otherwise(spans), told)
+        with_before = F.when(before.isNotNull(), told(_pack(_first(before), _count(before) + 1, F.lit(False)), F.lit(1)))
+        with_after = F.when(after.isNotNull(), told(_pack(_first(c), 1 + _count(after), F.lit(False)), F.when(short(after), 0).otherwise(1)))
+        return F.when(short(c), F.array(with_before, with_after)).otherwise(F.array(told(c, F.lit(1))))
 
-    return F.filter(F.flatten(F.transform(chunks, unit)), lambda u: u["h"].isNotNull())
+    return F.filter(F.flatten(F.transform(chunks, unit)), lambda u: F.coalesce(u["h"].isNotNull(), F.lit(False)))
 
 
 def repeated_chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -94,13 +97,13 @@ def repeated_chunks(docs: DataFrame, every: int = EVERY, long_words: int = LONG_
     docs = docs.filter("text is not null and doc_id is not null")
     cut = docs.select("doc_id", F.split("text", "\n").alias("lines"), _chunks(F.col("text"), every, long_words).alias("chunks"))
     units = stored(cut.select("doc_id", F.explode(_units(F.col("lines"), F.col("chunks"), long_words, least_chars)).alias("u")).select("doc_id", "u.*"))
-    again = units.groupBy("h").count().filter("count > 1").select("h")
-    cand = units.join(again, "h", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("chunk", "span", "h")).alias("units"))
+    again = units.groupBy("h").agg(F.sum("own").alias("places")).filter("places > 1").select("h")
+    cand = units.join(again, "h", "left_semi").groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set(F.struct("chunk", "span", "own", "h")).alias("units"))
     met = docs.join(cand, docs["doc_id"] == F.col("__id")).select("doc_id", F.split("text", "\n").alias("lines"), "units")
-    parts = met.select("doc_id", F.explode(F.transform("units", lambda u: F.struct(u["chunk"].alias("chunk"), u["h"].alias("h"), _part(F.col("lines"), u["span"]).alias("part")))).alias("u")).select("doc_id", "u.*")
+    parts = met.select("doc_id", F.explode(F.transform("units", lambda u: F.struct(u["chunk"].alias("chunk"), u["span"].alias("span"), u["own"].alias("own"), u["h"].alias("h"), _part(F.col("lines"), u["span"]).alias("part")))).alias("u")).select("doc_id", "u.*")
     parts = stored(parts.filter(F.xxhash64("part") == F.col("h")))
-    first = parts.groupBy("h", "part").agg(F.min(F.struct("doc_id", "chunk")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return parts.join(first, ["h", "part"]).filter(F.struct("doc_id", "chunk") != F.col("first")).select("doc_id", "chunk")
+    first = parts.groupBy("h", "part").agg(F.min(F.struct("doc_id", "span")).alias("first"), F.sum("own").alias("places")).filter("places > 1")
+    return parts.join(first, ["h", "part"]).filter(F.struct("doc_id", "span") != F.col("first")).select("doc_id", "chunk")
 
 
 def dedup_lines(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORDS, least_chars: int = LEAST_CHARS) -> DataFrame:
@@ -113,13 +116,14 @@ def dedup_lines(docs: DataFrame, every: int = EVERY, long_words: int = LONG_WORD
     through, whatever their names.
     """
     gone = repeated_chunks(docs.select("doc_id", "text"), every, long_words, least_chars).groupBy(F.col("doc_id").alias("__id")).agg(F.array_sort(F.collect_set("chunk")).alias("__gone"))
+    out = docs.join(gone, docs["doc_id"] == gone["__id"], "left")
+    lost = gone["__gone"]
     left = F.when(
-        F.col("__gone").isNotNull() & F.col("text").isNotNull(),
-        let(F.split("text", "\n"), lambda lines: F.array_join(F.transform(F.array_except(_chunks(F.col("text"), every, long_words), F.col("__gone")), lambda c: _part(lines, c)), "\n")),
-    ).otherwise(F.col("text"))
-    out = docs.join(gone, docs["doc_id"] == F.col("__id"), "left")
-    removed = F.coalesce(F.aggregate("__gone", F.lit(0).cast("long"), lambda s, c: s + _count(c)), F.lit(0).cast("long"))
-    return out.select(*[left.alias("text") if c == "text" else docs[c] for c in docs.columns], removed.alias("lines_removed"))
+        lost.isNotNull() & docs["text"].isNotNull(),
+        let(F.split(docs["text"], "\n"), lambda lines: F.array_join(F.transform(F.array_except(_chunks(docs["text"], every, long_words), lost), lambda c: _part(lines, c)), "\n")),
+    ).otherwise(docs["text"])
+    removed = F.coalesce(F.aggregate(lost, F.lit(0).cast("long"), lambda s, c: s + _count(c)), F.lit(0).cast("long"))
+    return out.select(*[left.alias("text") if c == "text" else docs[c] for c in docs.columns if c != "lines_removed"], removed.alias("lines_removed"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from threatscan.llm.common import bound_batches, stored, table
+from threatscan.llm.common import bound_batches, fresh, stored, table
 
 #: Labelled documents of each language that the model is fitted on, at most; chosen by a hash of the text.
 SAMPLE = 20_000
@@ -153,8 +153,8 @@ def predicted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
             _SCORERS[name] = Scorer(shared.value)
         return pd.DataFrame([_SCORERS[name].text(x) for x in s], columns=["lang_pred", "score"])
 
-    added = ("lang_pred", "score")
-    return docs.select(*(c for c in docs.columns if c not in added), predict(F.col(text)).alias("__p")).select("*", "__p.lang_pred", "__p.score").drop("__p")
+    rest, p = [c for c in docs.columns if c not in ("lang_pred", "score")], fresh(docs, "__p")
+    return docs.select(*rest, predict(F.col(text)).alias(p)).select(*rest, f"{p}.lang_pred", f"{p}.score")
 
 
 def held_out(folds: int = 5):

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatscan.llm.common import let, table
+from threatscan.llm.common import fresh, let, table
 
 #: Production sets its own secret.
 KEY = "change-me"
@@ -157,7 +157,8 @@ def pseudonymized(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFr
     text = F.col("text")
     some = text.rlike("[@0-9]")
     matches = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("k")))
-    with_m = docs.select("*", F.when(some, matches).alias("__m"))
+    m = fresh(docs, "__m")
+    with_m = docs.select("*", F.when(some, matches).alias(m))
 
     def put(x):
         out = x["m"]
@@ -165,9 +166,9 @@ def pseudonymized(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFr
             out = F.when(x["k"] == kind, pseudonym(kind, x["m"], key, back)).otherwise(out)
         return out
 
-    new = F.array_join(F.concat(F.zip_with(F.slice(F.split(text, _ANY), F.lit(1), F.size("__m")), F.transform("__m", put), lambda a, b: F.concat(a, b)), F.array(F.element_at(F.split(text, _ANY), -1))), "")
-    kinds = F.coalesce(F.transform(F.filter("__m", lambda x: x["k"].isNotNull()), lambda x: x["k"]), F.array().cast("array<string>"))
-    done = F.when(F.exists("__m", lambda x: x["k"].isNotNull()), new).otherwise(text)
+    new = F.array_join(F.concat(F.zip_with(F.slice(F.split(text, _ANY), F.lit(1), F.size(m)), F.transform(m, put), lambda a, b: F.concat(a, b)), F.array(F.element_at(F.split(text, _ANY), -1))), "")
+    kinds = F.coalesce(F.transform(F.filter(m, lambda x: x["k"].isNotNull()), lambda x: x["k"]), F.array().cast("array<string>"))
+    done = F.when(F.exists(m, lambda x: x["k"].isNotNull()), new).otherwise(text)
     return with_m.select(*(done.alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "found"), kinds.alias("found"))
 
 

@@ -119,7 +119,7 @@ def thresholds(sketches: DataFrame, reach: int = REACH, least_docs: int = LEAST_
 def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
     """``measured`` joined with its group's fences: adds ``kept``."""
     f = fences.withColumnsRenamed({"lang": "__lang", "source": "__source"})
-    met = measured.join(f, measured["lang"].eqNullSafe(F.col("__lang")) & measured["source"].eqNullSafe(F.col("__source")), "left")
+    met = measured.join(f, measured["lang"].eqNullSafe(f["__lang"]) & measured["source"].eqNullSafe(f["__source"]), "left")
     ok = ~F.col("base_failed")
     for m, (_, both) in MEASURES.items():
         ok = ok & (F.coalesce(F.col(m) <= F.col(f"high_{m}"), F.lit(True)))

@@ -253,7 +253,7 @@ def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
     stay. Other columns pass through.
     """
     rest = stored(similar_groups(docs.select("doc_id", "text"), k, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
-    left = docs.join(rest, docs["doc_id"] == F.col("__gone"), "left_anti")
+    left = docs.join(rest, docs["doc_id"] == rest["__gone"], "left_anti")
     return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionAll(left.filter("doc_id is null"))
 
 
