@@ -230,3 +230,12 @@ def test_chat_escapes_are_reversible(spark):
     assert got[1].turns_sha256 == hashlib.sha256(plain.encode()).hexdigest() and got[1].n_turns == 14
     assert got[1].loss_chars == len(loss) and got[1].loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
     assert got[3].n_turns == 3 and got[3].loss_chars == 3 and got[2].loss_chars == 0
+
+
+def test_pii_query(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in pii.op9(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == docs.count() and sum(r.n_found for r in got.values()) > 0
+    assert all(r.n_found == sum(r[f"n_{k}"] for k in pii.KINDS) for r in got.values())
+    for r in docs.collect():
+        assert (got[r.doc_id].text == r.text) == (got[r.doc_id].n_found == 0)

@@ -174,7 +174,8 @@ def pseudonymized(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFr
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", *(F.size(F.filter("found", lambda x, k=k: x == k)).cast("long").alias(f"n_{k}") for k in KINDS), F.size("found").cast("long").alias("n_found"), "text")
+    count = lambda kind: F.size(F.filter("found", lambda x: x == kind)).cast("long")
+    return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.size("found").cast("long").alias("n_found"), "text")
 
 
 QUERIES = {"op9_pii": (op9, None)}
