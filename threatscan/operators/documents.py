@@ -6,6 +6,8 @@ read as Latin-1 text once; parts of containers are rows of their own.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -20,6 +22,11 @@ def raw_text(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
+def utf8(name: str) -> Column:
+    """Bytes as UTF-8 text; what is none is replaced."""
+    return F.make_valid_utf8(F.col(name).cast("string"))
+
+
 def _has(text: Column, part: str) -> Column:
     return F.contains(text, F.lit(part))
 
@@ -125,7 +132,7 @@ def missing_parts(files: DataFrame, parts: DataFrame, profile: str) -> DataFrame
 
 def metadata_findings(files: DataFrame, parts: DataFrame, profile: str) -> DataFrame:
     """Findings of ``docProps/core.xml``: author, times and revision."""
-    core = parts.filter("entry_name = 'docProps/core.xml'").select("id", F.decode("data", "UTF-8").alias("x"))
+    core = parts.filter("entry_name = 'docProps/core.xml'").select("id", utf8("data").alias("x"))
     tag = lambda n: F.trim(F.regexp_extract("x", rf"<{n}[^>]*>([^<]*)</{n}>", 1))
     met = files.select("id").join(core, "id", "left").withColumns({"author": F.coalesce(tag("dc:creator"), F.lit("")), "made": F.try_to_timestamp(tag("dcterms:created")), "changed": F.try_to_timestamp(tag("dcterms:modified")), "revision": F.coalesce(tag("cp:revision"), F.lit(""))})
     same = F.abs(F.unix_timestamp("made") - F.unix_timestamp("changed"))
@@ -139,7 +146,7 @@ def metadata_findings(files: DataFrame, parts: DataFrame, profile: str) -> DataF
 
 def part_findings(parts: DataFrame, profile: str) -> DataFrame:
     """Findings of single parts ``(id, entry_name, data)`` of a container."""
-    p = parts.filter("error is null").select("id", F.lower("entry_name").alias("name"), "data", F.decode("data", "UTF-8").alias("x"), raw_text(F.substring("data", 1, 2000)).alias("head")).withColumn("low", F.lower("x"))
+    p = parts.filter("error is null").select("id", F.lower("entry_name").alias("name"), "data", utf8("data").alias("x"), raw_text(F.substring("data", 1, 2000)).alias("head")).withColumn("low", F.lower("x"))
     name, x, low = F.col("name"), F.col("x"), F.col("low")
     xml, rels = name.endswith(".xml"), name.endswith(".rels")
     embedded = name.rlike("embeddings|oleobject" + ("|drawings" if profile == "xlsx" else ""))
@@ -184,8 +191,8 @@ def part_findings(parts: DataFrame, profile: str) -> DataFrame:
 
 def hidden_slides(parts: DataFrame) -> DataFrame:
     """Hidden slides of decks: one finding each, and one for each of the last slides that holds text."""
-    shown = parts.filter("entry_name = 'ppt/presentation.xml' and error is null").select("id", F.regexp_count(F.decode("data", "UTF-8"), F.lit('show="0"')).alias("n")).filter("n > 0")
-    slides = parts.filter(F.col("entry_name").rlike(r"^ppt/slides/slide\d+\.xml$")).select("id", F.regexp_extract("entry_name", r"(\d+)", 1).cast("int").alias("no"), F.regexp_extract(F.decode("data", "UTF-8"), "<a:t>([^<]+)</a:t>", 1).alias("text"))
+    shown = parts.filter("entry_name = 'ppt/presentation.xml' and error is null").select("id", F.regexp_count(utf8("data"), F.lit('show="0"')).alias("n")).filter("n > 0")
+    slides = parts.filter(F.col("entry_name").rlike(r"^ppt/slides/slide\d+\.xml$")).select("id", F.regexp_extract("entry_name", r"(\d+)", 1).cast("int").alias("no"), F.regexp_extract(utf8("data"), "<a:t>([^<]+)</a:t>", 1).alias("text"))
     last = slides.withColumn("from_end", F.row_number().over(W.partitionBy("id").orderBy(F.desc("no")))).join(shown, "id").filter("from_end <= n and text <> ''")
     row = lambda df, f: df.select("id", F.lit(600).alias("ord"), F.lit(f).alias("finding"))
     return row(shown.select("id", F.explode(F.sequence(F.lit(1), "n"))), "hidden_slide").unionByName(row(last, "hidden_slide_with_content"))
@@ -244,9 +251,6 @@ def image_findings(images: DataFrame) -> DataFrame:
 
 def image_statistics(images: DataFrame) -> DataFrame:
     """``(id, white_share, mean, sigma, clear_share, height, width)`` of Spark's image rows ``(id, image)``; pixels are averaged in Arrow batches."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("white_share double, mean double, sigma double, clear_share double")
     def stats(data: pd.Series, channels: pd.Series) -> pd.DataFrame:
         rows = []

@@ -106,7 +106,7 @@ def messages(files: DataFrame, key: str = "path") -> DataFrame:
 
 def office_text(parts: DataFrame) -> DataFrame:
     """``(id, text)``: the words of documents, slides and shared strings of each container."""
-    x = F.decode("data", "UTF-8")
+    x = F.make_valid_utf8(F.col("data").cast("string"))
     wanted = parts.filter(F.col("entry_name").rlike(r"^word/document\.xml$|^ppt/slides/slide\d+\.xml$|^xl/sharedStrings\.xml$|^xl/worksheets/.*\.xml$") & F.col("error").isNull())
     found = wanted.select("id", "entry_ord", F.array_join(F.regexp_extract_all(x, F.lit(r"<(?:w:t|a:t|t)(?:\s[^>]*)?>([^<]*)</"), F.lit(1)), " ").alias("t"))
     return found.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("entry_ord", "t"))), lambda s: s["t"]), " ").alias("text"))
@@ -115,11 +115,11 @@ def office_text(parts: DataFrame) -> DataFrame:
 def workbook_cells(parts: DataFrame) -> DataFrame:
     """``(id, sheet, ref, value)``: formulas (with ``=``), inline values and shared strings of workbooks, joined by string index."""
     cell = r'<c r="([A-Z]+\d+)"([^>]*)>(.*?)</c>'
-    sheets = parts.filter(F.col("entry_name").rlike(r"^xl/worksheets/[^/]*\.xml$") & F.col("error").isNull()).select("id", F.col("entry_name").alias("sheet"), F.explode(F.regexp_extract_all(F.decode("data", "UTF-8"), F.lit(f"(?s)({cell})"), F.lit(1))).alias("c"))
+    sheets = parts.filter(F.col("entry_name").rlike(r"^xl/worksheets/[^/]*\.xml$") & F.col("error").isNull()).select("id", F.col("entry_name").alias("sheet"), F.explode(F.regexp_extract_all(F.make_valid_utf8(F.col("data").cast("string")), F.lit(f"(?s)({cell})"), F.lit(1))).alias("c"))
     get = lambda g: F.regexp_extract("c", f"(?s){cell}", g)
     cells = sheets.select("id", "sheet", get(1).alias("ref"), get(2).contains('t="s"').alias("shared"), F.regexp_extract("c", "(?s)<f[^>]*>(.*?)</f>", 1).alias("f"), F.regexp_extract("c", "(?s)<v>(.*?)</v>", 1).alias("v"))
-    strings = parts.filter("entry_name = 'xl/sharedStrings.xml' and error is null").select("id", F.posexplode(F.regexp_extract_all(F.decode("data", "UTF-8"), F.lit("(?s)<si>(.*?)</si>"), F.lit(1))).alias("i", "s")).select("id", "i", F.regexp_replace("s", "<[^>]+>", "").alias("s"))
-    met = cells.join(strings, (cells["id"] == strings["id"]) & cells["shared"] & (F.expr("try_cast(v AS int)") == strings["i"]), "left").drop(strings["id"])
+    strings = parts.filter("entry_name = 'xl/sharedStrings.xml' and error is null").select("id", F.posexplode(F.regexp_extract_all(F.make_valid_utf8(F.col("data").cast("string")), F.lit("(?s)<si>(.*?)</si>"), F.lit(1))).alias("i", "s")).select(F.col("id").alias("book"), "i", F.regexp_replace("s", "<[^>]+>", "").alias("s"))
+    met = cells.join(strings, (F.col("id") == F.col("book")) & F.col("shared") & (F.expr("try_cast(v AS int)") == F.col("i")), "left")
     return met.select("id", "sheet", "ref", F.when(F.col("f") != "", F.concat(F.lit("="), "f")).otherwise(F.coalesce("s", "v")).alias("value"))
 
 
