@@ -39,7 +39,7 @@ def test_scan_is_the_batch_scan(spark, tmp_path):
 
 
 def test_windows_and_late_rows(spark, tmp_path):
-    rows = [[(at(0), "Safe"), (at(30), "Phishing")], [(at(4000), "Safe")], [(at(10), "Safe")], [(at(9000), "Safe")]]
+    rows = [[(at(0), "Safe"), (at(30), "Phishing")], [(at(4000), "Safe")], [(at(4001), "Safe")], [(at(10), "Safe")], [(at(9000), "Safe")]]
     got = drain(feeds.verdict_windows(stream(spark, tmp_path, rows, "ts timestamp, verdict string")), tmp_path, "win")
     counts = {(r.start.replace(tzinfo=None), r.verdict): r.n for r in got.collect()}
     assert counts[(T0.replace(tzinfo=None), "Safe")] == 1  # the row at 10 s came after the watermark
