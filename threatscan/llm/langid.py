@@ -46,15 +46,12 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
-def grams(text: str | None) -> Counter:
-    """Counts of ``w:word`` and ``n:gram`` for each order ``n``."""
-    out: Counter = Counter()
-    for word, c in Counter(letter_words(text)).items():
-        out["w:" + word] += c
-        for n in ORDERS:
-            for g in _grams(word, n):
-                out[f"{n}:{g}"] += c
-    return out
+def features(word: str):
+    """``w:word`` and ``n:gram`` for each order ``n``."""
+    yield "w:" + word
+    for n in ORDERS:
+        for g in _grams(word, n):
+            yield f"{n}:{g}"
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
@@ -70,13 +67,24 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
 
     def count(batches):
         for pdf in batches:
-            total: dict[str, Counter] = {}
-            for text, lang in zip(pdf["text"], pdf["lang"], strict=True):
-                total.setdefault(lang, Counter()).update(grams(text))
-            for lang, c in total.items():
-                yield pd.DataFrame({"lang": lang, "f": list(c.keys()), "n": list(c.values())})
+            for lang, texts in pdf.groupby("lang")["text"]:
+                total: Counter = Counter()
+                for text in texts:
+                    total.update(letter_words(text))
+                yield pd.DataFrame({"lang": lang, "word": list(total.keys()), "n": list(total.values())})
 
-    counted = stored(share.select("text", "lang").mapInPandas(count, "lang string, f string, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")))
+    def expand(batches):
+        for pdf in batches:
+            for lang, rows in pdf.groupby("lang"):
+                total: dict = {}
+                for word, n in zip(rows["word"], rows["n"], strict=True):
+                    for f in features(word):
+                        total[f] = total.get(f, 0) + n
+                yield pd.DataFrame({"lang": lang, "f": list(total.keys()), "n": list(total.values())})
+
+    # words are counted first, so that each is cut into n-grams once
+    words = share.select("text", "lang").mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = stored(words.mapInPandas(expand, "lang string, f string, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")))
     kind = F.substring("f", 1, 1)
     totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", kind.alias("kind")).agg(F.sum("n")).collect()}  # six rows for each language
     rank = F.row_number().over(W.partitionBy("lang", kind).orderBy(F.desc("n"), "f"))
@@ -93,40 +101,52 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     return {"langs": langs, "index": index, "logp": logp}
 
 
+class _Rows(dict):
+    """Row of each word seen in a matrix of scores; a word is scored at first sight."""
+
+    def __init__(self, scorer):
+        self.scorer = scorer
+
+    def __missing__(self, word: str) -> int:
+        i = self[word] = len(self)
+        if i >= len(self.scorer.scores):
+            self.scorer.scores = np.concatenate((self.scorer.scores, np.empty_like(self.scorer.scores)))
+        self.scorer.scores[i] = self.scorer.word(word)
+        return i
+
+
 class Scorer:
-    """Scores words under a model, keeping those seen."""
+    """Scores texts under a model."""
+
+    #: Words kept with their scores.
+    MOST = 400_000
 
     def __init__(self, model: dict):
         self.langs, self.index, self.logp = model["langs"], model["index"], model["logp"]
-        self.memo: dict[str, np.ndarray] = {}
+        self.scores, self.rows = np.empty((1 << 14, len(self.langs))), _Rows(self)
 
     def word(self, w: str) -> np.ndarray:
-        got = self.memo.get(w)
-        if got is None:
-            known = self.index.get("w:" + w)
-            if known is not None:
-                got = self.logp[known].astype(np.float64)
-            else:
-                got, weight = np.zeros(len(self.langs)), 1.0
-                for n in ORDERS:
-                    weight *= DISCOUNT
-                    found = [x for g in _grams(w, n) if (x := self.index.get(f"{n}:{g}")) is not None]
-                    if found:
-                        got = weight * self.logp[found].mean(axis=0, dtype=np.float64)
-                        break
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[w] = got
-        return got
+        """Log frequency of a known word in each language, or the discounted mean of its longest known n-grams'."""
+        known = self.index.get("w:" + w)
+        if known is not None:
+            return self.logp[known]
+        weight = 1.0
+        for n in ORDERS:
+            weight *= DISCOUNT
+            found = [x for g in _grams(w, n) if (x := self.index.get(f"{n}:{g}")) is not None]
+            if found:
+                return weight * self.logp[found].mean(axis=0, dtype=np.float64)
+        return np.zeros(len(self.langs))
 
     def text(self, text: str | None) -> tuple[str, float]:
         """Language and its probability; ``und`` and 0 without letters or without a model."""
-        words = Counter(letter_words(text))
+        words = letter_words(text)
         if not words or not self.langs:
             return "und", 0.0
-        total = np.zeros(len(self.langs))
-        for w, c in words.items():
-            total += c * self.word(w)
+        if len(self.rows) > self.MOST:
+            self.rows.clear()
+        at = np.fromiter(map(self.rows.__getitem__, words), dtype=np.int64, count=len(words))
+        total = self.scores[at].sum(axis=0)
         p = np.exp(total - total.max())
         best = int(np.argmax(p))
         return self.langs[best], float(p[best] / p.sum())
