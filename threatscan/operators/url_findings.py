@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatscan.functions import text as X
-from threatscan.operators.urls import part
+from threatscan.operators.urls import part, scan_urls
 from threatscan.rules import documents as R
 
 URL = r"""https?://[^\s<>"')\]]+"""
@@ -69,3 +69,10 @@ def mismatched_anchor(shown: Column, target: Column) -> Column:
     """A visible text that is a URL of another host than the link's."""
     host = lambda u: F.regexp_replace(part(F.lower(u), 2), r"^www\.", "")
     return F.coalesce(F.trim(shown).rlike("(?i)^https?://") & (host(F.trim(shown)) != host(target)), F.lit(False))
+
+
+def enriched(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """``(key, url, score, verdict)`` of every URL inside texts; each different URL is scanned once and joined back."""
+    urls = texts.select(key, F.explode(extracted_urls(F.col(text), True)).alias("url"))
+    scored = scan_urls(urls.select("url").distinct()).select("url", "score", "verdict")
+    return urls.join(scored, "url").select(key, "url", "score", "verdict")

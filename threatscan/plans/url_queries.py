@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threatscan.functions import text as X
 from threatscan.operators import urls as U
-from threatscan.operators.url_findings import url_finding_rows, without_safe
+from threatscan.operators.url_findings import enriched, url_finding_rows, without_safe
 from threatscan.plans.catalog import query
 from threatscan.rules import urls as R
 
@@ -222,3 +222,9 @@ SELECT page_id, finding, count(*) AS n FROM e WHERE finding IS NOT NULL GROUP BY
 )
 def embedded_url_findings(spark, sf):
     return url_finding_rows(page_urls(spark, sf), "docx", key="page_id").groupBy("page_id", "finding").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("url_enrichment", f"WITH {FEATURES} SELECT page_id, url, score, verdict FROM scored")
+def url_enrichment(spark, sf):
+    texts = page_urls(spark, sf).select("page_id", F.concat(F.lit("see "), "url", F.lit(". or again "), "url", F.lit(", please")).alias("text"))
+    return enriched(texts, "page_id")
