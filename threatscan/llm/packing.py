@@ -88,10 +88,12 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None, i
     return docs.select("doc_id", "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * ids)
 
 
-def _fill(gap: int, left: np.ndarray) -> list[int] | None:
-    """One, two or three lengths in stock that add up to ``gap``."""
+def _fill(gap: int, left: np.ndarray, most: int) -> list[int] | None:
+    """One, two or three lengths in stock, ``most`` at most, that add up to ``gap``."""
     if left[gap] > 0:
         return [gap]
+    if most == 1:
+        return None
     have = (left > 0).astype(np.int64)
     pairs = np.convolve(have[: gap + 1], have[: gap + 1])[: gap + 1]
 
@@ -104,14 +106,22 @@ def _fill(gap: int, left: np.ndarray) -> list[int] | None:
 
     if pairs[gap] and (found := pair(gap)):
         return found
-    for a in range(gap - 2, 0, -1):
+    for a in range(gap - 2, 0, -1) if most > 2 else ():
         if have[a] and pairs[gap - a] and (found := pair(gap - a, (a,))):
             return [a, *found]
     return None
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
-    """``(lengths, times)`` of each kind of sequence; every piece is used once."""
+    """``(lengths, times)`` of each kind of sequence; every piece is used once.
+
+    Triples taken early can use up the short lengths that later gaps need, so
+    the plans with triples, with pairs at most and with singles are compared.
+    """
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: sum(times for _, times in p))
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> list[tuple[list[int], int]]:
     left = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         left[length] = n
@@ -121,7 +131,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[in
             kind, gap = [length], capacity - length
             left[length] -= 1
             while gap:
-                found = _fill(gap, left)
+                found = _fill(gap, left, most)
                 if not found:
                     fits = np.flatnonzero(left[: gap + 1])
                     if not len(fits):
