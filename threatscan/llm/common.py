@@ -55,14 +55,6 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def ascii_lower_py(text: str) -> str:
-    """Lower-case A-Z only, in a worker."""
-    return text.lower() if text.isascii() else text.translate(_ASCII)
-
-
-_ASCII = {c: c + 32 for c in range(65, 91)}
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges (a long, b long)`` as ``(id, component)``, component the smallest id.
 
