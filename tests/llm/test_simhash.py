@@ -140,3 +140,37 @@ def test_sketch_estimates_similarity():
     b = " ".join(f"w{i}" for i in range(50, 1050))
     sa, sb = (np.frombuffer(simhash.slot_sketch(x, 5)[0], dtype=np.uint8) for x in (a, b))
     assert simhash._similar(sa, sb[None], 0.8)[0] and not simhash._similar(sa, sb[None], 0.98)[0]
+
+
+def test_similar_groups_are_exact_also_in_crowded_keys(spark):
+    rng = random.Random(9)
+    texts = {}
+    for family in range(6):
+        base = [f"f{family}w{i}" for i in range(120)]
+        for v in range(8):
+            one = list(base)
+            for at in rng.sample(range(120), 6):
+                one[at] = f"v{family}x{v}x{at}"
+            for c in range(2):
+                two = list(one)
+                for at in rng.sample(range(120), rng.randint(2, 3) * c):
+                    two[at] = f"c{rng.randrange(10**9)}"
+                texts[100 * family + 10 * c + v] = " ".join(two)
+    want, ids = {i: i for i in texts}, sorted(texts)
+    links = [(a, b) for a in ids for b in ids if a < b and jaccard(texts[a], texts[b]) >= 0.8]
+    for _ in ids:
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert len(set(want.values())) > 20 and len(links) > 20
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for bounds in ({}, {"most": 3}, {"shingles": 300}):
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(df, **bounds).collect()} == want, bounds
+
+
+def test_every_pair_of_a_crowded_key_meets(spark):
+    nodes = spark.createDataFrame([(i, 100 + i % 7, [5]) for i in range(50)], "id long, n long, bands array<long>")
+    groups = {}
+    for r in simhash._meetings(nodes, 0.8, 8, 10**6).collect():
+        groups.setdefault(r.g, set()).add(r.id)
+    assert {(a, b) for g in groups.values() for a in g for b in g} == {(a, b) for a in range(50) for b in range(50)}
+    assert max(map(len, groups.values())) < 25

@@ -165,22 +165,34 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = 3, blocks: int =
 
 #: Bands and minima in a band: two texts of similarity s share a band with probability 1 - (1 - s**4)**20, 0.99997 at 0.8.
 BANDS, ROWS = 20, 4
-#: Slots of the sketch that a shared band is verified with; at similarity 0.8 the estimate's standard deviation is 0.018.
+#: Slots of a sketch that estimates similarity; at 0.8 the estimate's standard deviation is 0.018.
 SLOTS = 512
+#: Shingles of the texts compared in one task, about; bounds a worker's memory.
+SHINGLES = 2_000_000
 _MULTIPLIERS = np.random.default_rng(7).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """The keys of the bands of a set of shingle hashes."""
+    minima = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096, None] * _MULTIPLIERS
+        minima = np.minimum(minima, (part ^ (part >> np.uint64(29))).min(axis=0))
+    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(minima.reshape(BANDS, ROWS))]
+    return list(np.array(bands, dtype=np.uint64).view(np.int64))
+
+
+def shingle_set(text: str | None, k: int) -> np.ndarray:
+    """The different shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, k)]))
+
+
 def slot_sketch(text: str | None, k: int) -> tuple[bytes, list[int]]:
     """The least shingle hash of each slot, as one byte (0: none), and the keys of the bands."""
-    low, minima = np.full(SLOTS, ~np.uint64(0)), np.full(BANDS * ROWS, ~np.uint64(0))
-    for h in shingle_hashes(text, k):
-        np.minimum.at(low, (h % SLOTS).astype(np.int64), h // np.uint64(SLOTS))
-        for at in range(0, len(h), 4096):
-            part = h[at : at + 4096, None] * _MULTIPLIERS
-            minima = np.minimum(minima, (part ^ (part >> np.uint64(29))).min(axis=0))
+    low, h = np.full(SLOTS, ~np.uint64(0)), shingle_set(text, k)
+    np.minimum.at(low, (h % SLOTS).astype(np.int64), h // np.uint64(SLOTS))
     sketch = np.where(low == ~np.uint64(0), 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8)
-    bands = [xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(minima.reshape(BANDS, ROWS))]
-    return sketch.tobytes(), list(np.array(bands, dtype=np.uint64).view(np.int64))
+    return sketch.tobytes(), band_keys(h)
 
 
 def _similar(one: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
@@ -190,43 +202,88 @@ def _similar(one: np.ndarray, rest: np.ndarray, least: float) -> np.ndarray:
     return (used == 0) | ((same / np.maximum(used, 1) - 1 / 255) / (1 - 1 / 255) >= least)
 
 
-def similar_links(sketches: DataFrame, least: float, most: int = 4096) -> DataFrame:
-    """Edges ``(a, b)`` that connect rows of ``sketches (id, sketch, bands)`` of similarity ``least`` or more that share a band.
+def _spanning_similar(sets: list[np.ndarray], least: float):
+    """Edges (index pairs) that connect what has a Jaccard similarity of ``least`` or more: a walk as in ``_spanning``, on exact counts of common shingles."""
+    sizes = np.array([len(x) for x in sets])
+    cuts = np.concatenate(([0], np.cumsum(sizes)))
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    order = np.argsort(ids, kind="stable")
+    owner = np.repeat(np.arange(len(sets)), sizes)[order]
+    since = np.searchsorted(ids[order], np.arange(ids.max() + 2 if len(ids) else 1))
+    rest = np.arange(len(sets))
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            own = ids[cuts[at] : cuts[at + 1]]
+            first, n = since[own], since[own + 1] - since[own]
+            places = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(owner[places], minlength=len(sets))
+            near = common[rest] >= least * (sizes[at] + sizes[rest] - common[rest]) - 1e-9
+            for x in rest[near]:
+                yield at, x
+            queue.extend(rest[near])
+            rest = rest[~near]
+
+
+def _meetings(nodes: DataFrame, least: float, most: int, shingles: int) -> DataFrame:
+    """``(g, id)``: groups in which any two rows of ``nodes (id, n, bands)`` meet that share a band and may be similar.
 
-    Rows of one band key are walked as in ``links``. A key with over ``most``
-    rows is dealt into parts of about that size by a hash that differs from
-    band to band, so two rows parted in one band meet in another.
+    Similar sets differ in size by a factor of ``least`` at most, so a key with
+    over ``most`` rows or ``shingles`` shingles is first told apart by classes of
+    size, each row in its own and the next lower one. A class still too large
+    is dealt into parts, and every two parts meet as a group: no pair is lost.
+    """
+    keyed = stored(nodes.select("id", "n", F.posexplode("bands").alias("band", "key")))
+    total = (F.count(F.lit(1)).alias("rows"), F.sum("n").alias("sum"))
+    large = (F.col("rows") > most) | (F.col("sum") > shingles)
+    sized = keyed.groupBy("band", "key").agg(*total).filter("rows > 1")
+    met = keyed.join(sized, ["band", "key"])
+    rank = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(-1.001 * float(np.log(least)))).cast("int")
+    classed = met.filter(large).select("id", "n", "band", "key", F.explode(F.array(rank, rank - 1)).alias("class"))
+    classes = classed.groupBy("band", "key", "class").agg(*total).filter("rows > 1")
+    parts = F.when(large, F.greatest(F.lit(2), F.ceil(2 * F.col("rows") / most), F.ceil(2 * F.col("sum") / shingles))).otherwise(1).cast("int")
+    dealt = classed.join(classes, ["band", "key", "class"]).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: x != F.col("part"))
+    pairs = F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(F.transform(others, lambda x: F.struct(F.least(x, "part").alias("i"), F.greatest(x, "part").alias("j"))))
+    small = met.filter(~large).select("band", "key", F.lit(None).cast("int").alias("class"), F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")).alias("pair"), "id")
+    all_ = small.unionAll(dealt.select("band", "key", "class", F.explode(pairs).alias("pair"), "id"))
+    lists = all_.groupBy("band", "key", "class", "pair").agg(F.array_sort(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1)
+    return stored(lists.select("ids").distinct().select(F.sha2(F.array_join("ids", ","), 256).alias("g"), F.explode("ids").alias("id")))
+
+
+def similar_links(nodes: DataFrame, docs: DataFrame, k: int, least: float, most: int = 4096, shingles: int = SHINGLES) -> DataFrame:
+    """Edges ``(a, b)`` that connect rows of ``nodes (id, n, bands)`` of similarity ``least`` or more that share a band.
+
+    The texts of ``docs (doc_id, text)`` follow for rows with a possible
+    partner; similarity is that of the whole shingle sets.
     """
-    keyed = stored(sketches.select("id", F.posexplode("bands").alias("band", "key")))
-    sizes = keyed.groupBy("band", "key").count().filter("count > 1")
-    part = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("count") / F.lit(most)))
-    lists = keyed.join(sizes, ["band", "key"]).groupBy("band", "key", part.alias("part")).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    lists = stored(lists.filter(F.size("ids") > 1).select("ids").distinct().select(F.xxhash64("ids").alias("g"), F.explode("ids").alias("id")))
-    groups = lists.join(sketches.select("id", "sketch"), "id").groupBy("g").agg(F.collect_list(F.struct("id", "sketch")).alias("m")).select("m.id", "m.sketch")
+    lists = _meetings(nodes, least, most, shingles)
+
+    @F.pandas_udf("binary")
+    def hashes(s: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(x, k).tobytes() for x in s], dtype=object)
+
+    texts = docs.join(lists.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    sets = texts.select(F.col("doc_id").alias("id"), hashes("text").alias("s"))
+    groups = lists.join(sets, "id").groupBy("g").agg(F.collect_list(F.struct("id", "s")).alias("m")).select("m.id", "m.s")
 
     def walk(batches):
         for pdf in batches:
             a, b = [], []
-            for ids, sk in zip(pdf["id"], pdf["sketch"], strict=True):
-                order = np.argsort(ids)
-                m = np.frombuffer(b"".join(sk[i] for i in order), dtype=np.uint8).reshape(len(ids), SLOTS)
-                ids, rest = np.asarray(ids)[order], np.arange(len(ids))
-                while len(rest):
-                    queue, rest = [rest[0]], rest[1:]
-                    while queue and len(rest):
-                        at = queue.pop()
-                        near = _similar(m[at], m[rest], least)
-                        a += [ids[at]] * int(near.sum())
-                        b += list(ids[rest[near]])
-                        queue.extend(rest[near])
-                        rest = rest[~near]
+            for ids, s in zip(pdf["id"], pdf["s"], strict=True):
+                order = np.argsort(ids, kind="stable")
+                ids = np.asarray(ids)[order]
+                for i, j in _spanning_similar([np.frombuffer(s[x], dtype=np.uint64) for x in order], least):
+                    a.append(ids[i])
+                    b.append(ids[j])
             yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    bound_batches(sketches.sparkSession)
+    bound_batches(docs.sparkSession)
     return groups.mapInPandas(walk, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 4096, shingles: int = SHINGLES) -> DataFrame:
     """``(doc_id, component_id)``: groups of texts connected by similarity ``least`` or more of their ``k``-word shingle sets.
 
     Null, empty and blank texts form one group. Rows with equal ``doc_id`` are
@@ -235,13 +292,15 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame
     """
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("sketch binary, bands array<long>")
-    def sketch(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([slot_sketch(x, k) for x in s], columns=["sketch", "bands"])
+    @F.pandas_udf("h binary, n long, bands array<long>")
+    def sketch(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(x, k) for x in texts]
+        return pd.DataFrame({"h": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
 
-    each = stored(docs.filter("doc_id is not null").select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*", F.xxhash64("s.sketch", "s.bands").alias("h")))
-    nodes = stored(each.groupBy("h", "sketch", "bands").agg(F.min("doc_id").alias("id")))
-    found = components(similar_links(nodes.select("id", "sketch", "bands"), least))
+    docs = docs.filter("doc_id is not null").select("doc_id", "text")
+    each = stored(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"))
+    nodes = stored(each.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    found = components(similar_links(nodes.select("id", "n", "bands"), docs, k, least, most, shingles))
     named = nodes.join(found, "id", "left").select("h", F.coalesce("component", "id").alias("component_id"))
     return each.select("doc_id", "h").join(named, "h").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
