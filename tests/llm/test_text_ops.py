@@ -239,3 +239,14 @@ def test_pii_query(spark):
     assert all(r.n_found == sum(r[f"n_{k}"] for k in pii.KINDS) for r in got.values())
     for r in docs.collect():
         assert (got[r.doc_id].text == r.text) == (got[r.doc_id].n_found == 0)
+
+
+def test_every_training_text_moves_the_weights(spark):
+    texts = spark.createDataFrame([(f"alpha beta gamma {i} delta",) for i in range(200)], "text string")
+    texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(8)) != 0).coalesce(1)
+    vocab = spark.sparkContext.broadcast(lm.vocabulary(lm.counted(texts), texts.count()))
+    first = lm.initial(vocab.value)
+    assert not np.array_equal(lm.fitted(texts, vocab, "every-text", first), first)
+    copies = spark.createDataFrame([("same",)] * 300 + [("other",)], "text string")
+    rows = lm.dealt(copies, 4).collect()
+    assert len(rows) == 301 and len({(r.round, r.shard) for r in rows if r.text == "same"}) == 4 * lm.ROUNDS

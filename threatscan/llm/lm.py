@@ -36,8 +36,6 @@ CLASSES = END_CLASS + 1
 END_INPUT = FREQUENT + SHAPES
 INPUTS = END_INPUT + 1
 HIDDEN = 24
-#: One in so many training documents moves the weights (counts take all of them); it grows with the corpus.
-SHARE = 8
 #: Characters of text in a shard, about.
 SHARD = 16_000_000
 LEAST_SHARDS = 1
@@ -353,18 +351,23 @@ def _round(weights, vocab, name: str):
     return one
 
 
-def fitted(texts: DataFrame, vocab, name: str, first: np.ndarray, share: int = SHARE) -> np.ndarray:
-    """Weights trained on one in ``share`` of ``texts (text)``: rounds of parallel shards whose weights are averaged by tokens."""
+def dealt(texts: DataFrame, shards: int) -> DataFrame:
+    """``(text, round, shard)``: each row of ``texts`` once. Rows are dealt by number, so copies of a text spread."""
+    row = F.monotonically_increasing_id()
+    part = lambda salt, n: F.pmod(F.xxhash64("__row", F.lit(salt)), F.lit(n)).cast("int")
+    return texts.select("text", row.alias("__row")).select("text", part("round", ROUNDS).alias("round"), part("shard", shards).alias("shard"))
+
+
+def fitted(texts: DataFrame, vocab, name: str, first: np.ndarray) -> np.ndarray:
+    """Weights trained on all ``texts (text)``, each in one round: rounds of parallel shards whose weights are averaged by tokens."""
     spark = texts.sparkSession
-    some = stored(texts.filter(F.pmod(F.xxhash64("text"), F.lit(share)) == 0))
-    n, chars = some.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     if not n:
         return first
-    shards = max(LEAST_SHARDS, -(-chars // SHARD))
+    parts = stored(dealt(texts, max(LEAST_SHARDS, -(-chars // SHARD))))
     flat = first
     for k in range(ROUNDS):
-        part = some.filter(F.pmod(F.xxhash64("text", F.lit("round")), F.lit(ROUNDS)) == k).withColumn("shard", F.pmod(F.xxhash64("text", F.lit("shard")), F.lit(shards)))
-        each = part.groupBy("shard").applyInPandas(_round(spark.sparkContext.broadcast(flat), vocab, name), "weights array<float>, tokens long")
+        each = parts.filter(F.col("round") == k).groupBy("shard").applyInPandas(_round(spark.sparkContext.broadcast(flat), vocab, name), "weights array<float>, tokens long")
         mean = each.select("tokens", F.posexplode("weights")).groupBy("pos").agg((F.sum(F.col("col") * F.col("tokens")) / F.sum("tokens")).alias("w"))
         rows = mean.toPandas()  # one row for each weight of the model
         if len(rows):
