@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 from pathlib import Path
 
 from pyspark.sql import functions as F
@@ -73,3 +74,18 @@ def test_distinct_stream(spark, tmp_path):
     rows = [[("u", at(0)), ("u", at(1))], [("u", at(2)), ("w", at(3))]]
     got = drain(feeds.distinct_stream(stream(spark, tmp_path, rows, "url string, ts timestamp"), ["url"]), tmp_path, "dist")
     assert sorted(r.url for r in got.select("url").collect()) == ["u", "w"]
+
+
+def test_cooldown_gathers_no_key(spark):
+    rng = random.Random(4)
+    rows = [(k, at(s)) for k, n in (("hot", 900), ("a", 40), (None, 30)) for s in (rng.randrange(6000) for _ in range(n))] + [("a", None)]
+    df = spark.createDataFrame(rows + [("a", at(10**6)), ("a", at(10**6 + 60))], "key string, ts timestamp")
+    want, last = [], {}
+    for key, ts in sorted(((r.key or "", r.ts) for r in df.filter("ts is not null").collect())):
+        if key not in last or (ts - last[key]).total_seconds() >= 60:
+            want.append((key, ts))
+            last[key] = ts
+    got = feeds.cooldown(df, 60)
+    assert sorted((r.key or "", r.ts) for r in got.collect()) == want
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    assert "collect_list" not in feeds._next_times(df, 60_000_000)._jdf.queryExecution().toString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -88,13 +90,56 @@ def attempts_stream(attempts: DataFrame, limit: int = ATTEMPTS, ttl: int = TTL,
     return attempts.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_processor(rows, ttl), "key string, ts timestamp, failures long, locked boolean", "append", "none")
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the folder the cluster shares (``spark.checkpoint.dir``) and read back."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", ""):
+        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="threatscan-"))
+    at = f"{spark.conf.get('spark.checkpoint.dir')}/t-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def _next_times(alerts: DataFrame, us: int) -> DataFrame:
+    """``(key, t, nxt, start)``: each time of a key, the first one ``us`` or more after it, and whether none is less than ``us`` before it.
+
+    Events are looked at in spans of ``us``, each with its neighbour, so no
+    group holds all events of a key; only one row for each span is put in order.
+    """
+    times = _stored(alerts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).filter("t is not null").distinct().withColumn("span", ((F.col("t") - F.pmod("t", F.lit(us))) / us).cast("long")))
+    spans = times.groupBy("key", "span").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    of_key = W.partitionBy("key").orderBy("span")
+    spans = spans.select("key", "span", F.lag("high").over(of_key).alias("before"), F.lead("low", 1).over(of_key).alias("low1"), F.lead("span", 1).over(of_key).alias("span1"), F.lead("low", 2).over(of_key).alias("low2"))
+    both = times.select("key", "t", F.explode(F.array(F.col("span"), F.col("span") - 1)).alias("at"), "span")
+    of_span = W.partitionBy("key", "at").orderBy("t")
+    near = both.select("key", "t", "span", "at", F.min("t").over(of_span.rangeBetween(us, W.unboundedFollowing)).alias("near"), F.lag("t").over(of_span).alias("prev")).filter("span = at")
+    e = near.alias("e").join(spans.alias("s"), F.col("e.key").eqNullSafe(F.col("s.key")) & (F.col("e.span") == F.col("s.span")))
+    later = F.when(F.col("span1") == F.col("e.span") + 1, F.col("low2")).otherwise(F.col("low1"))
+    prev = F.coalesce("prev", "before")
+    return e.select(F.col("e.key").alias("key"), "t", F.coalesce("near", later).alias("nxt"), (prev.isNull() | (F.col("t") - prev >= us)).alias("start"))
+
+
 def cooldown(alerts: DataFrame, seconds: int = COOLDOWN) -> DataFrame:
-    """Batch form: ``(key, ts)`` of the alerts that are emitted. Rows of a key are folded in time order without leaving the JVM."""
-    times = alerts.groupBy("key").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("ts").cast("timestamp")))).alias("t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    keep = lambda s, x: s["last"].isNull() | (x - s["last"] >= seconds * 1_000_000)
-    kept = F.aggregate("t", start, lambda s, x: F.when(keep(s, x), F.struct(x.alias("last"), F.concat(s["kept"], F.array(x)).alias("kept"))).otherwise(s), lambda s: s["kept"])
-    return times.select("key", F.explode(kept).alias("us")).select("key", F.timestamp_micros("us").cast(alerts.schema["ts"].dataType).alias("ts"))
+    """Batch form: ``(key, ts)`` of the alerts that are emitted, without a group of all alerts of a key.
+
+    An alert with none in the ``seconds`` before it is always emitted. Every
+    alert points to the first one at or after its cooldown; what is reached from
+    an emitted alert is emitted, marked by pointer doubling on stored tables.
+    """
+    if seconds <= 0:
+        return alerts.filter("ts is not null").select("key", "ts")
+    found = _stored(_next_times(alerts, seconds * 1_000_000))
+    marked = _stored(found.filter("start").select("key", "t"))
+    starts = marked.select(F.col("key").alias("k"), F.col("t").alias("u"))
+    jumps = found.filter("nxt is not null").select("key", "t", "nxt")
+    to_start = F.col("key").eqNullSafe(F.col("k")) & (F.col("nxt") == F.col("u"))
+    jumps = _stored(jumps.join(starts, to_start, "left_anti"))
+    while not jumps.isEmpty():
+        on = jumps.select(F.col("key").alias("k"), F.col("t").alias("u"), F.col("nxt").alias("after"))
+        reached = marked.join(on, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u"))).select("key", F.col("after").alias("t"))
+        marked = _stored(marked.unionAll(reached).distinct())
+        jumps = _stored(jumps.join(on, to_start).select("key", "t", F.col("after").alias("nxt")))
+    return marked.select("key", F.timestamp_micros("t").cast(alerts.schema["ts"].dataType).alias("ts"))
 
 
 def attempt_lock(attempts: DataFrame, limit: int = ATTEMPTS) -> DataFrame:
