@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -86,3 +87,31 @@ def test_plan_uses_every_piece_and_fills():
 def test_ids_are_real_output(spark, real):
     r = packing.pieces(real.limit(3), ids=True).collect()
     assert all(zlib.crc32(x.ids) == x.ids_crc32 and len(x.ids) == 4 * x.length for x in r)
+
+
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    rng = random.Random(1)
+    usual = " \n  ab1.,'\u00e9\t\xa0\x1c \u65e5s\x85\U0001f600'll \r\x00\xff\u00b2\u2167\u200b"
+    for n in range(3000):
+        text = "".join(rng.choice(usual) if rng.random() < 0.7 else chr(rng.choice([rng.randrange(32, 0xD7FF), rng.randrange(0xE000, 0x10FFFF)])) for _ in range(rng.randint(0, 40)))
+        assert packing.token_ids(text, path) == np.array([*t.encode(text, add_special_tokens=False).ids, 2], dtype="<u4").tobytes(), ascii(text)
+
+
+def test_another_vocabulary_goes_through_its_own_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    from tokenizers import Tokenizer
+
+    want = Tokenizer.from_file(path).encode("Some words, and MORE", add_special_tokens=False).ids
+    assert packing.token_ids("Some words, and MORE", path) == np.array([*want, 2], dtype="<u4").tobytes()
+
+
+def test_ids_of_documents_pass_unchanged(spark):
+    df = spark.createDataFrame([(9007199254740993, "a b"), (None, "c"), (-1, None)], "doc_id long, text string")
+    assert {r.doc_id for r in packing.pack_documents(df).collect()} == {9007199254740993, None, -1}
+    named = packing.pack_documents(spark.createDataFrame([("x/1", "a " * 100), ("y", "c")], "doc_id string, text string"), capacity=64)
+    assert sorted((r.doc_id, r.piece) for r in named.collect()) == [("x/1", 0), ("x/1", 1), ("y", 0)]
