@@ -15,13 +15,15 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatscan.llm.common import WORD, ascii_lower, bound_batches, stored, table
+from threatscan.llm.common import bound_batches, stored, table
 from threatscan.llm.quality import bucket
 
 #: So many of the most frequent words at most are looked up in the worker; the counts of others come by a join.
@@ -41,8 +43,8 @@ SHARD = 16_000_000
 LEAST_SHARDS = 1
 ROUNDS = 3
 #: Lanes and steps of a training window; a shard is repeated until it has given so many updates in a round.
-LANES, STEPS, LEAST_UPDATES = 64, 32, 60
-RATE = 0.02
+LANES, STEPS, LEAST_UPDATES = 128, 32, 60
+RATE = 0.03
 #: Added to the root mean square of a weight's gradients.
 EPS = 1e-6
 
@@ -150,27 +152,30 @@ def _sigmoid(x):
 
 
 def states(p: dict, inp, start, h, keep: bool = False):
-    """Hidden states of a window from the carried state ``h``; with ``keep`` also what backpropagation needs."""
+    """Hidden states of a window from the carried state ``h``; with ``keep`` also what backpropagation needs: states before, gates, reset states and candidates."""
     steps, n = inp.shape
     out = np.empty((steps, n, HIDDEN), dtype=np.float32)
-    kept = []
-    x = p["x"][inp]
+    gates, cand = np.ascontiguousarray(p["x"][:, : 2 * HIDDEN])[inp], np.ascontiguousarray(p["x"][:, 2 * HIDDEN :])[inp]
+    was, reset = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
+    begins = start.any(axis=1)
     for t in range(steps):
-        if start[t].any():
+        if begins[t]:
             h = h * ~start[t][:, None]
-        zr = _sigmoid(x[t, :, : 2 * HIDDEN] + h @ p["u"])
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        rh = r * h
-        c = x[t, :, 2 * HIDDEN :] + rh @ p["v"]
-        np.tanh(c, out=c)
         if keep:
-            kept.append((h, z, r, rh, c))
+            was[t] = h
+        zr = gates[t]
+        zr += h @ p["u"]
+        _sigmoid(zr)
+        rh = np.multiply(zr[:, HIDDEN:], h, out=reset[t]) if keep else zr[:, HIDDEN:] * h
+        c = cand[t]
+        c += rh @ p["v"]
+        np.tanh(c, out=c)
         new = out[t]
         np.subtract(c, h, out=new)
-        new *= z
+        new *= zr[:, :HIDDEN]
         new += h
         h = new
-    return out, h, kept
+    return out, h, (was, gates, reset, cand) if keep else None
 
 
 def _picked(x, at, bound: float):
@@ -209,31 +214,34 @@ def log_probabilities(p: dict, hs, cls, within):
 def _output_gradients(p: dict, hs, cls, within):
     """Gradients of the negated sum of log probabilities: by states, and by the output weights."""
 
-    def less_one(x, at):
-        x -= x.max(axis=1, keepdims=True)
+    def less_one(x, at, bound):
+        if bound >= 40:
+            x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
         x /= x.sum(axis=1, keepdims=True)
         x[np.arange(len(at)), at] -= 1
         return x
 
-    d = less_one(hs @ p["c"] + p["cb"], cls)
+    order = np.argsort(cls, kind="stable")
+    hs, cls, within = hs[order], cls[order], within[order]
+    d = less_one(hs @ p["c"] + p["cb"], cls, _bound(p["c"], p["cb"]))
     g = {"c": hs.T @ d, "cb": d.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
     dh = d @ p["c"].T
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(GROUPS + 1))
+    cuts, inner = np.searchsorted(cls, np.arange(GROUPS + 1)), _bound(p["w"], p["wb"])
     for k in range(GROUPS):
-        idx = order[cuts[k] : cuts[k + 1]]
-        if len(idx):
-            own = hs[idx]
-            d = less_one(own @ p["w"][k] + p["wb"][k], within[idx])
-            g["w"][k], g["wb"][k] = own.T @ d, d.sum(axis=0)
-            dh[idx] += d @ p["w"][k].T
-    return dh, g
+        s = slice(cuts[k], cuts[k + 1])
+        if s.start < s.stop:
+            d = less_one(hs[s] @ p["w"][k] + p["wb"][k], within[s], inner)
+            g["w"][k], g["wb"][k] = hs[s].T @ d, d.sum(axis=0)
+            dh[s] += d @ p["w"][k].T
+    out = np.empty_like(dh)
+    out[order] = dh
+    return out, g
 
 
 def gradients(p: dict, inp, cls, within, doc, start, h):
     """Gradients of the mean negative log-likelihood of one window, cut off at its start; and the state carried on."""
-    hs, carried, kept = states(p, inp, start, h, keep=True)
+    hs, carried, (was, gates, reset, cand) = states(p, inp, start, h, keep=True)
     steps, n = inp.shape
     mask = (doc >= 0).ravel()
     total = max(1, int(mask.sum()))
@@ -242,24 +250,28 @@ def gradients(p: dict, inp, cls, within, doc, start, h):
     dhs = np.zeros_like(flat)
     dhs[mask] = d
     dhs = dhs.reshape(steps, n, HIDDEN)
-    dx = np.empty((steps, n, 3 * HIDDEN), dtype=np.float32)
-    g["u"], g["v"] = np.zeros_like(p["u"]), np.zeros_like(p["v"])
-    dh = np.zeros((n, HIDDEN), dtype=np.float32)
+    z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+    rest = 1 - z
+    by_c, by_z, by_r = z * (1 - cand * cand), (cand - was) * z * rest, was * r * (1 - r)
+    dgates, dcand = np.empty((steps, n, 2 * HIDDEN), dtype=np.float32), np.empty((steps, n, HIDDEN), dtype=np.float32)
+    dh, ut, vt, begins = np.zeros((n, HIDDEN), dtype=np.float32), p["u"].T, p["v"].T, start.any(axis=1)
     for t in range(steps - 1, -1, -1):
-        was, z, r, rh, c = kept[t]
-        dh = dh + dhs[t]
-        dc = dh * z * (1 - c * c)
-        drh = dc @ p["v"].T
-        dzr = np.concatenate((dh * (c - was) * z * (1 - z), drh * was * r * (1 - r)), axis=1)
-        g["u"] += was.T @ dzr
-        g["v"] += rh.T @ dc
-        dx[t, :, : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dzr, dc
-        dh = (dh * (1 - z) + drh * r + dzr @ p["u"].T) * ~start[t][:, None]
+        dh += dhs[t]
+        drh = np.multiply(dh, by_c[t], out=dcand[t], casting="same_kind") @ vt
+        np.multiply(dh, by_z[t], out=dgates[t, :, :HIDDEN], casting="same_kind")
+        np.multiply(drh, by_r[t], out=dgates[t, :, HIDDEN:], casting="same_kind")
+        drh *= r[t]
+        drh += dgates[t] @ ut
+        dh *= rest[t]
+        dh += drh
+        if begins[t]:
+            dh *= ~start[t][:, None]
+    g["u"], g["v"] = was.reshape(-1, HIDDEN).T @ dgates.reshape(-1, 2 * HIDDEN), reset.reshape(-1, HIDDEN).T @ dcand.reshape(-1, HIDDEN)
     flat_in = inp.ravel()
     order = np.argsort(flat_in, kind="stable")
     ids, first = np.unique(flat_in[order], return_index=True)
     g["x"] = np.zeros_like(p["x"])
-    g["x"][ids] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    g["x"][ids] = np.add.reduceat(np.concatenate((dgates, dcand), axis=2).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     return {k: v / total for k, v in g.items()}, carried, float(total)
 
 
@@ -295,9 +307,17 @@ def train(flat: np.ndarray, coded: list, rate: float = RATE, least: int = LEAST_
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """``(word, n)`` over all words of ``texts (text)``."""
-    low = F.when(F.col("text").rlike(r"[^\x00-\x7F]"), ascii_lower(F.col("text"))).otherwise(F.lower("text"))
-    return texts.select(F.explode(F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    """``(word, n)`` over all words of ``texts (text)``, counted in each batch before they are dealt out."""
+    bound_batches(texts.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                total.update(words(text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame, n_docs: int) -> dict:
