@@ -133,6 +133,10 @@ def test_one_of_each(spark):
     df = spark.createDataFrame([(3, t, "x"), (1, t, "y"), (1, t, "y"), (2, t + " more", "z"), (4, "other text here", "q"), (None, "kept", "n")], "doc_id long, text string, __gone string")
     got = sorted((r.doc_id or 0) for r in simhash.one_of_each(df).collect())
     assert got == [0, 1, 4]
+    other = " ".join(f"u{i}" for i in range(100))
+    rows = [(1, t, 7), (2, t + " x", 8), (2, other, 9), (3, other + " y", 1), (2, None, 2), (5, "", 3)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, tk long")).collect()
+    assert sorted((r.doc_id, r.tk) for r in got) == [(1, 7), (2, 2), (2, 9)]  # rows of one id are told apart by their texts
 
 
 def test_sketch_estimates_similarity():

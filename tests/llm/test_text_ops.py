@@ -61,8 +61,41 @@ def test_decontaminate_odd_rows(spark):
     near = {r.doc_id: r.n_near_items for r in decontaminate.matches(docs, bench).collect()}
     assert near[6] == 1
     assert decontaminate.matches(docs.limit(0), bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).filter("contaminated").count() == 0
-    kept = sorted(r.doc_id for r in decontaminate.decontaminated(docs, bench).collect())
-    assert kept == [2, 3, 6]
+    more = docs.unionAll(spark.createDataFrame([(None, "only three words"), (None, "clean")], docs.schema)).withColumn("tk", F.lit("own"))
+    kept = sorted((r.doc_id or 0, r.text) for r in decontaminate.decontaminated(more, bench).collect() if r.text)
+    assert [i for i, _ in kept] == [0, 5, 6] and kept[0][1] == "clean" and "KAPPA" in kept[1][1]  # the other row of 5 goes
+
+
+def test_proximity_matches_equal_the_sql(spark, tmp_path):
+    import random
+
+    import duckdb
+
+    rng = random.Random(6)
+    word = lambda: f"w{min(rng.randrange(400), rng.randrange(400))}"
+    bench = [(i, " ".join([word() for _ in range(rng.choice([3, 10, 14]))] + [f"only{i}"] * (i % 3 == 0))) for i in range(12)]
+    docs = []
+    for n in range(80):
+        own = [word() for _ in range(rng.randint(0, 30))]
+        p = bench[n % 12][1].split()
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(p))
+            rng.choice([lambda: p.insert(at, "extra"), lambda: p.__setitem__(at, "other"), lambda: len(p) > 1 and p.pop(at)])()  # noqa: B023
+        at = rng.randint(0, len(own))
+        docs.append((n, " ".join(own[:at] + p + own[at:])))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = con.sql(decontaminate.SQL)
+    got = decontaminate.op8(spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
+    assert sum(r.contaminated for r in got) > 10 and sum(r.n_near_items > 0 for r in got) > 10
+    at = decontaminate.places(*(spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "benchmark"))).filter("exact").collect()
+    texts, items = dict(docs), dict(bench)
+    for r in at:
+        assert " ".join(texts[r.doc_id].split()[r.start : r.start + r.n]) in items[r.item_id]
 
 
 def test_langid_held_out_accuracy(spark):

@@ -5,8 +5,10 @@ are counted over the whole corpus, and each window is anchored at its rarest
 term. The index stores, for every place of an anchor term in a training text,
 document, position and the terms around it. A search meets windows and postings
 at the anchor term and intersects the window's other terms with the posting's
-neighbourhood at their adjusted offsets: all equal is an exact match, the second
-rarest term within ``slop`` of its offset a proximity match.
+neighbourhood at their adjusted offsets: all equal is an exact match; at least
+four in five of them, one of the next two rarest included, each within ``slop``
+of its offset, is a proximity match. Windows with terms that the corpus lacks
+are anchored at their rarest present term.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from threatscan.llm.common import ascii_lower, stored, table
+from threatscan.llm.common import ascii_lower, fresh, stored, table
 
 #: Words in a window.
 SIZE = 10
@@ -74,12 +76,20 @@ def term_counts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(wanted, "term")
 
 
+def _most(n: Column) -> Column:
+    """Four in five of ``n``, rounded up."""
+    return F.floor((4 * n + 4) / 5)
+
+
 def anchored(wins: DataFrame, counts: DataFrame) -> DataFrame:
-    """Windows with all terms in the corpus, with ``anchor``, ``at`` (its offset), ``second`` and ``second_at``."""
+    """Windows with enough terms in the corpus for a match, with ``anchor`` and ``at`` (its offset), and ``next``: up to two other terms, the rarest first, with their offsets."""
     each = wins.select("w", "n", "words", F.posexplode("words").alias("at", "term")).join(counts.withColumnRenamed("n", "freq"), "term")
-    by_w = each.groupBy("w", "n", "words").agg(F.array_sort(F.collect_list(F.struct("freq", "term", "at"))).alias("r")).filter(F.size("r") == F.col("n"))
-    second = F.coalesce(F.filter("r", lambda x: x["term"] != F.col("r")[0]["term"])[0], F.col("r")[0])
-    return by_w.select("w", "n", "words", F.col("r")[0]["term"].alias("anchor"), F.col("r")[0]["at"].alias("at"), second["term"].alias("second"), second["at"].alias("second_at"))
+    by_w = each.groupBy("w", "n", "words").agg(F.array_sort(F.collect_list(F.struct("freq", "term", "at"))).alias("r")).filter(F.size("r") >= _most(F.col("n")))
+    rarest = lambda *other: F.filter("r", lambda x: ~x["term"].isin(*other))
+    first = by_w.select("*", F.col("r")[0]["term"].alias("anchor"), F.col("r")[0]["at"].alias("at"))
+    second = first.withColumn("second", F.get(rarest(F.col("anchor")), F.lit(0)))
+    third = second.withColumn("third", F.get(rarest(F.col("anchor"), F.col("second.term")), F.lit(0)))
+    return third.select("w", "n", "words", "anchor", "at", F.array_compact(F.array("second", "third")).alias("next"))
 
 
 def index(docs: DataFrame, anchors: DataFrame, size: int = SIZE, slop: int = SLOP) -> DataFrame:
@@ -104,34 +114,57 @@ def index(docs: DataFrame, anchors: DataFrame, size: int = SIZE, slop: int = SLO
 
 
 def search(idx: DataFrame, wins: DataFrame, slop: int = SLOP) -> DataFrame:
-    """``(rid, w, start, n, exact)`` of each place where a window's terms meet: as a phrase, or else in proximity."""
+    """``(rid, w, start, n, exact)`` of each place where a window's terms meet: as a phrase, or else in proximity.
+
+    Both sides are scans dealt out by the anchor, so Spark can split an anchor
+    that very many places share.
+    """
     lead = F.col("lead") - F.col("at")
     phrase = (F.col("pos") >= F.col("at")) & (F.slice("near", F.greatest(lead, F.lit(0)) + 1, F.col("n")) == F.col("words"))
-    gap = F.col("second_at") - F.col("at")
-    close = (F.col("second") != F.col("anchor")) & F.array_contains(F.slice("near", F.greatest(F.col("lead") + 1 + gap - slop, F.lit(1)), F.lit(2 * slop + 1)), F.col("second"))
-    met = idx.filter("term is not null").join(wins, (F.col("term") == F.col("anchor")) & (phrase | close))
-    return met.select("rid", "w", (F.col("pos") - F.col("at")).alias("start"), "n", phrase.alias("exact"))
 
+    def within(term: Column, offset: Column) -> Column:
+        since = F.greatest(lead + offset + 1 - slop, F.lit(1))
+        return F.array_contains(F.slice("near", since, F.greatest(lead + offset + 1 + slop - since + 1, F.lit(0))), term)
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = SLOP) -> DataFrame:
-    """A row for each document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items``.
+    next_close = F.exists("next", lambda x: within(x["term"], x["at"]))
+    most_close = F.size(F.filter(F.transform("words", lambda x, k: within(x, k)), lambda x: x)) >= _most(F.col("n"))
+    met = idx.filter("term is not null").join(wins, (F.col("term") == F.col("anchor")) & (phrase | (next_close & most_close)))
+    return met.select("rid", "w", (F.col("pos") - F.col("at")).alias("start"), "n", phrase.alias("exact"))
 
-    A document word inside an exact match of a window is hit. Null and empty
-    texts have no words; items without words are ignored; a shorter item is one
-    window. Rows with equal ids are documents of their own. ``n_near_items``
-    counts items met in proximity but not exactly. Empty tables give no hits.
-    """
+
+def _found(docs: DataFrame, benchmark: DataFrame, size: int, slop: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored index of ``docs (doc_id, text)``, the places of windows in it, and ``(w, item_id)``."""
     wins, items = windows(benchmark.select("item_id", "text"), size)
     wins, items = stored(wins), stored(items)
     counts = stored(term_counts(docs.select("text"), stored(wins.select(F.explode("words").alias("term")).distinct())))
     wins = stored(anchored(wins, counts))
     idx = index(docs.select("doc_id", "text"), wins.select(F.col("anchor").alias("term")).distinct(), size, slop)
-    found = stored(search(idx, wins, slop))
+    return idx, stored(search(idx, wins, slop)), items
+
+
+def places(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = SLOP) -> DataFrame:
+    """``(doc_id, item_id, start, n, exact)``: each place of a window of an item in a document, in words from 0; near ones with the place their anchor gives (below 0 if the window begins before the text)."""
+    idx, found, items = _found(docs, benchmark, size, slop)
+    ids = idx.filter("term is null").select("rid", "doc_id")
+    return found.join(items, "w").join(ids, "rid").select("doc_id", "item_id", "start", "n", "exact")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int = SLOP) -> DataFrame:
+    """A row for each document: ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items, near_items``.
+
+    A document word inside an exact match of a window is hit. Null and empty
+    texts have no words; items without words are ignored; a shorter item is one
+    window. Rows with equal ids are documents of their own. ``near_items``
+    (sorted as strings, comma-joined) are met in proximity but not exactly.
+    Empty tables give no hits.
+    """
+    idx, found, items = _found(docs, benchmark, size, slop)
     spans = found.filter("exact").select("rid", "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     before = F.max("end").over(W.partitionBy("rid").orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1))
     hit = spans.select("rid", F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(before, F.lit(0)))).alias("new")).groupBy("rid").agg(F.sum("new").alias("n_hit"))
-    per_item = found.select("rid", "w", "exact").distinct().join(items, "w").groupBy("rid", "item_id").agg(F.max("exact").alias("exact"))
-    ids = per_item.groupBy("rid").agg(F.array_sort(F.collect_list(F.when(F.col("exact"), F.col("item_id").cast("string")))).alias("ids"), F.count_if(~F.col("exact")).alias("near"))
+    per_item = found.select("rid", "w", "exact").distinct().join(items, "w").groupBy("rid", F.col("item_id").cast("string").alias("item")).agg(F.max("exact").alias("exact"))
+    of = lambda kind: F.array_sort(F.collect_list(F.when(kind, F.col("item"))))
+    ids = per_item.groupBy("rid").agg(of(F.col("exact")).alias("ids"), of(~F.col("exact")).alias("near"))
     out = idx.filter("term is null").select("rid", "doc_id", "n_words").join(hit, "rid", "left").join(ids, "rid", "left")
     return out.select(
         "doc_id",
@@ -140,26 +173,34 @@ def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, slop: int =
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("ids", ","), F.lit("")), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
-        F.coalesce("near", F.lit(0)).cast("long").alias("n_near_items"),
+        F.coalesce(F.size("near"), F.lit(0)).cast("long").alias("n_near_items"),
+        F.coalesce(F.array_join("near", ","), F.lit("")).alias("near_items"),
     )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """``docs`` without the documents (by ``doc_id``) that hold a whole benchmark window. Rows without ``doc_id`` stay."""
-    bad = matches(docs, benchmark, size).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """``docs`` without the rows that hold a whole benchmark window. Rows that share a ``doc_id`` but not their text are judged each by itself."""
+    tk = fresh(docs, "tk")
+    keyed = docs.withColumn(tk, F.xxhash64("text"))
+    bad = matches(keyed.select(F.struct("doc_id", F.col(tk).alias("tk")).alias("doc_id"), "text"), benchmark, size).filter("contaminated")
+    bad = stored(bad.select(F.col("doc_id.doc_id").alias("__id"), F.col("doc_id.tk").alias("__tk")).distinct())
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["__id"]) & (keyed[tk] == bad["__tk"]), "left_anti").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-#: Exact matches only: the hidden order of ties between rare terms is not part of the SQL.
 _SQL_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+def _near_sql(term: str, offset: str) -> str:
+    at = f"o + {offset} + 1"
+    return f"list_contains(t[greatest({at} - {SLOP}, 1):greatest({at} + {SLOP}, 0)], {term})"
+
+
 def matches_sql(of: str = "documents") -> str:
-    """CTEs that end in ``matched``: the exact columns of ``matches`` for ``of``, with ``rid``."""
+    """CTEs that end in ``matched``: the columns of ``matches`` for ``of``, with ``rid``."""
     return f"""d AS (SELECT row_number() OVER () AS rid, doc_id, {_SQL_TERMS} AS t FROM {of}),
 b AS (SELECT item_id, {_SQL_TERMS} AS t FROM benchmark),
 bw AS (SELECT item_id, least(len(t), {SIZE}) AS n, array_to_string(t[i:i + least(len(t), {SIZE}) - 1], ' ') AS s
@@ -168,15 +209,21 @@ dw AS (SELECT rid, i, n, array_to_string(t[i:i + n - 1], ' ') AS s
   FROM (SELECT rid, t, n, unnest(range(1, len(t) - n + 2)) AS i FROM d JOIN (SELECT DISTINCT n FROM bw) ns ON len(d.t) >= ns.n)),
 m AS (SELECT rid, i, dw.n, item_id FROM dw JOIN bw ON dw.s = bw.s AND dw.n = bw.n),
 hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM m) GROUP BY rid),
+cnt AS (SELECT term, count(*) AS f FROM (SELECT unnest(t) AS term FROM d) GROUP BY term),
+wt AS (SELECT s, n, words, k, words[k + 1] AS term FROM (SELECT s, n, string_split(s, ' ') AS words, unnest(range(0, n)) AS k FROM (SELECT DISTINCT s, n FROM bw))),
+wr AS (SELECT s, n, words, list({{'f': f, 'term': wt.term, 'k': k}} ORDER BY f, wt.term, k) AS r FROM wt JOIN cnt ON wt.term = cnt.term GROUP BY s, n, words HAVING count(*) >= (4 * n + 4) // 5),
+wa AS (SELECT s, n, words, r[1].term AS anchor, r[1].k AS k0, list_filter(r, lambda x: x.term <> r[1].term)[1] AS b, r FROM wr),
+wb AS (SELECT *, list_filter(r, lambda x: x.term <> anchor AND x.term <> b.term)[1] AS c FROM wa),
+cand AS (SELECT rid, t, pos - k0 AS o, s, n, words, b, c FROM (SELECT rid, t, unnest(range(0, len(t))) AS pos, unnest(t) AS term FROM d) p JOIN wb ON p.term = wb.anchor),
+near AS (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM cand JOIN bw USING (s, n) WHERE ({_near_sql("b.term", "b.k")} OR {_near_sql("c.term", "c.k")})
+  AND len(list_filter(range(0, n), lambda k: {_near_sql("words[k + 1]", "k")})) >= (4 * n + 4) // 5),
 its AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM m) GROUP BY rid),
+nits AS (SELECT rid, count(*) AS n_near_items, string_agg(item_id, ',' ORDER BY item_id) AS near_ids FROM (SELECT * FROM near EXCEPT SELECT rid, item_id::VARCHAR FROM m) GROUP BY rid),
 matched AS (SELECT rid, doc_id, len(t)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid))"""
-
-
-def exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8(spark, sf_dir).drop("n_near_items")
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near_items, 0)::BIGINT AS n_near_items, coalesce(near_ids, '') AS near_items
+  FROM d LEFT JOIN hits USING (rid) LEFT JOIN its USING (rid) LEFT JOIN nits USING (rid))"""
 
 
-SQL = f"WITH {matches_sql()} SELECT doc_id, n_words, n_hit, n_items, items_sha256, contaminated FROM matched"
+SQL = f"WITH {matches_sql()} SELECT * EXCLUDE (rid) FROM matched"
 
-QUERIES = {"op8_decontaminate": (exact, SQL)}
+QUERIES = {"op8_decontaminate": (op8, SQL)}

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threatscan.llm.common import bound_batches, components, stored, table
+from threatscan.llm.common import bound_batches, components, fresh, stored, table
 
 _ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Bits of each byte value, lowest first.
@@ -253,19 +253,19 @@ def _meetings(nodes: DataFrame, least: float, most: int, shingles: int) -> DataF
 
 
 def similar_links(nodes: DataFrame, docs: DataFrame, k: int, least: float, most: int = 4096, shingles: int = SHINGLES) -> DataFrame:
-    """Edges ``(a, b)`` that connect rows of ``nodes (id, n, bands)`` of similarity ``least`` or more that share a band.
+    """Edges ``(a, b)`` that connect rows of ``nodes (id, n, bands, doc_id, tk)`` of similarity ``least`` or more that share a band.
 
-    The texts of ``docs (doc_id, text)`` follow for rows with a possible
+    The texts of ``docs (doc_id, tk, text)`` follow for rows with a possible
     partner; similarity is that of the whole shingle sets.
     """
-    lists = _meetings(nodes, least, most, shingles)
+    lists = _meetings(nodes.select("id", "n", "bands"), least, most, shingles)
 
     @F.pandas_udf("binary")
     def hashes(s: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(x, k).tobytes() for x in s], dtype=object)
 
-    texts = docs.join(lists.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    sets = texts.select(F.col("doc_id").alias("id"), hashes("text").alias("s"))
+    wanted = lists.select("id").distinct().join(nodes.select("id", "doc_id", "tk"), "id")
+    sets = docs.join(wanted, ["doc_id", "tk"]).dropDuplicates(["id"]).select("id", hashes("text").alias("s"))
     groups = lists.join(sets, "id").groupBy("g").agg(F.collect_list(F.struct("id", "s")).alias("m")).select("m.id", "m.s")
 
     def walk(batches):
@@ -283,12 +283,11 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, least: float, most:
     return groups.mapInPandas(walk, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 4096, shingles: int = SHINGLES) -> DataFrame:
-    """``(doc_id, component_id)``: groups of texts connected by similarity ``least`` or more of their ``k``-word shingle sets.
+def _grouped(docs: DataFrame, k: int, least: float, most: int, shingles: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, tk, h)`` of the rows of ``docs (doc_id, text)`` with an id, and ``(h, first)``: the first place ``(doc_id, tk)`` of each shingle set's group.
 
-    Null, empty and blank texts form one group. Rows with equal ``doc_id`` are
-    one node. Rows without ``doc_id`` are left out. An empty table gives an
-    empty result.
+    A place is an id and its text (``tk``, a hash of it), so rows that share an
+    id but not their text are told apart.
     """
     bound_batches(docs.sparkSession)
 
@@ -297,23 +296,40 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int =
         sets = [shingle_set(x, k) for x in texts]
         return pd.DataFrame({"h": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
 
-    docs = docs.filter("doc_id is not null").select("doc_id", "text")
-    each = stored(docs.select("doc_id", sketch("text").alias("s")).select("doc_id", "s.*"))
-    nodes = stored(each.groupBy("h").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    found = components(similar_links(nodes.select("id", "n", "bands"), docs, k, least, most, shingles))
-    named = nodes.join(found, "id", "left").select("h", F.coalesce("component", "id").alias("component_id"))
-    return each.select("doc_id", "h").join(named, "h").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    docs = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tk"), "text")
+    each = stored(docs.select("doc_id", "tk", sketch("text").alias("s")).select("doc_id", "tk", "s.*"))
+    merged = each.groupBy("h").agg(F.min(F.struct("doc_id", "tk")).alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = stored(merged.select(F.monotonically_increasing_id().alias("id"), "h", "n", "bands", "place.*"))
+    found = components(similar_links(nodes, docs, k, least, most, shingles))
+    named = nodes.join(found, "id", "left").select("h", "doc_id", "tk", F.coalesce("component", "id").alias("component"))
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
+    return each.select("doc_id", "tk", "h"), stored(named.join(first, "component").select("h", "first"))
+
+
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 4096, shingles: int = SHINGLES) -> DataFrame:
+    """``(doc_id, component_id)`` of each row: groups of texts connected by similarity ``least`` or more of their ``k``-word shingle sets.
+
+    A group is named by its smallest ``doc_id``. Null, empty and blank texts
+    form one group. Rows without ``doc_id`` are left out. An empty table gives
+    an empty result.
+    """
+    each, named = _grouped(docs.select("doc_id", "text"), k, least, most, shingles)
+    return each.join(named, "h").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each similar group: the one of the smallest ``doc_id``.
+    """``docs`` with one document of each similar group: the one of the smallest ``doc_id``, then of the smallest hash of its text.
 
-    Rows equal in ``doc_id`` and ``text`` become one; rows without ``doc_id``
-    stay. Other columns pass through.
+    Rows equal in ``doc_id`` and ``text`` become one; rows that share an id but
+    not their text are judged each by itself; rows without ``doc_id`` stay.
+    Other columns pass through.
     """
-    rest = stored(similar_groups(docs.select("doc_id", "text"), k, least).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")))
-    left = docs.join(rest, docs["doc_id"] == rest["__gone"], "left_anti")
-    return left.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionAll(left.filter("doc_id is null"))
+    tk = fresh(docs, "tk")
+    keyed = docs.withColumn(tk, F.xxhash64("text"))
+    _, named = _grouped(docs.select("doc_id", "text"), k, least, 4096, SHINGLES)
+    kept = stored(named.select(F.col("first.doc_id").alias("__id"), F.col("first.tk").alias("__tk")).distinct())
+    one = keyed.join(kept, (keyed["doc_id"] == kept["__id"]) & (keyed[tk] == kept["__tk"]), "left_semi").dropDuplicates(["doc_id", tk])
+    return one.unionAll(keyed.filter("doc_id is null")).select(*docs.columns)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
