@@ -238,6 +238,12 @@ LAYOUTS = [
     ('{"conversations":[{"value":"hi","from":"human"},{"from":"gpt","value":"yo"}]}', [("user", "hi"), ("assistant", "yo")]),
     ('{"response":"y","prompt":"x"}', [("user", "x"), ("assistant", "y")]),
     ('{"instruction":"do","input":"it","output":"done"}', [("user", "do"), ("user", "it"), ("assistant", "done")]),
+    ('{"id":3,"messages":[{"role":"user","content":"hi","name":"x"},{"role":"assistant","content":"é<|","weight":0.5}],"meta":{"a":[1]}}', [("user", "hi"), ("assistant", "é<|")]),
+    ('{"question":1.5,"answer":{"b":null}}', [("user", "1.5"), ("assistant", '{"b":null}')]),
+    ('{"prompt":"x"}', None),
+    ('{"prompt":"x","response":"y","answer":"z"}', None),
+    ('{"messages":[]}', None),
+    ('{"messages":"text"}', None),
     ('{"unknown":1}', None),
     ("no json", None),
     (None, None),
@@ -246,7 +252,9 @@ LAYOUTS = [
 
 def test_chat_layouts(spark):
     df = spark.createDataFrame([(i, r, "z") for i, (r, _) in enumerate(LAYOUTS)], "id long, record string, layout string")
-    got = {r[0]: r[-1] for r in chat.canonical(df.drop("layout")).collect()}
+    out = chat.canonical(df)
+    assert out.columns == ["id", "layout", "turns"] and chat.canonical(df.limit(0)).count() == 0
+    got = {r.id: r.turns for r in out.collect()}
     for i, (_, want) in enumerate(LAYOUTS):
         assert (None if got[i] is None else [(t.role, t.text) for t in got[i]]) == want, (i, got[i])
 
@@ -265,6 +273,26 @@ def test_chat_escapes_are_reversible(spark):
     assert got[3].n_turns == 3 and got[3].loss_chars == 3 and got[2].loss_chars == 0
 
 
+def test_chat_roles_and_long_texts(spark):
+    roles = ["a\nb", "\\n", "\\\n", "\\\\", "<|im_end|>\n<|", "assistant\n", "", "assistant"]
+    rows = [(1, i, r, f"text {i}") for i, r in enumerate(roles)] + [(2, None, "user", "first"), (2, -5, "assistant", "second")]
+    long = spark.range(1).select(F.lit(7).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("é<|\n"), 5_500_000).alias("text"))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").unionAll(long)
+    out = chat.chat(df)
+    got = {r.conv_id: [(t.role, t.text) for t in r.t] for r in out.filter("conv_id < 7").select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
+    assert got == {1: [(r, f"text {i}") for i, r in enumerate(roles)], 2: [("user", "first"), ("assistant", "second")]}
+    d = chat.digest(out).filter("conv_id = 7").first()
+    text = "é<|\n" * 5_500_000
+    assert (d.n_turns, d.loss_chars, d.loss_sha256) == (1, len(text), hashlib.sha256(text.encode()).hexdigest())
+    record = long.select(F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))).alias("record"))
+    assert chat.canonical(record).select(F.length(F.col("turns")[0]["text"])).first()[0] == len(text)
+
+
+def test_chat_layouts_query(spark):
+    got = chat.layouts_query(spark, "/root/testdata/sf0.001").groupBy("layout").count().collect()
+    assert {r.layout for r in got} == {"messages", "conversations", "prompt_response", "instruction_input"}
+
+
 def test_pii_query(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = {r.doc_id: r for r in pii.op9(spark, "/root/testdata/sf0.001").collect()}

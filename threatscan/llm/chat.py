@@ -1,83 +1,135 @@
 """Chat formatting through schema fingerprints.
 
-A record is a JSON object in some layout: rows of turns, message lists,
-prompt/response pairs, instructions with input and output. The fingerprint is
-the hash of its nested field paths; a table of declarative mappings says, for
-each fingerprint, where roles and texts lie, and one expression carries all
-mappings out. The template marks turns with control strings and escapes their
-lead-in inside texts, so a formatted text is read back without loss.
+A record comes in some layout: rows of turns, message lists, prompt/response
+pairs, instructions with input and output; as JSON text or as a typed column.
+The fingerprint is the hash of its nested field paths; a table of declarative
+mappings says, for each fingerprint, where roles and texts lie, and one
+expression carries all mappings out. Paths that no mapping declares do not
+count, so identifiers and the like may stand beside the declared fields. The
+template marks turns with control strings and escapes their lead-in inside
+texts, so a formatted text is read back without loss.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
-from threatscan.llm.common import table
+from threatscan.llm.common import let, table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Known layouts: name -> (a sample record, list path or None, [(role or role path, text path), ...]).
-LAYOUTS: dict[str, tuple[str, str | None, list[tuple[str, str]]]] = {
-    "turn_rows": ('{"turns":[{"turn":0,"role":"user","text":"x"}]}', "$.turns", [("$.role", "$.text")]),
-    "messages": ('{"messages":[{"role":"user","content":"x"}]}', "$.messages", [("$.role", "$.content")]),
-    "conversations": ('{"conversations":[{"from":"human","value":"x"}]}', "$.conversations", [("$.from", "$.value")]),
-    "prompt_response": ('{"prompt":"x","response":"y"}', None, [("user", "$.prompt"), ("assistant", "$.response")]),
-    "prompt_completion": ('{"prompt":"x","completion":"y"}', None, [("user", "$.prompt"), ("assistant", "$.completion")]),
-    "instruction": ('{"instruction":"x","output":"y"}', None, [("user", "$.instruction"), ("assistant", "$.output")]),
-    "instruction_input": ('{"instruction":"x","input":"z","output":"y"}', None, [("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output")]),
-    "question_answer": ('{"question":"x","answer":"y"}', None, [("user", "$.question"), ("assistant", "$.answer")]),
+#: Known layouts: name -> (field of the list, or None for the record itself, [(role, or field of the role after a dot, field of the text), ...]).
+LAYOUTS: dict[str, tuple[str | None, list[tuple[str, str]]]] = {
+    "turn_rows": ("turns", [(".role", "text")]),
+    "messages": ("messages", [(".role", "content")]),
+    "conversations": ("conversations", [(".from", "value")]),
+    "prompt_response": (None, [("user", "prompt"), ("assistant", "response")]),
+    "prompt_completion": (None, [("user", "prompt"), ("assistant", "completion")]),
+    "instruction": (None, [("user", "instruction"), ("assistant", "output")]),
+    "instruction_input": (None, [("user", "instruction"), ("user", "input"), ("assistant", "output")]),
+    "question_answer": (None, [("user", "question"), ("assistant", "answer")]),
 }
 #: Role names of other layouts in canonical form.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+#: Longest string of a JSON record.
+_OPTIONS = {"maxStringLen": str((1 << 31) - 1)}
 
 
-def paths(record: Column) -> Column:
-    """The nested field paths of a JSON record, without its types."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    return F.regexp_replace(shape, r": (?!OBJECT|ARRAY)[A-Z]+(\(\d+(,\s*\d+)?\))?", ": _")
+def declared(layout: tuple[str | None, list[tuple[str, str]]]) -> list[str]:
+    """The field paths of a layout, sorted."""
+    at, fields = layout
+    names = {x for role, text in fields for x in ([role[1:]] if role[:1] == "." else []) + [text]}
+    return sorted(f"$.{at}[].{n}" if at else f"$.{n}" for n in names)
 
 
-def fingerprint(record: Column) -> Column:
-    """Hash of the field paths; null for what is no JSON."""
-    return F.sha2(paths(record), 256)
+def _hashed(paths: list[str]) -> str:
+    return hashlib.sha256("\n".join(paths).encode()).hexdigest()
 
 
-def mappings(spark: SparkSession, layouts: dict | None = None) -> DataFrame:
-    """``(fingerprint, layout)`` of the declared layouts: a few rows."""
-    layouts = LAYOUTS if layouts is None else layouts
-    return spark.createDataFrame([(k, v[0]) for k, v in layouts.items()], "layout string, sample string").select("layout", fingerprint(F.col("sample")).alias("fingerprint"))
+def mappings(layouts: dict | None = None) -> dict[str, str]:
+    """fingerprint -> layout of the declared layouts."""
+    return {_hashed(declared(v)): k for k, v in (LAYOUTS if layouts is None else layouts).items()}
+
+
+def _universe(layouts: dict) -> list[str]:
+    return sorted({p for v in layouts.values() for p in declared(v)})
+
 
+def _opened(record: Column) -> Column:
+    """A JSON object's fields, each as text; null for what is none."""
+    return F.from_json(record, "map<string,string>", _OPTIONS)
 
-def _turn(role: Column, text: Column) -> Column:
-    return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
+def _items(fields: Column, at: str) -> Column:
+    """The objects of a list field, opened."""
+    return F.from_json(fields[at], "array<map<string,string>>", _OPTIONS)
 
-def _mapped(record: Column, layout: Column, layouts: dict) -> Column:
-    """Canonical turns of a record under its layout; null under none."""
-    out = None
-    v = F.try_parse_json(record)
-    for name, (_, at, fields) in layouts.items():
-        pick = lambda of, p: F.try_variant_get(of, p, "string") if p.startswith("$") else F.lit(p)
-        if at is None:
-            turns = F.array(*(_turn(pick(v, r), pick(v, t)) for r, t in fields))
+
+def fingerprint(record: Column, layouts: dict | None = None) -> Column:
+    """Hash of the declared field paths that a JSON record has, in any element of a list; null for what is no JSON object."""
+    layouts = LAYOUTS if layouts is None else layouts
+
+    def told(fields):
+        has = {}
+        for at in sorted({v[0] for v in layouts.values() if v[0]}):
+            has[at] = F.array_distinct(F.flatten(F.transform(_items(fields, at), F.map_keys)))
+        tests = []
+        for p in _universe(layouts):
+            at, _, name = p[2:].rpartition("[].")
+            tests.append(F.when(F.coalesce(F.array_contains(has[at], name), F.lit(False)) if at else F.map_contains_key(fields, name), F.lit(p)))
+        return F.when(fields.isNotNull(), F.sha2(F.array_join(F.array_compact(F.array(*tests)), "\n"), 256))
+
+    return let(_opened(record), told)
+
+
+def typed_fingerprint(kind: DataType, layouts: dict | None = None) -> str:
+    """The fingerprint of a typed record, from its schema."""
+    known = set(_universe(LAYOUTS if layouts is None else layouts))
+    paths = []
+    for f in kind if isinstance(kind, StructType) else ():
+        inner = f.dataType
+        if isinstance(inner, ArrayType) and isinstance(inner.elementType, StructType):
+            paths += [f"$.{f.name}[].{g.name}" for g in inner.elementType]
         else:
-            turns = F.flatten(F.transform(F.try_variant_get(v, at, "array<variant>"), lambda x: F.array(*(_turn(pick(x, r), pick(x, t)) for r, t in fields))))  # noqa: B023
-        is_it = layout == name
-        out = F.when(is_it, turns) if out is None else out.when(is_it, turns)
+            paths.append(f"$.{f.name}")
+    return _hashed(sorted(known & set(paths)))
+
+
+def _turns(fields: Column, items, layout: tuple[str | None, list[tuple[str, str]]]) -> Column:
+    """Canonical turns under one layout; ``items(fields, at)`` gives the elements of a list field."""
     known = F.create_map(*(F.lit(x) for kv in ROLE_NAMES.items() for x in kv))
-    return F.transform(out, lambda t: F.struct(F.coalesce(known[t["role"]], t["role"]).alias("role"), t["text"].alias("text")))
+    at, pairs = layout
+
+    def one(x):
+        role = lambda r: F.coalesce(x[r[1:]].cast("string"), F.lit("")) if r[:1] == "." else F.lit(r)
+        return F.array(*(F.struct(F.coalesce(known[role(r)], role(r)).alias("role"), F.coalesce(x[t].cast("string"), F.lit("")).alias("text")) for r, t in pairs))
+
+    return F.flatten(F.transform(items(fields, at), one)) if at else one(fields)
 
 
 def canonical(records: DataFrame, record: str = "record", layouts: dict | None = None) -> DataFrame:
-    """``records`` with ``layout`` and ``turns`` (array of role and text) in place of the JSON column.
+    """``records`` with ``layout`` and ``turns`` (array of role and text) in place of the record column, JSON text or a struct.
 
-    Null, broken or unknown records have null layout and turns. Null roles and
-    texts are empty. Repeated records stay. Only the declared fields are read.
+    Null, broken or unknown records have null layout and turns, a list of no
+    elements too. Null roles and texts are empty. Repeated records stay. Only
+    the declared fields are read, and only the record's first JSON object.
+    Columns named ``layout`` or ``turns`` give way to the new ones. An empty
+    table gives an empty result. Texts may be as long as a string can be.
     """
     layouts = LAYOUTS if layouts is None else layouts
-    known = mappings(records.sparkSession, layouts).withColumnsRenamed({"layout": "__layout", "fingerprint": "__print"})
-    met = records.join(F.broadcast(known), fingerprint(F.col(record)) == F.col("__print"), "left")  # one row for each declared layout
-    return met.select(*(c for c in records.columns if c != record), F.col("__layout").alias("layout"), _mapped(F.col(record), F.col("__layout"), layouts).alias("turns"))
+    known, c, kind = mappings(layouts), F.col(record), records.schema[record].dataType
+    if isinstance(kind, StructType):
+        name = known.get(typed_fingerprint(kind, layouts))
+        layout = F.when(c.isNotNull(), F.lit(name))
+        turns = F.when(c.isNotNull(), _turns(c, lambda x, at: x[at], layouts[name])) if name else F.lit(None).cast("array<struct<role:string,text:string>>")
+    else:
+        layout = F.create_map(*(F.lit(x) for kv in known.items() for x in kv))[fingerprint(c, layouts)]
+        turns = let(_opened(c), lambda fields: F.coalesce(*(F.when(F.col("layout") == name, _turns(fields, _items, v)) for name, v in layouts.items())))
+    rest = [x for x in records.columns if x not in (record, "layout", "turns")]
+    return records.withColumn("layout", layout).select(*rest, c, "layout").select(*rest, "layout", turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -90,9 +142,19 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, F.lit(r"<(\\*)\\\|"), F.lit(r"<$1|"))
 
 
+def _role_line(role: Column) -> Column:
+    """A role on one line: backslashes doubled, line feeds as ``\\n``."""
+    return F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+
+
+def _role_of(line: Column) -> Column:
+    """The inverse of ``_role_line``."""
+    return F.array_join(F.transform(F.split(line, r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
+
+
 def formatted(turns: Column) -> Column:
     """Canonical turns in the template."""
-    one = lambda t: F.concat(F.lit(START), escape(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END + "\n"))
+    one = lambda t: F.concat(F.lit(START), escape(_role_line(t["role"])), F.lit("\n"), escape(t["text"]), F.lit(END + "\n"))
     return F.array_join(F.transform(turns, one), "")
 
 
@@ -107,7 +169,7 @@ def read_back(text: Column) -> Column:
 
     def turn(p):
         role = F.substring_index(p, "\n", 1)
-        return F.struct(unescape(role).alias("role"), unescape(F.substr(p, F.length(role) + 2)).alias("text"))
+        return F.struct(_role_of(unescape(role)).alias("role"), unescape(F.substr(p, F.length(role) + 2)).alias("text"))
 
     return F.transform(_parts(text), turn)
 
@@ -119,19 +181,21 @@ def loss_spans(text: Column) -> Column:
 
 
 def _rows_as_records(rows: DataFrame) -> DataFrame:
-    """``(conv_id, record)``: the turn rows of each conversation as one record of the ``turn_rows`` layout, ordered by turn, role and text."""
-    each = F.struct(F.coalesce("turn", F.lit(-1)).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(each)).alias("turns"))).alias("record"))
+    """``(conv_id, record)``: the turn rows of each conversation as one typed record of the ``turn_rows`` layout, ordered by turn, role and text."""
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    each = F.struct(F.col("turn").isNotNull().alias("numbered"), "turn", text("role"), text("text"))
+    return rows.groupBy("conv_id").agg(F.struct(F.array_sort(F.collect_list(each)).alias("turns")).alias("record"))
 
 
 def chat(rows: DataFrame) -> DataFrame:
     """``(conv_id, formatted)`` for conversations given as turn rows ``(conv_id, turn, role, text)``.
 
     Turns are ordered by turn number; ties by role, then text. Null numbers come
-    first. A conversation without id is one of its own. Line feeds in a role
-    become spaces. An empty table gives an empty result.
+    first. Rows without a conversation id are one conversation. Null roles and
+    texts are empty. Line feeds in a role are escaped. Other columns are not
+    read. An empty table gives an empty result.
     """
-    turns = canonical(_rows_as_records(rows.withColumn("role", F.translate("role", "\n", " ")).select("conv_id", "turn", "role", "text")))
+    turns = canonical(_rows_as_records(rows.select("conv_id", "turn", "role", "text")))
     return turns.select("conv_id", formatted(F.col("turns")).alias("formatted"))
 
 
@@ -160,11 +224,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(chat(rows.unionByName(probe)))
 
 
-SQL = rf"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+_CONVERSATIONS = "SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations"
+_ESCAPED = r"regexp_replace({}, '<(\\*)\|', '<\1\\|', 'g')"
+_ROLE_LINE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+SQL = rf"""WITH c AS ({_CONVERSATIONS}
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'),
-g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-  coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
-  sum(length('{START}' || role || chr(10) || '{END}' || chr(10)) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) AS formatted_chars FROM c GROUP BY conv_id)
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
+  sum(length('{START}' || chr(10) || '{END}' || chr(10)) + length({_ESCAPED.format(_ROLE_LINE)}) + length({_ESCAPED.format("text")})) AS formatted_chars FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars::BIGINT AS formatted_chars FROM g"""
 
-QUERIES = {"op10_chat": (op10, SQL)}
+
+def layouts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as JSON in four layouts by their number, with fields beside them that no mapping declares, read back as canonical turns."""
+    rows = _rows_as_records(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    t = F.col("record.turns")
+    messages = F.to_json(F.struct(F.col("conv_id").alias("id"), F.transform(t, lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"), F.lit(1.5).alias("weight"))).alias("messages")))
+    named = lambda r: F.when(r == "assistant", "gpt").when(r == "user", "human").otherwise(r)
+    shares = F.to_json(F.struct(F.transform(t, lambda x: F.struct(named(x["role"]).alias("from"), x["text"].alias("value"))).alias("conversations"), F.lit("x").alias("source")))
+    first, last = t[0]["text"], F.element_at(t, -1)["text"]
+    pair = F.to_json(F.struct(first.alias("prompt"), last.alias("response"), F.array(F.lit(1)).alias("tags")))
+    told = F.to_json(F.struct(first.alias("instruction"), last.alias("input"), first.alias("output")))
+    k = F.pmod("conv_id", F.lit(4))
+    records = rows.select("conv_id", F.when(k == 0, messages).when(k == 1, shares).when(k == 2, pair).otherwise(told).alias("record"))
+    plain = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    return canonical(records).select("conv_id", "layout", F.size("turns").cast("long").alias("n_turns"), F.sha2(plain, 256).alias("turns_sha256"))
+
+
+_LAYOUTS_SQL = f"""WITH g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+  first(text ORDER BY turn NULLS FIRST, role, text) AS a, last(text ORDER BY turn NULLS FIRST, role, text) AS b FROM ({_CONVERSATIONS}) GROUP BY conv_id),
+t AS (SELECT conv_id, conv_id % 4 AS k, n, turns, a, b FROM g)
+SELECT conv_id, CASE k WHEN 0 THEN 'messages' WHEN 1 THEN 'conversations' WHEN 2 THEN 'prompt_response' ELSE 'instruction_input' END AS layout, CASE WHEN k < 2 THEN n WHEN k = 2 THEN 2 ELSE 3 END AS n_turns,
+  sha256(CASE WHEN k < 2 THEN turns WHEN k = 2 THEN concat('user', chr(10), a, chr(10), 'assistant', chr(10), b, chr(10)) ELSE concat('user', chr(10), a, chr(10), 'user', chr(10), b, chr(10), 'assistant', chr(10), a, chr(10)) END) AS turns_sha256 FROM t"""
+
+QUERIES = {"op10_chat": (op10, SQL), "chat_layouts": (layouts_query, _LAYOUTS_SQL)}
