@@ -40,15 +40,40 @@ def test_repeated_words_match_brute_force(spark):
 
 
 def test_sketches_merge(spark):
-    df = spark.range(2000).select((F.col("id") % 97 * 13).alias("symbols"), *(F.lit(0).alias(m) for m in ("dup_lines", "repeats", "word_length")), F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"), F.lit(False).alias("base_failed"))
+    df = spark.range(2000).select((F.col("id") % 97 * 13).alias("symbols"), *(F.lit(0).alias(m) for m in ("dup_lines", "repeats", "word_length", *quality.SIZES)), F.lit("en").alias("lang"), F.concat(F.lit("s"), (F.col("id") % 7).cast("string")).alias("source"), F.lit(False).alias("base_failed"))
     whole = quality.quantiles(quality.sketch(df.withColumn("source", F.lit("one"))), ["lang"]).collect()
     parts = quality.quantiles(quality.sketch(df), ["lang"]).collect()
     assert sorted(whole) == sorted(parts)
-    p50 = next(r.p50 for r in whole if r.measure == "symbols")
+    p50 = next(r.mid for r in whole if r.measure == "symbols")
     exact = float(np.median([i % 97 * 13 for i in range(2000)]))
     assert abs(p50 - exact) <= exact / 16 + 1
 
 
+def test_fences_follow_their_groups(spark):
+    rng = np.random.default_rng(4)
+    word = lambda k: "".join(rng.choice(list("abcdefghij"), k))
+    rows = []
+    for n in range(600):
+        source, size, low, high, marks = (("plain", 200, 3, 8, 0), ("code", 60, 2, 14, int(rng.integers(10, 30))))[n % 2]
+        rows.append((n, " ".join([word(int(rng.integers(low, high))) for _ in range(size)] + [f"#{word(3)}" for _ in range(marks)]), "en", source))
+    rows += [(1000, " ".join([*(word(5) for _ in range(150)), *(f"#{word(3)}" for _ in range(30))]), "en", "plain"), (1001, " ".join([*(word(6) for _ in range(60)), *(f"#{word(3)}" for _ in range(15))]), "en", "code")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    measured = quality.stored(quality.measures(df))
+    fences = {r.source: r for r in quality.thresholds(quality.sketch(measured)).collect()}
+    assert fences["code"].high_symbols > 5 * fences["plain"].high_symbols > 0 and fences["code"].high_word_length != fences["plain"].high_word_length
+    got = {r.doc_id: r.kept for r in quality.quality(df).collect()}
+    assert not got[1000] and got[1001]  # the same share of symbols fails in one source and not in the other
+    assert sum(not k for i, k in got.items() if i < 1000) <= 6
+
+
+def test_real_fences_come_from_the_sketches(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "text")
+    sketch = quality.stored(quality.sketch(quality.stored(quality.measures(docs).drop("text"))))
+    fences = quality.thresholds(sketch).collect()
+    for m in quality.MEASURES:
+        assert len({r[f"high_{m}"] for r in fences}) > 1, m
+
+
 def test_decontaminate_odd_rows(spark):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), (2, "Only three words"), (3, None), (4, "..."), (22, "only THREE words")], "item_id long, text string")
     docs = spark.createDataFrame(

@@ -5,8 +5,10 @@ each language, source and measure: counts of log-linear buckets (1/16 relative
 width), which merge by addition, so a hot source is pre-aggregated in every
 task and small groups fall back to their language's merged sketch, then to the
 corpus's. A document stays if each measure lies within a fence around its
-group's median; the fence is ``reach`` times the distance from the median to
-the upper quartile, which is taken to be ``least_spread`` at least.
+group's median: ``reach`` times the distance from the median to the upper (or
+lower) tail quantile. Where most documents have none of a kind of event, that
+distance is nothing; then what a single event makes in the group's median
+document, from the sketches of sizes, takes its place. No fence is a fixed number.
 """
 
 from __future__ import annotations
@@ -17,9 +19,16 @@ from pyspark.sql import Window as W
 
 from threatscan.llm.common import WORD, let, stored, table
 
-#: measure -> (spread taken at least, whether low values fail too). Shares in thousandths, word length in hundredths.
-MEASURES = {"symbols": (60, False), "dup_lines": (120, False), "repeats": (60, False), "word_length": (150, True)}
-REACH = 4
+#: measure -> (the size it is a share of, the thousandths of it that a single event makes), or None where it is as fine as the sketch is (1/16).
+#: One repeated window of five words marks ten words. Shares in thousandths, word length in hundredths.
+MEASURES = {"symbols": ("n_words", 1000), "dup_lines": ("n_lines", 1000), "repeats": ("n_words", 10_000), "word_length": None}
+#: Measures whose low values fail too.
+BOTH = {"word_length"}
+#: Sizes that are sketched beside the measures.
+SIZES = ("n_words", "n_lines")
+#: The upper tail quantile in hundredths, and its distances that a fence reaches. Up to 15 % of bad documents, or a
+#: third of all documents in one group of copies, do not move the quantile to themselves.
+TAIL, REACH = 85, 5
 #: Groups with fewer documents use the merged sketch above them.
 LEAST_DOCS = 50
 _WINDOW = 5
@@ -87,33 +96,35 @@ def bucket(v: str) -> Column:
 
 def sketch(measured: DataFrame) -> DataFrame:
     """One row ``(lang, source, measure, bucket, n)`` for each bucket in use; sketches merge by adding ``n``."""
-    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES)))
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in (*MEASURES, *SIZES))))
     return measured.filter("not base_failed").select("lang", "source", each.alias("e")).select("lang", "source", "e.*").groupBy("lang", "source", "measure", bucket("v").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def quantiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """``n``, ``p50`` and ``p75`` of each measure after merging sketches by ``keys``."""
+def quantiles(sketches: DataFrame, keys: list[str], tail: int = TAIL) -> DataFrame:
+    """``n`` and the ``low``, ``mid`` and ``high`` quantiles of each measure after merging sketches by ``keys``."""
     merged = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = W.partitionBy(*keys, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
     at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), F.col("bucket")))
-    return ranked.groupBy(*keys, "measure").agg(F.max("all").alias("n"), at(50).alias("p50"), at(75).alias("p75"))
+    return ranked.groupBy(*keys, "measure").agg(F.max("all").alias("n"), at(100 - tail).alias("low"), at(50).alias("mid"), at(tail).alias("high"))
 
 
-def thresholds(sketches: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS) -> DataFrame:
+def thresholds(sketches: DataFrame, reach: int = REACH, least_docs: int = LEAST_DOCS, tail: int = TAIL) -> DataFrame:
     """``(lang, source, low_<measure>, high_<measure>)`` for each group of the corpus."""
-    own = quantiles(sketches, ["lang", "source"])
-    lang = quantiles(sketches, ["lang"]).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_m"), *(F.col(c).alias(f"l_{c}") for c in ("n", "p50", "p75")))
-    corpus = quantiles(sketches, []).select(F.col("measure").alias("c_m"), *(F.col(c).alias(f"c_{c}") for c in ("p50", "p75")))
+    qs = ("low", "mid", "high")
+    own = quantiles(sketches, ["lang", "source"], tail)
+    lang = quantiles(sketches, ["lang"], tail).select(F.col("lang").alias("l_lang"), F.col("measure").alias("l_m"), *(F.col(c).alias(f"l_{c}") for c in ("n", *qs)))
+    corpus = quantiles(sketches, [], tail).select(F.col("measure").alias("c_m"), *(F.col(c).alias(f"c_{c}") for c in qs))
     met = own.join(lang, F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("measure") == F.col("l_m"))).join(corpus, F.col("measure") == F.col("c_m"))
     pick = lambda q: F.when(F.col("n") >= least_docs, F.col(q)).when(F.col("l_n") >= least_docs, F.col(f"l_{q}")).otherwise(F.col(f"c_{q}"))
-    met = met.select("lang", "source", "measure", pick("p50").alias("mid"), (pick("p75") - pick("p50")).alias("spread"))
+    met = met.select("lang", "source", "measure", *(pick(q).alias(q) for q in qs))
+    wide = met.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col(q))).alias(f"{m}_{q}") for m in (*MEASURES, *SIZES) for q in qs))
     fences = []
-    for m, (least, _) in MEASURES.items():
-        width = reach * F.greatest("spread", F.lit(least))
-        is_m = F.col("measure") == m
-        fences += [F.max(F.when(is_m, F.col("mid") + width)).alias(f"high_{m}"), F.max(F.when(is_m, F.col("mid") - width)).alias(f"low_{m}")]
-    return met.groupBy("lang", "source").agg(*fences)
+    for m, event in MEASURES.items():
+        mid = F.col(f"{m}_mid")
+        one = F.floor(mid / 16) + 1 if event is None else F.floor(F.lit(event[1]) / F.greatest(f"{event[0]}_mid", F.lit(1))) + 1
+        fences += [(mid + reach * F.greatest(F.col(f"{m}_high") - mid, one)).cast("long").alias(f"high_{m}"), (mid - reach * F.greatest(mid - F.col(f"{m}_low"), one)).cast("long").alias(f"low_{m}")]
+    return wide.select("lang", "source", *fences)
 
 
 def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
@@ -121,9 +132,9 @@ def judged(measured: DataFrame, fences: DataFrame) -> DataFrame:
     f = fences.withColumnsRenamed({"lang": "__lang", "source": "__source"})
     met = measured.join(f, measured["lang"].eqNullSafe(f["__lang"]) & measured["source"].eqNullSafe(f["__source"]), "left")
     ok = ~F.col("base_failed")
-    for m, (_, both) in MEASURES.items():
+    for m in MEASURES:
         ok = ok & (F.coalesce(F.col(m) <= F.col(f"high_{m}"), F.lit(True)))
-        if both:
+        if m in BOTH:
             ok = ok & (F.coalesce(F.col(m) >= F.col(f"low_{m}"), F.lit(True)))
     return met.select(*measured.columns, ok.alias("kept"))
 
@@ -157,16 +168,19 @@ def _bucket_sql(v: str) -> str:
 
 def quality_sql(of: str = "documents") -> str:
     """CTEs that end in ``judged``: the rows of ``of`` with counts and ``kept``."""
-    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_bucket_sql(m)} AS bucket FROM measured WHERE NOT base_failed" for m in MEASURES)
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {_bucket_sql(m)} AS bucket FROM measured WHERE NOT base_failed" for m in (*MEASURES, *SIZES))
 
     def quant(name: str, keys: str) -> str:
         k = f"{keys}, " if keys else ""
+        at = lambda q: f"min(CASE WHEN 100 * upto >= {q} * total THEN bucket END)"
         return f"""{name}_r AS (SELECT {k}measure, bucket, sum(sum(n)) OVER (PARTITION BY {k}measure ORDER BY bucket) AS upto, sum(sum(n)) OVER (PARTITION BY {k}measure) AS total FROM sketch GROUP BY {k}measure, bucket),
-{name} AS (SELECT {k}measure, max(total) AS n, min(CASE WHEN 100 * upto >= 50 * total THEN bucket END) AS p50, min(CASE WHEN 100 * upto >= 75 * total THEN bucket END) AS p75 FROM {name}_r GROUP BY {k}measure)"""
+{name} AS (SELECT {k}measure, max(total) AS n, {at(100 - TAIL)} AS low, {at(50)} AS mid, {at(TAIL)} AS high FROM {name}_r GROUP BY {k}measure)"""
 
-    pick = lambda q: f"CASE WHEN o.n >= {LEAST_DOCS} THEN o.{q} WHEN l.n >= {LEAST_DOCS} THEN l.{q} ELSE c.{q} END"
-    fences = ", ".join(f"max(CASE WHEN measure = '{m}' THEN mid + {REACH} * greatest(spread, {s}) END) AS high_{m}, max(CASE WHEN measure = '{m}' THEN mid - {REACH} * greatest(spread, {s}) END) AS low_{m}" for m, (s, _) in MEASURES.items())
-    ok = " AND ".join([f"coalesce({m} <= high_{m}, true)" for m in MEASURES] + [f"coalesce({m} >= low_{m}, true)" for m, (_, both) in MEASURES.items() if both])
+    pick = lambda q: f"CASE WHEN o.n >= {LEAST_DOCS} THEN o.{q} WHEN l.n >= {LEAST_DOCS} THEN l.{q} ELSE c.{q} END AS {q}"
+    wide = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {q} END) AS {m}_{q}" for m in (*MEASURES, *SIZES) for q in ("low", "mid", "high"))
+    one = {m: f"({m}_mid // 16 + 1)" if e is None else f"({e[1]} // greatest({e[0]}_mid, 1) + 1)" for m, e in MEASURES.items()}
+    fences = ", ".join(f"{m}_mid + {REACH} * greatest({m}_high - {m}_mid, {one[m]}) AS high_{m}, {m}_mid - {REACH} * greatest({m}_mid - {m}_low, {one[m]}) AS low_{m}" for m in MEASURES)
+    ok = " AND ".join([f"coalesce({m} <= high_{m}, true)" for m in MEASURES] + [f"coalesce({m} >= low_{m}, true)" for m in BOTH])
     return rf"""src AS (SELECT row_number() OVER () AS rid, d.* FROM {of} d),
 ws AS (SELECT rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM src),
 win AS (SELECT rid, i, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM ws WHERE len(w) >= 5)),
@@ -183,9 +197,10 @@ sketch AS (SELECT lang, source, measure, bucket, count(*) AS n FROM ({each}) GRO
 {quant("own", "lang, source")},
 {quant("bylang", "lang")},
 {quant("corpus", "")},
-picked AS (SELECT o.lang, o.source, o.measure, {pick("p50")} AS mid, {pick("p75")} - ({pick("p50")}) AS spread
+picked AS (SELECT o.lang, o.source, o.measure, {pick("low")}, {pick("mid")}, {pick("high")}
   FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure JOIN corpus c ON o.measure = c.measure),
-fences AS (SELECT lang, source, {fences} FROM picked GROUP BY lang, source),
+wide AS (SELECT lang, source, {wide} FROM picked GROUP BY lang, source),
+fences AS (SELECT lang, source, {fences} FROM wide),
 judged AS (SELECT m.*, NOT base_failed AND {ok} AS kept FROM measured m LEFT JOIN fences f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source)"""
 
 
