@@ -197,3 +197,27 @@ def test_differencing_decides_without_an_article(spark):
     assert "copied one" in got[90] and "copied one" in got[91]  # copies say nothing about each other
     assert got[100] == "" and got[101] == ""
     assert H.extracted(df.limit(0)).count() == 0
+
+
+def test_neighbours_meet_across_ranges(spark):
+    rng = random.Random(7)
+    rows = [(i, f"h{i % 3}", f"/{rng.randrange(40):03}", [rng.randrange(8) for _ in range(rng.randint(0, 9))]) for i in range(120)]
+    df = spark.createDataFrame(rows, "rid long, host string, path string, hashes array<long>")
+    want: dict = {}
+    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    for a, b in zip(order, order[1:]):
+        if a[1] == b[1]:
+            for rid, s in zip((a[0], b[0]), H.shared(np.array(a[3]), np.array(b[3]))):
+                want.setdefault(rid, set()).update(s)
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for parts in ("1", "7", "200"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            got: dict = {}
+            for r in H.neighbours_share(df).collect():
+                got.setdefault(r.rid, set()).update(r.shared)
+            assert got == {k: v for k, v in want.items() if v}, parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.enabled", was[1])
