@@ -129,6 +129,46 @@ def test_langid_held_out_accuracy(spark):
     assert got[0] >= 0.98 and 0 <= got[1] <= got[2] <= 1
 
 
+def test_langid_matches_brute_force(spark):
+    import math
+    import re
+    from collections import Counter
+
+    docs = [(r.doc_id, r.text, r.lang, r.h) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang", langid.held_out().alias("h")).collect()]
+    split = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: list(w) if n == 1 else [f" {w} "[i : i + n] for i in range(len(w) + 3 - n)]
+    counts: dict = {}
+    for _, t, lang, h in docs:
+        if not h and lang is not None and t is not None:
+            for w in split(t):
+                for kind, fs in [("w", [w]), *((n, grams(w, n)) for n in (5, 4, 3, 2, 1))]:
+                    counts.setdefault((lang, kind), Counter()).update(fs)
+    langs = sorted({lang for lang, _ in counts})
+    all_of = {k: set().union(*(counts[lang, k] for lang in langs)) for k in ("w", 5, 4, 3, 2, 1)}
+    totals = {key: sum(c.values()) for key, c in counts.items()}
+    log = lambda lang, k, f: math.log((counts[lang, k][f] + 0.5) / (totals[lang, k] + 0.5 * len(all_of[k])))
+
+    def word(w):
+        if w in all_of["w"]:
+            return [log(lang, "w", w) for lang in langs]
+        for step, n in enumerate((5, 4, 3, 2, 1), 1):
+            found = [g for g in grams(w, n) if g in all_of[n]]
+            if found:
+                return [0.7**step * sum(log(lang, n, g) for g in found) / len(found) for lang in langs]
+        return [0.0] * len(langs)
+
+    model = langid.fit(spark.createDataFrame([(t, lang) for _, t, lang, h in docs if not h], "text string, lang string"), kept=10**7)
+    got = {r.doc_id: r for r in langid.predicted(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), model).collect()}
+    for i, t, _, _ in docs:
+        ws = split(t)
+        total = [sum(x) for x in zip(*map(word, ws))]
+        if not ws:
+            assert got[i].lang_pred == "und"
+            continue
+        p = [math.exp(x - max(total)) for x in total]
+        assert got[i].lang_pred == langs[p.index(max(p))] and abs(got[i].score - max(p) / sum(p)) < 1e-3
+
+
 def test_langid_odd_rows(spark):
     train = spark.createDataFrame([("the cat and the dog", "en")] * 5 + [("le chat et le chien", "fr")] * 5 + [(None, "en"), ("x", None)], "text string, lang string")
     model = langid.fit(train)

@@ -27,8 +27,6 @@ from threatscan.llm.common import bound_batches, fresh, stored, table
 SAMPLE = 20_000
 #: Words, and n-grams of each order, kept for each language.
 KEPT = 20_000
-#: Languages with fewer labelled documents are not learned, as they cannot be told from noise.
-LEAST_DOCS = 3
 ORDERS = (5, 4, 3, 2, 1)
 #: Each order further down counts less.
 DISCOUNT = 0.7
@@ -57,12 +55,15 @@ def features(word: str):
 def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     """The model of ``labelled (text, lang)``: languages, and for each feature its log frequency in each.
 
-    Null texts and languages are left out. Ties among features at the cut go by
-    their names. Without any labelled text the model knows no language.
+    Every language with a word is learned. What a language lacks has half a
+    count; the halves of all features of a kind are part of each total, so a
+    language with few texts is no likelier for that. Null texts and languages
+    are left out. Ties among features at the cut go by their names. Without any
+    labelled text the model knows no language.
     """
     bound_batches(labelled.sparkSession)
     known = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = known.groupBy("lang").count().filter(F.col("count") >= LEAST_DOCS)
+    sizes = known.groupBy("lang").count()
     share = known.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("text"), F.ceil(F.col("count") / sample)) == 0)  # one row for each language
 
     def count(batches):
@@ -87,6 +88,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     counted = stored(words.mapInPandas(expand, "lang string, f string, n long").groupBy("lang", "f").agg(F.sum("n").alias("n")))
     kind = F.substring("f", 1, 1)
     totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", kind.alias("kind")).agg(F.sum("n")).collect()}  # six rows for each language
+    different = {r[0]: r[1] for r in counted.select("f").distinct().groupBy(kind.alias("kind")).count().collect()}  # six rows
     rank = F.row_number().over(W.partitionBy("lang", kind).orderBy(F.desc("n"), "f"))
     langs = sorted({lang for lang, _ in totals})
     top = counted.withColumn("rank", rank).filter(F.col("rank") <= kept).select("lang", "f", "n").toPandas()  # at most 6 * kept rows for each language
@@ -95,9 +97,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     logp = np.empty((len(index), len(langs)), dtype=np.float32)
     for j, lang in enumerate(langs):
         for k in set(kinds):
-            logp[kinds == k, j] = math.log(0.5 / (totals.get((lang, k), 0) + 1))
+            logp[kinds == k, j] = math.log(0.5 / (totals.get((lang, k), 0) + 0.5 * different[k]))
     for lang, f, n in zip(top["lang"], top["f"], top["n"], strict=True):
-        logp[index[f], langs.index(lang)] = math.log(n / totals[lang, f[0]])
+        logp[index[f], langs.index(lang)] = math.log((n + 0.5) / (totals[lang, f[0]] + 0.5 * different[f[0]]))
     return {"langs": langs, "index": index, "logp": logp}
 
 
