@@ -275,7 +275,7 @@ PII = 'mail hein.19@mail5.example.com, +1 (743) 555-3824 and 4785380592391139 or
 def test_pii_round_trip_and_links(spark):
     texts = [PII, None, "", "none", "4465758382889437 4465758382889437 1999-02-30 300.1.1.1 4111111111111112 000-12-3456", PII[::-1], "2099-12-31 1900-01-01 665-01-0001 667-99-9999 899-01-0001 0.0.0.0 255.255.255.255"]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, found string")
-    out = pii.pseudonymized(df)
+    out = pii.pseudonymized(df, "k")
     got = {r.doc_id: r for r in out.collect()}
     assert got[0].found == ["email", "phone", "card", "card", "ip", "date", "ssn", "secret"]
     for secret in ("hein.19", "555-3824", "4785380592391139", "152.143.123.131", "1987-02-28", "078-05-1120", "24be64439e"):
@@ -283,19 +283,19 @@ def test_pii_round_trip_and_links(spark):
     a, b = [w for w in got[4].text.split()[:2]]
     assert a == b != "4465758382889437" and got[4].text.endswith("1999-02-30 300.1.1.1 4111111111111112 000-12-3456")
     assert sum((int(d) * 2 - 9 * (int(d) > 4)) if i % 2 else int(d) for i, d in enumerate(reversed(a))) % 10 == 0
-    again = pii.pseudonymized(out.drop("found"))
+    again = pii.pseudonymized(out.drop("found"), "k")
     assert again.orderBy("doc_id").collect()[0].found == got[0].found  # pseudonyms are valid values
-    back = pii.pseudonymized(out.drop("found"), back=True).orderBy("doc_id").collect()
+    back = pii.pseudonymized(out.drop("found"), "k", back=True).orderBy("doc_id").collect()
     assert [r.text for r in back] == texts
     assert pii.pseudonymized(df, key="other").first().text != got[0].text
-    assert pii.pseudonymized(df.limit(0)).count() == 0
+    assert pii.pseudonymized(df.limit(0), "k").count() == 0
 
 
 def test_pii_is_a_permutation(spark):
     df = spark.range(0, 256).select(F.concat(F.lit("10.0.0."), F.col("id").cast("string")).alias("t"))
-    assert df.select(pii.pseudonym("ip", F.col("t")).alias("p")).distinct().count() == 256
+    assert df.select(pii.pseudonym("ip", F.col("t"), "k").alias("p")).distinct().count() == 256
     days = spark.range(0, 73049, 37).select(F.date_format(F.date_add(F.lit("1900-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("t"))
-    assert days.select(pii.pseudonym("date", F.col("t")).alias("p")).filter(pii.valid("date", F.col("p")) & (F.col("p") < "2100")).distinct().count() == days.count()
+    assert days.select(pii.pseudonym("date", F.col("t"), "k").alias("p")).filter(pii.valid("date", F.col("p")) & (F.col("p") < "2100")).distinct().count() == days.count()
 
 
 LAYOUTS = [
@@ -367,6 +367,52 @@ def test_pii_query(spark):
         assert (got[r.doc_id].text == r.text) == (got[r.doc_id].n_found == 0)
 
 
+def test_pii_finds_what_brute_force_finds(spark):
+    import calendar
+    import re
+
+    def luhn(d):
+        return sum((int(c) * 2 - 9 * (int(c) > 4)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    def kind(m):
+        name = next(k for k, p in pii.KINDS.items() if re.fullmatch(p, m))
+        digits = re.sub("[^0-9]", "", m)
+        if name == "date":
+            y, mo, d = map(int, m.split("-"))
+            ok = 1 <= mo <= 12 and 1 <= d <= calendar.monthrange(y, mo)[1]
+        else:
+            ok = {"ip": lambda: all(str(int(x)) == x and int(x) < 256 for x in m.split(".")), "ssn": lambda: m[:3] not in ("000", "666") and m[0] != "9" and m[4:6] != "00" and m[7:] != "0000", "card": lambda: 13 <= len(digits) <= 19 and set(digits) != {"0"} and luhn(digits), "phone": lambda: 10 <= len(digits) <= 15, "secret": lambda: re.search("[0-9]", m) and re.search("[A-Fa-f]", m)}.get(name, lambda: True)()
+        return name if ok else None
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    docs |= {-1: PII, -2: "1.2.3.04 1.2.3.4 2023-13-01 2024-02-29 2023-02-29 666-12-3456 123-45-6789 a@b.co 0000000000000000"}
+    df = spark.createDataFrame([(i, t) for i, t in docs.items()], "doc_id long, text string")
+    given: dict = {}
+    for r in pii.pseudonymized(df, "k").collect():
+        text, found = docs[r.doc_id] or "", []
+        was, now = list(re.finditer(pii._ANY, text)), list(re.finditer(pii._ANY, r.text or ""))
+        assert len(was) == len(now) and re.split(pii._ANY, text) == re.split(pii._ANY, r.text or "")  # nothing between values changes
+        for a, b in zip(was, now):
+            k = kind(a.group())
+            found += [k] if k else []
+            assert k or a.group() == b.group()
+            assert given.setdefault((k, a.group()), b.group()) == b.group()  # equal values stay linked across documents
+        assert r.found == found
+    assert len({(k, v) for (k, _), v in given.items()}) == len(given) and len(given) > 50
+
+
+def test_stored_tables_can_be_dropped(spark):
+    import os
+
+    t = quality.stored(spark.range(5))
+    at = t.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(at)
+    from threatscan.llm.common import drop_stored
+
+    drop_stored(spark)
+    assert not os.path.exists(at)
+
+
 def test_every_training_text_moves_the_weights(spark):
     texts = spark.createDataFrame([(f"alpha beta gamma {i} delta",) for i in range(200)], "text string")
     texts = texts.filter(F.pmod(F.xxhash64("text"), F.lit(8)) != 0).coalesce(1)

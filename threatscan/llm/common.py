@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,22 +18,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster shares (``spark.checkpoint.dir``); a private one where it is unset."""
+    """The folder the cluster shares (``spark.checkpoint.dir``). Where it is unset, a temporary one if all runs in one process; on a cluster that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="threatscan-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/threatscan-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: lineage ends here, on files every executor sees."""
+    """``df`` written as a table in the shared folder and read back: lineage ends here, on files every executor sees. ``drop_stored`` deletes them."""
     spark = df.sparkSession
-    at = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
+    at = f"{_own_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Delete the tables that this application has stored. Results that still read them must have been written before."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession, size: str = "16m") -> None:
     """Bound Arrow batches by bytes as well as rows, so long texts cannot fill a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

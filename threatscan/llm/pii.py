@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from threatscan.llm.common import fresh, let, table
 
-#: Production sets its own secret.
-KEY = "change-me"
+#: The registered query's key. The operator has none of its own: who calls it brings a secret one.
+QUERY_KEY = "op9 over the given tables"
 ROUNDS = 8
 #: kind -> pattern of a candidate. Fixed order: the first that fits names the kind.
 KINDS = {
@@ -111,7 +111,7 @@ def valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def pseudonym(kind: str, m: Column, key: str = KEY, back: bool = False) -> Column:
+def pseudonym(kind: str, m: Column, key: str, back: bool = False) -> Column:
     """The pseudonym of a valid value, itself a valid value of the same format."""
     key = f"{key}|{kind}"
     if kind == "email":
@@ -146,14 +146,17 @@ def _kind(m: Column) -> Column:
     return out
 
 
-def pseudonymized(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFrame:
+def pseudonymized(docs: DataFrame, key: str, back: bool = False) -> DataFrame:
     """``docs`` with personal values of ``text`` replaced, plus ``found``: the kinds replaced, in order.
 
     Null text stays null with no kinds, empty text empty. Rows are independent,
     so repeated rows and ids get equal results. Values that fail their check
     stay as they are. Other columns pass through; ``found`` gives way to the
-    new one. With ``back`` and the same key the originals return.
+    new one. With ``back`` and the same key the originals return. E-mail
+    domains and country codes stay readable, as parts of the format.
     """
+    if not key:
+        raise ValueError("a secret key is needed")
     text = F.col("text")
     some = text.rlike("[@0-9]")
     matches = F.transform(F.regexp_extract_all(text, F.lit(_ANY), F.lit(0)), lambda m: F.struct(m.alias("m"), _kind(m).alias("k")))
@@ -173,7 +176,7 @@ def pseudonymized(docs: DataFrame, key: str = KEY, back: bool = False) -> DataFr
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = pseudonymized(table(spark, sf_dir, "documents").select("doc_id", "text"), QUERY_KEY)
     count = lambda kind: F.size(F.filter("found", lambda x: x == kind)).cast("long")
     return out.select("doc_id", *(count(k).alias(f"n_{k}") for k in KINDS), F.size("found").cast("long").alias("n_found"), "text")
 
