@@ -179,3 +179,86 @@ def test_history(spark, tmp_path):
     assert sorted(r.verdict for r in h.collect()) == ["Phishing", "Phishing", "Safe"]
     S.write_results(h, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).filter("verdict = 'Safe'").count() == 1
+
+
+def test_slide_macros(spark):
+    words = {"a": "a shell", "b": "shell x.exe", "c": "open the door", "d": "HKEY_x https://e", "e": "createobject(", "f": "plain"}
+    got = D.macro_findings(spark.createDataFrame(list(words.items()), "id string, code string"), "pptx")
+    of = {k: set(kinds(got, k)) - {"vba_macro_detected", "suspicious_vba_api"} for k in words}
+    assert of == {"a": set(), "b": {"shell_command"}, "c": {"file_system_access"}, "d": {"registry_access", "network_call_in_vba"}, "e": {"process_creation"}, "f": set()}
+    streams = spark.createDataFrame([("x", "plain", 2)], "id string, code string, suspicious int")
+    assert kinds(D.macro_findings(streams, "docx"), "x") == ["hidden_macro_stream"] * 2 + ["malicious_macro"]
+
+
+def test_missing_slides_and_applications(spark):
+    files = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    parts = spark.createDataFrame([("a", 0, "ppt/presentation.xml", b"x", None), ("a", 1, "docProps/app.xml", b"<Application>Unknown Office</Application>", None), ("b", 0, "ppt/slides/slide1.xml", b"x", None), ("c", -1, None, None, "bad container")], "id string, entry_ord int, entry_name string, data binary, error string")
+    got = D.missing_parts(files, parts, "pptx")
+    assert (kinds(got, "a"), kinds(got, "b"), kinds(got, "c")) == (["malformed_zip"], [], ["file_type_mismatch"])
+    meta = D.metadata_findings(files, parts, "pptx")
+    assert "suspicious_metadata" in kinds(meta, "a") and "suspicious_metadata" not in kinds(meta, "b")
+    links = parts.withColumn("entry_name", F.lit("xl/externalLinks/externalLink1.xml"))
+    assert kinds(D.external_links(links), "a") == ["external_data_connection"]
+
+
+def test_chain_phases(spark):
+    bag = [("x", 0, "webservice_formula"), ("x", 1, "dde_attack"), ("y", 0, "vba_macro_detected"), ("y", 1, "network_call_in_vba")]
+    df = spark.createDataFrame(bag, "id string, ord int, finding string")
+    assert kinds(N.chains(df, "xlsx"), "x") == ["multistage_indicator"] * 2
+    compat = N.chains(df, "xlsx", phase="compat")
+    assert kinds(compat, "x") == ["multistage_indicator"] and compat.first().phase == "compat"
+    assert kinds(N.chains(df, "docx"), "y") == []
+
+
+def test_anchors_and_templates(spark):
+    links = spark.createDataFrame([("a", " HTTP://Good.example ", "http://good.example"), ("b", "http://good.example", "http://evil.example"), ("c", "www.good.example", "http://evil.example"), ("d", "click", "http://x"), ("e", None, "http://x")], "id string, visible_text string, url string")
+    assert sorted(r.id for r in K.anchor_finding_rows(links, "xlsx").collect()) == ["b"]
+    assert sorted(r.id for r in K.anchor_finding_rows(links, "pdf").collect()) == ["b", "c"]
+    known = spark.createDataFrame([(0,), (-1,)], "h long")
+    images = spark.createDataFrame([("near", (1 << 9) - 1), ("far", (1 << 10) - 1), ("minus", -2), ("none", 0x0F0F0F0F0F0F0F0F)], "id string, h long")
+    few = sorted(r.id for r in D.template_findings(images, known).collect())
+    was, D.FEW_TEMPLATES = D.FEW_TEMPLATES, 1
+    try:
+        assert sorted(r.id for r in D.template_findings(images, known).collect()) == few == ["minus", "near"]
+    finally:
+        D.FEW_TEMPLATES = was
+    failed = spark.createDataFrame([("i", "/x/a.png", "\x89PNG", 10, 400, 400, None, None, None, 0.1, 50.0, 0.0, "no text")], "id string, path string, head string, size long, width int, height int, ocr_text string, ocr_conf array<int>, qr array<string>, white_share double, sigma double, clear_share double, ocr_error string")
+    assert "ocr_failed" in kinds(D.image_findings(failed), "i")
+
+
+def test_hash_pairs_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    hs = [rng.getrandbits(64) for _ in range(40)]
+    for h in hs[:30]:
+        x = h
+        for b in rng.sample(range(64), rng.randint(0, 12)):
+            x ^= 1 << b
+        hs.append(x)
+    df = spark.createDataFrame([(i, h - (1 << 64) if h >> 63 else h) for i, h in enumerate(hs)], "id long, h long")
+    first = {h: hs.index(h) for h in hs}
+    ids = sorted(set(first.values()))
+    want = sorted((a, b, bin(hs[a] ^ hs[b]).count("1")) for a in ids for b in ids if a < b and bin(hs[a] ^ hs[b]).count("1") <= 9)
+    assert sorted(map(tuple, D.hash_pairs(df).collect())) == want
+    assert {r.id: r.representative for r in D.hash_members(df).collect()} == {i: first[h] for i, h in enumerate(hs)}
+
+
+def test_lexicon_tables_beyond_the_row(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Verify your ACCOUNT now, verify your account"), (2, "act now"), (3, "v"), (4, None), (5, "")], "id long, text string")
+    lexicon = spark.createDataFrame([("t", "verify your account"), ("u", "act now"), ("u", "now"), ("w", "")], "category string, term string")
+    few = sorted(map(tuple, N.phrase_hits(docs, lexicon).collect()))
+    urls = spark.createDataFrame([("http://www.w3.org/x",), ("http://e.xyz",), (None,)], "url string")
+    safe = spark.createDataFrame([("w3.org",), ("purl.org",)], "domain string")
+    left = sorted(str(r.url) for r in K.without_safe(urls, safe).collect())
+    monkeypatch.setattr(N, "FEW_TERMS", 1)
+    monkeypatch.setattr(K, "FEW_DOMAINS", 1)
+    assert sorted(map(tuple, N.phrase_hits(docs, lexicon).collect())) == few == [(1, "t", "verify your account", 2), (1, "u", "now", 1), (2, "u", "act now", 1), (2, "u", "now", 1)]
+    assert sorted(str(r.url) for r in K.without_safe(urls, safe).collect()) == left == ["None", "http://e.xyz"]
+
+
+def test_high_chunks_are_the_high_entropies(spark):
+    texts = ["plain words " * 400, "".join(chr(33 + i % 94) for i in range(1000)), "".join(chr(0x4E00 + i) for i in range(5200)), "", None, "ab"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(D.high_chunks(F.col("t"), 6.5).alias("n"), F.size(F.filter(D.chunk_entropies(F.col("t")), lambda e: e > 6.5)).alias("want"))
+    for r in df.collect():
+        assert r.n == max(r.want, 0)

@@ -89,3 +89,23 @@ def test_cooldown_gathers_no_key(spark):
     assert sorted((r.key or "", r.ts) for r in got.collect()) == want
     assert "collect_list" not in got._jdf.queryExecution().toString()
     assert "collect_list" not in feeds._next_times(df, 60_000_000)._jdf.queryExecution().toString()
+
+
+def test_attempts_stream_counts_and_expires(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    a = [("a", at(s), False) for s in (0, 10, 20)] + [("b", at(5), True)]
+    b = [("a", at(30), True), ("a", at(40), False), ("a", at(50), False)]
+    c = [("a", at(700), False), ("b", at(5000), False)]
+    d = [("a", at(9000), False), ("b", at(9001), False)]  # by now the watermark has passed both counts
+    got = drain(feeds.attempts_stream(stream(spark, tmp_path, [a, b, c, d], "key string, ts timestamp, ok boolean")), tmp_path, "attempts").collect()
+    seen = {(r.key, int(r.ts.timestamp() - T0.replace(tzinfo=None).timestamp())): (r.failures, r.locked) for r in got}
+    assert {s: v for (k, s), v in seen.items() if k == "a"} == {0: (1, False), 10: (2, False), 20: (3, False), 30: (3, False), 40: (4, False), 50: (5, True), 700: (1, False), 9000: (1, False)}
+    assert {s: v for (k, s), v in seen.items() if k == "b"} == {5: (0, False), 5000: (1, False), 9001: (1, False)}
+
+
+def test_running_failures_over_spans(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice("ab"), i, at(rng.randrange(0, 40_000)), rng.random() < 0.5) for i in range(400)]
+    got = {r.seq: r.failures for r in feeds.attempt_lock(spark.createDataFrame(rows, "key string, seq long, ts timestamp, ok boolean")).collect()}
+    for key, seq, ts, _ in rows:
+        assert got[seq] == sum(k == key and (t, s) <= (ts, seq) and not ok for k, s, t, ok in rows)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add, or_
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +24,13 @@ def count_of(text: Column, part: str) -> Column:
 
 
 def contains_any(text: Column, parts) -> Column:
-    return F.exists(array_of(parts), lambda p: F.contains(text, p))
+    """Whether ``text`` contains one of the constants; give a column, not an expression that is dear to repeat."""
+    return reduce(or_, (F.contains(text, F.lit(p)) for p in parts), F.lit(False))
+
+
+def n_contained(text: Column, parts) -> Column:
+    """How many of the constants ``text`` contains."""
+    return reduce(add, (F.contains(text, F.lit(p)).cast("int") for p in parts), F.lit(0))
 
 
 def contained(text: Column, parts) -> Column:

@@ -6,6 +6,8 @@ read as Latin-1 text once; parts of containers are rows of their own.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,14 @@ def chunk_entropies(text: Column, size: int = 100, upto: int = 5000) -> Column:
     return F.transform(starts, lambda s: F.transform(F.array(F.substr(text, s, F.least(F.lit(size), n - s + 1))), lambda c: F.when(F.length(c) < 20, 0.0).otherwise(F.round(X.entropy(c), 2)))[0])
 
 
+def high_chunks(text: Column, above: float, size: int = 100, upto: int = 5000) -> Column:
+    """How many of ``chunk_entropies`` are over ``above``. So many bits take more different characters than most texts have at all, so entropies are computed for few."""
+    least = 2**above
+    start = F.substr(text, F.lit(1), F.lit(upto))
+    varied = F.size(F.array_distinct(F.split(start, ""))) > least
+    return F.when(varied, F.size(F.filter(chunk_entropies(start, size, upto), lambda e: e > above))).otherwise(0)
+
+
 def suspicious_hex(h: Column) -> Column:
     """A hex run that decodes to script-like ASCII text and not to UTF-16 prose."""
     b = F.decode(F.unhex(F.substr(h, F.lit(1), F.least(F.lit(4000), F.length(h) - F.length(h) % 2))), "ISO-8859-1")
@@ -58,7 +68,8 @@ def suspicious_hex(h: Column) -> Column:
 
 def pdf_findings(files: DataFrame, raw: str = "raw") -> DataFrame:
     """Findings of raw PDF texts ``(id, raw)``."""
-    t, low = F.col(raw), F.lower(raw)
+    files = files.select("id", F.col(raw).alias("raw"), F.lower(raw).alias("low"))
+    t, low = F.col("raw"), F.col("low")
     active = _any(t, R.ACTIVE)
     objects = F.regexp_count(t, F.lit(r"\d+ \d+ obj"))
     opened = F.lit(False)
@@ -70,8 +81,8 @@ def pdf_findings(files: DataFrame, raw: str = "raw") -> DataFrame:
         (_has(t, "/JavaScript"), "javascript_detected"), (_has(t, "/JS"), "javascript_detected"), (opened, "openaction_detected"), (_has(t, "/Launch"), "launch_action_detected"),
         (_has(t, "/EmbeddedFile"), "embedded_file_detected"), (_has(t, "/AcroForm"), "acroform_detected"), (_has(t, "/XFA"), "xfa_form_detected"), (_has(t, "/ObjStm") & active, "high_object_count"),
         ((objects > 1200) | ((objects > 600) & active), "high_object_count"), (_has(t, "/Encrypt"), "encrypted_object"), (_has(t, "MZ\x90\x00") | _has(t, "MZ\x00\x00"), "embedded_executable"),
-        (F.size(X.contained(low, R.SHELL_WORDS)), "powershell_detected"), (F.size(X.contained(low, R.DROPPER_WORDS)), "dropper_pattern"), (base64_like(t, 101), "base64_payload"),
-        (F.exists(hexes, suspicious_hex), "hex_payload"), (F.size(F.filter(chunk_entropies(t), lambda e: e > 6.5)) >= 3, "high_entropy_string"),
+        (X.n_contained(low, R.SHELL_WORDS), "powershell_detected"), (X.n_contained(low, R.DROPPER_WORDS), "dropper_pattern"), (base64_like(t, 101), "base64_payload"),
+        (F.exists(hexes, suspicious_hex), "hex_payload"), (high_chunks(t, 6.5) >= 3, "high_entropy_string"),
         (sum((low.rlike(p).cast("int") for p in R.NETWORK_PATTERNS), F.lit(0)), "external_network_call"),
         (F.when(scripted, sum((low.rlike(p).cast("int") for p in R.SPLIT_PATTERNS), F.lit(0))).otherwise(0), "split_string_concat"),
     ]
@@ -88,25 +99,35 @@ def pdf_page_findings(pages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def macro_findings(code: DataFrame, profile: str) -> DataFrame:
-    """Findings of macro source ``(id, code)``, one row for each file."""
-    low = F.lower("code")
+    """Findings of macro source ``(id, code)``, one row for each file.
+
+    A column ``suspicious`` (int), if there is one, counts the streams that an
+    upstream macro analysis calls suspicious: each is a ``hidden_macro_stream``
+    of a text document.
+    """
+    hidden = [(F.col("suspicious"), "hidden_macro_stream")] if profile == "docx" and "suspicious" in code.columns else []
+    code = code.withColumn("__low", F.lower("code"))
+    low = F.col("__low")
     first = "vba_macro_detected" if profile == "pptx" else "malicious_macro"
-    rules: list = [(F.lit(True), first), (F.size(X.contained(low, R.AUTO_OPEN[profile])), "ppt_autoopen" if profile == "pptx" else "autoopen_macro")]
+    rules: list = [(F.lit(True), first), *hidden, (X.n_contained(low, R.AUTO_OPEN[profile]), "ppt_autoopen" if profile == "pptx" else "autoopen_macro")]
     for category, finding in R.MACRO_FINDINGS.items():
         words = [w for c, w in R.MACRO_WORDS[profile] if c == category]
         if words:
-            rules.append((F.size(X.contained(low, words)), finding))
+            rules.append((X.n_contained(low, words), finding))
     if profile == "pptx":
-        once = lambda ws, f: (_any(low, ws), f)
-        rules += [once(["powershell"], "powershell_in_vba"), once(["xmlhttp", "winhttprequest", "urldownloadtofile"], "network_call_in_vba"), once(["filesystemobject", "openastext", "writeline", "saveas"], "file_system_access"), once(["regwrite", "regread"], "registry_access"), once(["shell", "winexec", "shellexecute", "cmd.exe"], "shell_command")]
+        rules += [(_any(low, words), finding) for finding, words in R.PPT_MACRO_ONCE.items()]
+        rules.append((_has(low, "shell") & (_has(low, "cmd") | _has(low, "exe")), "shell_command"))
         lines = F.exists(F.split("code", "\n"), lambda x: F.when(F.length(x) > 50, X.entropy(x) > 5.5).otherwise(F.lit(False)))
-        rules += [(base64_like(F.col("code"), 40), "base64_payload"), (F.regexp_count(low, F.lit(r"chr\(\d+\)")) > 5, "char_concat_obfuscation"), (F.lit(False) if not R.STRING_SPLITS else low.rlike("|".join(R.STRING_SPLITS)), "string_split_obfuscation"), (lines, "high_entropy_string")]
+        rules += [
+            (base64_like(F.col("code"), 40), "base64_payload"), (F.regexp_count(low, F.lit(r"chr\(\d+\)")) > 5, "char_concat_obfuscation"),
+            (low.rlike("|".join(R.STRING_SPLITS)), "string_split_obfuscation"), (lines, "high_entropy_string"),
+        ]
     else:
         start = F.substr(low, F.lit(1), F.lit(1000))
         signatures = R.SIGNATURES_DOCX if profile == "docx" else R.SIGNATURES
         rules += [
             (base64_like(low, 50), "encoded_macro_payload"), (low.rlike("[0-9a-f]{40,}"), "encoded_macro_payload"), (sum((low.rlike(p).cast("int") for p in R.CONCAT_PATTERNS), F.lit(0)), "string_obfuscation"),
-            ((F.length(start) >= 20) & (F.round(X.entropy(start), 2) > 5.5), "high_entropy_string"), (F.size(X.contained(low, signatures)), "known_macro_signature"),
+            ((F.length(start) >= 20) & (F.round(X.entropy(start), 2) > 5.5), "high_entropy_string"), (X.n_contained(low, signatures), "known_macro_signature"),
         ]
     return as_rows(code, rules, start=200)
 
@@ -122,23 +143,36 @@ def file_findings(files: DataFrame, profile: str) -> DataFrame:
 
 
 def missing_parts(files: DataFrame, parts: DataFrame, profile: str) -> DataFrame:
-    """Files ``(id)`` without their main part or with an unreadable container."""
+    """Files ``(id)`` without their main part (slides, for a deck) or with an unreadable container."""
+    none = lambda df, f: df.select("id", F.lit(310).alias("ord"), F.lit(f).alias("finding"))
+    bad_zip = parts.filter("error is not null").select("id").distinct()
+    if profile == "pptx":
+        whole = parts.filter("entry_ord < 0 and error is not null").select("id").distinct()
+        slides = parts.filter(F.col("entry_name").contains("ppt/slides/slide")).select("id")
+        empty = files.select("id").join(slides.unionAll(whole), "id", "left_anti")
+        return none(empty, "malformed_zip").unionByName(none(whole, "file_type_mismatch")).unionByName(none(bad_zip.join(whole, "id", "left_anti"), "malformed_zip"))
     main = parts.filter(F.col("entry_name") == R.MAIN_PART[profile])
     broken = files.select("id").join(main.select("id"), "id", "left_anti")
-    bad_zip = parts.filter("error is not null").select("id").distinct()
-    none = lambda df, f: df.select("id", F.lit(310).alias("ord"), F.lit(f).alias("finding"))
     return none(broken, "corrupted_structure").unionByName(none(bad_zip, "malformed_zip"))
 
 
+def external_links(parts: DataFrame) -> DataFrame:
+    """One finding for each workbook that has links to other workbooks."""
+    return parts.filter(F.col("entry_name").contains("xl/externalLinks")).select("id").distinct().select("id", F.lit(690).alias("ord"), F.lit("external_data_connection").alias("finding"))
+
+
 def metadata_findings(files: DataFrame, parts: DataFrame, profile: str) -> DataFrame:
     """Findings of ``docProps/core.xml``: author, times and revision."""
     core = parts.filter("entry_name = 'docProps/core.xml'").select("id", utf8("data").alias("x"))
     tag = lambda n: F.trim(F.regexp_extract("x", rf"<{n}[^>]*>([^<]*)</{n}>", 1))
     met = files.select("id").join(core, "id", "left").withColumns({"author": F.coalesce(tag("dc:creator"), F.lit("")), "made": F.try_to_timestamp(tag("dcterms:created")), "changed": F.try_to_timestamp(tag("dcterms:modified")), "revision": F.coalesce(tag("cp:revision"), F.lit(""))})
+    if profile == "pptx":
+        app = parts.filter("entry_name = 'docProps/app.xml'").select("id", F.lower(F.regexp_extract(utf8("data"), r"(?s)<Application>(.*?)</Application>", 1)).alias("app"))
+        met = met.join(app, "id", "left")
     same = F.abs(F.unix_timestamp("made") - F.unix_timestamp("changed"))
     generic = F.lower("author").isin(R.GENERIC_AUTHORS[profile])
     if profile == "pptx":
-        rules = [(F.col("author") == "", "wiped_metadata"), (generic, "suspicious_author"), (F.col("revision") == "1", "low_revision_count"), (same == 0, "metadata_mismatch")]
+        rules = [(F.col("author") == "", "wiped_metadata"), (generic, "suspicious_author"), (F.col("revision") == "1", "low_revision_count"), (same == 0, "metadata_mismatch"), (_any(F.col("app"), R.ODD_APPLICATIONS), "suspicious_metadata")]
     else:
         rules = [(F.col("author") == "", "wiped_metadata"), (generic, "suspicious_metadata"), (same < 2, "suspicious_metadata"), (F.col("revision") == "1", "suspicious_metadata")]
     return as_rows(met, rules, start=320)
@@ -215,11 +249,13 @@ def image_findings(images: DataFrame) -> DataFrame:
 
     ``images (id, path, head, size, width, height, ocr_text, ocr_conf, qr,
     white_share, sigma, clear_share)``: ``head`` are the first bytes as Latin-1
-    text; the last three come from ``image_statistics``.
+    text; the last three come from ``image_statistics``. A column ``ocr_error``,
+    if there is one, says why no text could be read.
     """
     c = F.col
-    t = F.coalesce("ocr_text", F.lit(""))
-    low, name = F.lower(t), F.lower("path")
+    failed = c("ocr_error").isNotNull() if "ocr_error" in images.columns else F.lit(False)
+    images = images.withColumn("__text", F.coalesce("ocr_text", F.lit(""))).withColumn("__low", F.lower("__text"))
+    t, low, name = c("__text"), c("__low"), F.lower("path")
     fits = F.when(name.endswith(".png"), c("head").startswith("\x89PNG")).when(name.rlike(r"\.jpe?g$"), c("head").startswith("\xff\xd8\xff")).when(name.endswith(".gif"), c("head").startswith("GIF")).when(name.endswith(".bmp"), c("head").startswith("BM")).otherwise(F.lit(True))
     words, pixels = X.word_count(t), c("width") * c("height")
     brands, h = X.contained(low, R.IMAGE_BRANDS), X.entropy(c("head"))
@@ -238,13 +274,13 @@ def image_findings(images: DataFrame) -> DataFrame:
     imitates = F.filter(secure, lambda d: _any(d, R.IMAGE_BRANDS) & X.first_ending(d, R.TLDS["image"]).isNotNull())
     rules = [
         (~fits, "file_type_mismatch"), ((c("width") < 100) | (c("height") < 100), "suspicious_exif"), ((c("width") < 300) & (c("height") < 300), "blurred_image"), (F.trim(t) == "", "low_text_density"),
-        ((pixels > 100_000) & (words < 10), "single_image_content"), (F.size(brands), "ocr_phishing_text"), ((F.size(brands) > 0) | (F.size(X.contained(low, R.LOGIN_WORDS)) >= 2), "fake_login_page"), (F.size(qr) > 0, "qr_code_detected"),
+        ((pixels > 100_000) & (words < 10), "single_image_content"), (F.size(brands), "ocr_phishing_text"), ((F.size(brands) > 0) | (X.n_contained(low, R.LOGIN_WORDS) >= 2), "fake_login_page"), (F.size(qr) > 0, "qr_code_detected"),
         (F.size(F.filter(qr, lambda u: web(u) & bad(u))), "qr_malicious_url"), (F.size(F.filter(qr, odd)), "qr_suspicious_url"), (h > 7.95, "steganography_indicator"), ((h > 7.9) & (h <= 7.95), "high_entropy_image"),
         (F.try_divide(c("size"), pixels * 3) > 2, "suspicious_file_size"), (F.size(X.contained(low, R.HINDI)) > 0, "hindi_phishing_detected"), (t.rlike("[\\u0900-\\u097F]") & t.rlike("[A-Za-z]"), "mixed_script_detected"),
         (F.size(X.contained(t, list(R.HOMOGLYPHS))) + F.aggregate(domains, F.lit(0), lambda s, d: s + F.size(X.contained(d, R.SPOOFS))), "homograph_domain"), (n_domains(lambda d: d.rlike("[a-z]0[a-z]")) + n_domains(lambda d: d.rlike("[a-z]1[a-z]")), "char_substitution"),
         (n_domains(lambda d: F.contains(d, F.lit("rn"))) + n_domains(lambda d: F.contains(d, F.lit("vv"))), "lookalike_domain"), (c("white_share") > 0.95, "hidden_text_overlay"), (c("sigma") < 15, "low_contrast_text"), (c("clear_share") > 0.3, "transparent_layer"),
         (t.rlike("[\u2022*]{4,}"), "password_field_detected"), (_any(low, R.BUTTONS), "fake_submit_button"), (F.size(X.contained(low, R.FIELDS)) >= 2, "fake_login_form_detected"), (F.size(X.contained(low, R.BROWSER_SIGNS)), "fake_browser_ui"),
-        (F.size(F.filter(secure, lambda d: bad(F.concat(F.lit("https://"), d)))) + F.size(imitates), "fake_address_bar"), (_any(low, R.PADLOCKS), "fake_padlock_detected"), (graded & (mean < 30), "blur_evasion_detected"), (graded & (mean >= 30) & (mean < 50), "low_ocr_confidence"),
+        (F.size(F.filter(secure, lambda d: bad(F.concat(F.lit("https://"), d)))) + F.size(imitates), "fake_address_bar"), (_any(low, R.PADLOCKS), "fake_padlock_detected"), (graded & (mean < 30), "blur_evasion_detected"), (graded & (mean >= 30) & (mean < 50), "low_ocr_confidence"), (failed, "ocr_failed"),
     ]
     return as_rows(images, rules, start=800)
 
@@ -263,16 +299,61 @@ def image_statistics(images: DataFrame) -> DataFrame:
     return images.withColumn("s", stats("image.data", "image.nChannels")).select("id", "s.*", "image.height", "image.width")
 
 
-def hash_pairs(hashed: DataFrame, most: int = 9, bands: int = 10) -> DataFrame:
-    """``(a, b, distance)`` of 64-bit hashes ``(id, h)`` at ``most`` or fewer differing bits.
+def _block_keys(h: Column, blocks: int, agree: int) -> Column:
+    """Each choice of ``agree`` of the ``blocks`` bit blocks of a 64-bit hash: its number and the bits."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    keys = []
+    for n, chosen in enumerate(combinations(range(blocks), agree)):
+        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen)
+        keys.append(F.struct(F.lit(n).alias("choice"), h.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
+    return F.array(*keys)
+
+
+def _first_choice(x: Column, blocks: int, agree: int) -> Column:
+    """The number of the first choice whose blocks are all zero in ``x``."""
+    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
+    numbers = {chosen: n for n, chosen in enumerate(combinations(range(blocks), agree))}
+    zero = F.filter(F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("m"), F.lit(cuts[i]).alias("a")) for i in range(blocks))), lambda b: F.when(F.call_function("shiftrightunsigned", x, b["a"]).bitwiseAND(b["m"]) == 0, b["i"])), lambda i: i.isNotNull())
+    known = F.create_map(*(F.lit(v) for k, n in numbers.items() for v in (",".join(map(str, k)), n)))
+    return known[F.array_join(F.slice(zero, 1, agree).cast("array<string>"), ",")]
 
-    Ten bands of bits: at nine or fewer differing bits one band is equal, so
-    pairs are met by an equi-join on (band, value) and then verified. Equal
-    hashes are merged before, so copies do not multiply.
+
+def hash_pairs(hashed: DataFrame, most: int = 9, blocks: int = 12) -> DataFrame:
+    """``(a, b, distance)`` of 64-bit hashes ``(id, h)`` at ``most`` or fewer differing bits, between representatives.
+
+    Equal hashes are merged before (``hash_members``), so copies do not
+    multiply. Of ``blocks`` bit blocks such a pair agrees in ``blocks - most``
+    at least, so each hash is filed under every choice of so many (16 bits of
+    key by default) and pairs meet by an equi-join; a pair is kept at its first
+    common choice only.
     """
+    agree = blocks - most
     reps = hashed.groupBy("h").agg(F.min("id").alias("id"))
-    cuts = [round(64 * i / bands) for i in range(bands + 1)]
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("h", a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("v")) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))))
-    k = reps.select("id", "h", F.explode(keys).alias("k")).select("id", "h", "k.*")
-    a, b = k.select(F.col("id").alias("a"), F.col("h").alias("ha"), "band", "v"), k.select(F.col("id").alias("b"), F.col("h").alias("hb"), "band", "v")
-    return a.join(b, ["band", "v"]).filter("a < b").select("a", "b", X.hamming(F.col("ha"), F.col("hb")).alias("distance")).filter(F.col("distance") <= most).distinct()
+    k = reps.select("id", "h", F.explode(_block_keys(F.col("h"), blocks, agree)).alias("k")).select("id", "h", "k.*")
+    a, b = k.select(F.col("id").alias("a"), F.col("h").alias("ha"), "choice", "bits"), k.select(F.col("id").alias("b"), F.col("h").alias("hb"), "choice", "bits")
+    near = a.join(b, ["choice", "bits"]).filter("a < b").withColumn("distance", X.hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= most)
+    return near.filter(_first_choice(F.col("ha").bitwiseXOR(F.col("hb")), blocks, agree) == F.col("choice")).select("a", "b", "distance")
+
+
+def hash_members(hashed: DataFrame) -> DataFrame:
+    """``(id, representative)``: the smallest id with the same hash."""
+    return hashed.join(hashed.groupBy("h").agg(F.min("id").alias("representative")), "h").select("id", "representative")
+
+
+#: So many known templates at most are compared in the row; more are met by blocks.
+FEW_TEMPLATES = 2000
+
+
+def template_findings(hashed: DataFrame, templates: DataFrame, most: int = 9, blocks: int = 12) -> DataFrame:
+    """``known_phishing_template`` for each image ``(id, h)`` at ``most`` or fewer bits from a hash of the user's table ``templates (h)``."""
+    known = templates.select("h").distinct()
+    few = [r[0] for r in known.limit(FEW_TEMPLATES + 1).collect()]
+    if len(few) <= FEW_TEMPLATES:
+        near = F.exists(F.array(*(F.lit(x) for x in few)).cast("array<bigint>"), lambda t: X.hamming(t, F.col("h")) <= most) if few else F.lit(False)
+        found = hashed.filter(near).select("id")
+    else:
+        agree = blocks - most
+        keyed = lambda df: df.select("*", F.explode(_block_keys(F.col("h"), blocks, agree)).alias("k")).select(*df.columns, "k.*")
+        other = keyed(known).select(F.col("h").alias("ht"), "choice", "bits")
+        found = keyed(hashed.select("id", "h")).join(other, ["choice", "bits"]).filter(X.hamming(F.col("h"), F.col("ht")) <= most).select("id").distinct()
+    return found.select("id", F.lit(900).alias("ord"), F.lit("known_phishing_template").alias("finding"))

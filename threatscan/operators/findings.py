@@ -9,6 +9,8 @@ from threatscan.functions import text as X
 from threatscan.rules import documents as R
 
 SCHEMA = "finding string, weight int"
+#: So many rows of a lexicon table at most are searched inside the row.
+FEW_TERMS = 2000
 
 
 def weight_table(spark: SparkSession, more: dict | None = None) -> DataFrame:
@@ -64,16 +66,23 @@ def detailed(weighed_: DataFrame, key: str = "id") -> DataFrame:
     return weighed_.groupBy(key).agg(F.array_sort(F.collect_list(one)).alias("findings"))
 
 
-def chains(findings: DataFrame, profile: str, key: str = "id") -> DataFrame:
-    """Findings that others of the same document imply, as ``(key, ord, finding)``; rules in rule order."""
-    has = findings.groupBy(key).agg(F.collect_set("finding").alias("has"))  # at most one entry for each kind of finding
+def chains(findings: DataFrame, profile: str, key: str = "id", phase: str = "full") -> DataFrame:
+    """Findings that others of the same document imply, as ``(key, ord, finding, phase)``; rules in rule order.
+
+    The phase ``full`` looks at all findings; ``compat`` leaves out those that
+    are made after the chains in the order of the profile's techniques.
+    """
+    if phase not in ("full", "compat"):
+        raise ValueError(phase)
+    seen = findings if phase == "full" else findings.filter(~F.col("finding").isin(R.AFTER_CHAINS.get(profile, [])))
+    has = seen.groupBy(key).agg(F.collect_set("finding").alias("has"))  # at most one entry for each kind of finding
     rules = []
     for i, (test, implied) in enumerate(R.CHAINS[profile]):
         ok = F.lit(True)
         for group in test.split(" & "):
             ok = ok & F.arrays_overlap("has", X.array_of(group.split("|")))
         rules.append(F.when(ok, F.struct(F.lit(100_000 + i).alias("ord"), F.lit(implied).alias("finding"))))
-    return has.select(key, F.explode(F.array_compact(F.array(*rules))).alias("r")).select(key, "r.ord", "r.finding")
+    return has.select(key, F.explode(F.array_compact(F.array(*rules))).alias("r")).select(key, "r.ord", "r.finding", F.lit(phase).alias("phase"))
 
 
 def as_rows(df: DataFrame, rules: list[tuple[Column, str]], key: str = "id", start: int = 0) -> DataFrame:
@@ -87,18 +96,33 @@ def as_rows(df: DataFrame, rules: list[tuple[Column, str]], key: str = "id", sta
 def phrase_hits(df: DataFrame, lexicon, text: str = "text", key: str = "id") -> DataFrame:
     """``(key, category, term, hits)`` for each phrase that a text contains.
 
-    A list of (category, term) is searched inside the row, without a join. A
-    table ``(category, term)`` of any size is joined by containment.
+    A list of (category, term) is searched inside the row, without a join, and
+    so is a table ``(category, term)`` of ``FEW_TERMS`` rows at most, once their
+    number is known. A larger table is joined by the terms' first characters.
     """
-    low = F.lower(F.col(text))
     if isinstance(lexicon, DataFrame):
-        met = df.select(key, low.alias("__t")).join(lexicon.select("category", "term"), F.contains(F.col("__t"), F.col("term")))
-        hits = ((F.length("__t") - F.length(F.replace(F.col("__t"), F.col("term")))) / F.length("term")).cast("int")
-        return met.select(key, "category", "term", hits.alias("hits"))
-    terms = F.array(*(F.struct(F.lit(c).alias("category"), F.lit(t).alias("term")) for c, t in lexicon))
-    found = F.filter(terms, lambda x: F.contains(low, x["term"]))
-    one = F.transform(found, lambda x: F.struct(x["category"].alias("category"), x["term"].alias("term"), ((F.length(low) - F.length(F.replace(low, x["term"]))) / F.length(x["term"])).cast("int").alias("hits")))
-    return df.select(key, F.explode(one).alias("h")).select(key, "h.*")
+        few = lexicon.select("category", "term").limit(FEW_TERMS + 1).collect()
+        if len(few) > FEW_TERMS:
+            return _phrase_join(df, lexicon, text, key)
+        lexicon = [tuple(r) for r in few]
+    lexicon = [(c, t) for c, t in lexicon if t]
+    if not lexicon:
+        return df.select(key, F.lit("").alias("category"), F.lit("").alias("term"), F.lit(0).alias("hits")).limit(0)
+    low = F.col("__low")
+    terms = F.array(*(F.when(F.contains(low, F.lit(t)), F.struct(F.lit(c).alias("category"), F.lit(t).alias("term"))) for c, t in lexicon))
+    one = F.transform(F.array_compact(terms), lambda x: F.struct(x["category"].alias("category"), x["term"].alias("term"), ((F.length(low) - F.length(F.replace(low, x["term"]))) / F.length(x["term"])).cast("int").alias("hits")))
+    return df.select(key, F.lower(F.col(text)).alias("__low")).select(key, F.explode(one).alias("h")).select(key, "h.*")
+
+
+def _phrase_join(df: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
+    """``phrase_hits`` for a table of any size: texts and terms meet at the first characters of the terms, so that only likely pairs are compared."""
+    lexicon = lexicon.select("category", "term").filter("term <> ''")
+    n = min(lexicon.agg(F.min(F.length("term"))).first()[0] or 1, 6)
+    low = df.select(key, F.lower(F.col(text)).alias("__t"))
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t") - n + 1, F.lit(1))), lambda i: F.substr("__t", i, F.lit(n))))
+    met = low.select(key, "__t", F.explode(grams).alias("__g")).join(lexicon.withColumn("__start", F.substring("term", 1, n)), F.col("__g") == F.col("__start"))
+    hits = ((F.length("__t") - F.length(F.replace(F.col("__t"), F.col("term")))) / F.length("term")).cast("int")
+    return met.filter(F.contains("__t", F.col("term"))).select(key, "category", "term", hits.alias("hits"))
 
 
 #: (finding, category, least hits)
@@ -111,16 +135,15 @@ def phrase_counts(hits: DataFrame, categories: list[str], key: str = "id") -> Da
 
 
 def phrase_findings(df: DataFrame, profile: str, lexicon=None, text: str = "text", key: str = "id") -> DataFrame:
-    """Findings of the phrases of a profile: one for each phrase, and those of the category thresholds."""
+    """Findings of the phrases of a profile: one for each phrase, and those of the category thresholds. The texts are read once."""
     lexicon = R.phrases(profile) if lexicon is None else lexicon
-    hits = phrase_hits(df, lexicon, text, key)
-    each = hits.select(key, F.lit(0).alias("ord"), F.lit("phishing_keyword").alias("finding"))
-    counts = phrase_counts(hits, sorted({c for _, c, _ in THRESHOLDS} | {"macro_lure"}), key)
-    rules = [(F.col(c) >= n, f) for f, c, n in THRESHOLDS if f != "repeated_cta" or profile in ("docx", "xlsx")]
+    categories = sorted({c for _, c, _ in THRESHOLDS})
+    sums = [F.sum(F.when(F.col("category") == c, F.col("hits")).otherwise(0)).alias(c) for c in categories]
+    counts = phrase_hits(df, lexicon, text, key).groupBy(key).agg(F.count(F.lit(1)).alias("phrases"), F.count_if(F.col("category") == "macro_lure").alias("lures"), *sums)
+    rules = [(F.col("phrases"), "phishing_keyword")] + [(F.col(c) >= n, f) for f, c, n in THRESHOLDS if f != "repeated_cta" or profile in ("docx", "xlsx")]
     if profile == "pptx":
-        lures = hits.filter("category = 'macro_lure'").select(key, F.lit(10).alias("ord"), F.lit("enable_macro_lure").alias("finding"))
-        return each.unionByName(as_rows(counts, rules, key, 1)).unionByName(lures)
-    return each.unionByName(as_rows(counts, rules, key, 1))
+        rules.append((F.col("lures"), "enable_macro_lure"))
+    return as_rows(counts, rules, key)
 
 
 ANALYZERS: dict = {}

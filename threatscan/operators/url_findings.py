@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatscan.functions import text as X
+from threatscan.operators.findings import phrase_hits
 from threatscan.operators.urls import part, scan_urls
 from threatscan.rules import documents as R
 
@@ -51,9 +52,22 @@ def is_safe(url: Column, domains=None) -> Column:
     return X.contains_any(F.lower(url), domains or R.SAFE_DOMAINS)
 
 
+#: So many safe domains at most are searched inside the row.
+FEW_DOMAINS = 2000
+
+
 def without_safe(urls: DataFrame, safe: DataFrame, url: str = "url") -> DataFrame:
-    """Rows whose URL contains no entry of ``safe (domain)``: an anti join by containment."""
-    return urls.join(safe.select("domain"), F.contains(F.lower(url), F.col("domain")), "left_anti")
+    """Rows whose URL contains no entry of ``safe (domain)``.
+
+    A table of ``FEW_DOMAINS`` rows at most is searched inside the row, once
+    their number is known; a larger one is joined by the entries' first
+    characters with the different URLs.
+    """
+    few = [r[0] for r in safe.select("domain").filter("domain is not null").limit(FEW_DOMAINS + 1).collect()]
+    if len(few) <= FEW_DOMAINS:
+        return urls.filter(~F.coalesce(F.exists(X.array_of(few), lambda d: F.contains(F.lower(url), d)), F.lit(False)))
+    hit = phrase_hits(urls.select(F.col(url).alias("__safe")).distinct(), safe.select(F.lit("").alias("category"), F.col("domain").alias("term")), "__safe", "__safe").select("__safe").distinct()
+    return urls.join(hit, urls[url] == hit["__safe"], "left_anti")
 
 
 def url_finding_rows(urls: DataFrame, profile: str, key: str = "id", url: str = "url") -> DataFrame:
@@ -71,6 +85,19 @@ def mismatched_anchor(shown: Column, target: Column) -> Column:
     return F.coalesce(F.trim(shown).rlike("(?i)^https?://") & (host(F.trim(shown)) != host(target)), F.lit(False))
 
 
+def anchor_finding_rows(links: DataFrame, profile: str, key: str = "id") -> DataFrame:
+    """``mismatched_anchor`` for each link ``(key, visible_text, url)`` whose visible text looks like a URL and is not the link's.
+
+    In workbooks and the like that is a text with ``http``; in PDF also one with
+    ``www.``, of over ten characters.
+    """
+    shown, target = F.lower(F.trim("visible_text")), F.lower(F.trim("url"))
+    looks = F.contains(shown, F.lit("http"))
+    if profile == "pdf":
+        looks = (looks | F.contains(shown, F.lit("www."))) & (F.length(shown) > 10)
+    return links.filter((F.length(target) > 0) & looks & (shown != target)).select(key, F.lit(60).alias("ord"), F.lit("mismatched_anchor").alias("finding"))
+
+
 def enriched(texts: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     """``(key, url, score, verdict)`` of every URL inside texts; each different URL is scanned once and joined back."""
     urls = texts.select(key, F.explode(extracted_urls(F.col(text), True)).alias("url"))

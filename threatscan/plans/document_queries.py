@@ -15,7 +15,8 @@ from threatscan.operators import findings as N
 from threatscan.operators import mail as M
 from threatscan.operators.url_findings import extracted_urls, mismatched_anchor
 from threatscan.plans.catalog import query
-from threatscan.plans.url_queries import _entropy_sql, _l
+from threatscan.plans.url_queries import FEATURES, _entropy_sql, _l
+from threatscan.plans.url_queries import _count as _count_sql
 from threatscan.rules import documents as R
 from threatscan.sources import files as S
 from threatscan.streaming import feeds
@@ -60,13 +61,13 @@ _KINDS = ["suspicious_url", "phishing_keyword", "malicious_macro", "network_call
 
 
 def _line_findings(spark, sf):
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").filter("l_orderkey % 4 = 0 or l_returnflag = 'R'")
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
     kind = F.get(X.array_of(_KINDS), F.pmod(F.col("l_partkey") + F.col("l_linenumber"), F.lit(len(_KINDS))).cast("int"))
     return li.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ord"), kind.alias("finding"))
 
 
 _WEIGHTS = "(VALUES " + ", ".join(f"('{k}', {R.WEIGHTS.get(k, R.DEFAULT_WEIGHT)})" for k in _KINDS) + ") AS wt(finding, weight)"
-_LINES = f"""lf AS (SELECT l_orderkey AS id, l_linenumber AS ord, {_l(_KINDS)}[1 + ((l_partkey + l_linenumber) % {len(_KINDS)})::INT] AS finding FROM lineitem WHERE l_orderkey % 4 = 0 OR l_returnflag = 'R'),
+_LINES = f"""lf AS (SELECT l_orderkey AS id, l_linenumber AS ord, {_l(_KINDS)}[1 + ((l_partkey + l_linenumber) % {len(_KINDS)})::INT] AS finding FROM lineitem),
 wf AS (SELECT lf.*, weight FROM lf JOIN {_WEIGHTS} ON lf.finding = wt.finding)"""
 _BANDS = "CASE WHEN score <= 39 THEN 'Safe' WHEN score <= 69 THEN 'Suspicious' ELSE 'Phishing' END AS verdict, CASE WHEN score <= 39 THEN 'LOW' WHEN score <= 69 THEN 'MEDIUM' ELSE 'CRITICAL' END AS severity"
 
@@ -101,7 +102,7 @@ def findings_detailed(spark, sf):
 @query(
     "attack_chains",
     f"""WITH {_LINES}, has AS (SELECT id, list(DISTINCT finding) AS f FROM lf GROUP BY id)
-SELECT id, finding, count(*) AS n FROM (SELECT id, unnest([CASE WHEN list_has_any(f, ['malicious_macro', 'vba_macro_detected']) AND list_contains(f, 'network_call_in_vba') THEN 'download_execute_pattern' END, CASE WHEN list_contains(f, 'external_template') THEN 'multistage_indicator' END, CASE WHEN list_contains(f, 'enable_macro_lure') AND list_contains(f, 'malicious_macro') THEN 'dropper_pattern' END,
+SELECT id, finding, count(*) AS n FROM (SELECT id, unnest([CASE WHEN list_contains(f, 'malicious_macro') AND list_contains(f, 'network_call_in_vba') THEN 'download_execute_pattern' END, CASE WHEN list_contains(f, 'external_template') THEN 'multistage_indicator' END, CASE WHEN list_contains(f, 'enable_macro_lure') AND list_contains(f, 'malicious_macro') THEN 'dropper_pattern' END,
 CASE WHEN list_contains(f, 'credential_harvesting') AND list_has_any(f, ['suspicious_url', 'ip_based_url']) THEN 'dropper_pattern' END, CASE WHEN list_has_any(f, ['embedded_executable', 'embedded_ole_object']) THEN 'dropper_pattern' END, CASE WHEN list_contains(f, 'dde_attack') THEN 'multistage_indicator' END]) AS finding FROM has) WHERE finding IS NOT NULL GROUP BY ALL""",
 )
 def attack_chains(spark, sf):
@@ -143,23 +144,22 @@ _ACT = "len(list_filter(" + _l(R.ACTIVE) + ", lambda t: contains(raw, t))) > 0"
 _OPEN = " OR ".join(f"regexp_matches(raw, '(?s)/OpenAction.{{0,{789 - len(t)}}}{t}')" for t in R.OPEN_DANGER)
 
 
-@query(
-    "pdf_findings",
-    rf"""WITH {_RAW}, r AS (SELECT id, unnest([CASE WHEN contains(raw, '/JavaScript') THEN 'javascript_detected' END, CASE WHEN contains(raw, '/JS') THEN 'javascript_detected' END, CASE WHEN {_OPEN} THEN 'openaction_detected' END, CASE WHEN contains(raw, '/Launch') THEN 'launch_action_detected' END,
+_PDF_FOUND = rf"""r AS (SELECT id, unnest([CASE WHEN contains(raw, '/JavaScript') THEN 'javascript_detected' END, CASE WHEN contains(raw, '/JS') THEN 'javascript_detected' END, CASE WHEN {_OPEN} THEN 'openaction_detected' END, CASE WHEN contains(raw, '/Launch') THEN 'launch_action_detected' END,
 CASE WHEN contains(raw, '/EmbeddedFile') THEN 'embedded_file_detected' END, CASE WHEN contains(raw, '/AcroForm') THEN 'acroform_detected' END, CASE WHEN contains(raw, '/XFA') THEN 'xfa_form_detected' END, CASE WHEN contains(raw, '/ObjStm') AND {_ACT} THEN 'high_object_count' END, CASE WHEN contains(raw, '/Encrypt') THEN 'encrypted_object' END,
 CASE WHEN regexp_matches(raw, '[A-Za-z0-9+/]{{101}}') THEN 'base64_payload' END]) AS finding FROM p
 UNION ALL SELECT id, 'powershell_detected' FROM p, (SELECT unnest({_l(R.SHELL_WORDS)}) AS w) WHERE contains(lower(raw), w)
 UNION ALL SELECT id, 'dropper_pattern' FROM p, (SELECT unnest({_l(R.DROPPER_WORDS)}) AS w) WHERE contains(lower(raw), w)
 UNION ALL SELECT id, 'external_network_call' FROM p, (SELECT unnest({_l(R.NETWORK_PATTERNS)}) AS w) WHERE regexp_matches(lower(raw), w)
-UNION ALL SELECT id, 'split_string_concat' FROM p, (SELECT unnest({_l(R.SPLIT_PATTERNS)}) AS w) WHERE regexp_matches(lower(raw), w) AND len(list_filter(['/javascript', '/js', '/aa', '/launch'], lambda t: contains(lower(raw), t))) > 0)
-SELECT id, finding, count(*) AS n FROM r WHERE finding IS NOT NULL GROUP BY ALL""",
-)
+UNION ALL SELECT id, 'split_string_concat' FROM p, (SELECT unnest({_l(R.SPLIT_PATTERNS)}) AS w) WHERE regexp_matches(lower(raw), w) AND len(list_filter(['/javascript', '/js', '/aa', '/launch'], lambda t: contains(lower(raw), t))) > 0)"""
+
+
+@query("pdf_findings", f"WITH {_RAW}, {_PDF_FOUND} SELECT id, finding, count(*) AS n FROM r WHERE finding IS NOT NULL GROUP BY ALL")
 def pdf_findings(spark, sf):
     return D.pdf_findings(_pdf_like(spark, sf)).groupBy("id", "finding").agg(F.count(F.lit(1)).alias("n"))
 
 
 _CODE = [("Sub AutoOpen()", 2), ("Shell(\"cmd /c\")", 3), ("CreateObject(\"WScript.Shell\").Run", 4), ("URLDownloadToFile", 5), ("RegWrite HKEY_CURRENT_USER", 6), ("a = \"x\" & \"y\" & Chr(80)", 7)]
-_VBA = "v AS (SELECT doc_id AS id, concat_ws(chr(10), substring(text, 1, 40), " + ", ".join(f"CASE WHEN doc_id % {m} = 0 THEN '{s}' END" for s, m in _CODE) + ") AS code FROM documents)"
+_VBA = "v AS (SELECT doc_id AS id, concat_ws(chr(10), text, " + ", ".join(f"CASE WHEN doc_id % {m} = 0 THEN '{s}' END" for s, m in _CODE) + ") AS code FROM documents)"
 _MW = "(VALUES " + ", ".join("('" + R.MACRO_FINDINGS[c] + "', '" + w.replace("'", "''") + "')" for c, w in R.MACRO_WORDS["docx"]) + ") AS mw(finding, w)"
 
 
@@ -173,7 +173,7 @@ SELECT id, finding, count(*) AS n FROM r GROUP BY ALL""",
 )
 def macro_findings(spark, sf):
     extra = [F.when(F.col("doc_id") % m == 0, F.lit(s)) for s, m in _CODE]
-    code = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.concat_ws("\n", F.substring("text", 1, 40), *extra).alias("code"))
+    code = _docs(spark, sf).select(F.col("doc_id").alias("id"), F.concat_ws("\n", "text", *extra).alias("code"))
     return D.macro_findings(code, "docx").groupBy("id", "finding").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -235,10 +235,15 @@ _REPLY = ["no-reply@paypa1-login.com", "news@example.com", None]
 
 def _mails(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
+    return _headers(o).select("*", F.lit("verify your account now").alias("text_body"))
+
+
+def _headers(o, *more):
+    """Headers that follow from the key."""
     k = F.col("o_orderkey")
     at = lambda xs, m: F.get(F.array(*(F.lit(x) for x in xs)), F.pmod(F.floor(k / m), F.lit(len(xs))).cast("int"))
     auth = F.when(k % 5 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.lit("mx; spf="), at(_ST, 1), F.lit("; dkim="), at(_ST, 3), F.lit("; dmarc="), at(_ST, 7), F.lit("; spf=pass")))
-    return o.select(k.alias("id"), auth.alias("auth"), F.concat(at(_ST, 2), F.lit(" (host)")).alias("spf_header"), at(_FROM, 1).alias("sender"), at(_REPLY, 4).alias("reply_to"), F.lit("verify your account now").alias("text_body"))
+    return o.select(k.alias("id"), auth.alias("auth"), F.concat(at(_ST, 2), F.lit(" (host)")).alias("spf_header"), at(_FROM, 1).alias("sender"), at(_REPLY, 4).alias("reply_to"), *more)
 
 
 def _pick(xs, m: int) -> str:
@@ -256,7 +261,10 @@ def mail_auth_status(spark, sf):
     return M.header_flags(_mails(spark, sf)).select("id", "spf", "dkim", "dmarc", "header_suspicious")
 
 
-@query("mail_fusion", f"WITH {_MAILS}, s AS (SELECT id, round_even(greatest(0, least(1, 0.6::DOUBLE * ((id % 101) / 100::DOUBLE) + 0.2::DOUBLE * (bad OR spoof OR misuse)::INT + 0.15::DOUBLE * ((id % 11) / 10::DOUBLE) + 0.05::DOUBLE * CASE WHEN id % 4 > 3 THEN 1.0 WHEN id % 4 > 1.5 THEN 0.5 ELSE 0 END)) * 100, 0)::INT AS score FROM ms) SELECT id, score, CASE WHEN score >= 70 THEN 'PHISHING' WHEN score >= 40 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict, CASE WHEN score >= 70 THEN 'CRITICAL' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM s")
+_FUSED = f"{_MAILS}, fu AS (SELECT id, round_even(greatest(0, least(1, 0.6::DOUBLE * ((id % 101) / 100::DOUBLE) + 0.2::DOUBLE * (bad OR spoof OR misuse)::INT + 0.15::DOUBLE * ((id % 11) / 10::DOUBLE) + 0.05::DOUBLE * CASE WHEN id % 4 > 3 THEN 1.0 WHEN id % 4 > 1.5 THEN 0.5 ELSE 0 END)) * 100, 0)::INT AS score FROM ms)"
+
+
+@query("mail_fusion", f"WITH {_FUSED} SELECT id, score, CASE WHEN score >= 70 THEN 'PHISHING' WHEN score >= 40 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict, CASE WHEN score >= 70 THEN 'CRITICAL' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM fu")
 def mail_fusion(spark, sf):
     k = F.col("id")
     out = M.header_flags(_mails(spark, sf)).withColumn("score", M.fused(k % 101 / 100, F.col("header_suspicious"), k % 11 / 10, (k % 4).cast("double")))
@@ -324,10 +332,35 @@ def scan_within(spark, sf):
     return feeds.within(a, b, "user_id", 3600).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("scan_history", None)
+#: Documents as mails: every third has an HTML body too, every seventh has no plain one.
+_LETTERS = _MAILS.replace("FROM orders", "FROM (SELECT doc_id AS o_orderkey FROM documents)") + rf""", lt AS (SELECT doc_id AS id, CASE WHEN doc_id % 7 <> 0 THEN text END AS text_body, CASE WHEN doc_id % 3 = 0 THEN '<p>' || text || '</p>' || CASE WHEN doc_id % 2 = 0 THEN text ELSE '' END END AS html_body FROM documents),
+lb AS (SELECT id, text_body, html_body, lower(CASE WHEN trim(coalesce(text_body, '')) <> '' THEN text_body ELSE regexp_replace(coalesce(html_body, ''), '<[^>]+>', ' ', 'g') END) AS b, length(trim(coalesce(text_body, ''))) AS t, length(trim(coalesce(html_body, ''))) AS h FROM lt),
+lu AS (SELECT id, CASE WHEN trim(b) = '' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, ({" + ".join(_count_sql("b", w) for w in R.MAIL_URGENCY)}) / greatest(len(regexp_extract_all(b, '[\p{{L}}\p{{N}}_\p{{M}}]+')), 1) * 20) END AS urgency, CASE WHEN t = 0 THEN CASE WHEN h > 0 THEN 'inf'::DOUBLE ELSE 0 END ELSE h / greatest(t, 1) END AS ratio FROM lb),
+lf AS (SELECT id, round(urgency, 6) AS urgency, (bad OR spoof OR misuse) AS header_suspicious, round_even(greatest(0, least(1, 0.3::DOUBLE + 0.2::DOUBLE * (bad OR spoof OR misuse)::INT + 0.15::DOUBLE * urgency + 0.05::DOUBLE * CASE WHEN ratio > 3 THEN 1.0 WHEN ratio > 1.5 THEN 0.5 ELSE 0 END)) * 100, 0)::INT AS score FROM ms JOIN lu USING (id))"""
+_MAIL_BANDS = "CASE WHEN score >= 70 THEN 'PHISHING' WHEN score >= 40 THEN 'SUSPICIOUS' ELSE 'SAFE' END AS verdict"
+
+
+@query("mail_scan", f"WITH {_LETTERS} SELECT id, header_suspicious, urgency, score, {_MAIL_BANDS} FROM lf")
+def mail_scan(spark, sf):
+    """The whole mail scan over documents as bodies: headers, urgency, HTML ratio and the fused score."""
+    k = F.col("o_orderkey")
+    docs = _docs(spark, sf).withColumnRenamed("doc_id", "o_orderkey")
+    html = F.when(k % 3 == 0, F.concat(F.lit("<p>"), "text", F.lit("</p>"), F.when(k % 2 == 0, F.col("text")).otherwise("")))
+    out = M.scan_mail(_headers(docs, F.when(k % 7 != 0, F.col("text")).alias("text_body"), html.alias("html_body")))
+    return out.select("id", "header_suspicious", F.round("urgency", 6).alias("urgency"), "score", "verdict")
+
+
+_HISTORY = f"""WITH {FEATURES}, {_LINES}, {_FUSED},
+ds AS (SELECT id, least(100, sum(weight))::INT AS score FROM wf GROUP BY id),
+hist AS (SELECT 'url' AS type, score, upper(verdict[1]) || lower(verdict[2:]) AS verdict FROM scored UNION ALL SELECT 'document', score, verdict FROM (SELECT score, {_BANDS} FROM ds)
+  UNION ALL SELECT 'email', score, upper(verdict[1]) || lower(verdict[2:]) FROM (SELECT score, {_MAIL_BANDS} FROM fu))
+SELECT type, verdict, count(*) AS n, max(score)::INT AS highest FROM hist GROUP BY ROLLUP (type, verdict)"""
+
+
+@query("scan_history", _HISTORY)
 def scan_history(spark, sf):
-    from threatscan.plans.url_queries import page_urls
     from threatscan.operators.urls import scan_urls
+    from threatscan.plans.url_queries import page_urls
 
     urls = scan_urls(page_urls(spark, sf)).withColumn("id", F.col("page_id"))
     docs = N.document_scores(N.weighed(_line_findings(spark, sf), N.weight_table(spark)))
@@ -349,10 +382,23 @@ def pseudonyms(spark, sf):
     return c.select("c_custkey", X.salted_hash(X.digits_only(F.col("c_name")), "s", "k").alias("pseudonym"))
 
 
-@query("doc_scan", None)
+_ALL_WEIGHTS = "(VALUES " + ", ".join(f"('{k}', {w})" for k, w in R.WEIGHTS.items()) + ") AS aw(finding, weight)"
+_DOC_SCAN = f"""WITH {_RAW}, {_PDF_FOUND},
+ph AS (SELECT id, category, (length(lower(raw)) - length(replace(lower(raw), term, ''))) // length(term) AS hits FROM p, {_LEX} WHERE contains(lower(raw), term)),
+pf AS (SELECT id, 'phishing_keyword' AS finding FROM ph UNION ALL SELECT id, unnest([CASE WHEN sum(hits) FILTER (category = 'urgency_phrases') >= 2 THEN 'urgent_tone_detected' END, CASE WHEN sum(hits) FILTER (category = 'financial_terms') >= 2 THEN 'financial_terms_detected' END,
+  CASE WHEN sum(hits) FILTER (category = 'credential_harvesting') >= 1 THEN 'credential_harvesting' END, CASE WHEN sum(hits) FILTER (category = 'enable_macro_lures') >= 1 THEN 'enable_macro_lure' END]) FROM ph GROUP BY id),
+af AS (SELECT id, finding FROM r WHERE finding IS NOT NULL UNION ALL SELECT id, finding FROM pf WHERE finding IS NOT NULL),
+hs AS (SELECT id, list(DISTINCT finding) AS f FROM af GROUP BY id),
+cf AS (SELECT id, unnest([CASE WHEN list_contains(f, 'malicious_macro') AND list_contains(f, 'network_call_in_vba') THEN 'download_execute_pattern' END, CASE WHEN list_contains(f, 'external_template') THEN 'multistage_indicator' END, CASE WHEN list_contains(f, 'enable_macro_lure') AND list_contains(f, 'malicious_macro') THEN 'dropper_pattern' END,
+  CASE WHEN list_contains(f, 'credential_harvesting') AND list_has_any(f, ['suspicious_url', 'ip_based_url']) THEN 'dropper_pattern' END, CASE WHEN list_has_any(f, ['embedded_executable', 'embedded_ole_object']) THEN 'dropper_pattern' END]) AS finding FROM hs),
+sc AS (SELECT id, least(100, sum(coalesce(weight, {R.DEFAULT_WEIGHT})))::INT AS score, count(*) AS total_findings FROM (SELECT * FROM af UNION ALL SELECT * FROM cf WHERE finding IS NOT NULL) x LEFT JOIN {_ALL_WEIGHTS} ON x.finding = aw.finding GROUP BY id)
+SELECT id, score, total_findings, {_BANDS} FROM sc"""
+
+
+@query("doc_scan", _DOC_SCAN)
 def doc_scan(spark, sf):
     """All analyzers of a PDF-like text together: rules, phrases and implied findings, scored."""
     raw = _pdf_like(spark, sf)
     found = D.pdf_findings(raw).unionByName(N.phrase_findings(raw.withColumnRenamed("raw", "text"), "pdf", LEXICON))
-    found = found.unionByName(N.chains(found, "docx"))
-    return N.document_scores(N.weighed(found, N.weight_table(spark)))
+    found = found.unionByName(N.chains(found, "docx").drop("phase"))
+    return N.document_scores(N.weighed(found, N.weight_table(spark))).select("id", "score", "total_findings", "verdict", "severity")

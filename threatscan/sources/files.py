@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from threatscan.rules import documents as R
 
-#: Unpacked bytes of a part, and of all parts of a file, at most; beyond, the row carries an error.
+#: Unpacked bytes of a part, and of all parts of a file, at most, unless the caller says otherwise; beyond, the row carries an error.
+#: They keep a container that unpacks to far more than its size from filling a worker.
 PART_BYTES, FILE_BYTES = 64 << 20, 512 << 20
 
 
@@ -49,8 +50,12 @@ def mail_rejects(files: DataFrame) -> DataFrame:
     return files.withColumn("reject_reason", F.when(extension(F.col("path")) != ".eml", "not_eml").when(F.col("length") == 0, "empty"))
 
 
-def ooxml_parts(files: DataFrame, key: str = "path") -> DataFrame:
-    """The parts of ZIP containers ``(key, content)`` as ``(id, entry_ord, entry_name, data, error)``; a bad container is one row with an error."""
+def ooxml_parts(files: DataFrame, key: str = "path", part_bytes: int | None = PART_BYTES, file_bytes: int | None = FILE_BYTES) -> DataFrame:
+    """The parts of ZIP containers ``(key, content)`` as ``(id, entry_ord, entry_name, data, error)``; a bad container is one row with an error.
+
+    A part beyond ``part_bytes``, or beyond ``file_bytes`` together with those
+    before it, has an error for its data; None sets no such limit.
+    """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -60,7 +65,7 @@ def ooxml_parts(files: DataFrame, key: str = "path") -> DataFrame:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as z:
                         for i, info in enumerate(z.infolist()):
                             total += info.file_size
-                            if info.file_size > PART_BYTES or total > FILE_BYTES:
+                            if (part_bytes is not None and info.file_size > part_bytes) or (file_bytes is not None and total > file_bytes):
                                 rows.append((name, i, info.filename, None, "too large"))
                                 continue
                             try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,15 +42,28 @@ def distinct_stream(df: DataFrame, keys: list[str], ts: str = "ts", late: str =
     return df.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
-def _processor(handle_rows, ttl: int | None):
+def _processor(handle_rows):
+    """Keeps ``(since, n)`` for each key. ``handle_rows(state, key, rows)`` gives rows, the new state and the second from which on it says nothing any more; when the watermark passes that, the state goes."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Keyed(StatefulProcessor):
         def init(self, handle) -> None:
-            self.state = handle.getValueState("last", "last double, n long", ttlDurationMs=ttl * 1000 if ttl else None)
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            yield handle_rows(self.state, key[0], pd.concat(list(rows)).sort_values("ts"))
+            self.handle = handle
+            self.state = handle.getValueState("last", "since double, n long")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            was = self.state.get() if self.state.exists() else None
+            out, state, until = handle_rows(was, key[0], pd.concat(list(rows)).sort_values("ts"))
+            if state is not None:
+                self.state.update(state)
+                for old in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(old)
+                self.handle.registerTimer(int(until * 1000))
+            yield out
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.state.clear()
+            return iter([])
 
         def close(self) -> None:
             pass
@@ -58,42 +72,44 @@ def _processor(handle_rows, ttl: int | None):
 
 
 def cooldown_stream(alerts: DataFrame, seconds: int = COOLDOWN, late: str = "10 minutes") -> DataFrame:
-    """At most one alert of a key within ``seconds`` of the last one emitted; state is one number for each key."""
+    """At most one alert of a key within ``seconds`` of the last one emitted; state is one number for each key, dropped once the watermark is past its cooldown."""
 
-    def rows(state, key, pdf: pd.DataFrame) -> pd.DataFrame:
-        last = state.get()[0] if state.exists() else None
+    def rows(state, key, pdf: pd.DataFrame):
+        last = state[0] if state else None
         out = []
         for t in pdf["ts"]:
             s = t.timestamp()
             if last is None or s - last >= seconds:
                 out.append((key, t))
                 last = s
-        if last is not None:
-            state.update((last, 0))
-        return pd.DataFrame(out, columns=["key", "ts"])
+        return pd.DataFrame(out, columns=["key", "ts"]), (last, 0), last + seconds
 
-    return alerts.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_processor(rows, None), "key string, ts timestamp", "append", "none")
+    return alerts.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_processor(rows), "key string, ts timestamp", "append", "eventTime")
 
 
 def attempts_stream(attempts: DataFrame, limit: int = ATTEMPTS, ttl: int = TTL, late: str = "10 minutes") -> DataFrame:
-    """Failures of each key so far and whether it is locked; the count expires after ``ttl`` seconds."""
+    """Failures of each key and whether it is locked. A count begins with a key's first attempt and ends ``ttl`` seconds later; the next attempt begins another."""
 
-    def rows(state, key, pdf: pd.DataFrame) -> pd.DataFrame:
-        n = int(state.get()[1]) if state.exists() else 0
+    def rows(state, key, pdf: pd.DataFrame):
+        since, n = state or (None, 0)
         out = []
         for t, ok in zip(pdf["ts"], pdf["ok"], strict=True):
+            s = t.timestamp()
+            if since is None or s - since >= ttl:
+                since, n = s, 0
             n += not ok
             out.append((key, t, n, n >= limit))
-        state.update((0.0, n))
-        return pd.DataFrame(out, columns=["key", "ts", "failures", "locked"])
+        return pd.DataFrame(out, columns=["key", "ts", "failures", "locked"]), (since, int(n)), since + ttl
 
-    return attempts.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_processor(rows, ttl), "key string, ts timestamp, failures long, locked boolean", "append", "none")
+    return attempts.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_processor(rows), "key string, ts timestamp, failures long, locked boolean", "append", "eventTime")
 
 
 def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the folder the cluster shares (``spark.checkpoint.dir``) and read back."""
+    """``df`` written as a table in the folder the cluster shares (``spark.checkpoint.dir``) and read back; a folder of this machine will do only where all runs in one process."""
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", ""):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="threatscan-"))
     at = f"{spark.conf.get('spark.checkpoint.dir')}/t-{uuid.uuid4().hex}"
     df.write.parquet(at)
@@ -142,14 +158,25 @@ def cooldown(alerts: DataFrame, seconds: int = COOLDOWN) -> DataFrame:
     return marked.select("key", F.timestamp_micros("t").cast(alerts.schema["ts"].dataType).alias("ts"))
 
 
-def attempt_lock(attempts: DataFrame, limit: int = ATTEMPTS) -> DataFrame:
-    """Batch form: running failures of each key and whether it is locked."""
-    w = W.partitionBy("key").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0)
-    n = F.sum((~F.col("ok")).cast("long")).over(w)
-    return attempts.select("key", "seq", "ts", n.alias("failures"), (n >= limit).alias("locked"))
+def attempt_lock(attempts: DataFrame, limit: int = ATTEMPTS, span: str = "hour") -> DataFrame:
+    """Batch form: running failures of each key and whether it is locked.
+
+    Failures are counted within spans of time, and spans are put in order by
+    their sums, so no task orders all attempts of a key. Null times come first.
+    """
+    failed = (~F.col("ok")).cast("long")
+    spanned = attempts.select("key", "seq", "ts", failed.alias("__f"), F.date_trunc(span, "ts").alias("__span"))
+    sums = spanned.groupBy("key", "__span").agg(F.sum("__f").alias("__sum"))
+    before = F.sum("__sum").over(W.partitionBy("key").orderBy("__span").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select(F.col("key").alias("__key"), F.col("__span").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.sum("__f").over(W.partitionBy("key", "__span").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0))
+    met = spanned.withColumn("__n", within).join(sums, F.col("key").eqNullSafe(F.col("__key")) & F.col("__span").eqNullSafe(F.col("__s")))
+    n = F.col("__n") + F.col("__before")
+    return met.select("key", "seq", "ts", n.alias("failures"), (n >= limit).alias("locked"))
 
 
 def latest_open(challenges: DataFrame) -> DataFrame:
-    """The latest challenge of each (email, purpose) that is not consumed."""
-    w = W.partitionBy("email", "purpose").orderBy(F.desc("created_at"), F.desc("seq"))
-    return challenges.filter("consumed_at is null").withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    """The latest challenge of each (email, purpose) that is not consumed; reduced in each task before the shuffle."""
+    rest = [c for c in challenges.columns if c not in ("email", "purpose")]
+    latest = F.max_by(F.struct(*rest), F.struct("created_at", "seq"))
+    return challenges.filter("consumed_at is null").groupBy("email", "purpose").agg(latest.alias("c")).select("email", "purpose", "c.*").select(*challenges.columns)
