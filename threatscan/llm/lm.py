@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatscan.llm.common import bound_batches, stored, table
@@ -38,8 +38,8 @@ CLASSES = END_CLASS + 1
 END_INPUT = FREQUENT + SHAPES
 INPUTS = END_INPUT + 1
 HIDDEN = 24
-#: Characters of text in a shard, about.
-SHARD = 16_000_000
+#: Tokens in a shard, about.
+SHARD = 2_600_000
 LEAST_SHARDS = 1
 ROUNDS = 3
 #: Lanes and steps of a training window; a shard is repeated until it has given so many updates in a round.
@@ -93,7 +93,7 @@ class _Ranks(dict):
 
 
 class Encoder:
-    """Turns texts into input, class and within-class numbers."""
+    """Turns texts into numbers of inputs: frequent words by rank, others by shape."""
 
     def __init__(self, vocab: dict):
         self.rank = _Ranks((w.encode("utf-8", "surrogatepass"), i) for i, w in enumerate(vocab["near"]))
@@ -101,24 +101,34 @@ class Encoder:
         shapes, log_tail = np.array([shape(w) for w in vocab["near"]], dtype=np.int64), vocab["log_tail"]
         frequent = np.arange(n) < FREQUENT
         # by rank; the last entry is for far words, whose shapes are filled in
-        self.cls = np.append(np.where(frequent, np.arange(n) // SIZE, GROUPS + shapes), 0)
-        self.token = np.append(np.where(frequent, np.arange(n), FREQUENT + shapes), 0)
-        self.within = np.append(np.where(frequent, np.arange(n) % SIZE, 0), 0)
+        self.token = np.append(np.where(frequent, np.arange(n), FREQUENT + shapes), 0).astype("<u2")
         self.log = np.append(np.log10(vocab["near_count"] + 0.1), 0)
         self.tail = np.append(np.where(frequent, 0, self.log[:-1] - log_tail[shapes]), 0)
         self.log_tail = log_tail
 
     def text(self, text: str | None):
-        """``(inputs, classes, within, tail log10 of near words, near log10 counts, near known, far words)``; the end token is last."""
+        """``(inputs without the end token, tail log10 of near words, near log10 counts, near known, far words)``."""
         ws = words(text)
         r = np.fromiter(map(self.rank.__getitem__, ws), dtype=np.int64, count=len(ws))
         far = np.flatnonzero(r < 0)
-        cls, token = self.cls[r], self.token[r]
+        token = self.token[r]
         far_words = [ws[i].decode("utf-8", "surrogatepass") for i in far]
         shapes = np.array([shape(w) for w in far_words], dtype=np.int64)
-        cls[far], token[far] = GROUPS + shapes, FREQUENT + shapes
+        token[far] = FREQUENT + shapes
         tail = self.tail[r].sum() - self.log_tail[shapes].sum()
-        return np.concatenate(([END_INPUT], token)), np.append(cls, END_CLASS), np.append(self.within[r], 0), tail, self.log[r].sum(), len(ws) - len(far), far_words
+        return token, tail, self.log[r].sum(), len(ws) - len(far), far_words
+
+
+#: Class and place within it of each input.
+_CLASS = np.concatenate((np.arange(FREQUENT) // SIZE, GROUPS + np.arange(SHAPES), [END_CLASS])).astype(np.int32)
+_WITHIN = np.concatenate((np.arange(FREQUENT) % SIZE, np.zeros(SHAPES + 1))).astype(np.int32)
+
+
+def coded(tokens: bytes):
+    """``(inputs, classes, within)`` of an encoded text; the end token is last, and first as an input."""
+    token = np.frombuffer(tokens, dtype="<u2")
+    target = np.append(token, END_INPUT)
+    return np.append(END_INPUT, token), _CLASS[target], _WITHIN[target]
 
 
 def lanes(coded: list, n: int, tight: bool = True):
@@ -360,34 +370,33 @@ def _encoder(name: str, vocab) -> Encoder:
     return _ENCODERS[name]
 
 
-def _round(weights, vocab, name: str):
-    """Trains on the texts of one shard, which holds about ``SHARD`` characters."""
+def _round(weights):
+    """Trains on the encoded texts of one shard, which holds about ``SHARD`` tokens."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = _encoder(name, vocab)
-        new, tokens = train(weights.value, [e.text(x) for x in sorted(pdf["text"])])
+        new, tokens = train(weights.value, [coded(x) for x in sorted(pdf["tokens"])])
         return pd.DataFrame({"weights": [new], "tokens": [tokens]})
 
     return one
 
 
 def dealt(texts: DataFrame, shards: int) -> DataFrame:
-    """``(text, round, shard)``: each row of ``texts`` once. Rows are dealt by number, so copies of a text spread."""
+    """``(tokens, round, shard)``: each row of ``texts (tokens)`` once. Rows are dealt by number, so copies of a text spread."""
     row = F.monotonically_increasing_id()
     part = lambda salt, n: F.pmod(F.xxhash64("__row", F.lit(salt)), F.lit(n)).cast("int")
-    return texts.select("text", row.alias("__row")).select("text", part("round", ROUNDS).alias("round"), part("shard", shards).alias("shard"))
+    return texts.select("tokens", row.alias("__row")).select("tokens", part("round", ROUNDS).alias("round"), part("shard", shards).alias("shard"))
 
 
-def fitted(texts: DataFrame, vocab, name: str, first: np.ndarray) -> np.ndarray:
-    """Weights trained on all ``texts (text)``, each in one round: rounds of parallel shards whose weights are averaged by tokens."""
+def fitted(texts: DataFrame, first: np.ndarray) -> np.ndarray:
+    """Weights trained on all ``texts (tokens)``, encoded, each in one round: rounds of parallel shards whose weights are averaged by tokens."""
     spark = texts.sparkSession
-    n, chars = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    n, tokens = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("tokens") / 2 + 1), F.lit(0)).cast("long")).first()
     if not n:
         return first
-    parts = stored(dealt(texts, max(LEAST_SHARDS, -(-chars // SHARD))))
+    parts = stored(dealt(texts, max(LEAST_SHARDS, -(-tokens // SHARD))))
     flat = first
     for k in range(ROUNDS):
-        each = parts.filter(F.col("round") == k).groupBy("shard").applyInPandas(_round(spark.sparkContext.broadcast(flat), vocab, name), "weights array<float>, tokens long")
+        each = parts.filter(F.col("round") == k).groupBy("shard").applyInPandas(_round(spark.sparkContext.broadcast(flat)), "weights array<float>, tokens long")
         mean = each.select("tokens", F.posexplode("weights")).groupBy("pos").agg((F.sum(F.col("col") * F.col("tokens")) / F.sum("tokens")).alias("w"))
         rows = mean.toPandas()  # one row for each weight of the model
         if len(rows):
@@ -395,38 +404,68 @@ def fitted(texts: DataFrame, vocab, name: str, first: np.ndarray) -> np.ndarray:
     return flat
 
 
-def scored(docs: DataFrame, counts: DataFrame, vocab, name: str, flat: np.ndarray) -> DataFrame:
-    """``docs`` without ``text`` but with ``n_tokens, n_known, base_score, score``."""
-    spark = docs.sparkSession
-    bound_batches(spark, "8m")
-    weights = spark.sparkContext.broadcast(flat)
-    total, distinct, end = (vocab.value[k] for k in ("total", "distinct", "end"))
-    log_z = float(np.log10(total + 0.1 * (distinct + 1)))
+def encoded(docs: DataFrame, vocab) -> DataFrame:
+    """``docs`` with ``e (n_tokens, n_near, near, tail, far, tf, tokens)`` in place of ``text``."""
+    name = uuid.uuid4().hex
+
+    @F.pandas_udf("n_tokens long, n_near long, near double, tail double, far array<string>, tf array<int>, tokens binary")
+    def encode(texts: pd.Series) -> pd.DataFrame:
+        e = _encoder(name, vocab)
+        rows = [e.text(x) for x in texts]
+        far = [Counter(r[4]) for r in rows]
+        columns = {"n_tokens": [len(r[0]) + 1 for r in rows], "n_near": [r[3] for r in rows], "near": [r[2] for r in rows], "tail": [r[1] for r in rows], "far": [list(f.keys()) for f in far], "tf": [list(f.values()) for f in far], "tokens": [r[0].tobytes() for r in rows]}
+        return pd.DataFrame(columns)
+
+    return docs.select(*(c for c in docs.columns if c != "text"), encode("text").alias("e"))
 
-    @F.pandas_udf("n_tokens long, n_near long, near double, own double, far array<string>, tf array<int>")
-    def score(texts: pd.Series) -> pd.DataFrame:
-        e, p = _encoder(name, vocab), unpack(weights.value)
-        coded = [e.text(x) for x in texts]
-        if not coded:
-            return pd.DataFrame(columns=["n_tokens", "n_near", "near", "own", "far", "tf"])
-        inp, cls, within, doc, start = lanes(coded, 256)
-        own, h = np.zeros(len(coded)), np.zeros((inp.shape[1], HIDDEN), dtype=np.float32)
+
+def log10_learned(weights):
+    """The learned part of the log10 probability of encoded texts, as a column function."""
+
+    @F.pandas_udf("double")
+    def score(tokens: pd.Series) -> pd.Series:
+        p, texts = unpack(weights.value), [coded(x) for x in tokens]
+        if not texts:
+            return pd.Series([], dtype=float)
+        inp, cls, within, doc, start = lanes(texts, 256)
+        own, h = np.zeros(len(texts)), np.zeros((inp.shape[1], HIDDEN), dtype=np.float32)
         for t in range(0, len(inp), 64):
             s = slice(t, t + 64)
             hs, h, _ = states(p, inp[s], start[s], h)
             mask = (doc[s] >= 0).ravel()
             lp = log_probabilities(p, hs.reshape(-1, HIDDEN)[mask], cls[s].ravel()[mask], within[s].ravel()[mask])
-            own += np.bincount(doc[s].ravel()[mask], weights=lp.astype(np.float64), minlength=len(coded))
-        own = own / np.log(10) + np.array([c[3] for c in coded])
-        far = [Counter(c[6]) for c in coded]
-        return pd.DataFrame({"n_tokens": [len(c[0]) for c in coded], "n_near": [c[5] for c in coded], "near": [c[4] for c in coded], "own": own, "far": [list(f.keys()) for f in far], "tf": [list(f.values()) for f in far]})
+            own += np.bincount(doc[s].ravel()[mask], weights=lp.astype(np.float64), minlength=len(texts))
+        return pd.Series(own / np.log(10))
+
+    return score
+
 
-    rest = [c for c in docs.columns if c != "text"]
+def likelihood(docs: DataFrame, learns: Column) -> DataFrame:
+    """``docs`` without ``text`` but with token counts and the log10 probability of each whole text, under models of the rows where ``learns`` is true.
+
+    Null texts are empty: one end token. Rows with equal ids or texts are scored
+    each by itself, and learned from each. Without rows to learn from every
+    token is unknown. Columns other than ``text`` pass through unread; those
+    named as added ones give way. Each text is encoded once, for learning and
+    for scoring. An empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    bound_batches(spark, "8m")
+    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rest = [c for c in docs.columns if c not in (*added, "text")]
     own = F.struct(*rest) if rest else F.lit(None)
-    part = stored(docs.select(F.monotonically_increasing_id().alias("__rid"), own.alias("__own"), score("text").alias("__s")).select("__rid", "__own", "__s.*"))
+    rows = docs.select(own.alias("__own"), F.coalesce(learns, F.lit(False)).alias("__learns"), F.coalesce("text", F.lit("")).alias("text"))
+    counts = stored(counted(rows.filter("__learns").select("text")))
+    vocab = spark.sparkContext.broadcast(vocabulary(counts, rows.filter("__learns").count()))
+    part = stored(encoded(rows, vocab).select(F.monotonically_increasing_id().alias("__rid"), "__own", "__learns", "e.*"))
+    flat = fitted(part.filter("__learns").select("tokens"), initial(vocab.value))
+
+    total, distinct, end = (vocab.value[k] for k in ("total", "distinct", "end"))
+    log_z = float(np.log10(total + 0.1 * (distinct + 1)))
     far = part.select("__rid", F.explode(F.arrays_zip("far", "tf")).alias("f")).select("__rid", F.col("f.far").alias("word"), "f.tf")
     met = far.join(counts, "word", "left").groupBy("__rid").agg(F.sum(F.col("tf") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("far_log"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("far_known"))
-    out = part.drop("far", "tf").join(met, "__rid", "left")
+    learned = log10_learned(spark.sparkContext.broadcast(flat))
+    out = part.select("__rid", "__own", "n_tokens", "n_near", "near", "tail", learned("tokens").alias("learned")).join(met, "__rid", "left")
     log = F.coalesce("far_log", F.lit(0.0))
     return out.select(
         *(F.col("__own")[c].alias(c) for c in rest),
@@ -434,34 +473,17 @@ def scored(docs: DataFrame, counts: DataFrame, vocab, name: str, flat: np.ndarra
         (F.col("n_near") + F.coalesce("far_known", F.lit(0)) + F.lit(int(end > 0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("near") + log + F.lit(float(np.log10(end + 0.1))) - F.col("n_tokens") * F.lit(log_z)).alias("base_score"),
-        (F.col("own") + log).alias("score"),
+        (F.col("learned") + F.col("tail") + log).alias("score"),
     )
 
 
-def likelihood(docs: DataFrame, training: DataFrame) -> DataFrame:
-    """``docs`` without ``text`` but with token counts and the log10 probability of each whole text, under models of ``training (text)``.
-
-    Null texts are empty: one end token. Rows with equal ids or texts are scored
-    each by itself. Without training texts every token is unknown. Columns other
-    than ``text`` pass through unread; those named as added ones give way.
-    """
-    spark = docs.sparkSession
-    bound_batches(spark)
-    texts = training.select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = stored(counted(texts))
-    vocab, name = spark.sparkContext.broadcast(vocabulary(counts, texts.count())), uuid.uuid4().hex
-    flat = fitted(texts, vocab, name, initial(vocab.value))
-    added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    return scored(docs.select(*(c for c in docs.columns if c not in added)), counts, vocab, name, flat)
-
-
 def held_out(folds: int = 10):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", held_out().alias("held_out"))
-    return likelihood(docs, docs.filter("not held_out"))
+    return likelihood(docs, ~F.col("held_out"))
 
 
 QUERIES = {"op6_lm": (op6, None)}
