@@ -262,3 +262,21 @@ def test_high_chunks_are_the_high_entropies(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(D.high_chunks(F.col("t"), 6.5).alias("n"), F.size(F.filter(D.chunk_entropies(F.col("t")), lambda e: e > 6.5)).alias("want"))
     for r in df.collect():
         assert r.n == max(r.want, 0)
+
+
+def test_one_call_from_files_to_scores(spark, office):
+    from threatscan.operators.scan import document_findings, scan_documents
+
+    pdf = spark.createDataFrame([("d.pdf", "/in/d.pdf", 99, b"%PDF /OpenAction /JS verify your account http://1.2.3.4/login"), ("e.pdf", "/in/e.pdf", 5, b"plain"), ("p.png", "/in/p.png", 4, b"\x89PNG")], "id string, path string, length long, content binary")
+    files = office.select("id", "path", "length", "content").unionAll(pdf)
+    more = {"macros": spark.createDataFrame([("a.docx", "Sub AutoOpen() xmlhttp")], "id string, code string"), "links": spark.createDataFrame([("d.pdf", 1, "http://good.example", "http://evil.example")], "id string, page int, visible_text string, url string")}
+    found = document_findings(files, more)
+    assert {"download_execute_pattern", "external_template", "phishing_keyword", "multistage_indicator", "suspicious_metadata"} <= set(kinds(found, "a.docx"))
+    assert {"very_hidden_sheet", "webservice_formula", "multistage_indicator"} <= set(kinds(found, "b.xlsx"))
+    assert {"hidden_slide", "cmd_trigger_found"} <= set(kinds(found, "c.pptx"))
+    assert {"openaction_detected", "phishing_keyword", "ip_based_url", "mismatched_anchor"} <= set(kinds(found, "d.pdf"))
+    assert {(r.id, r.profile) for r in found.select("id", "profile").distinct().collect()} <= {("a.docx", "docx"), ("b.xlsx", "xlsx"), ("c.pptx", "pptx"), ("bad.docx", "docx"), ("d.pdf", "pdf"), ("p.png", "image")}
+    got = {r.id: r for r in scan_documents(files, more).collect()}
+    assert len(got) == files.count() and got["a.docx"].verdict == got["b.xlsx"].verdict == "Phishing"
+    assert (got["e.pdf"].score, got["e.pdf"].verdict, got["e.pdf"].total_findings, got["e.pdf"].breakdown) == (0, "Safe", 0, [])
+    assert got["note.txt"].reject_reason == "unsupported" and got["note.txt"].score is None

@@ -155,9 +155,33 @@ def url_model_max(spark, sf):
     return out.filter(~trusted & ~U.low_risk()).select("page_id", "score")
 
 
-@query("url_flags", None)
+_PERCENT = "round_even(100 * {}, 0)::INT"
+_NAMED = f"array_to_string(list_filter({_l(R.FLAG_KEYWORDS)}, lambda t: contains(lower(url), t))[1:5], ', ')"
+_OWN_DIGIT = r"regexp_matches(split_part(base_domain, '.', 1), '\p{Nd}')"
+#: The ordered flags of a scored row, in the order of ``operators.urls.flags``.
+_FLAGS = f"""list_filter([CASE WHEN is_https = 0 THEN 'no_https' END, CASE WHEN has_ip = 1 THEN 'ip_host' END,
+ CASE WHEN has_lookalike = 1 AND {_any("netloc", R.CRYPTO_BRANDS)} THEN 'lookalike_crypto' WHEN has_lookalike = 1 THEN 'lookalike' WHEN {_OWN_DIGIT} THEN 'digit_substitution' END,
+ CASE WHEN suspicious_tld = 1 THEN 'suspicious_tld: ' || tld END, CASE WHEN is_shortener = 1 THEN 'shortener' END,
+ CASE WHEN is_free_hosting = 1 THEN 'free_hosting: ' || coalesce(list_filter({_l(R.PLATFORMS)}, lambda t: contains(netloc, t))[1], 'free hosting') END,
+ CASE WHEN keyword_hits >= 3 THEN 'many_keywords (' || keyword_hits || '): ' || {_NAMED} WHEN keyword_hits >= 1 THEN 'keywords (' || keyword_hits || '): ' || {_NAMED} END,
+ CASE WHEN num_subdomains >= 3 THEN 'deep_subdomains: ' || num_subdomains END, CASE WHEN url_entropy >= 4.5 THEN 'random_url: ' || printf('%.2f', url_entropy) END, CASE WHEN url_length >= 90 THEN 'long_url: ' || url_length END,
+ CASE WHEN has_suspicious_path = 1 THEN 'suspicious_path' END, CASE WHEN has_port = 1 THEN 'port' END,
+ CASE WHEN consecutive_hyphens = 1 THEN 'consecutive_hyphens' WHEN {_count("base_domain", "-")} >= 2 THEN 'hyphens: ' || {_count("base_domain", "-")} END,
+ CASE WHEN has_service_prefix = 1 THEN 'service_prefix' END, CASE WHEN has_leetspeak = 1 THEN 'leetspeak' END, CASE WHEN brand_similarity > 0 THEN 'brand_imitation: ' || {_PERCENT.format("brand_similarity")} END,
+ CASE WHEN has_homograph = 1 THEN 'homograph' END, CASE WHEN anomaly_score >= 0.6 THEN 'anomaly: ' || {_PERCENT.format("anomaly_score")} END, CASE WHEN has_urgency_tactics = 1 THEN 'urgency: ' || {_PERCENT.format("urgency_score")} END], lambda x: x IS NOT NULL)"""
+_WHY = f"""concat_ws(' ', 'Score ' || score || '/100: phishing, do not open.', CASE WHEN has_ip = 1 THEN 'The host is an IP address, which hides who runs it.' END, CASE WHEN suspicious_tld = 1 THEN 'The top-level domain is often used for phishing.' END,
+ CASE WHEN has_lookalike = 1 OR regexp_matches(split_part(netloc, '.', 1), '\\p{{Nd}}') THEN 'The host imitates a known name.' END, CASE WHEN keyword_hits >= 2 THEN 'The URL holds several phishing words.' END, CASE WHEN has_leetspeak = 1 THEN 'Digits or signs stand for letters.' END,
+ CASE WHEN brand_similarity > 0 THEN 'The host is close to a brand.' END, CASE WHEN has_homograph = 1 THEN 'Letters of other scripts look Latin.' END, CASE WHEN anomaly_score >= 0.6 THEN 'Its make-up is unusual.' END)"""
+
+
+@query(
+    "url_flags",
+    f"""WITH {FEATURES}, fl AS (SELECT *, {_FLAGS} AS flags FROM scored) SELECT page_id, CASE WHEN len(flags) > 0 THEN array_to_string(flags, ' | ') WHEN score >= 70 THEN 'model_alert' WHEN score >= 45 THEN 'model_warning' ELSE 'clean' END AS flags,
+CASE verdict WHEN 'Phishing' THEN {_WHY} WHEN 'Suspicious' THEN 'Score ' || score || '/100: suspicious, take care.' ELSE 'Score ' || score || '/100: safe, no threat found.' END AS explanation FROM fl""",
+)
 def url_flags(spark, sf):
-    return U.scan_urls(page_urls(spark, sf)).select("page_id", "flags", "summary", "explanation")
+    """The ordered flags and the explanation of each page URL."""
+    return U.scan_urls(page_urls(spark, sf)).select("page_id", F.array_join("flags", " | ").alias("flags"), "explanation")
 
 
 @query("url_flag_counts", f"WITH {FEATURES} SELECT count(*) FILTER (is_https = 0) AS no_https, count(*) FILTER (has_ip = 1) AS ip_host, count(*) FILTER (suspicious_tld = 1) AS tld, count(*) FILTER (keyword_hits >= 3) AS many_keywords, count(*) FILTER (has_homograph = 1) AS homograph FROM scored")

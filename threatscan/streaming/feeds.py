@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from threatscan.functions.tables import stored
 from threatscan.operators.urls import scan_urls
 
 COOLDOWN, TTL, ATTEMPTS = 60, 600, 5
@@ -104,25 +102,13 @@ def attempts_stream(attempts: DataFrame, limit: int = ATTEMPTS, ttl: int = TTL,
     return attempts.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_processor(rows), "key string, ts timestamp, failures long, locked boolean", "append", "eventTime")
 
 
-def _stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the folder the cluster shares (``spark.checkpoint.dir``) and read back; a folder of this machine will do only where all runs in one process."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="threatscan-"))
-    at = f"{spark.conf.get('spark.checkpoint.dir')}/t-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
-
-
 def _next_times(alerts: DataFrame, us: int) -> DataFrame:
     """``(key, t, nxt, start)``: each time of a key, the first one ``us`` or more after it, and whether none is less than ``us`` before it.
 
     Events are looked at in spans of ``us``, each with its neighbour, so no
     group holds all events of a key; only one row for each span is put in order.
     """
-    times = _stored(alerts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).filter("t is not null").distinct().withColumn("span", ((F.col("t") - F.pmod("t", F.lit(us))) / us).cast("long")))
+    times = stored(alerts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).filter("t is not null").distinct().withColumn("span", ((F.col("t") - F.pmod("t", F.lit(us))) / us).cast("long")))
     spans = times.groupBy("key", "span").agg(F.min("t").alias("low"), F.max("t").alias("high"))
     of_key = W.partitionBy("key").orderBy("span")
     spans = spans.select("key", "span", F.lag("high").over(of_key).alias("before"), F.lead("low", 1).over(of_key).alias("low1"), F.lead("span", 1).over(of_key).alias("span1"), F.lead("low", 2).over(of_key).alias("low2"))
@@ -144,17 +130,17 @@ def cooldown(alerts: DataFrame, seconds: int = COOLDOWN) -> DataFrame:
     """
     if seconds <= 0:
         return alerts.filter("ts is not null").select("key", "ts")
-    found = _stored(_next_times(alerts, seconds * 1_000_000))
-    marked = _stored(found.filter("start").select("key", "t"))
+    found = stored(_next_times(alerts, seconds * 1_000_000))
+    marked = stored(found.filter("start").select("key", "t"))
     starts = marked.select(F.col("key").alias("k"), F.col("t").alias("u"))
     jumps = found.filter("nxt is not null").select("key", "t", "nxt")
     to_start = F.col("key").eqNullSafe(F.col("k")) & (F.col("nxt") == F.col("u"))
-    jumps = _stored(jumps.join(starts, to_start, "left_anti"))
+    jumps = stored(jumps.join(starts, to_start, "left_anti"))
     while not jumps.isEmpty():
         on = jumps.select(F.col("key").alias("k"), F.col("t").alias("u"), F.col("nxt").alias("after"))
         reached = marked.join(on, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u"))).select("key", F.col("after").alias("t"))
-        marked = _stored(marked.unionAll(reached).distinct())
-        jumps = _stored(jumps.join(on, to_start).select("key", "t", F.col("after").alias("nxt")))
+        marked = stored(marked.unionAll(reached).distinct())
+        jumps = stored(jumps.join(on, to_start).select("key", "t", F.col("after").alias("nxt")))
     return marked.select("key", F.timestamp_micros("t").cast(alerts.schema["ts"].dataType).alias("ts"))
 
 
