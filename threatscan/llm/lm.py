@@ -120,15 +120,16 @@ class Encoder:
 
 
 #: Class and place within it of each input.
-_CLASS = np.concatenate((np.arange(FREQUENT) // SIZE, GROUPS + np.arange(SHAPES), [END_CLASS])).astype(np.int32)
-_WITHIN = np.concatenate((np.arange(FREQUENT) % SIZE, np.zeros(SHAPES + 1))).astype(np.int32)
+_CLASS = np.concatenate((np.arange(FREQUENT) // SIZE, GROUPS + np.arange(SHAPES), [END_CLASS])).astype(np.uint8)
+_WITHIN = np.concatenate((np.arange(FREQUENT) % SIZE, np.zeros(SHAPES + 1))).astype(np.uint8)
 
 
 def coded(tokens: bytes):
     """``(inputs, classes, within)`` of an encoded text; the end token is last, and first as an input."""
     token = np.frombuffer(tokens, dtype="<u2")
-    target = np.append(token, END_INPUT)
-    return np.append(END_INPUT, token), _CLASS[target], _WITHIN[target]
+    end = np.array([END_INPUT], dtype=token.dtype)
+    target = np.concatenate((token, end))
+    return np.concatenate((end, token)), _CLASS[target], _WITHIN[target]
 
 
 def lanes(coded: list, n: int, tight: bool = True):
@@ -296,7 +297,7 @@ def train(flat: np.ndarray, coded: list, rate: float = RATE, least: int = LEAST_
     inp, cls, within, doc, start = lanes(coded, LANES, tight=False)
     live = [int((doc[t : t + STEPS] >= 0).sum()) for t in range(0, len(inp), STEPS)]
     passes = max(1, -(-least // len(live)))
-    m, v, mean = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    m, v, mean, by = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     updates, kept, total = 0, 0, passes * len(live)
     for _ in range(passes):
         h = np.zeros((inp.shape[1], HIDDEN), dtype=np.float32)
@@ -306,10 +307,18 @@ def train(flat: np.ndarray, coded: list, rate: float = RATE, least: int = LEAST_
             step = np.concatenate([g[name].ravel() for name, _ in SHAPES_OF])
             step *= min(1.0, 1.0 / (float(np.linalg.norm(step)) + 1e-9))
             updates += 1
-            m = 0.9 * m + 0.1 * step
-            v = 0.999 * v + 0.001 * step * step
+            # in place, as the weights of several tasks share a cache
+            m *= 0.9
+            m += np.multiply(step, 0.1, out=by)
+            np.multiply(step, step, out=step)
+            v *= 0.999
+            v += np.multiply(step, 0.001, out=step)
             now = rate * (1 - (updates - 1) / total) * live[k] / max(live)
-            flat -= np.float32(now) * (m / (1 - 0.9**updates)) / (np.sqrt(v / (1 - 0.999**updates)) + EPS)
+            np.sqrt(np.multiply(v, 1 / (1 - 0.999**updates), out=by), out=by)
+            by += EPS
+            np.divide(m, by, out=by)
+            by *= now / (1 - 0.9**updates)
+            flat -= by
             if 2 * updates > total:
                 mean += flat
                 kept += 1
