@@ -259,7 +259,7 @@ def image_findings(images: DataFrame) -> DataFrame:
     fits = F.when(name.endswith(".png"), c("head").startswith("\x89PNG")).when(name.rlike(r"\.jpe?g$"), c("head").startswith("\xff\xd8\xff")).when(name.endswith(".gif"), c("head").startswith("GIF")).when(name.endswith(".bmp"), c("head").startswith("BM")).otherwise(F.lit(True))
     words, pixels = X.word_count(t), c("width") * c("height")
     brands, h = X.contained(low, R.IMAGE_BRANDS), X.entropy(c("head"))
-    qr = F.transform(F.coalesce("qr", F.array().cast("array<string>")), F.trim)
+    qr = F.transform(F.coalesce("qr", F.array().cast("array<string>")), lambda u: F.trim(u))
     bad = lambda u: F.size(url_findings(u, "image")) > 0
     web = lambda u: u.startswith("http")
     odd = lambda u: F.when(web(u), ~bad(u)).otherwise(u.rlike(r"^\+?\d{10,15}$") | _any(F.lower(u), R.IMAGE_BRANDS))

@@ -139,3 +139,64 @@ def workbook_cell_findings(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     start = F.get(X.array_of(CELLS), F.pmod("doc_id", F.lit(len(CELLS))).cast("int"))
     return D.cell_findings(d.select(F.col("doc_id").alias("id"), F.concat(start, "text").alias("value"))).select("id", "finding")
+
+
+#: First characters of image files, and texts put before a document's own, by key.
+_HEADS = ["PNG", "GIF89a", "BM", "MZ", ""]
+_SHOWN = [
+    "", "Login at https://paytm-login.xyz/x password", "https://good.example.org/ ssl secured ••••", "paypa1.com g00gle.top verify turant", "कख khata search or type url", "user name mobile number otp submit", "rnicrosoft.net vvv.io аpple", "sbi hdfc https://amazon-pay.ru",
+]
+_QRS = [None, ["http://evil.xyz"], ["https://ok.example.org", " 12345678901 "], ["upi:paytm"]]
+_CONF = [None, [20] * 20, [40] * 16 + [61], [61] * 15 + [-1] * 4, [10] * 3 + [65] * 20, [62] * 15 + [1] * 40]
+_EXT = [".png", ".gif", ".bmp", ".webp", ".jpg"]
+
+
+def _nested(values) -> str:
+    one = lambda v: "NULL" if v is None else "[" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in v) + "]"
+    return "[" + ", ".join(one(v) for v in values) + "]"
+
+
+_IMAGES = rf"""im AS (SELECT doc_id AS id, doc_id AS k, {_l(_EXT)}[1 + (doc_id % {len(_EXT)})::INT] AS ext, {_l(_HEADS)}[1 + ((doc_id // 5) % {len(_HEADS)})::INT] AS head, doc_id * 37 % 500000 AS size, 50 + doc_id * 13 % 700 AS width, 60 + doc_id * 29 % 600 AS height,
+  CASE WHEN doc_id % 9 = 0 THEN '' ELSE {_l(_SHOWN)}[1 + ((doc_id // 2) % {len(_SHOWN)})::INT] || CASE WHEN doc_id % 3 = 0 THEN ' ' || text ELSE '' END END AS t, {_nested(_CONF)}[1 + ((doc_id // 3) % {len(_CONF)})::INT] AS conf, {_nested(_QRS)}[1 + ((doc_id // 7) % {len(_QRS)})::INT] AS qr0,
+  (doc_id % 100) / 100.0 AS white, doc_id % 40 AS sigma, (doc_id % 10) / 10.0 AS clear FROM documents),
+im1 AS (SELECT *, lower(t) AS low, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_\p{{M}}]+')) AS words, width * height AS pixels, list_transform(coalesce(qr0, []), lambda u: trim(u)) AS qr, list_filter(coalesce(conf, []), lambda x: x >= 0) AS cf,
+  list_concat(list_transform(regexp_extract_all(t, '[a-zA-Z0-9.-]+\.(?:com|org|net|in|co\.in|gov\.in|edu|io|xyz|top|ru|tk)'), lambda d: lower(d)), list_transform(regexp_extract_all(t, 'https?://([^\s/]+)', 1), lambda d: lower(d))) AS domains,
+  list_transform(regexp_extract_all(t, 'https://([^\s/\]>]+)', 1), lambda d: lower(d)) AS secure FROM im),
+im2 AS (SELECT *, len(list_filter(cf, lambda x: x > 60)) AS sure, list_sum(cf) / nullif(len(cf), 0) AS mean FROM im1)"""
+_BRAND_LIST = _l(R.IMAGE_BRANDS)
+
+
+def _of_domains(test: str) -> str:
+    return f"len(list_filter(domains, lambda d: {test}))"
+
+
+_BAD_URL = f"(starts_with(u, 'http://') OR len(list_filter({_l(R.TLDS['image'])}, lambda e: ends_with(regexp_extract(lower(u), '^https?://([^/]*)', 1), e))) > 0)"
+_IMAGE_RULES = [
+    ("(NOT CASE ext WHEN '.png' THEN false WHEN '.gif' THEN starts_with(head, 'GIF') WHEN '.bmp' THEN starts_with(head, 'BM') WHEN '.jpg' THEN false ELSE true END)::INT", "file_type_mismatch"), ("(width < 100 OR height < 100)::INT", "suspicious_exif"), ("(width < 300 AND height < 300)::INT", "blurred_image"),
+    ("(trim(t) = '')::INT", "low_text_density"), ("(pixels > 100000 AND words < 10)::INT", "single_image_content"), (_n(R.IMAGE_BRANDS), "ocr_phishing_text"), (f"({_n(R.IMAGE_BRANDS)} > 0 OR {_n(R.LOGIN_WORDS)} >= 2)::INT", "fake_login_page"), ("(len(qr) > 0)::INT", "qr_code_detected"),
+    (f"len(list_filter(qr, lambda u: starts_with(u, 'http') AND {_BAD_URL}))", "qr_malicious_url"), (rf"len(list_filter(qr, lambda u: CASE WHEN starts_with(u, 'http') THEN NOT {_BAD_URL} ELSE regexp_matches(u, '^\+?\d{{10,15}}$') OR {_any('lower(u)', R.IMAGE_BRANDS)} END))", "qr_suspicious_url"),
+    ("coalesce((size / nullif(pixels * 3, 0) > 2)::INT, 0)", "suspicious_file_size"), (f"({_n(R.HINDI)} > 0)::INT", "hindi_phishing_detected"), ("(regexp_matches(t, '[\\x{0900}-\\x{097F}]') AND regexp_matches(t, '[A-Za-z]'))::INT", "mixed_script_detected"),
+    (f"{_n(list(R.HOMOGLYPHS), 'im2.t')} + coalesce(list_sum(list_transform(domains, lambda d: len(list_filter({_l(R.SPOOFS)}, lambda s: contains(d, s))))), 0)::BIGINT", "homograph_domain"), (f"{_of_domains(chr(39).join(['regexp_matches(d, ', '[a-z]0[a-z]', ')']))} + {_of_domains(chr(39).join(['regexp_matches(d, ', '[a-z]1[a-z]', ')']))}", "char_substitution"),
+    (f"{_of_domains(chr(39).join(['contains(d, ', 'rn', ')']))} + {_of_domains(chr(39).join(['contains(d, ', 'vv', ')']))}", "lookalike_domain"), ("(white > 0.95)::INT", "hidden_text_overlay"), ("(sigma < 15)::INT", "low_contrast_text"), ("(clear > 0.3)::INT", "transparent_layer"),
+    ("regexp_matches(t, '[•*]{4,}')::INT", "password_field_detected"), (f"({_any('low', R.BUTTONS)})::INT", "fake_submit_button"), (f"({_n(R.FIELDS)} >= 2)::INT", "fake_login_form_detected"), (_n(R.BROWSER_SIGNS), "fake_browser_ui"),
+    (f"len(list_filter(list_transform(secure, lambda d: 'https://' || d), lambda u: {_BAD_URL})) + len(list_filter(secure, lambda d: {_any('d', R.IMAGE_BRANDS)} AND len(list_filter({_l(R.TLDS['image'])}, lambda e: ends_with(d, e))) > 0))", "fake_address_bar"),
+    (f"({_any('low', R.PADLOCKS)})::INT", "fake_padlock_detected"), ("coalesce((len(cf) > 0 AND sure >= 15 AND mean < 30)::INT, 0)", "blur_evasion_detected"), ("coalesce((len(cf) > 0 AND sure >= 15 AND mean >= 30 AND mean < 50)::INT, 0)", "low_ocr_confidence"), ("(k % 50 = 0)::INT", "ocr_failed"),
+]
+_IMAGE_SQL = f"WITH {_IMAGES} SELECT id, finding, sum(n)::BIGINT AS n FROM (" + " UNION ALL ".join(f"SELECT id, '{f}' AS finding, {n} AS n FROM im2" for n, f in _IMAGE_RULES) + ") WHERE n > 0 GROUP BY ALL"
+
+
+@query("image_findings", _IMAGE_SQL)
+def image_findings(spark, sf):
+    """Image rows whose bytes, sizes, codes and texts follow from documents."""
+    k = F.col("doc_id")
+
+    def at(values, kind: str, step: int = 1):
+        one = lambda v: F.lit(None).cast(kind) if v is None else F.array(*(F.lit(x) for x in v)).cast(kind) if isinstance(v, list) else F.lit(v)
+        return F.get(F.array(*(one(v) for v in values)), F.pmod(F.floor(k / step), F.lit(len(values))).cast("int"))
+
+    text = F.concat(at(_SHOWN, "string", 2), F.when(k % 3 == 0, F.concat(F.lit(" "), "text")).otherwise(""))
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select(
+        k.alias("id"), F.concat(F.lit("/x/a"), at(_EXT, "string")).alias("path"), at(_HEADS, "string", 5).alias("head"), (k * 37 % 500_000).alias("size"), (50 + k * 13 % 700).alias("width"), (60 + k * 29 % 600).alias("height"),
+        F.when(k % 9 == 0, "").otherwise(text).alias("ocr_text"), at(_CONF, "array<int>", 3).alias("ocr_conf"), at(_QRS, "array<string>", 7).alias("qr"), (k % 100 / 100).alias("white_share"), (k % 40).alias("sigma"), (k % 10 / 10).alias("clear_share"), F.when(k % 50 == 0, "none").alias("ocr_error"),
+    )
+    return _counted(D.image_findings(rows))
