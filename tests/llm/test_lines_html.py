@@ -190,7 +190,9 @@ def test_differencing_decides_without_an_article(spark):
     rows += [page(90, ["copied one", "copied two", "copied three", "copied four", "copied five", "copied six", "seven", "eight"], "c.example"), page(91, ["copied one", "copied two", "copied three", "copied four", "copied five", "copied six", "seven", "eight"], "c.example")]
     rows += [(100, None, None, "x"), (101, "http://[bad", "", "x"), (102, "http://h.example/a/0001", rows[1][2], "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, lines string")
-    got = {r.page_id: r.text for r in H.extracted(df).collect()}
+    out = {r.page_id: r for r in H.extracted(df).collect()}
+    got = {i: r.text for i, r in out.items()}
+    assert len(out) == len(rows) and (out[5].n_lines, out[5].n_deleted) == (6, 2)
     for i in range(40):
         if i != 1:
             assert got[i] == "\n".join(f"own text {i} {j}" for j in range(4))
