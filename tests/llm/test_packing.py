@@ -115,3 +115,36 @@ def test_ids_of_documents_pass_unchanged(spark):
     assert {r.doc_id for r in packing.pack_documents(df).collect()} == {9007199254740993, None, -1}
     named = packing.pack_documents(spark.createDataFrame([("x/1", "a " * 100), ("y", "c")], "doc_id string, text string"), capacity=64)
     assert sorted((r.doc_id, r.piece) for r in named.collect()) == [("x/1", 0), ("x/1", 1), ("y", 0)]
+
+
+def optimum(sizes, capacity):
+    """The least number of sequences, by trying every place for each piece."""
+    best = len(sizes)
+
+    def place(i, free):
+        nonlocal best
+        if len(free) >= best:
+            return
+        if i == len(sizes):
+            best = len(free)
+            return
+        for gap in sorted(set(free)):
+            if gap >= sizes[i]:
+                place(i + 1, sorted([*free[: free.index(gap)], *free[free.index(gap) + 1 :], gap - sizes[i]]))
+        place(i + 1, [*free, capacity - sizes[i]])
+
+    place(0, [])
+    return best
+
+
+def test_plans_are_near_the_optimum():
+    rng = random.Random(3)
+    more = 0
+    for _ in range(150):
+        sizes = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        counts = {x: sizes.count(x) for x in sizes}
+        got = sum(times for _, times in packing.plan(counts, 20))
+        least = optimum(sizes, 20)
+        assert least <= got <= least + 1
+        more += got - least
+    assert more <= 8
