@@ -146,13 +146,16 @@ def url_score(spark, sf):
     return U.scan_urls(page_urls(spark, sf)).select("page_id", "url", "heuristic_score", "score", "confidence", "verdict", "status")
 
 
-@query("url_model_max", f"WITH {FEATURES} SELECT page_id, greatest(heuristic_score, CASE WHEN page_id % 3 = 0 THEN (page_id * 7) % 101 ELSE heuristic_score END)::INT AS score FROM h WHERE NOT trusted AND NOT low_risk")
+@query(
+    "url_model_max",
+    f"""WITH {FEATURES}, mm AS (SELECT *, greatest(heuristic_score, coalesce(max(CASE WHEN page_id % 3 = 0 THEN (page_id * 7) % 101 END) OVER (PARTITION BY url), heuristic_score)) AS raised FROM h)
+SELECT page_id, CASE WHEN trusted AND raised >= 40 THEN least(raised, 30) WHEN NOT trusted AND low_risk AND raised >= 70 THEN least(raised, 39) ELSE raised END::INT AS score FROM mm""",
+)
 def url_model_max(spark, sf):
+    """Scores raised by a model's, and held back for trusted and plain URLs."""
     df = page_urls(spark, sf)
-    ml = df.select("url", F.when(F.col("page_id") % 3 == 0, (F.col("page_id") * 7 % 101).cast("string")).otherwise("n/a").alias("prediction_score"), "page_id")
-    out = U.scan_urls(df, model_scores=ml.drop("page_id"))
-    trusted = F.array_join(F.slice(F.split("host", r"\."), -2, 2), ".").isin(R.TRUSTED_DOMAINS)
-    return out.filter(~trusted & ~U.low_risk()).select("page_id", "score")
+    ml = df.select("url", F.when(F.col("page_id") % 3 == 0, (F.col("page_id") * 7 % 101).cast("string")).otherwise("n/a").alias("prediction_score"))
+    return U.scan_urls(df, model_scores=ml).select("page_id", "score")
 
 
 _PERCENT = "round_even(100 * {}, 0)::INT"
