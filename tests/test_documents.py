@@ -240,7 +240,8 @@ def test_hash_pairs_match_brute_force(spark):
     first = {h: hs.index(h) for h in hs}
     ids = sorted(set(first.values()))
     want = sorted((a, b, bin(hs[a] ^ hs[b]).count("1")) for a in ids for b in ids if a < b and bin(hs[a] ^ hs[b]).count("1") <= 9)
-    assert sorted(map(tuple, D.hash_pairs(df).collect())) == want
+    for agree in (None, 1, 3):
+        assert sorted(map(tuple, D.hash_pairs(df, agree=agree).collect())) == want
     assert {r.id: r.representative for r in D.hash_members(df).collect()} == {i: first[h] for i, h in enumerate(hs)}
 
 

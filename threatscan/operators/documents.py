@@ -299,40 +299,48 @@ def image_statistics(images: DataFrame) -> DataFrame:
     return images.withColumn("s", stats("image.data", "image.nChannels")).select("id", "s.*", "image.height", "image.width")
 
 
-def _block_keys(h: Column, blocks: int, agree: int) -> Column:
-    """Each choice of ``agree`` of the ``blocks`` bit blocks of a 64-bit hash: its number and the bits."""
+def _blocks(blocks: int) -> list[int]:
+    """Masks of the bit blocks of a 64-bit hash."""
     cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    keys = []
-    for n, chosen in enumerate(combinations(range(blocks), agree)):
-        mask = sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen)
-        keys.append(F.struct(F.lit(n).alias("choice"), h.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)).alias("bits")))
+    return [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def _block_keys(h: Column, blocks: int, agree: int) -> Column:
+    """Each choice of ``agree`` of the ``blocks`` bit blocks of a 64-bit hash: the blocks as bits of ``choice``, all blocks up to its last one as bits of ``upto``, and the hash's bits in them."""
+    masks, keys = _blocks(blocks), []
+    for chosen in combinations(range(blocks), agree):
+        of = sum(masks[i] for i in chosen)
+        keys.append(F.struct(F.lit(sum(1 << i for i in chosen)).alias("choice"), F.lit((1 << (chosen[-1] + 1)) - 1).alias("upto"), h.bitwiseAND(F.lit(_signed(of))).alias("bits")))
     return F.array(*keys)
 
 
-def _first_choice(x: Column, blocks: int, agree: int) -> Column:
-    """The number of the first choice whose blocks are all zero in ``x``."""
-    cuts = [round(64 * i / blocks) for i in range(blocks + 1)]
-    numbers = {chosen: n for n, chosen in enumerate(combinations(range(blocks), agree))}
-    zero = F.filter(F.transform(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(((1 << (cuts[i + 1] - cuts[i])) - 1)).alias("m"), F.lit(cuts[i]).alias("a")) for i in range(blocks))), lambda b: F.when(F.call_function("shiftrightunsigned", x, b["a"]).bitwiseAND(b["m"]) == 0, b["i"])), lambda i: i.isNotNull())
-    known = F.create_map(*(F.lit(v) for k, n in numbers.items() for v in (",".join(map(str, k)), n)))
-    return known[F.array_join(F.slice(zero, 1, agree).cast("array<string>"), ",")]
+def _equal_blocks(x: Column, blocks: int) -> Column:
+    """The blocks in which ``x`` is zero, as bits."""
+    return sum((F.when(x.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(_blocks(blocks))), F.lit(0))
 
 
-def hash_pairs(hashed: DataFrame, most: int = 9, blocks: int = 12) -> DataFrame:
+def hash_pairs(hashed: DataFrame, most: int = 9, agree: int | None = None) -> DataFrame:
     """``(a, b, distance)`` of 64-bit hashes ``(id, h)`` at ``most`` or fewer differing bits, between representatives.
 
     Equal hashes are merged before (``hash_members``), so copies do not
-    multiply. Of ``blocks`` bit blocks such a pair agrees in ``blocks - most``
-    at least, so each hash is filed under every choice of so many (16 bits of
-    key by default) and pairs meet by an equi-join; a pair is kept at its first
-    common choice only.
+    multiply. Of ``most + agree`` bit blocks such a pair agrees in ``agree`` at
+    least, so each hash is filed under every choice of so many and pairs meet by
+    an equi-join; a pair is kept at its first common choice only. More blocks
+    make longer keys and more rows: without ``agree``, the number of different
+    hashes decides (2 below 100,000, else 3); the pairs are the same.
     """
-    agree = blocks - most
     reps = hashed.groupBy("h").agg(F.min("id").alias("id"))
+    if agree is None:
+        agree = 2 if reps.count() < 100_000 else 3
+    blocks = most + agree
     k = reps.select("id", "h", F.explode(_block_keys(F.col("h"), blocks, agree)).alias("k")).select("id", "h", "k.*")
-    a, b = k.select(F.col("id").alias("a"), F.col("h").alias("ha"), "choice", "bits"), k.select(F.col("id").alias("b"), F.col("h").alias("hb"), "choice", "bits")
+    a, b = k.select(F.col("id").alias("a"), F.col("h").alias("ha"), "choice", "upto", "bits"), k.select(F.col("id").alias("b"), F.col("h").alias("hb"), "choice", "bits")
     near = a.join(b, ["choice", "bits"]).filter("a < b").withColumn("distance", X.hamming(F.col("ha"), F.col("hb"))).filter(F.col("distance") <= most)
-    return near.filter(_first_choice(F.col("ha").bitwiseXOR(F.col("hb")), blocks, agree) == F.col("choice")).select("a", "b", "distance")
+    return near.filter(_equal_blocks(F.col("ha").bitwiseXOR(F.col("hb")), blocks).bitwiseAND(F.col("upto")) == F.col("choice")).select("a", "b", "distance")
 
 
 def hash_members(hashed: DataFrame) -> DataFrame:
@@ -344,7 +352,7 @@ def hash_members(hashed: DataFrame) -> DataFrame:
 FEW_TEMPLATES = 2000
 
 
-def template_findings(hashed: DataFrame, templates: DataFrame, most: int = 9, blocks: int = 12) -> DataFrame:
+def template_findings(hashed: DataFrame, templates: DataFrame, most: int = 9, agree: int = 3) -> DataFrame:
     """``known_phishing_template`` for each image ``(id, h)`` at ``most`` or fewer bits from a hash of the user's table ``templates (h)``."""
     known = templates.select("h").distinct()
     few = [r[0] for r in known.limit(FEW_TEMPLATES + 1).collect()]
@@ -352,8 +360,7 @@ def template_findings(hashed: DataFrame, templates: DataFrame, most: int = 9, bl
         near = F.exists(F.array(*(F.lit(x) for x in few)).cast("array<bigint>"), lambda t: X.hamming(t, F.col("h")) <= most) if few else F.lit(False)
         found = hashed.filter(near).select("id")
     else:
-        agree = blocks - most
-        keyed = lambda df: df.select("*", F.explode(_block_keys(F.col("h"), blocks, agree)).alias("k")).select(*df.columns, "k.*")
+        keyed = lambda df: df.select("*", F.explode(_block_keys(F.col("h"), most + agree, agree)).alias("k")).select(*df.columns, "k.choice", "k.bits")
         other = keyed(known).select(F.col("h").alias("ht"), "choice", "bits")
         found = keyed(hashed.select("id", "h")).join(other, ["choice", "bits"]).filter(X.hamming(F.col("h"), F.col("ht")) <= most).select("id").distinct()
     return found.select("id", F.lit(900).alias("ord"), F.lit("known_phishing_template").alias("finding"))

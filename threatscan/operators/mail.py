@@ -73,7 +73,10 @@ def html_ratio(text: Column, html: Column) -> Column:
 
 def urgency(text: Column, lexicon=None) -> Column:
     """Urgent words per word, times 20, at most 1."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+    return _urgency_of(F.lower(F.coalesce(text, F.lit(""))), lexicon)
+
+
+def _urgency_of(low: Column, lexicon=None) -> Column:
     hits = sum((X.count_of(low, w) for w in (lexicon or R.MAIL_URGENCY)), F.lit(0))
     return F.when(F.trim(low) == "", 0.0).otherwise(F.least(F.lit(1.0), hits / F.greatest(X.word_count(low), F.lit(1)) * 20))
 
@@ -103,9 +106,9 @@ def scan_mail(mails: DataFrame, probabilities: DataFrame | None = None) -> DataF
 
     out = header_flags(mails)
     out = out.join(probabilities.select("id", F.col("p").alias("__p")), "id", "left") if probabilities is not None else out.withColumn("__p", F.lit(None).cast("double"))
-    b = body(F.col("text_body"), F.col("html_body"))
-    out = out.withColumns({"urgency": urgency(b), "html_ratio": html_ratio(F.col("text_body"), F.col("html_body")), "urls": F.array_distinct(F.concat(extracted_urls(F.coalesce("text_body", F.lit("")), True), extracted_urls(F.coalesce("html_body", F.lit("")), True)))})
-    out = out.withColumn("score", fused(F.col("__p"), F.col("header_suspicious"), F.col("urgency"), F.col("html_ratio"))).drop("__p")
+    out = out.withColumn("__low", F.lower(F.coalesce(body(F.col("text_body"), F.col("html_body")), F.lit(""))))
+    out = out.withColumns({"urgency": _urgency_of(F.col("__low")), "html_ratio": html_ratio(F.col("text_body"), F.col("html_body")), "urls": F.array_distinct(F.concat(extracted_urls(F.coalesce("text_body", F.lit("")), True), extracted_urls(F.coalesce("html_body", F.lit("")), True)))})
+    out = out.withColumn("score", fused(F.col("__p"), F.col("header_suspicious"), F.col("urgency"), F.col("html_ratio"))).drop("__p", "__low")
     return out.withColumns({"verdict": mail_verdict(F.col("score")), "severity": mail_severity(F.col("score")), "urgency_flag": urgency_flag(F.col("urgency"))})
 
 
