@@ -6,7 +6,6 @@ it, and headers, bytes and alerts follow from keys in both Spark and SQL.
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from threatscan.functions import text as X
