@@ -5,7 +5,6 @@ import os
 import random
 from pathlib import Path
 
-
 from threatscan.operators import urls as U
 from threatscan.streaming import feeds
 
