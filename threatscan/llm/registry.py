@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from threatscan.llm import chat, decontaminate, dedup_lines, html, langid, lm, packing, pii, quality, simhash
+from threatscan.llm import chat, decontaminate, dedup_lines, fingerprint, html, langid, lm, middle, packing, pii, quality, simhash, trie
 
 
 def registered() -> dict:
     out: dict = {}
-    for m in (chat, decontaminate, dedup_lines, html, langid, lm, packing, pii, quality, simhash):
+    for m in (chat, decontaminate, dedup_lines, fingerprint, html, langid, lm, middle, packing, pii, quality, simhash, trie):
         out |= m.QUERIES
     return out
