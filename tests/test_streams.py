@@ -3,8 +3,11 @@
 import datetime as dt
 import os
 import random
+import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from threatscan.operators import urls as U
 from threatscan.streaming import feeds
 
@@ -55,11 +58,30 @@ def test_cooldown_is_the_batch_cooldown(spark, tmp_path):
     assert sorted((r.key, r.ts) for r in got.collect()) == batch
 
 
+def brute_attempts(rows, limit=feeds.ATTEMPTS, ttl=feeds.TTL):
+    """seq -> (failures, locked), one attempt after the other."""
+    out, state = {}, {}
+    for key, seq, ts, ok in sorted(rows, key=lambda r: (r[0] or "", r[2], r[1])):
+        since, n = state.get(key, (None, 0))
+        if since is None or (ts - since).total_seconds() >= ttl:
+            since, n = ts, 0
+        if n < limit:
+            n = 0 if ok else n + 1
+        out[seq] = (n, n >= limit)
+        state[key] = (None, 0) if ok and n < limit else (since, n)
+    return out
+
+
 def test_attempt_limit(spark, tmp_path):
-    rows = [("a", i, at(i), i == 2) for i in range(8)]
+    rows = [("a", i, at(i), i == 2) for i in range(9)] + [("a", 9, at(9), True), ("a", 10, at(602), True), ("a", 11, at(603), False)]
     df = spark.createDataFrame(rows, "key string, seq long, ts timestamp, ok boolean")
     got = {r.seq: (r.failures, r.locked) for r in feeds.attempt_lock(df).collect()}
-    assert got[5] == (5, True) and got[4] == (4, False) and got[2] == (2, False)
+    assert got[1] == (2, False) and got[2] == (0, False) and got[3] == (1, False)  # a success begins anew
+    assert got[6] == (4, False) and got[7] == (5, True) and got[8] == (5, True) and got[9] == (5, True)  # locked: a right one is refused
+    assert got[10] == (5, True) and got[11] == (1, False)  # the count that began at 3 s has ended
+    assert got == brute_attempts(rows)
+    days = [("a", i, at(86400 * i), False) for i in range(8)]
+    assert {r.failures for r in feeds.attempt_lock(spark.createDataFrame(days, "key string, seq long, ts timestamp, ok boolean")).collect()} == {1}
 
 
 def test_join_within_and_distinct(spark):
@@ -97,13 +119,42 @@ def test_attempts_stream_counts_and_expires(spark, tmp_path):
     d = [("a", at(9000), False), ("b", at(9001), False)]  # by now the watermark has passed both counts
     got = drain(feeds.attempts_stream(stream(spark, tmp_path, [a, b, c, d], "key string, ts timestamp, ok boolean")), tmp_path, "attempts").collect()
     seen = {(r.key, int(r.ts.timestamp() - T0.replace(tzinfo=None).timestamp())): (r.failures, r.locked) for r in got}
-    assert {s: v for (k, s), v in seen.items() if k == "a"} == {0: (1, False), 10: (2, False), 20: (3, False), 30: (3, False), 40: (4, False), 50: (5, True), 700: (1, False), 9000: (1, False)}
+    assert {s: v for (k, s), v in seen.items() if k == "a"} == {0: (1, False), 10: (2, False), 20: (3, False), 30: (0, False), 40: (1, False), 50: (2, False), 700: (1, False), 9000: (1, False)}
     assert {s: v for (k, s), v in seen.items() if k == "b"} == {5: (0, False), 5000: (1, False), 9001: (1, False)}
 
 
-def test_running_failures_over_spans(spark):
+def test_batch_attempts_match_brute_force(spark):
     rng = random.Random(3)
-    rows = [(rng.choice("ab"), i, at(rng.randrange(0, 40_000)), rng.random() < 0.5) for i in range(400)]
-    got = {r.seq: r.failures for r in feeds.attempt_lock(spark.createDataFrame(rows, "key string, seq long, ts timestamp, ok boolean")).collect()}
-    for key, seq, ts, _ in rows:
-        assert got[seq] == sum(k == key and (t, s) <= (ts, seq) and not ok for k, s, t, ok in rows)
+    rows = [(rng.choice(["a", "b", None]), i, at(rng.randrange(0, 9_000)), rng.random() < 0.2) for i in range(500)]
+    rows += [("hot", 1000 + i, at(i * 2 % 700), rng.random() < 0.05) for i in range(700)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "key string, seq long, ts timestamp, ok boolean")
+        assert feeds.in_blocks(df, "key", ["ts"]).filter("key = 'hot'").select("block").distinct().count() > 1
+        got = {r.seq: (r.failures, r.locked) for r in feeds.attempt_lock(df, ttl=300).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = brute_attempts(rows, ttl=300)
+    assert got == want and any(x for _, x in want.values())
+    odd = spark.createDataFrame([("a", 1, None, None), ("a", 2, None, True), ("a", 3, at(0), False)], "key string, seq long, ts timestamp, ok boolean")
+    assert {r.seq: r.failures for r in feeds.attempt_lock(odd).collect()} == {1: 1, 2: 0, 3: 1}
+    assert feeds.attempt_lock(odd.limit(0)).count() == 0
+
+
+def test_attempts_batch_is_the_stream(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = random.Random(8)
+    moments = sorted(rng.sample(range(4000), 90))
+    rows = [(rng.choice("ab"), i, at(s), rng.random() < 0.2) for i, s in enumerate(moments)]
+    plain = [(k, t, ok) for k, _, t, ok in rows]
+    got = drain(feeds.attempts_stream(stream(spark, tmp_path, [plain[:30], plain[30:60], plain[60:]], "key string, ts timestamp, ok boolean")), tmp_path, "both").collect()
+    batch = feeds.attempt_lock(spark.createDataFrame(rows, "key string, seq long, ts timestamp, ok boolean")).collect()
+    assert sorted((r.key, r.ts, r.failures, r.locked) for r in got) == sorted((r.key, r.ts, r.failures, r.locked) for r in batch)
+
+
+def test_cooldown_of_a_dense_key_is_near_linear(spark):
+    """40,000 alerts of one key within two minutes: each is looked at once."""
+    df = spark.range(40_000).select(F.lit("k").alias("key"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") * 2750).alias("ts"))
+    began = time.time()
+    assert feeds.cooldown(df, 60).count() == 2
+    assert time.time() - began < 20

@@ -311,10 +311,19 @@ def alert_cooldown(spark, sf):
     return feeds.cooldown(_events(spark, sf).select(F.col("user_id").alias("key"), "ts"), 6 * 3600)
 
 
-@query("attempt_lock", "SELECT user_id AS key, event_id AS seq, sum((value >= 50)::INT) OVER w::BIGINT AS failures, sum((value >= 50)::INT) OVER w >= 5 AS locked FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+@query(
+    "attempt_lock",
+    """WITH RECURSIVE e AS (SELECT user_id AS key, event_id AS seq, ts, value < 50 AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT key, seq, ts, rn, CASE WHEN ok THEN 0 ELSE 1 END AS n, CASE WHEN ok THEN NULL ELSE ts END AS since FROM e WHERE rn = 1
+  UNION ALL SELECT e.key, e.seq, e.ts, e.rn,
+    CASE WHEN r.since IS NULL OR e.ts - r.since >= INTERVAL '10 days' THEN (NOT e.ok)::INT WHEN r.n >= 5 THEN r.n WHEN e.ok THEN 0 ELSE r.n + 1 END,
+    CASE WHEN r.since IS NULL OR e.ts - r.since >= INTERVAL '10 days' THEN CASE WHEN NOT e.ok THEN e.ts END WHEN r.n >= 5 THEN r.since WHEN e.ok THEN NULL ELSE r.since END
+  FROM r JOIN e ON e.key = r.key AND e.rn = r.rn + 1)
+SELECT key, seq, n::BIGINT AS failures, n >= 5 AS locked FROM r""",
+)
 def attempt_lock(spark, sf):
     a = _events(spark, sf).select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), "ts", (F.col("value") < 50).alias("ok"))
-    return feeds.attempt_lock(a).select("key", "seq", "failures", "locked")
+    return feeds.attempt_lock(a, ttl=10 * 86400).select("key", "seq", "failures", "locked")
 
 
 @query("latest_open", "SELECT email, purpose, seq FROM (SELECT user_id AS email, event_type AS purpose, event_id AS seq, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_id % 3 <> 0) WHERE rn = 1")

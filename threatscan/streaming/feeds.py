@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from threatscan.functions.tables import stored
+from threatscan.functions.tables import in_blocks, met, stored
 from threatscan.operators.urls import scan_urls
 
 COOLDOWN, TTL, ATTEMPTS = 60, 600, 5
@@ -41,7 +41,7 @@ def distinct_stream(df: DataFrame, keys: list[str], ts: str = "ts", late: str =
 
 
 def _processor(handle_rows):
-    """Keeps ``(since, n)`` for each key. ``handle_rows(state, key, rows)`` gives rows, the new state and the second from which on it says nothing any more; when the watermark passes that, the state goes."""
+    """Keeps ``(since, n)`` for each key. ``handle_rows(state, key, rows)`` gives rows, the new state (or none) and the second from which on it says nothing any more; when the watermark passes that, the state goes."""
     from pyspark.sql.streaming import StatefulProcessor
 
     class Keyed(StatefulProcessor):
@@ -52,10 +52,12 @@ def _processor(handle_rows):
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
             was = self.state.get() if self.state.exists() else None
             out, state, until = handle_rows(was, key[0], pd.concat(list(rows)).sort_values("ts"))
-            if state is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old)
+            if state is None:
+                self.state.clear()
+            else:
                 self.state.update(state)
-                for old in list(self.handle.listTimers()):
-                    self.handle.deleteTimer(old)
                 self.handle.registerTimer(int(until * 1000))
             yield out
 
@@ -86,7 +88,13 @@ def cooldown_stream(alerts: DataFrame, seconds: int = COOLDOWN, late: str = "10
 
 
 def attempts_stream(attempts: DataFrame, limit: int = ATTEMPTS, ttl: int = TTL, late: str = "10 minutes") -> DataFrame:
-    """Failures of each key and whether it is locked. A count begins with a key's first attempt and ends ``ttl`` seconds later; the next attempt begins another."""
+    """Failures of each key and whether it is locked.
+
+    A count begins with a key's first attempt and ends ``ttl`` seconds later or
+    with a success; the next attempt begins another. From ``limit`` failures on
+    the key is locked: further attempts are refused, right ones too, until the
+    count ends.
+    """
 
     def rows(state, key, pdf: pd.DataFrame):
         since, n = state or (None, 0)
@@ -95,9 +103,12 @@ def attempts_stream(attempts: DataFrame, limit: int = ATTEMPTS, ttl: int = TTL,
             s = t.timestamp()
             if since is None or s - since >= ttl:
                 since, n = s, 0
-            n += not ok
+            if n < limit:
+                n = 0 if ok else n + 1
             out.append((key, t, n, n >= limit))
-        return pd.DataFrame(out, columns=["key", "ts", "failures", "locked"]), (since, int(n)), since + ttl
+            if ok and n < limit:
+                since = None
+        return pd.DataFrame(out, columns=["key", "ts", "failures", "locked"]), None if since is None else (since, int(n)), None if since is None else since + ttl
 
     return attempts.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(_processor(rows), "key string, ts timestamp, failures long, locked boolean", "append", "eventTime")
 
@@ -107,18 +118,39 @@ def _next_times(alerts: DataFrame, us: int) -> DataFrame:
 
     Events are looked at in spans of ``us``, each with its neighbour, so no
     group holds all events of a key; only one row for each span is put in order.
+    The first later time comes from a frame that grows from the latest event
+    backwards, so that each row is looked at once.
     """
-    times = stored(alerts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).filter("t is not null").distinct().withColumn("span", ((F.col("t") - F.pmod("t", F.lit(us))) / us).cast("long")))
+    times = alerts.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).filter("t is not null").distinct()
+    return _next_of(times, us)
+
+
+def _next_of(times: DataFrame, us: int) -> DataFrame:
+    """``_next_times`` of different ``(key, t)``, ``t`` in microseconds."""
+    times = times.withColumn("span", ((F.col("t") - F.pmod("t", F.lit(us))) / us).cast("long"))
     spans = times.groupBy("key", "span").agg(F.min("t").alias("low"), F.max("t").alias("high"))
     of_key = W.partitionBy("key").orderBy("span")
     spans = spans.select("key", "span", F.lag("high").over(of_key).alias("before"), F.lead("low", 1).over(of_key).alias("low1"), F.lead("span", 1).over(of_key).alias("span1"), F.lead("low", 2).over(of_key).alias("low2"))
-    both = times.select("key", "t", F.explode(F.array(F.col("span"), F.col("span") - 1)).alias("at"), "span")
-    of_span = W.partitionBy("key", "at").orderBy("t")
-    near = both.select("key", "t", "span", "at", F.min("t").over(of_span.rangeBetween(us, W.unboundedFollowing)).alias("near"), F.lag("t").over(of_span).alias("prev")).filter("span = at")
-    e = near.alias("e").join(spans.alias("s"), F.col("e.key").eqNullSafe(F.col("s.key")) & (F.col("e.span") == F.col("s.span")))
-    later = F.when(F.col("span1") == F.col("e.span") + 1, F.col("low2")).otherwise(F.col("low1"))
+    both = times.select("key", "t", F.explode(F.array(F.col("span"), F.col("span") - 1)).alias("at"), "span").withColumn("back", -F.col("t"))
+    of_span = W.partitionBy("key", "at").orderBy("back")
+    near = both.select("key", "t", "span", "at", F.min("t").over(of_span.rangeBetween(W.unboundedPreceding, -us)).alias("near"), F.lead("t").over(of_span).alias("prev")).filter("span = at")
+    e = met(near.drop("at"), spans, ["key", "span"])
+    later = F.when(F.col("span1") == F.col("span") + 1, F.col("low2")).otherwise(F.col("low1"))
     prev = F.coalesce("prev", "before")
-    return e.select(F.col("e.key").alias("key"), "t", F.coalesce("near", later).alias("nxt"), (prev.isNull() | (F.col("t") - prev >= us)).alias("start"))
+    return e.select("key", "t", F.coalesce("near", later).alias("nxt"), (prev.isNull() | (F.col("t") - prev >= us)).alias("start"))
+
+
+def _reached(links: DataFrame) -> DataFrame:
+    """``(key, at)`` of all places that starts lead to, for ``links (key, at, nxt, start)``, stored: pointers are doubled, so a chain of a million takes some twenty rounds."""
+    marked = stored(links.filter("start").select("key", "at"))
+    jumps = links.filter("nxt is not null").select("key", "at", "nxt")
+    jumps = stored(met(jumps, marked.withColumnRenamed("at", "nxt"), ["key", "nxt"], "left_anti"))
+    while not jumps.isEmpty():
+        on = jumps.withColumnRenamed("nxt", "after")
+        reached = met(marked, on, ["key", "at"]).select("key", F.col("after").alias("at"))
+        marked = stored(marked.unionAll(reached).distinct())
+        jumps = stored(met(jumps, on.withColumnRenamed("at", "nxt"), ["key", "nxt"]).select("key", "at", F.col("after").alias("nxt")))
+    return marked
 
 
 def cooldown(alerts: DataFrame, seconds: int = COOLDOWN) -> DataFrame:
@@ -130,35 +162,44 @@ def cooldown(alerts: DataFrame, seconds: int = COOLDOWN) -> DataFrame:
     """
     if seconds <= 0:
         return alerts.filter("ts is not null").select("key", "ts")
-    found = stored(_next_times(alerts, seconds * 1_000_000))
-    marked = stored(found.filter("start").select("key", "t"))
-    starts = marked.select(F.col("key").alias("k"), F.col("t").alias("u"))
-    jumps = found.filter("nxt is not null").select("key", "t", "nxt")
-    to_start = F.col("key").eqNullSafe(F.col("k")) & (F.col("nxt") == F.col("u"))
-    jumps = stored(jumps.join(starts, to_start, "left_anti"))
-    while not jumps.isEmpty():
-        on = jumps.select(F.col("key").alias("k"), F.col("t").alias("u"), F.col("nxt").alias("after"))
-        reached = marked.join(on, F.col("key").eqNullSafe(F.col("k")) & (F.col("t") == F.col("u"))).select("key", F.col("after").alias("t"))
-        marked = stored(marked.unionAll(reached).distinct())
-        jumps = stored(jumps.join(on, to_start).select("key", "t", F.col("after").alias("nxt")))
-    return marked.select("key", F.timestamp_micros("t").cast(alerts.schema["ts"].dataType).alias("ts"))
+    found = stored(_next_times(alerts, seconds * 1_000_000).withColumnRenamed("t", "at"))
+    return _reached(found).select("key", F.timestamp_micros("at").cast(alerts.schema["ts"].dataType).alias("ts"))
 
 
-def attempt_lock(attempts: DataFrame, limit: int = ATTEMPTS, span: str = "hour") -> DataFrame:
-    """Batch form: running failures of each key and whether it is locked.
+def attempt_lock(attempts: DataFrame, limit: int = ATTEMPTS, ttl: int = TTL) -> DataFrame:
+    """Batch form of ``attempts_stream``: ``(key, seq, ts, failures, locked)`` for ``attempts (key, seq, ts, ok)``.
 
-    Failures are counted within spans of time, and spans are put in order by
-    their sums, so no task orders all attempts of a key. Null times come first.
+    Attempts of one time are in the order of ``seq``. Null times come first, as
+    of one time; a null ``ok`` is a failure. Where a count that began with an
+    attempt would end is known for every attempt: behind the next success, if
+    fewer than ``limit`` failures lie before it, or else at the first attempt
+    ``ttl`` seconds later. Which attempts do begin a count is then a matter of
+    following these pointers, by doubling. No task holds all attempts of a key.
     """
-    failed = (~F.col("ok")).cast("long")
-    spanned = attempts.select("key", "seq", "ts", failed.alias("__f"), F.date_trunc(span, "ts").alias("__span"))
-    sums = spanned.groupBy("key", "__span").agg(F.sum("__f").alias("__sum"))
-    before = F.sum("__sum").over(W.partitionBy("key").orderBy("__span").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(F.col("key").alias("__key"), F.col("__span").alias("__s"), F.coalesce(before, F.lit(0)).alias("__before"))
-    within = F.sum("__f").over(W.partitionBy("key", "__span").orderBy("ts", "seq").rowsBetween(W.unboundedPreceding, 0))
-    met = spanned.withColumn("__n", within).join(sums, F.col("key").eqNullSafe(F.col("__key")) & F.col("__span").eqNullSafe(F.col("__s")))
-    n = F.col("__n") + F.col("__before")
-    return met.select("key", "seq", "ts", n.alias("failures"), (n >= limit).alias("locked"))
+    us = ttl * 1_000_000
+    rows = attempts.select("key", "seq", "ts", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(1 << 61))).alias("t"))
+    placed = in_blocks(rows, "key", ["t", "seq", "ok"])
+    success = F.when(F.col("ok"), F.struct("pos", "t"))
+    back = W.partitionBy("key", "block").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0)
+    blocks_back = W.partitionBy("key").orderBy(F.desc("block")).rowsBetween(W.unboundedPreceding, -1)
+    firsts = placed.groupBy("key", "block").agg(F.min(success).alias("first")).select("key", "block", F.last("first", True).over(blocks_back).alias("later"))
+    ahead = met(placed.withColumn("own", F.last(success, True).over(back)), firsts, ["key", "block"]).withColumn("s", F.coalesce("own", "later"))
+    # the first place of each time, and of the first time at which a count from here has expired
+    at_time = placed.groupBy("key", "t").agg(F.min("pos").alias("first_pos"))
+    times = met(_next_of(at_time.select("key", "t"), us), at_time, ["key", "t"])
+    times = met(times, at_time.select("key", F.col("t").alias("nxt"), F.col("first_pos").alias("nxt_pos")), ["key", "nxt"], "left").drop("nxt")
+    seen = met(ahead, times, ["key", "t"])
+    ends = F.when((F.col("s.t") < F.col("t") + us) & (F.col("s.pos") - F.col("pos") < limit), F.col("s.pos") + 1).otherwise(F.col("nxt_pos"))
+    links = seen.select("key", F.col("pos").alias("at"), ends.alias("nxt"), (F.col("start") & (F.col("pos") == F.col("first_pos"))).alias("start"))
+    begun = _reached(stored(links)).select("key", F.col("at").alias("pos"), F.col("at").alias("begin"))
+    counted = stored(met(placed, begun, ["key", "pos"], "left"))
+    on = W.partitionBy("key", "block").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
+    blocks_on = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    lasts = counted.groupBy("key", "block").agg(F.max("begin").alias("last")).select("key", "block", F.last("last", True).over(blocks_on).alias("earlier"))
+    told = met(counted.withColumn("own", F.last("begin", True).over(on)), lasts, ["key", "block"])
+    before = F.col("pos") - F.coalesce("own", "earlier")
+    failures = F.when(F.col("ok") & (before < limit), 0).otherwise(F.least(before + 1, F.lit(limit))).cast("long")
+    return told.select("key", "seq", "ts", failures.alias("failures"), (failures >= limit).alias("locked"))
 
 
 def latest_open(challenges: DataFrame) -> DataFrame:
