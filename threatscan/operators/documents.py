@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from threatscan.functions import text as X
+from threatscan.functions.tables import components, stored
 from threatscan.operators.findings import as_rows
 from threatscan.operators.url_findings import is_safe, url_findings
 from threatscan.rules import documents as R
@@ -323,6 +324,98 @@ def _equal_blocks(x: Column, blocks: int) -> Column:
     return sum((F.when(x.bitwiseAND(F.lit(_signed(m))) == 0, 1 << i).otherwise(0) for i, m in enumerate(_blocks(blocks))), F.lit(0))
 
 
+#: Different hashes of one key that a task compares at once; larger keys are dealt into parts.
+PART = 4096
+
+
+def _bit_masks(blocks: int) -> np.ndarray:
+    return np.array(_blocks(blocks), dtype=np.uint64)
+
+
+def _walked(own: np.ndarray, h: np.ndarray, choice: int, upto: int, blocks: int, most: int) -> list[tuple]:
+    """Within the members of one key: ``(hash, links, other)``, the links of each that are counted here, and the edges of a spanning forest.
+
+    A pair is counted at its first common choice only. ``own`` numbers the part
+    of each member; where there are two parts, pairs inside one are left to
+    another task.
+    """
+    masks, n = _bit_masks(blocks), len(h)
+    links, label = np.zeros(n, np.int64), np.arange(n)
+    weights = np.left_shift(1, np.arange(blocks))
+    two, edges = own.min() != own.max(), []
+    for i in range(n - 1):
+        x = h[i + 1 :] ^ h[i]
+        near = np.bitwise_count(x) <= most
+        if two:
+            near &= own[i + 1 :] != own[i]
+        at = np.flatnonzero(near)
+        if not len(at):
+            continue
+        equal = ((x[at, None] & masks[None, :]) == 0) @ weights
+        first = at[(equal & upto) == choice] + i + 1
+        links[i] += len(first)
+        links[first] += 1
+        others = label[at + i + 1]
+        for other in np.unique(others[others != label[i]]):
+            edges.append((i, int(at[np.flatnonzero(others == other)[0]]) + i + 1))
+            label[label == other] = label[i]
+    signed = h.view(np.int64)
+    return [(int(signed[k]), int(links[k]), None) for k in np.flatnonzero(links)] + [(int(signed[a]), 0, int(signed[b])) for a, b in edges]
+
+
+def hash_classes(hashed: DataFrame, most: int = 9, agree: int | None = None) -> DataFrame:
+    """``(id, class_id, n_links)`` of 64-bit hashes ``(id, h)``: the smallest id that can be reached by steps of ``most`` or fewer differing bits, and how many other hashes lie so near.
+
+    Equal hashes are merged before, so copies do not multiply, and null hashes
+    are left out. Of ``most + agree`` bit blocks a near pair agrees in ``agree``
+    at least, so each hash is filed under every choice of so many. The members
+    of a key are compared in one task, which passes on counts and a spanning
+    forest, never pairs: at most two rows for each member. A key with over
+    ``PART`` members is dealt into parts of which every two meet in a task of
+    their own. Without ``agree``, the number of hashes decides; the result is
+    the same.
+    """
+    hashed = hashed.filter("h is not null")
+    reps = stored(hashed.groupBy("h").agg(F.min("id").alias("first")))
+    if agree is None:
+        agree = 2 if reps.count() < 100_000 else 3
+    blocks, key = most + agree, ["choice", "bits"]
+    keyed = reps.select("h", F.explode(_block_keys(F.col("h"), blocks, agree)).alias("k")).select("h", "k.*")
+    sizes = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = F.floor((F.col("n") + F.lit(PART - 1)) / PART).cast("int")
+    dealt = keyed.join(sizes, key).withColumn("own", F.pmod(F.xxhash64("h"), parts).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # a part meets itself once, and each other part once
+    group = [*key, "p", "q"]
+    dealt = dealt.select(*key, "upto", "h", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"))
+
+    def walk(batches):
+        held = None
+        for pdf in batches:
+            held = pdf if held is None else pd.concat([held, pdf])
+            ends = held[group].iloc[-1]
+            last = (held[group] == ends).all(axis=1)
+            whole, held = held[~last], held[last]
+            yield of(whole)
+        if held is not None:
+            yield of(held)
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for (choice, *_), g in pdf.groupby(group, sort=False):
+            out += _walked(g["own"].to_numpy(), g["h"].to_numpy(np.int64).view(np.uint64), int(choice), int(g["upto"].iloc[0]), blocks, most)
+        h, links, to = zip(*out, strict=True) if out else ((), (), ())
+        return pd.DataFrame({"h": pd.array(h, "Int64"), "links": pd.array(links, "Int64"), "to": pd.array(to, "Int64")})  # no floats: they lose bits
+
+    found = stored(dealt.repartition(*group).sortWithinPartitions(*group).mapInPandas(walk, "h long, links long, to long"))
+    links = found.groupBy("h").agg(F.sum("links").alias("n_links"))
+    name = reps.select(F.col("h").alias("to"), F.col("first").alias("b"))
+    edges = found.filter("to is not null").select("h", "to").distinct().join(reps, "h").join(name, "to").select(F.col("first").alias("a"), "b")
+    classes = components(edges).select(F.col("id").alias("first"), F.col("component"))
+    told = reps.join(links, "h", "left").join(classes, "first", "left").select("h", F.coalesce("component", "first").alias("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return hashed.join(told, "h").select("id", "class_id", "n_links")
+
+
 def hash_pairs(hashed: DataFrame, most: int = 9, agree: int | None = None) -> DataFrame:
     """``(a, b, distance)`` of 64-bit hashes ``(id, h)`` at ``most`` or fewer differing bits, between representatives.
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threatscan.functions import text as X
+from threatscan.functions.tables import stored
 from threatscan.rules import documents as R
 
 SCHEMA = "finding string, weight int"
@@ -98,7 +102,7 @@ def phrase_hits(df: DataFrame, lexicon, text: str = "text", key: str = "id") ->
 
     A list of (category, term) is searched inside the row, without a join, and
     so is a table ``(category, term)`` of ``FEW_TERMS`` rows at most, once their
-    number is known. A larger table is joined by the terms' first characters.
+    number is known. A larger table is searched for by automata, shard by shard.
     """
     if isinstance(lexicon, DataFrame):
         few = lexicon.select("category", "term").limit(FEW_TERMS + 1).collect()
@@ -114,15 +118,62 @@ def phrase_hits(df: DataFrame, lexicon, text: str = "text", key: str = "id") ->
     return df.select(key, F.lower(F.col(text)).alias("__low")).select(key, F.explode(one).alias("h")).select(key, "h.*")
 
 
+#: Characters of the terms that one automaton holds; a larger lexicon is searched for shard by shard.
+SHARD_CHARS = 1_000_000
+
+
+def _automaton(terms: dict):
+    """A pattern matcher of ``term -> categories``."""
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for t, categories in terms.items():
+        out.add_word(t, (t, categories))
+    out.make_automaton()
+    return out
+
+
+def _shard_hits(low: DataFrame, terms: dict, key: str) -> DataFrame:
+    """Hits of the terms of one shard in ``low (key, __low)``; each text is read once, whatever the number of terms."""
+    held, built = low.sparkSession.sparkContext.broadcast(terms), {}
+
+    @F.pandas_udf("array<struct<category:string,term:string,hits:int>>")
+    def found(texts: pd.Series) -> pd.Series:
+        if not built:  # once for each Python worker's task
+            built["a"] = _automaton(held.value)
+        out = []
+        for text in texts:
+            hits: dict = {}
+            for end, (t, categories) in built["a"].iter(text or ""):
+                n, upto = hits.get(t, (0, -1))[:2]
+                if end - len(t) >= upto:  # occurrences that overlap an earlier one do not count
+                    hits[t] = (n + 1, end, categories)
+            out.append([{"category": c, "term": t, "hits": n} for t, (n, _, cs) in hits.items() for c in cs])
+        return pd.Series(out)
+
+    return low.select(key, F.explode(found("__low")).alias("h")).select(key, "h.*")
+
+
 def _phrase_join(df: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
-    """``phrase_hits`` for a table of any size: texts and terms meet at the first characters of the terms, so that only likely pairs are compared."""
+    """``phrase_hits`` for a table of any size, by multi-pattern automata.
+
+    The terms are dealt into shards of about ``SHARD_CHARS`` characters; one
+    shard after the other is sent to the tasks, which read the texts where they
+    lie. No text is shuffled or copied, and the driver holds one shard at a time.
+    """
     lexicon = lexicon.select("category", "term").filter("term <> ''")
-    n = min(lexicon.agg(F.min(F.length("term"))).first()[0] or 1, 6)
-    low = df.select(key, F.lower(F.col(text)).alias("__t"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("__t") - n + 1, F.lit(1))), lambda i: F.substr("__t", i, F.lit(n))))
-    met = low.select(key, "__t", F.explode(grams).alias("__g")).join(lexicon.withColumn("__start", F.substring("term", 1, n)), F.col("__g") == F.col("__start"))
-    hits = ((F.length("__t") - F.length(F.replace(F.col("__t"), F.col("term")))) / F.length("term")).cast("int")
-    return met.filter(F.contains("__t", F.col("term"))).select(key, "category", "term", hits.alias("hits"))
+    size = lexicon.agg(F.sum(F.length("term"))).first()[0] or 0
+    n = size // SHARD_CHARS + 1
+    low = df.select(key, F.lower(F.col(text)).alias("__low"))
+
+    def shard(k: int) -> dict:
+        of = lexicon.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).groupBy("term").agg(F.collect_list("category").alias("c"))
+        return {r.term: r.c for r in of.collect()}
+
+    if n == 1:
+        return _shard_hits(low, shard(0), key)
+    low = stored(low)
+    return reduce(DataFrame.unionAll, [stored(_shard_hits(low, shard(k), key)) for k in range(n)])
 
 
 #: (finding, category, least hits)

@@ -278,11 +278,42 @@ def average_hash(spark, sf):
     return spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.lower(F.lpad(F.hex(X.bits_above_mean(F.col("embedding"))), 16, "0")).alias("h"))
 
 
-@query("phash_pairs", f"WITH {_BITS}, t AS (SELECT id, h::UBIGINT AS h FROM h UNION ALL SELECT id + 1000000, xor(h::UBIGINT, (id % 512)::UBIGINT) FROM h), r AS (SELECT h, min(id) AS id FROM t GROUP BY 1) SELECT x.id AS a, y.id AS b, bit_count(xor(x.h, y.h))::INT AS distance FROM r x JOIN r y ON x.id < y.id AND bit_count(xor(x.h, y.h)) <= 9")
-def phash_pairs(spark, sf):
+def _hashes(spark, sf):
     h = spark.read.parquet(f"{sf}/embeddings.parquet").select(F.col("vec_id").alias("id"), X.bits_above_mean(F.col("embedding")).alias("h"))
     near = h.select((F.col("id") + 1_000_000).alias("id"), F.col("h").bitwiseXOR(F.col("id") % 512).alias("h"))
-    return D.hash_pairs(h.unionAll(near))
+    return h.unionAll(near)
+
+
+@query(
+    "phash_pairs",
+    f"""WITH RECURSIVE {_BITS}, t AS (SELECT id, h::UBIGINT AS h FROM h UNION ALL SELECT id + 1000000, xor(h::UBIGINT, (id % 512)::UBIGINT) FROM h), r AS (SELECT h, min(id) AS id FROM t GROUP BY 1),
+e AS (SELECT x.id AS a, y.id AS b FROM r x JOIN r y ON x.id <> y.id AND bit_count(xor(x.h, y.h)) <= 9),
+c AS (SELECT id, id AS to_ FROM r UNION SELECT c.id, e.b FROM c JOIN e ON e.a = c.to_),
+m AS (SELECT id, min(to_) AS class_id FROM c GROUP BY id), n AS (SELECT a AS id, count(*) AS n_links FROM e GROUP BY a)
+SELECT t.id, m.class_id, coalesce(n.n_links, 0)::BIGINT AS n_links FROM t JOIN r ON r.h = t.h JOIN m ON m.id = r.id LEFT JOIN n ON n.id = r.id""",
+)
+def phash_pairs(spark, sf):
+    """Every image hash with its class of near ones and the number of other hashes near it."""
+    return D.hash_classes(_hashes(spark, sf))
+
+
+#: Words of nine letters and more, as a lexicon far beyond what is searched for inside the row.
+_LONG_WORD = "[a-z]{9,}"
+
+
+@query(
+    "lexicon_join",
+    f"""WITH d AS (SELECT doc_id AS id, lower(text) AS low FROM documents), w AS (SELECT DISTINCT unnest(regexp_extract_all(low, '{_LONG_WORD}')) AS term FROM d),
+g AS (SELECT id, low, unnest(list_distinct(list_transform(range(1, length(low) - 7), lambda i: substr(low, i::INT, 9)))) AS start FROM d),
+h AS (SELECT g.id, left(w.term, 1) AS category, w.term, (length(low) - length(replace(low, w.term, ''))) // length(w.term) AS hits FROM g JOIN w ON left(w.term, 9) = g.start WHERE contains(g.low, w.term))
+SELECT id, category, count(*) AS n_terms, sum(hits)::BIGINT AS hits FROM h GROUP BY ALL""",
+)
+def lexicon_join(spark, sf):
+    """All long words of all documents sought in every document."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    terms = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(_LONG_WORD), F.lit(0))).alias("term")).distinct()
+    hits = N.phrase_hits(docs, terms.select(F.left("term", F.lit(1)).alias("category"), "term"))
+    return hits.groupBy("id", "category").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("hits").alias("hits"))
 
 
 def _events(spark, sf):
