@@ -54,7 +54,7 @@ def test_office_findings(spark, office):
     parts = S.ooxml_parts(office.filter("id like '%.docx' or id like '%.xlsx' or id like '%.pptx'"), key="id").cache()
     docx, xlsx, pptx = (parts.filter(f"id like '%.{e}'") for e in ("docx", "xlsx", "pptx"))
     got = kinds(D.part_findings(docx, "docx"), "a.docx")
-    assert {"external_template", "embedded_ole_object", "embedded_executable", "suspicious_relationship", "hidden_relationship"} <= set(got)
+    assert {"external_template", "embedded_ole_object", "embedded_executable"} <= set(got) and "suspicious_relationship" not in got  # its mode comes last
     meta = D.metadata_findings(office.filter("id like '%.docx'"), docx, "docx")
     assert kinds(meta, "a.docx") == ["suspicious_metadata"] * 3 and kinds(meta, "bad.docx") == ["wiped_metadata"]
     assert kinds(D.missing_parts(office.filter("id like '%.docx'"), docx, "docx"), "bad.docx") == ["corrupted_structure", "malformed_zip"]
@@ -281,3 +281,89 @@ def test_one_call_from_files_to_scores(spark, office):
     assert len(got) == files.count() and got["a.docx"].verdict == got["b.xlsx"].verdict == "Phishing"
     assert (got["e.pdf"].score, got["e.pdf"].verdict, got["e.pdf"].total_findings, got["e.pdf"].breakdown) == (0, "Safe", 0, [])
     assert got["note.txt"].reject_reason == "unsupported" and got["note.txt"].score is None
+
+
+def parts_of(spark, parts):
+    rows = [("f", i, name, data if isinstance(data, bytes) else data.encode(), None) for i, (name, data) in enumerate(parts)]
+    return spark.createDataFrame(rows, "id string, entry_ord int, entry_name string, data binary, error string")
+
+
+def found_in(spark, profile, *parts):
+    return kinds(D.part_findings(parts_of(spark, parts), profile), "f")
+
+
+def test_relationships_as_written(spark):
+    first = '<Relationship TargetMode="External" Target="https://support.microsoft.com/x"/>'
+    last = '<Relationship Target="file:///c:/a.exe" TargetMode="External"/>'
+    for profile in ("docx", "xlsx"):
+        assert found_in(spark, profile, ("x/_rels/a.rels", first)) == ["suspicious_relationship"]  # no host is safe here
+        assert found_in(spark, profile, ("x/_rels/a.rels", last)) == []
+        assert found_in(spark, profile, ("x/_rels/a.rels", '<Relationship TargetMode="External" Target="file:///c:/a"/>')) == []
+        assert found_in(spark, profile, ("x/_rels/image.xml.rels", 'Target="http://a/b" Target="https://c/d"')) == ["external_image_tracker"] * 2
+        assert found_in(spark, profile, ("x/_rels/b.rels", 'Target="http://a/b.png"')) == []
+    assert found_in(spark, "pptx", ("ppt/_rels/a.rels", last)) == ["external_relationship"]
+    assert found_in(spark, "pptx", ("ppt/_rels/a.rels", first)) == []
+    evil = '<Relationship Type="http://x/slideTemplate" Target="https://evil.example/microsoft.com/t.PNG" TargetMode="External"/>'
+    assert found_in(spark, "pptx", ("ppt/_rels/a.rels", evil)) == ["external_relationship", "image_tracker", "template_injection"]
+
+
+def test_settings_name_outside_hosts(spark):
+    text = "<w http://schemas.openxmlformats.org/a https://officeapps.live.com/b https://evil.example/c http://d.example>"
+    assert found_in(spark, "docx", ("word/settings.xml", text)) == ["hidden_relationship"] * 2
+    assert found_in(spark, "docx", ("word/_rels/settings.xml.rels", text)) == found_in(spark, "docx", ("word/webSettings.xml", text)) == []
+    assert found_in(spark, "xlsx", ("xl/mySettings.xml", text)) == ["hidden_relationship"] * 3
+    assert found_in(spark, "xlsx", ("xl/printerSettings1.bin", text)) == []
+
+
+def test_executables_anywhere(spark):
+    for profile in ("docx", "xlsx"):
+        assert found_in(spark, profile, ("x/media/i.png", b"MZ\x90")) == ["embedded_executable"]
+        for end in (".exe", ".dll", ".bat", ".scr", ".pif", ".com"):
+            assert found_in(spark, profile, ("x/embeddings/a" + end, "x")) == ["embedded_executable", "embedded_ole_object"] + ["embedded_script"] * (end == ".bat")
+        assert found_in(spark, profile, ("x/embeddings/a.PS1", "x")) == ["embedded_executable", "embedded_ole_object", "embedded_script"]
+        assert found_in(spark, profile, ("x/embeddings/a.pdf.hta", "x")) == ["double_extension_payload", "embedded_executable", "embedded_ole_object", "embedded_script"]
+        assert found_in(spark, profile, ("x/embeddings/_rels/a.bin.rels", "x")) == ["double_extension_payload", "embedded_ole_object"]
+    assert found_in(spark, "pptx", ("ppt/media/a.gif", b"MZ\x90")) == ["embedded_executable"]
+    assert found_in(spark, "pptx", ("ppt/media/a.bmp", "BAD")) == found_in(spark, "pptx", ("ppt/media/a.gif", "BAD")) == []
+    assert found_in(spark, "pptx", ("ppt/media/a.jpeg", "BAD")) == found_in(spark, "pptx", ("ppt/media/a.png", "BAD")) == ["media_type_mismatch"]
+    assert found_in(spark, "pptx", ("ppt/embeddings/a.docx", "x")) == []
+    assert found_in(spark, "pptx", ("ppt/embeddings/a.bin", b"MZ\x90")) == ["embedded_ole_object", "mz_header_found"]
+    assert found_in(spark, "pptx", ("ppt/embeddings/a.msi", "x")) == ["embedded_executable"]
+    assert found_in(spark, "pptx", ("ppt/slides/slide1.xml", "<OLEOBJ>")) == ["embedded_ole_object"]
+    assert found_in(spark, "pptx", ("ppt/slides/slide1.xml", "<p:oleObj>")) == ["embedded_ole_object", "package_object"]
+
+
+def test_hidden_slides_are_one_finding(spark):
+    deck = '<p:sldId id="1" show="0"/><p:sldId id="2" show="0" r:id="x"/><p:sldId id="3"/><p:other show="0"/>'
+    slides = [("ppt/slides/slide9.xml", "<a:t>one</a:t>"), ("ppt/slides/slide1.xml", "<a:t> </a:t><a:t>two</a:t>"), ("ppt/slides/slide2.xml", "<a:t> </a:t>")]
+    got = lambda *parts: kinds(D.hidden_slides(parts_of(spark, parts)), "f")
+    assert got(("ppt/presentation.xml", deck), *slides) == ["hidden_slide", "hidden_slide_with_content"]
+    assert got(("ppt/presentation.xml", deck), *reversed(slides)) == ["hidden_slide", "hidden_slide_with_content", "hidden_slide_with_content"]
+    assert got(("ppt/presentation.xml", '<p:other show="0"/><p:sldId id="1"/>'), *slides) == []
+
+
+def test_bare_images_in_pages(spark):
+    pages = lambda *texts: spark.createDataFrame([("f", i, t, 1) for i, t in enumerate(texts)], "id string, page int, text string, n_images int")
+    none = spark.createDataFrame([], "id string, page int, visible_text string, url string")
+    got = lambda p, links=none, **more: kinds(D.pdf_page_findings(p, links, **more), "f")
+    assert got(pages("Password EXPIRED")) == got(pages("http://1.2.3.4/x")) == ["single_image_pdf"]
+    assert got(pages("just a scan")) == got(pages(None, "")) == got(pages("https://good.example.org")) == []
+    link = spark.createDataFrame([("f", 0, "x", "https://good.example.org"), ("f", 0, "x", "")], "id string, page int, visible_text string, url string")
+    assert got(pages("a scan"), link) == ["clickable_image_overlay", "single_image_pdf"]
+    assert got(pages("a scan", "b"), link) == ["single_image_pdf"]
+    anchors = spark.createDataFrame([("f", "mismatched_anchor"), ("g", "suspicious_url")], "id string, finding string")
+    assert got(pages("a scan"), earlier=anchors) == ["single_image_pdf"]
+    assert got(pages(" \n", "password expired" + " " * 90, "x")) == []  # white space counts between, not around
+    assert got(pages(" \n" * 99, "password expired", "\t" * 99)) == ["single_image_pdf"]
+
+
+def test_hex_of_utf16(spark):
+    script = "eval(unescape('" + "x" * 60 + "'))"
+    hexed = lambda b: b.hex()
+    prose = "The quarterly report of our team, in plain words and some more of them"
+    cases = {
+        hexed(b"\xfe\xff" + prose.encode("utf-16-be")): (True, False), hexed(b"\xff\xfe" + prose.encode("utf-16-le")): (True, False), hexed(prose.encode("utf-16-be")): (True, False), hexed(script.encode()): (False, True), hexed(script.encode()) + "0": (False, False),
+        hexed(b"\xfe\xff" + bytes(range(1, 250))): (False, False), hexed(b"\xfe\xff" + script.encode()): (True, False), hexed("0123456789 eval 0123456789".encode("utf-16-be")): (False, False), hexed(b"\xfe\xff\xd8\x00" + prose.encode("utf-16-be")): (True, False), hexed("😀 a smile in words".encode("utf-16-be")): (True, False),
+    }
+    rows = spark.createDataFrame([(h.upper(),) for h in cases] + [(h,) for h in cases], "h string").select("h", D.is_utf16_prose(F.col("h")).alias("prose"), D.suspicious_hex(F.col("h")).alias("bad")).collect()
+    assert {r.h.lower(): (r.prose, r.bad) for r in rows} == cases

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from threatscan.functions import text as X
 from threatscan.functions.tables import components, stored
 from threatscan.operators.findings import as_rows
-from threatscan.operators.url_findings import is_safe, url_findings
+from threatscan.operators.url_findings import is_safe, part, url_findings
 from threatscan.rules import documents as R
 
 
@@ -58,13 +58,35 @@ def high_chunks(text: Column, above: float, size: int = 100, upto: int = 5000) -
     return F.when(varied, F.size(F.filter(chunk_entropies(start, size, upto), lambda e: e > above))).otherwise(0)
 
 
+def _utf16_text(h: Column) -> Column:
+    """Hex digits as UTF-16 text by their byte order mark, or big-endian where many bytes are zero; null for others. Unpaired surrogates go."""
+    start = F.upper(F.substr(h, F.lit(1), F.lit(2000)))
+    n = F.length(start)
+    zeros = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1)), F.lit(2)), lambda i: F.substr(start, i, F.lit(2)) == "00")) * 2 / F.greatest(n, F.lit(1))
+    even = F.substr(start, F.lit(1), n - n % 4)
+    big, small = F.regexp_replace(even, "(..)(..)", r"\\u$1$2"), F.regexp_replace(even, "(..)(..)", r"\\u$2$1")
+    units = F.when(start.startswith("FEFF"), big).when(start.startswith("FFFE"), small).when(zeros >= 0.2, big)
+    paired = F.regexp_replace(units, r"\\uD[89AB]..(?!\\uD[C-F]..)|(?<!\\uD[89AB]..)\\uD[C-F]..", "")
+    return F.when(n % 2 == 0, F.from_json(F.concat(F.lit('{"t":"'), paired, F.lit('"}')), "t string")["t"])
+
+
+def is_utf16_prose(h: Column) -> Column:
+    """Whether hex digits are mostly printable UTF-16 text of letters and spaces, as titles in many harmless files are."""
+
+    def of(text):
+        t = F.regexp_replace(F.regexp_replace(text, "^[\\x00\ufeff]+|[\\x00\ufeff]+$", ""), r"(?U)^\s+|\s+$", "")
+        share = lambda p: F.regexp_count(t, F.lit(p)) / F.greatest(F.length(t), F.lit(1))
+        return (F.length(t) >= 6) & (share(r"[^\p{C}\p{Z}]| ") >= 0.9) & (share(r"(?U)\p{L}|\s") >= 0.6)
+
+    return F.coalesce(F.transform(F.array(_utf16_text(h)), of)[0], F.lit(False))
+
+
 def suspicious_hex(h: Column) -> Column:
-    """A hex run that decodes to script-like ASCII text and not to UTF-16 prose."""
-    b = F.decode(F.unhex(F.substr(h, F.lit(1), F.least(F.lit(4000), F.length(h) - F.length(h) % 2))), "ISO-8859-1")
+    """A hex run that decodes to script-like ASCII text and not to UTF-16 prose; one of an odd number of digits decodes to nothing."""
+    start = F.substr(h, F.lit(1), F.lit(4000))
+    b = F.decode(F.unhex(F.when(F.length(start) % 2 == 0, start)), "ISO-8859-1")
     ascii_share = F.regexp_count(b, F.lit(r"[\x20-\x7E\t\n\r]")) / F.greatest(F.length(b), F.lit(1))
-    nuls = F.regexp_count(b, F.lit(r"\x00")) / F.greatest(F.length(b), F.lit(1))
-    utf16 = h.rlike("(?i)^(feff|fffe)") | (nuls >= 0.2)
-    return (F.length(h) >= 120) & ~utf16 & (ascii_share >= 0.7) & _any(F.lower(b), R.HEX_TOKENS)
+    return F.coalesce((F.length(h) >= 120) & (ascii_share >= 0.7) & _any(F.lower(b), R.HEX_TOKENS) & ~is_utf16_prose(h), F.lit(False))
 
 
 def pdf_findings(files: DataFrame, raw: str = "raw") -> DataFrame:
@@ -90,12 +112,31 @@ def pdf_findings(files: DataFrame, raw: str = "raw") -> DataFrame:
     return as_rows(files, rules)
 
 
-def pdf_page_findings(pages: DataFrame, links: DataFrame) -> DataFrame:
-    """Findings of page tables ``(id, page, text, n_images)`` and links ``(id, page, visible_text, url)``."""
-    p = pages.groupBy("id").agg(F.sum("n_images").alias("images"), F.sum(F.length(F.trim(F.coalesce("text", F.lit(""))))).alias("chars"))
-    n = links.groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    met = p.join(n, "id", "left").fillna({"links": 0})
-    rules = [((F.col("images") >= 1) & (F.col("chars") < 100) & (F.col("links") > 0), "single_image_pdf"), ((F.col("images") > 0) & (F.col("links") >= F.col("images")), "clickable_image_overlay")]
+def pdf_page_findings(pages: DataFrame, links: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
+    """Findings of page tables ``(id, page, text, n_images)`` and links ``(id, page, visible_text, url)``.
+
+    A file of images with hardly any text is suspicious only beside a link, a
+    phrase or a finding about an address. Phrases and addresses are sought in
+    the pages and links here; ``earlier`` brings further findings ``(id,
+    finding)`` of the same files, of its anchors for one.
+    """
+    text = F.coalesce("text", F.lit(""))
+    size = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    read = pages.select("id", "page", "n_images", text.alias("text"), F.length(text).alias("n"), size(r"(?U)^\s+").alias("from_left"), size(r"(?U)\s+$").alias("from_right"))
+    images = read.groupBy("id").agg(F.sum("n_images").alias("images"))
+    # the length of all pages' text without white space around it
+    rims = read.filter("from_left > 0").groupBy("id").agg(F.min(F.struct("page", F.expr("n - from_left").alias("less"))).alias("a"), F.max(F.struct("page", F.expr("n - from_right").alias("less"))).alias("z"))
+    chars = read.join(rims, "id").filter("page between a.page and z.page").groupBy("id").agg((F.sum("n") - F.max("a.less") - F.max("z.less")).alias("chars"))
+    web = links.filter(F.coalesce("url", F.lit("")) != "")
+    phrased = read.filter(_any(F.lower("text"), [t for _, t in R.phrases("pdf")])).select("id")
+    urls = web.select("id", "url").unionByName(read.select("id", F.explode(F.regexp_extract_all("text", F.lit(R.PAGE_URL), F.lit(0))).alias("url")))
+    told = urls.select("id", F.explode(url_findings(F.col("url"), "pdf")).alias("finding"))
+    if earlier is not None:
+        told = told.unionByName(earlier.select("id", "finding"))
+    signs = phrased.unionByName(told.filter(F.col("finding").isin(R.ADDRESS_FINDINGS)).select("id")).distinct().withColumn("signs", F.lit(True))
+    met = images.join(chars, "id", "left").join(web.groupBy("id").agg(F.count(F.lit(1)).alias("links")), "id", "left").join(signs, "id", "left").fillna({"chars": 0, "links": 0, "signs": False})
+    shown = (F.col("images") >= 1) & (F.col("chars") < 100)
+    rules = [(shown & ((F.col("links") > 0) | F.col("signs")), "single_image_pdf"), ((F.col("images") > 0) & (F.col("links") > 0) & (F.col("links") >= F.col("images")), "clickable_image_overlay")]
     return as_rows(met, rules, start=100)
 
 
@@ -179,58 +220,85 @@ def metadata_findings(files: DataFrame, parts: DataFrame, profile: str) -> DataF
     return as_rows(met, rules, start=320)
 
 
+def _targets(x: Column, pattern: str) -> Column:
+    """The targets of relationships in a part that match ``pattern``."""
+    return F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), lambda m: F.trim(F.regexp_extract(m, 'Target="([^"]+)"', 1)))
+
+
+def _web(x: Column, safe: list[str]) -> Column:
+    """Web addresses in a part that hold none of the safe domains."""
+    return F.filter(F.regexp_extract_all(x, F.lit(r'https?://[^\s"<>]+'), F.lit(0)), lambda u: ~_any(F.lower(u), safe))
+
+
 def part_findings(parts: DataFrame, profile: str) -> DataFrame:
-    """Findings of single parts ``(id, entry_name, data)`` of a container."""
-    p = parts.filter("error is null").select("id", F.lower("entry_name").alias("name"), "data", utf8("data").alias("x"), raw_text(F.substring("data", 1, 2000)).alias("head")).withColumn("low", F.lower("x"))
-    name, x, low = F.col("name"), F.col("x"), F.col("low")
-    xml, rels = name.endswith(".xml"), name.endswith(".rels")
-    embedded = name.rlike("embeddings|oleobject" + ("|drawings" if profile == "xlsx" else ""))
-    external = F.filter(F.transform(F.regexp_extract_all(x, F.lit(r'<Relationship\b[^>]*TargetMode="External"[^>]*>'), F.lit(0)), lambda r: F.regexp_extract(r, r'Target="([^"]+)"', 1)), lambda u: (F.length(u) > 0) & ~is_safe(u))
-    web = F.filter(F.regexp_extract_all(x, F.lit(r'https?://[^\s"<>\]]+'), F.lit(0)), lambda u: ~is_safe(u))
-    tests: list = [
-        (embedded & ~rels, "embedded_ole_object"), (embedded & name.rlike(r"\.(exe|dll|scr|com|bat|cmd|pif)$"), "embedded_executable"), (embedded & F.col("head").startswith("MZ"), "mz_header_found" if profile == "pptx" else "embedded_executable"),
-        (name.rlike(r"\.(js|vbs|ps1|bat|cmd|hta)$"), "embedded_script"), (embedded & name.rlike(r"/[^/]*\.[^/.]+\.[^/.]+$"), "double_extension_payload"),
-        (rels & _has(x, "attachedTemplate") & x.rlike('Target="https?://'), "external_template"), (rels & x.rlike(r'(?i)Target="https?://[^"]+\.(png|jpe?g|gif|bmp)'), "image_tracker" if profile == "pptx" else "external_image_tracker"),
-        (F.when(rels, F.size(external)).otherwise(0), "external_relationship" if profile == "pptx" else "suspicious_relationship"), (F.when(rels & _has(name, "settings"), F.size(web)).otherwise(0), "hidden_relationship"),
-        (~xml & ~rels & (X.entropy(F.substr("head", F.lit(1), F.lit(500))) > 7.0), "high_entropy_string"),
+    """Findings of single parts ``(id, entry_name, data)`` of a container.
+
+    What only some parts can have is looked for in those alone, by their names.
+    """
+    p = parts.filter("error is null").select("id", "entry_name", F.lower("entry_name").alias("name"), "data", utf8("data").alias("x"), raw_text(F.substring("data", 1, 2000)).alias("head")).withColumn("low", F.lower("x"))
+    given, name, x, low, head = (F.col(c) for c in ("entry_name", "name", "x", "low", "head"))
+    xml, rels, mz = name.endswith(".xml"), given.endswith(".rels"), head.startswith("MZ")
+    within = lambda test, n: F.when(test, n).otherwise(0)
+    if profile == "pptx":
+        embedded, slide, media = _has(name, "embeddings"), given.rlike(r"^ppt/slides/slide\d+\.xml"), _has(given, "ppt/media/")
+        timed = slide & _has(x, "<p:timing>")
+        acts = _any(x, ["hlinkClick", "hlinkMouseOver"]) | _has(low, "ppaction://")
+        unlike = F.when(name.rlike(r"\.jpe?g$"), ~head.startswith("\xff\xd8\xff")).when(name.endswith(".png"), ~head.startswith("\x89PNG")).otherwise(F.lit(False))
+        external = F.filter(_targets(x, R.EXTERNAL_TARGET), lambda u: (F.length(u) > 0) & ~_any(part(F.lower(u), 2), R.SAFE_DOMAINS))
+        template = F.lower(F.regexp_extract(x, 'Type="([^"]+)"', 1)).contains("template")
+        tests: list = [
+            (embedded & name.endswith(".bin"), "embedded_ole_object"), (embedded & name.rlike(R.ending(R.EMBEDDED_EXECUTABLES["pptx"])), "embedded_executable"), (embedded & mz, "mz_header_found"),
+            (within(slide, _any(low, ["oleobj", "oleobject"]).cast("int")), "embedded_ole_object"), (slide & x.rlike("<p:oleObj|oleObject"), "package_object"),
+            (within(rels, F.size(external)), "external_relationship"), (within(rels, F.when(template, F.size(external)).otherwise(0)), "template_injection"),
+            (within(rels, F.size(F.filter(external, lambda u: F.size(url_findings(u, "pptx")) > 0))), "suspicious_external_url"), (within(rels, F.size(F.filter(external, lambda u: _any(F.lower(u), R.TRACKER_IMAGES)))), "image_tracker"),
+            (timed & _has(x, "<p:cmd"), "cmd_trigger_found"), (timed & x.rlike('<p:cTn[^>]*delay="0"'), "zero_delay_trigger"), (timed & _has(low, "mouseover"), "mouseover_trigger"), (timed, "suspicious_animation"),
+            (slide & ~_has(x, "<p:ph") & _has(x, "hlinkClick"), "action_button_found"), (slide & ~_has(x, "<p:ph") & _has(x, "hlinkMouseOver"), "mouseover_action"), (slide & _has(low, "ppaction://macro"), "macro_action_button"),
+            (slide & _any(low, ["ppaction://hlinksldjump", "ppaction://program"]), "run_program_action"), (slide & _has(x, "<a:noFill/>") & acts, "invisible_button"),
+            (media & unlike, "media_type_mismatch"), (media & mz, "embedded_executable"), (media & (F.length("data") > 10240 * 1024), "large_media_file"), (within(media, (X.entropy(head) > 7.9).cast("int")), "high_entropy_media"),
+            (_has(name, "vbaproject.bin"), "vba_macro_detected"),
+        ]
+        return as_rows(p, tests, start=400)
+    embedded = _any(name, R.EMBEDDED_NAMES[profile])
+    inner = F.substring_index(name, "/", -1)
+    template = x.rlike('Target="https?://[^"]+"')
+    images = F.regexp_count(x, F.lit('Target="https?://[^"]+"'))
+    outside = F.filter(_targets(x, R.MODE_THEN_TARGET), lambda u: u.startswith("http"))
+    settings = (given == "word/settings.xml") if profile == "docx" else _has(name, "settings") & given.endswith(".xml")
+    other = ~xml & ~name.endswith(".rels")
+    tests = [
+        (embedded, "embedded_ole_object"), (embedded & name.rlike(R.ending(R.EMBEDDED_EXECUTABLES[profile])), "embedded_executable"), (embedded & inner.rlike(r"^\.|\..*\."), "double_extension_payload"),
+        (name.rlike(R.ending(R.SCRIPTS)), "embedded_script"), (mz, "embedded_executable"), (rels & _has(x, "attachedTemplate") & template, "external_template"), (within(rels & _has(name, "image"), images), "external_image_tracker"),
+        (within(rels, F.size(outside)), "suspicious_relationship"), (within(settings, F.size(_web(x, R.SAFE_HOSTS[profile]))), "hidden_relationship"), (within(other, (X.entropy(F.substr("head", F.lit(1), F.lit(500))) > 7.0).cast("int")), "high_entropy_string"),
     ]
     if profile == "docx":
-        tests += [(xml & x.rlike("[0-9a-fA-F]{80,}"), "encoded_macro_payload"), (xml & F.exists(F.regexp_extract_all(x, F.lit("[A-Za-z0-9+/]{100,}={0,2}"), F.lit(0)), lambda m: X.entropy(m) > 5.5), "encoded_macro_payload")]
+        runs = F.regexp_extract_all(x, F.lit("[A-Za-z0-9+/]{100,}={0,2}"), F.lit(0))
+        tests += [(xml & x.rlike("[0-9a-fA-F]{80,}"), "encoded_macro_payload"), (within(xml, F.exists(runs, lambda m: X.entropy(m) > 5.5).cast("int")), "encoded_macro_payload")]
     if profile == "xlsx":
         words = X.contained(low, R.XLM)
         of = lambda k: F.size(F.filter(words, lambda w: F.contains(w, F.lit(k))))
         hidden = lambda s: F.regexp_count(x, F.lit(rf'<sheet\b[^>]*state="{s}"'))
         book, link = name == "xl/workbook.xml", name == "xl/connections.xml"
+        web = F.filter(F.regexp_extract_all(x, F.lit(r'https?://[^\s"<>\]]+'), F.lit(0)), lambda u: ~is_safe(u))
         tests += [
-            (xml & _any(low, R.DDE), "dde_attack"), (F.when(xml, _has(low, "macrosheets").cast("int") + F.size(words) - of("exec") - of("run") - of("call")).otherwise(0), "xlm_macro_detected"),
-            (F.when(xml, of("exec")).otherwise(0), "xlm_exec_command"), (F.when(xml, of("run")).otherwise(0), "xlm_run_command"), (F.when(xml, of("call")).otherwise(0), "xlm_call_command"),
-            (F.when(book, hidden("hidden")).otherwise(0), "hidden_sheet"), (F.when(book, hidden("veryHidden") + (hidden("veryHidden") > 0).cast("int")).otherwise(0), "very_hidden_sheet"),
-            (F.when(_has(name, "quer"), F.size(web)).otherwise(0), "power_query_connection"), (link & _has(low, "oledb"), "ole_db_connection"),
-            (F.when(link, F.size(X.contained(low, R.CONNECTIONS))).otherwise(0), "suspicious_connection"), (F.when(link, F.size(web)).otherwise(0), "external_data_connection"),
-        ]
-    if profile == "pptx":
-        slide = name.rlike(r"^ppt/slides/slide\d+\.xml$")
-        timed = slide & _has(x, "<p:timing>")
-        acts, media = _any(x, ["hlinkClick", "hlinkMouseOver"]) | _has(low, "ppaction://"), name.startswith("ppt/media/")
-        signed = F.col("head")
-        fits = F.when(name.endswith(".png"), signed.startswith("\x89PNG")).when(name.rlike(r"\.jpe?g$"), signed.startswith("\xff\xd8\xff")).when(name.endswith(".gif"), signed.startswith("GIF")).when(name.endswith(".bmp"), signed.startswith("BM")).otherwise(F.lit(True))
-        tests += [
-            (slide & x.rlike("<p:oleObj|oleObject"), "package_object"), (timed & _has(x, "<p:cmd"), "cmd_trigger_found"), (timed & x.rlike('<p:cTn[^>]*delay="0"'), "zero_delay_trigger"), (timed & _has(low, "mouseover"), "mouseover_trigger"), (timed, "suspicious_animation"),
-            (slide & ~_has(x, "<p:ph") & _has(x, "hlinkClick"), "action_button_found"), (slide & ~_has(x, "<p:ph") & _has(x, "hlinkMouseOver"), "mouseover_action"), (slide & _has(low, "ppaction://macro"), "macro_action_button"),
-            (slide & _any(low, ["ppaction://hlinksldjump", "ppaction://program"]), "run_program_action"), (slide & _has(x, "<a:noFill/>") & acts, "invisible_button"), (media & ~fits, "media_type_mismatch"),
-            (media & (F.length("data") > 10240 * 1024), "large_media_file"), (media & (X.entropy(signed) > 7.9), "high_entropy_media"), (media & signed.startswith("MZ"), "mz_header_found"), (_has(name, "vbaproject.bin"), "vba_macro_detected"),
-            (F.when(rels & x.rlike('(?i)Type="[^"]*template'), F.size(external)).otherwise(0), "template_injection"), (F.when(rels, F.size(F.filter(external, lambda u: F.size(url_findings(u, "pptx")) > 0))).otherwise(0), "suspicious_external_url"),
+            (given.endswith(".xml") & _any(low, R.DDE), "dde_attack"), (within(xml, _has(low, "macrosheets").cast("int") + F.size(words) - of("exec") - of("run") - of("call")), "xlm_macro_detected"),
+            (within(xml, of("exec")), "xlm_exec_command"), (within(xml, of("run")), "xlm_run_command"), (within(xml, of("call")), "xlm_call_command"),
+            (within(book, hidden("hidden")), "hidden_sheet"), (within(book, hidden("veryHidden") + (hidden("veryHidden") > 0).cast("int")), "very_hidden_sheet"),
+            (within(_has(name, "quer"), F.size(web)), "power_query_connection"), (link & _has(low, "oledb"), "ole_db_connection"),
+            (within(link, F.size(X.contained(low, R.CONNECTIONS))), "suspicious_connection"), (within(link, F.size(web)), "external_data_connection"),
         ]
     return as_rows(p, tests, start=400)
 
 
 def hidden_slides(parts: DataFrame) -> DataFrame:
-    """Hidden slides of decks: one finding each, and one for each of the last slides that holds text."""
-    shown = parts.filter("entry_name = 'ppt/presentation.xml' and error is null").select("id", F.regexp_count(utf8("data"), F.lit('show="0"')).alias("n")).filter("n > 0")
-    slides = parts.filter(F.col("entry_name").rlike(r"^ppt/slides/slide\d+\.xml$")).select("id", F.regexp_extract("entry_name", r"(\d+)", 1).cast("int").alias("no"), F.regexp_extract(utf8("data"), "<a:t>([^<]+)</a:t>", 1).alias("text"))
-    last = slides.withColumn("from_end", F.row_number().over(W.partitionBy("id").orderBy(F.desc("no")))).join(shown, "id").filter("from_end <= n and text <> ''")
+    """Decks ``(id, entry_ord, entry_name, data)`` with hidden slides: one finding for the deck, and one for each of its last so many slides, in the container's order, that holds text."""
+    whole = parts.filter("error is null")
+    hidden = F.regexp_count(utf8("data"), F.lit('<p:sldId[^>]*show="0"[^>]*/>')).alias("n")
+    decks = whole.filter("entry_name = 'ppt/presentation.xml'").groupBy("id").agg(F.max(hidden).alias("n")).filter("n > 0")
+    texts = F.array_join(F.regexp_extract_all(utf8("data"), F.lit("<a:t>([^<]+)</a:t>"), F.lit(1)), " ")
+    slides = whole.filter(F.col("entry_name").rlike(r"^ppt/slides/slide\d+\.xml")).select("id", "entry_ord", (F.trim(texts) != "").alias("told"))
+    last = slides.withColumn("from_end", F.row_number().over(W.partitionBy("id").orderBy(F.desc("entry_ord")))).join(decks, "id").filter("from_end <= n and told")
     row = lambda df, f: df.select("id", F.lit(600).alias("ord"), F.lit(f).alias("finding"))
-    return row(shown.select("id", F.explode(F.sequence(F.lit(1), "n"))), "hidden_slide").unionByName(row(last, "hidden_slide_with_content"))
+    return row(decks, "hidden_slide").unionByName(row(last, "hidden_slide_with_content"))
 
 
 def cell_findings(cells: DataFrame) -> DataFrame:

@@ -61,7 +61,7 @@ def document_findings(files: DataFrame, more: dict[str, DataFrame] | None = None
         if p == "pdf":
             out += [D.pdf_findings(raw), _text_findings(raw.withColumnRenamed("raw", "text"), p)]
             if "pages" in more and "links" in more:
-                out.append(D.pdf_page_findings(of(more["pages"], p), of(more["links"], p)))
+                out.append(D.pdf_page_findings(of(more["pages"], p), of(more["links"], p), anchor_finding_rows(of(more["links"], p), p)))
         if p in ("pdf", "xlsx") and "links" in more:
             out.append(anchor_finding_rows(of(more["links"], p), p))
         if p == "image":

