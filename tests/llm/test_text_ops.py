@@ -66,6 +66,26 @@ def test_fences_follow_their_groups(spark):
     assert sum(not k for i, k in got.items() if i < 1000) <= 6
 
 
+def test_junk_in_one_group_does_not_move_its_fences(spark):
+    """From a tenth to two fifths of a group's documents are junk of one kind; none of it stays, and nearly all clean documents do."""
+    rng = np.random.default_rng(9)
+    word = lambda k: "".join(rng.choice(list("abcdefghij"), k))
+    clean = lambda lines=20: "\n".join(" ".join(word(int(rng.integers(3, 8))) for _ in range(8)) for _ in range(lines))
+    pairs = lambda: "\n".join(f"{word(6)} {word(6)}" if i % 2 else "again so" for i in range(60))
+    passage = lambda: " ".join([clean(110), *["one two three four five six seven eight nine ten eleven twelve"] * 8])
+    junk = {"symbols": lambda: clean() + " #" * 40, "word_length": lambda: " ".join(word(30) for _ in range(160)), "dup_lines": pairs, "repeats": passage}
+    rows, bad = [], {}
+    for kind, make in junk.items():
+        for share in (10, 20, 30, 40):
+            for n in range(100):
+                bad[len(rows)] = n < share
+                rows.append((len(rows), make() if n < share else clean(120 if kind == "repeats" else 20), "en", f"{kind}{share}"))
+    out = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).select("doc_id", "source", "kept", "base_failed").collect()
+    assert not [r.source for r in out if bad[r.doc_id] and r.kept]
+    assert not any(r.base_failed for r in out)  # the fences do it, not the base rules
+    assert sum(not r.kept for r in out if not bad[r.doc_id]) <= 5
+
+
 def test_real_fences_come_from_the_sketches(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "source", "text")
     sketch = quality.stored(quality.sketch(quality.stored(quality.measures(docs).drop("text"))))

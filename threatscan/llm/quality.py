@@ -5,8 +5,8 @@ each language, source and measure: counts of log-linear buckets (1/16 relative
 width), which merge by addition, so a hot source is pre-aggregated in every
 task and small groups fall back to their language's merged sketch, then to the
 corpus's. A document stays if each measure lies within a fence around its
-group's median: ``reach`` times the distance from the median to the upper (or
-lower) tail quantile. Where most documents have none of a kind of event, that
+group's median: ``reach`` times the distance from the median to the nearer tail
+quantile. Where most documents have none of a kind of event, that
 distance is nothing; then what a single event makes in the group's median
 document, from the sketches of sizes, takes its place. No fence is a fixed number.
 """
@@ -26,8 +26,9 @@ MEASURES = {"symbols": ("n_words", 1000), "dup_lines": ("n_lines", 1000), "repea
 BOTH = {"word_length"}
 #: Sizes that are sketched beside the measures.
 SIZES = ("n_words", "n_lines")
-#: The upper tail quantile in hundredths, and its distances that a fence reaches. Up to 15 % of bad documents, or a
-#: third of all documents in one group of copies, do not move the quantile to themselves.
+#: The upper tail quantile in hundredths, and how often its distance from the median a fence reaches. Of the distances to
+#: both tails the smaller counts: junk on one side of a measure, up to nearly half of a group, moves only its own tail,
+#: and the median by less than the clean documents' own spread.
 TAIL, REACH = 85, 5
 #: Groups with fewer documents use the merged sketch above them.
 LEAST_DOCS = 50
@@ -123,7 +124,8 @@ def thresholds(sketches: DataFrame, reach: int = REACH, least_docs: int = LEAST_
     for m, event in MEASURES.items():
         mid = F.col(f"{m}_mid")
         one = F.floor(mid / 16) + 1 if event is None else F.floor(F.lit(event[1]) / F.greatest(f"{event[0]}_mid", F.lit(1))) + 1
-        fences += [(mid + reach * F.greatest(F.col(f"{m}_high") - mid, one)).cast("long").alias(f"high_{m}"), (mid - reach * F.greatest(mid - F.col(f"{m}_low"), one)).cast("long").alias(f"low_{m}")]
+        spread = reach * F.greatest(F.least(F.col(f"{m}_high") - mid, mid - F.col(f"{m}_low")), one)
+        fences += [(mid + spread).cast("long").alias(f"high_{m}"), (mid - spread).cast("long").alias(f"low_{m}")]
     return wide.select("lang", "source", *fences)
 
 
@@ -179,7 +181,8 @@ def quality_sql(of: str = "documents") -> str:
     pick = lambda q: f"CASE WHEN o.n >= {LEAST_DOCS} THEN o.{q} WHEN l.n >= {LEAST_DOCS} THEN l.{q} ELSE c.{q} END AS {q}"
     wide = ", ".join(f"max(CASE WHEN measure = '{m}' THEN {q} END) AS {m}_{q}" for m in (*MEASURES, *SIZES) for q in ("low", "mid", "high"))
     one = {m: f"({m}_mid // 16 + 1)" if e is None else f"({e[1]} // greatest({e[0]}_mid, 1) + 1)" for m, e in MEASURES.items()}
-    fences = ", ".join(f"{m}_mid + {REACH} * greatest({m}_high - {m}_mid, {one[m]}) AS high_{m}, {m}_mid - {REACH} * greatest({m}_mid - {m}_low, {one[m]}) AS low_{m}" for m in MEASURES)
+    spread = {m: f"{REACH} * greatest(least({m}_high - {m}_mid, {m}_mid - {m}_low), {one[m]})" for m in MEASURES}
+    fences = ", ".join(f"{m}_mid + {spread[m]} AS high_{m}, {m}_mid - {spread[m]} AS low_{m}" for m in MEASURES)
     ok = " AND ".join([f"coalesce({m} <= high_{m}, true)" for m in MEASURES] + [f"coalesce({m} >= low_{m}, true)" for m in BOTH])
     return rf"""src AS (SELECT row_number() OVER () AS rid, d.* FROM {of} d),
 ws AS (SELECT rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM src),
