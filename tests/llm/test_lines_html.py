@@ -166,6 +166,59 @@ def test_alignment_is_a_longest_common_subsequence():
         assert (a[i] == b[j]).all() and (np.diff(i) > 0).all() and (np.diff(j) > 0).all()
 
 
+def article(body):
+    return [t for t, kind in H.lines(f"<html><body><article>{body}</article></body></html>") if kind == H.ARTICLE]
+
+
+def test_inline_boilerplate_leaves_its_block():
+    assert article('<p>Real text <span class="ad">BUY NOW</span> goes on') == ["Real text goes on"]
+    assert article("<p>a <button>Subscribe</button>b <span hidden>secret</span>c</p>") == ["a b c"]
+    assert article('<p>News <a class="share">Tweet</a></p><div><button>Share this</button></div>') == ["News"]
+    assert article("<p>x <span style='display: none'>y <b>z</b></span>w <i aria-hidden=true>v</i></p>") == ["x w"]
+    assert article("<p>one <select><option>A<option>B</select>two") == ["one two"]
+    assert H.lines('<p>open <span class="ad">BUY</span> text') == [("open text", H.OPEN), ("BUY", H.BOILERPLATE)]
+
+
+def test_implied_end_tags():
+    assert article('<p class="notice">n<p>Body') == ["Body"]
+    assert article('<ul><li class="share">x<li>real item</ul>') == ["real item"]
+    assert article('<ul><li>a<ul><li class="share">x</ul>b<li>c</ul>') == ["a", "b", "c"]
+    assert article('<dl><dt class="related">x<dd>real<dt>too</dl>') == ["real", "too"]
+    assert article('<table><tr><td class="ad">x<td>cell<tr><td>row</table>') == ["cell", "row"]
+    assert article('<p class="notice">n<div>Body</div>') == ["Body"] and article('<p class="ad">n</p><p>a<h2>b</h2>') == ["a", "b"]
+    assert article('<p class="ad">x <span>y<p>Body') == ["Body"]
+
+
+def test_articles_are_known_and_kept_open():
+    assert [k for _, k in H.lines("<div role='main'><p>a</p></div><p>b</p>")] == [H.ARTICLE, H.OPEN]
+    assert [k for _, k in H.lines("<div role = main><p>a</p></div>")] == [H.ARTICLE]
+    assert article("<p>a</div><p>b</section><p>c") == ["a", "b", "c"]
+    assert [t for t, k in H.lines("<div><article><p>a</div><p>b</p></article><p>c") if k == H.ARTICLE] == ["a", "b"]
+
+
+def test_pages_with_inline_adverts_match_brute_force(spark):
+    """Articles whose blocks are known beforehand, with boilerplate put at random places inside and between them."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice(["alpha", "beta", "g&amp;h", "d\u00e9j\u00e0", "x<br>y"]) for _ in range(n))
+    inline = ['<span class="ad">BUY</span>', "<button>Go</button>", "<span hidden>no</span>", '<a class="share">Tweet</a>', "<!-- c -->", "<script>var p='<p>';</script>"]
+    between = ['<div class="advert"><p>BUY<p>NOW</div>', "<nav><ul><li>Home<li>News</ul></nav>", '<p class="notice">n', "<aside>see</aside>", '<section class="comments"><p>me too</section>', "<form><p>Name <input></form>"]
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [[words(rng.randint(1, 4)) for _ in range(rng.randint(1, 3))] for _ in range(rng.randint(1, 5))]
+        body = ""
+        for b in blocks:
+            body += rng.choice(between) if rng.random() < 0.5 else ""
+            shut = rng.choice(["</p>", ""])
+            body += "<p>" + "".join(f"{x} {rng.choice(inline) if rng.random() < 0.6 else ''}" for x in b) + shut
+        rows.append((i, f"http://h{i % 7}.example/{i}", f"<html><body><header>Top</header><article>{body}</article><footer>End</footer></body></html>"))
+        plain = lambda b: " ".join(x.replace("<br>", " ").replace("&amp;", "&") for x in b)
+        want[i] = "\n".join(plain(b) for b in blocks)
+    got = H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == want
+
+
 def test_real_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     from html import unescape
@@ -201,16 +254,29 @@ def test_differencing_decides_without_an_article(spark):
     assert H.extracted(df.limit(0)).count() == 0
 
 
+def test_copies_do_not_hide_the_page_behind_them(spark):
+    """Pages stand beside their copies; the template goes by the next page with other lines."""
+    body = lambda own: "".join(f"<p>{x}</p>" for x in ["Top menu", *own, "All rights kept"])
+    a, b = [f"own line {i} of a" for i in range(12)], [f"line {i} of b" for i in range(5)]
+    rows = [(1, "http://h.example/a1", body(b)), (2, "http://h.example/a2", body(a)), (3, "http://h.example/a3", body(a)), (4, "http://h.example/a4", body(a)), (5, "http://other.example/a4", body(a))]
+    got = {r.page_id: r.text for r in H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "\n".join(b), **dict.fromkeys((2, 3, 4), "\n".join(a)), 5: "\n".join(["Top menu", *a, "All rights kept"])}
+
+
 def test_neighbours_meet_across_ranges(spark):
     rng = random.Random(7)
     rows = [(i, f"h{i % 3}", f"/{rng.randrange(40):03}", [rng.randrange(8) for _ in range(rng.randint(0, 9))]) for i in range(120)]
     df = spark.createDataFrame(rows, "rid long, host string, path string, hashes array<long>")
     want: dict = {}
-    order = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+    first: dict = {}  # pages of the very same lines are one page
+    for r in sorted(rows, key=lambda r: (r[1], r[2], r[0])):
+        first.setdefault((r[1], tuple(r[3])), r)
+    order = list(first.values())
     for a, b in zip(order, order[1:]):
         if a[1] == b[1]:
             for rid, s in zip((a[0], b[0]), H.shared(np.array(a[3]), np.array(b[3]))):
                 want.setdefault(rid, set()).update(s)
+    want = {r[0]: want.get(first[r[1], tuple(r[3])][0]) for r in rows}
     was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
     try:
         for parts in ("1", "7", "200"):
