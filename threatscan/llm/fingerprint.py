@@ -39,6 +39,8 @@ def _mod(x: np.ndarray, m: int) -> np.ndarray:
 
 def powers(n: int) -> list[np.ndarray]:
     """The first ``n`` powers, or more, of each base; grown by doubling."""
+    if _powers and len(_powers[-1]) >= n:
+        return _powers
     if not _powers:
         _powers.extend(np.ones(1, np.uint64) for _ in PRIMES)
     for i, (m, b) in enumerate(zip(PRIMES, BASES, strict=True)):
@@ -52,7 +54,7 @@ class Prefixes:
 
     def __init__(self, arrays: list[np.ndarray]) -> None:
         self.arrays, self.n = arrays, len(arrays[0]) - 1
-        self._spans: tuple[np.ndarray, np.ndarray] | None = None
+        self._spans: np.ndarray | None = None
 
     @classmethod
     def of(cls, text: str) -> Prefixes:
@@ -98,30 +100,41 @@ class Prefixes:
             low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
         return low
 
-    def _hashes(self, at: np.ndarray) -> np.ndarray:
-        """Hashes of the spans of ``SPAN`` code points at the given places, the same wherever a span lies."""
-        out = np.zeros(len(at), np.uint64)
-        for k in range(SPAN_HASHES):
-            m, back = PRIMES[k], pow(BASES[k], -1, PRIMES[k])
-            inverse = _inverses(k, self.n + 1, back)
-            out = (out << np.uint64(31)) | _mod(self._raw(k, at, np.int64(SPAN)) * inverse[at], m)
-        return out
+    def common(self, at: int, other: Prefixes, there: int, back: bool = False) -> int:
+        """``extension`` of one pair of places."""
+        low, high = 0, min(at, there) if back else min(self.n - at, other.n - there)
+        tables = [(a, b, p, m) for a, b, p, m in zip(self.arrays, other.arrays, powers(max(self.n, other.n) + 1), PRIMES[:SPAN_HASHES], strict=False)]
+        while low < high:
+            n = (low + high + 1) // 2
+            i, j = (at - n, there - n) if back else (at, there)
+            if all((int(a[i + n]) - int(a[i])) * int(p[j]) % m == (int(b[j + n]) - int(b[j])) * int(p[i]) % m for a, b, p, m in tables):
+                low = n
+            else:
+                high = n - 1
+        return low
 
-    def spans(self) -> tuple[np.ndarray, np.ndarray]:
-        """All spans' hashes in order, and their places."""
-        if self._spans is None:
-            h = self._hashes(np.arange(max(self.n - SPAN + 1, 0)))
-            order = np.argsort(h, kind="stable")
-            self._spans = h[order], order
-        return self._spans
+    def spans(self, start: int = 0, end: int | None = None, step: int = 1) -> np.ndarray:
+        """Hashes of the spans of ``SPAN`` code points that start at every ``step``-th place from ``start``, before ``end``; the same wherever a span lies."""
+        end = max(self.n - SPAN + 1, 0) if end is None else end
+        if step == 1 and self._spans is not None:
+            return self._spans
+        out = np.zeros(len(range(start, end, step)), np.uint64)
+        for k, a in enumerate(self.arrays[:SPAN_HASHES]):
+            m = PRIMES[k]
+            d = a[start + SPAN : end + SPAN : step].astype(np.int64) - a[start:end:step]
+            d += (d < 0) * np.int64(m)
+            out = (out << np.uint64(31)) | _mod(d.astype(np.uint64) * _inverses(k, self.n + 1)[start:end:step], m)
+        if step == 1:
+            self._spans = out
+        return out
 
 
 _inverse: dict[int, np.ndarray] = {}
 
 
-def _inverses(k: int, n: int, back: int) -> np.ndarray:
+def _inverses(k: int, n: int) -> np.ndarray:
     """Powers of a base's inverse."""
-    out = _inverse.get(k, np.ones(1, np.uint64))
+    out, back = _inverse.get(k, np.ones(1, np.uint64)), pow(BASES[k], -1, PRIMES[k])
     while len(out) < n:
         out = np.concatenate([out, _mod(out * np.uint64(pow(back, len(out), PRIMES[k])), PRIMES[k])])
     _inverse[k] = out
@@ -142,25 +155,35 @@ def likeness(a: Prefixes, b: Prefixes) -> float:
         return 1.0
     if not a.n or not b.n:
         return 0.0
-    zero = np.zeros(1, np.int64)
-    head = a.extension(zero, b, zero)
-    tail = a.extension(zero + a.n, b, zero + b.n, back=True)
-    at, there, length = [zero, a.n - tail], [zero, b.n - tail], [head, tail]
-    if min(a.n, b.n) >= SPAN:
-        hashes, places = a.spans()
-        blocks = np.arange(0, b.n - SPAN + 1, SPAN)
-        # blocks inside the common ends need no search
-        blocks = blocks[(blocks + SPAN > head[0]) & (blocks < b.n - tail[0])]
-        sought = b._hashes(blocks)
-        i = np.searchsorted(hashes, sought)
-        hit = i < len(hashes)
-        hit[hit] = hashes[i[hit]] == sought[hit]
-        x, y = places[i[hit]], blocks[hit]
-        before, behind = a.extension(x, b, y, back=True), a.extension(x, b, y)
-        at.append(x - before)
-        there.append(y - before)
-        length.append(before + behind)
-    at, there, length = np.concatenate(at), np.concatenate(there), np.concatenate(length)
+    head = a.common(0, b, 0)
+    tail = a.common(a.n, b, b.n, back=True)
+    at, there, length = [[0, a.n - tail]], [[0, b.n - tail]], [[head, tail]]
+    # blocks inside the common ends need no search
+    start, end = (max(head - SPAN, -1) // SPAN + 1) * SPAN, min(b.n - SPAN + 1, b.n - tail)
+    if a.n >= SPAN and start < end:
+        sought = b.spans(start, end, SPAN)
+        order = np.argsort(sought, kind="stable")
+        known, windows = sought[order], a.spans()
+        i = np.minimum(np.searchsorted(known, windows), len(known) - 1)
+        hit = np.flatnonzero(known[i] == windows)
+        if len(hit):
+            # every block at its first place in the other text; of equal blocks the first
+            which, first = np.unique(i[hit], return_index=True)
+            x, y = hit[first], start + SPAN * order[which]
+            before, behind = a.extension(x, b, y, back=True), a.extension(x, b, y)
+            at.append(x - before)
+            there.append(y - before)
+            length.append(before + behind)
+            # blocks that repeat within this text lie inside common spans too
+            same = np.searchsorted(known, known)
+            again = np.flatnonzero((same != np.arange(len(known))) & np.isin(same, which))
+            if len(again):
+                x, y = hit[first][np.searchsorted(which, same[again])], start + SPAN * order[again]
+                before, behind = a.extension(x, b, y, back=True), a.extension(x, b, y)
+                at.append(x - before)
+                there.append(y - before)
+                length.append(before + behind)
+    at, there, length = (np.concatenate([np.asarray(v, np.int64) for v in x]) for x in (at, there, length))
     return (_covered(at, length) + _covered(there, length)) / (a.n + b.n)
 
 
