@@ -89,6 +89,35 @@ def chains(findings: DataFrame, profile: str, key: str = "id", phase: str = "ful
     return has.select(key, F.explode(F.array_compact(F.array(*rules))).alias("r")).select(key, "r.ord", "r.finding", F.lit(phase).alias("phase"))
 
 
+CLAUSES = "profile string, rule int, clause int, finding string, implied string"
+
+
+def chain_table(spark: SparkSession, phase: str = "full") -> DataFrame:
+    """The stock chains as clauses ``(profile, rule, clause, finding, implied)``: a rule holds if each of its clauses has one of its findings. Users add rows of their own."""
+    rows = []
+    for profile, rules in R.CHAINS.items():
+        late = R.AFTER_CHAINS.get(profile, []) if phase == "compat" else []
+        for i, (test, implied) in enumerate(rules):
+            rows += [(profile, i, k, f if f not in late else None, implied) for k, group in enumerate(test.split(" & ")) for f in group.split("|")]
+    return spark.createDataFrame(rows, CLAUSES)
+
+
+def implied_findings(findings: DataFrame, clauses: DataFrame, key: str = "id") -> DataFrame:
+    """``(key, profile, ord, finding)`` that rules given as ``clauses`` imply for ``findings (key, profile, finding)``: relational division.
+
+    A finding meets the clauses it satisfies; a document has a rule if it meets
+    as many different clauses as the rule has. Repeated findings count once, in
+    each task before the shuffle. A clause of null findings alone never holds;
+    null profiles meet no rule. Both tables may have any size.
+    """
+    rule = ["profile", "rule", "implied"]
+    sizes = clauses.groupBy(*rule).agg(F.count_distinct("clause").alias("n"))
+    known = findings.select(key, "profile", "finding").distinct()
+    each = known.join(clauses.filter("finding is not null"), ["profile", "finding"]).select(key, *rule, "clause").distinct()
+    held = each.groupBy(key, *rule).agg(F.count(F.lit(1)).alias("has")).join(sizes, rule).filter("has = n")
+    return held.select(key, "profile", (F.lit(100_000) + F.col("rule")).alias("ord"), F.col("implied").alias("finding"))
+
+
 def as_rows(df: DataFrame, rules: list[tuple[Column, str]], key: str = "id", start: int = 0) -> DataFrame:
     """``(key, ord, finding)`` for a list of (test or count, finding): a count gives as many rows."""
     each = []

@@ -24,7 +24,7 @@ def _text_findings(texts: DataFrame, profile: str) -> DataFrame:
     return N.phrase_findings(texts, profile).unionByName(url_finding_rows(urls, profile))
 
 
-def document_findings(files: DataFrame, more: dict[str, DataFrame] | None = None, phase: str = "full") -> DataFrame:
+def document_findings(files: DataFrame, more: dict[str, DataFrame] | None = None, phase: str = "full", clauses: DataFrame | None = None) -> DataFrame:
     """``(id, profile, ord, finding)`` of ``files (id, path, length, content)``, each by the analyzers of its format.
 
     Files that cannot be scanned (``dispatch``) have no rows. ``more`` brings
@@ -32,8 +32,14 @@ def document_findings(files: DataFrame, more: dict[str, DataFrame] | None = None
     code)``, ``pages`` and ``links`` of PDF files and workbooks, ``images`` as
     ``image_findings`` reads them, ``templates (h)`` with ``hashes (id, h)``.
     Containers are unpacked once, into a stored table. Rows that share an id
-    are one document.
+    are one document. ``clauses`` takes the place of the stock chains
+    (``findings.chain_table``, with the user's own rows).
     """
+    return _scanned(files, more, phase, clauses)[0]
+
+
+def _scanned(files: DataFrame, more: dict[str, DataFrame] | None, phase: str, clauses: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The findings, and ``(id, errors)`` of what could not be read."""
     more = more or {}
     known = S.dispatch(files).filter("reject_reason is null")
     profile = F.create_map(*(F.lit(x) for kv in PROFILES.items() for x in kv))[F.col("format")]
@@ -77,24 +83,30 @@ def document_findings(files: DataFrame, more: dict[str, DataFrame] | None = None
         if found := rows(p):
             each.append(reduce(DataFrame.unionByName, (f.select("id", "ord", "finding") for f in found)).withColumn("profile", F.lit(p)))
     found = stored(reduce(DataFrame.unionByName, each))
+    errors = S.part_errors(parts)
+    if clauses is not None:
+        return found.select("id", "profile", "ord", "finding").unionByName(N.implied_findings(found, clauses).select("id", "profile", "ord", "finding")), errors
     implied = [N.chains(found.filter(is_(p)), p, phase=phase).select("id", "ord", "finding", F.lit(p).alias("profile")) for p in N.R.CHAINS]
-    return reduce(DataFrame.unionByName, implied, found).select("id", "profile", "ord", "finding")
+    return reduce(DataFrame.unionByName, implied, found).select("id", "profile", "ord", "finding"), errors
+
 
+def scan_documents(files: DataFrame, more: dict[str, DataFrame] | None = None, weights: DataFrame | None = None, phase: str = "full", clauses: DataFrame | None = None) -> DataFrame:
+    """``files`` scanned and scored: ``(id, path, size, sha256, reject_reason, score, verdict, severity, total_findings, breakdown, errors)``.
 
-def scan_documents(files: DataFrame, more: dict[str, DataFrame] | None = None, weights: DataFrame | None = None, phase: str = "full") -> DataFrame:
-    """``files`` scanned and scored: ``(id, path, size, sha256, reject_reason, score, verdict, severity, total_findings, breakdown)``.
+    ``errors`` names the parts of a container that could not be read, or null;
+    the findings of the others stand beside them.
 
     A file without findings scores 0; one that cannot be scanned has a
     ``reject_reason`` and null scores. Other columns of ``files`` are not read.
     """
-    found = document_findings(files, more, phase)
+    found, errors = _scanned(files, more, phase, clauses)
     scores = N.document_scores(N.weighed(found, N.weight_table(files.sparkSession) if weights is None else weights))
     head = S.dispatch(files).select("id", "path", S.size_label(F.col("length")).alias("size"), F.sha2("content", 256).alias("sha256"), "reject_reason")
-    met = head.join(scores.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").drop("__id")
+    met = head.join(scores.withColumnRenamed("id", "__id"), F.col("id") == F.col("__id"), "left").drop("__id").join(errors, "id", "left")
     scanned = F.col("reject_reason").isNull()
 
     def shown(c: str, none) -> Column:
         return F.when(scanned, F.coalesce(c, none)).alias(c)
 
     score = F.when(scanned, F.coalesce("score", F.lit(0)))
-    return met.select("id", "path", "size", "sha256", "reject_reason", score.alias("score"), F.when(scanned, N.verdict(F.coalesce("score", F.lit(0)))).alias("verdict"), F.when(scanned, N.risk(F.coalesce("score", F.lit(0)))).alias("severity"), shown("total_findings", F.lit(0).cast("long")), shown("breakdown", F.array().cast(scores.schema["breakdown"].dataType)))
+    return met.select("id", "path", "size", "sha256", "reject_reason", score.alias("score"), F.when(scanned, N.verdict(F.coalesce("score", F.lit(0)))).alias("verdict"), F.when(scanned, N.risk(F.coalesce("score", F.lit(0)))).alias("severity"), shown("total_findings", F.lit(0).cast("long")), shown("breakdown", F.array().cast(scores.schema["breakdown"].dataType)), "errors")

@@ -47,6 +47,45 @@ def split_urls(df: DataFrame, url: str = "url") -> DataFrame:
     )
 
 
+def registered_domain(df: DataFrame, suffixes: DataFrame, url: str = "url") -> DataFrame:
+    """``df`` with ``registered_domain``: the longest entry of ``suffixes (suffix)`` that the host ends with, and one label more.
+
+    ``co.uk`` is an entry; ``*.ck`` stands for every label before ``ck``, and
+    ``!www.ck`` is an exception to it. A host that no entry fits has its last
+    label as suffix; a host that is itself a suffix stays as it is; null URLs
+    stay null. Each different host meets the table once, by its own endings, at
+    most three keys for each label.
+    """
+    named = df.withColumn("__host", F.lower(F.substring_index(part(F.col(url), 2), ":", 1)))
+    labels = F.split("__host", r"\.")
+    n = F.size(labels)
+    ends = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    # (key of the table, labels of the suffix if the key is there, rank)
+    keys = F.flatten(
+        F.transform(
+            ends,
+            lambda e, k: F.array(
+                F.struct(e.alias("suffix"), (k + 1).alias("n"), F.lit(0).alias("exception")),
+                F.struct(F.concat(F.lit("*."), e).alias("suffix"), (k + 2).alias("n"), F.lit(0).alias("exception")),
+                F.struct(F.concat(F.lit("!"), e).alias("suffix"), k.alias("n"), F.lit(1).alias("exception")),
+            ),
+        )
+    )
+    hosts = named.filter("__host is not null").select("__host").distinct()
+    met = hosts.select("__host", F.explode(keys).alias("k")).select("__host", "k.*").filter(F.col("n") <= F.size(F.split("__host", r"\."))).join(suffixes.select("suffix").distinct(), "suffix")
+    best = met.groupBy("__host").agg(F.max(F.struct("exception", "n")).alias("b")).select(F.col("__host").alias("__h"), F.col("b.n").alias("__n"))
+    out = named.join(best, F.col("__host") == F.col("__h"), "left")
+    size = F.coalesce("__n", F.lit(1)) + 1
+    return out.withColumn("registered_domain", F.array_join(F.slice(labels, F.greatest(n - size + 1, F.lit(1)), size), ".")).drop("__host", "__h", "__n")
+
+
+def trusted(df: DataFrame, suffixes: DataFrame | None = None, url: str = "url") -> DataFrame:
+    """``df`` with ``trusted``: whether the base domain is a known one. Without ``suffixes`` that is always two labels; with them it is ``registered_domain``, which is added too."""
+    if suffixes is None:
+        return split_urls(df, url).select(*df.columns, F.col("base_domain").isin(sorted(R.TRUSTED_DOMAINS)).alias("trusted"))
+    return registered_domain(df, suffixes, url).withColumn("trusted", F.col("registered_domain").isin(sorted(R.TRUSTED_DOMAINS)))
+
+
 def _flag(c: Column) -> Column:
     return F.coalesce(c, F.lit(False)).cast("int")
 

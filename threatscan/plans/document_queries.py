@@ -6,9 +6,12 @@ it, and headers, bytes and alerts follow from keys in both Spark and SQL.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from threatscan.functions import text as X
+from threatscan.functions.tables import shared_dir
 from threatscan.operators import documents as D
 from threatscan.operators import findings as N
 from threatscan.operators import mail as M
@@ -441,3 +444,57 @@ def doc_scan(spark, sf):
     found = D.pdf_findings(raw).unionByName(N.phrase_findings(raw.withColumnRenamed("raw", "text"), "pdf", LEXICON))
     found = found.unionByName(N.chains(found, "docx").drop("phase"))
     return N.document_scores(N.weighed(found, N.weight_table(spark))).select("id", "score", "total_findings", "verdict", "severity")
+
+
+#: A user's own rules beside the stock ones.
+_OWN_RULES = [("xlsx", 100, 0, "dde_attack", "own_chain"), ("xlsx", 100, 1, "malicious_macro", "own_chain"), ("xlsx", 100, 1, "external_template", "own_chain"), ("xlsx", 101, 0, "never_found", "own_other")]
+_CLAUSE_ROWS = [("xlsx", i, k, f, implied) for i, (test, implied) in enumerate(R.CHAINS["xlsx"]) for k, group in enumerate(test.split(" & ")) for f in group.split("|")] + _OWN_RULES
+_CLAUSES = "cl AS (SELECT * FROM (VALUES " + ", ".join(f"({rule}, {clause}, '{f}', '{implied}')" for _, rule, clause, f, implied in _CLAUSE_ROWS) + ") AS v(rule, clause, finding, implied))"
+
+
+@query(
+    "attack_chain_table",
+    f"""WITH {_LINES}, {_CLAUSES}, met AS (SELECT DISTINCT id, rule, clause FROM lf JOIN cl USING (finding))
+SELECT id, rule, implied AS finding FROM (SELECT id, rule, count(*) AS has FROM met GROUP BY ALL) h JOIN (SELECT rule, implied, count(DISTINCT clause) AS n FROM cl GROUP BY ALL) r USING (rule) WHERE has = n""",
+)
+def attack_chain_table(spark, sf):
+    """Chains as rows of a table, a user's own among them."""
+    clauses = N.chain_table(spark).unionByName(spark.createDataFrame(_OWN_RULES, N.CLAUSES))
+    found = N.implied_findings(_line_findings(spark, sf).withColumn("profile", F.lit("xlsx")), clauses)
+    return found.select("id", (F.col("ord") - 100_000).alias("rule"), "finding")
+
+
+@query(
+    "history_sink",
+    """SELECT 'url' AS type, event_type AS run, event_id % 3 AS batch, event_id::VARCHAR AS id, (event_id % 101)::INT AS score, CASE WHEN event_id % 101 <= 39 THEN 'Safe' WHEN event_id % 101 <= 69 THEN 'Suspicious' ELSE 'Phishing' END AS verdict FROM events
+UNION ALL SELECT 'email', 'mail', 0, o_orderkey::VARCHAR, (o_orderkey % 101)::INT, CASE WHEN o_orderkey % 101 <= 39 THEN 'Safe' WHEN o_orderkey % 101 <= 69 THEN 'Suspicious' ELSE 'Phishing' END FROM orders""",
+)
+def history_sink(spark, sf):
+    """Results of two kinds written batch by batch, one of the batches again, and read as one history."""
+    at = f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    score = lambda k: (F.col(k) % 101).cast("int")
+    named = lambda df, k: df.withColumn("score", score(k)).withColumn("verdict", F.upper(N.verdict(F.col("score"))))
+    events = named(_events(spark, sf).withColumn("id", F.col("event_id")), "event_id")
+    for run in ("click", "error", "purchase", "signup", "view"):
+        put = S.sink(at, "url", run)
+        for batch in (0, 1, 2, 1):
+            put(events.filter((F.col("event_type") == run) & (F.col("event_id") % 3 == batch)), batch)
+    mails = named(spark.read.parquet(f"{sf}/orders.parquet").withColumn("id", F.col("o_orderkey")), "o_orderkey")
+    S.sink(at, "email", "mail")(mails, 0)
+    return S.read_history(spark, at)
+
+
+_BROKEN = "CASE WHEN doc_id % 7 = 3 THEN 'bad part' WHEN doc_id % 11 = 5 THEN 'too large' END"
+
+
+@query(
+    "part_errors",
+    f"""WITH p AS (SELECT doc_id // 4 AS id, (doc_id % 4)::INT AS k, 'word/p' || (doc_id % 4) || '.xml' AS part, {_BROKEN} AS error FROM documents)
+SELECT id, string_agg(part || ': ' || error, '; ' ORDER BY k) AS errors FROM p WHERE error IS NOT NULL GROUP BY id""",
+)
+def part_errors(spark, sf):
+    """Four documents are the parts of a container, some of them broken."""
+    k = F.col("doc_id")
+    error = F.when(k % 7 == 3, "bad part").when(k % 11 == 5, "too large")
+    parts = _docs(spark, sf).select(F.floor(k / 4).cast("long").alias("id"), (k % 4).cast("int").alias("entry_ord"), F.concat(F.lit("word/p"), k % 4, F.lit(".xml")).alias("entry_name"), error.alias("error"))
+    return S.part_errors(parts).select("id", F.array_join(F.transform("errors", lambda e: F.concat(e["part"], F.lit(": "), e["error"])), "; ").alias("errors"))

@@ -255,3 +255,28 @@ def embedded_url_findings(spark, sf):
 def url_enrichment(spark, sf):
     texts = page_urls(spark, sf).select("page_id", F.concat(F.lit("see "), "url", F.lit(". or again "), "url", F.lit(", please")).alias("text"))
     return enriched(texts, "page_id")
+
+
+#: Public suffixes, with a wildcard and its exception, and what is put behind the hosts of the pages.
+_SUFFIXES = ["com", "org", "in", "ac.in", "co.uk", "uk", "*.ck", "!www.ck", "kobe.jp", "jp", "*.kawasaki.jp"]
+_TAILS = ["", ".ac.in", ".co.uk", ".ck", ".kobe.jp", ".x.kawasaki.jp", ".unknown"]
+_HOSTS = ["google", "paruluniversity", "www", "a"]
+
+
+@query(
+    "url_registered_domain",
+    rf"""WITH h AS (SELECT page_id, {_l(_HOSTS)}[1 + (page_id % {len(_HOSTS)})::INT] || CASE WHEN page_id % 3 = 0 THEN '' ELSE '.' || regexp_extract(url, '^https?://([^/?#]*)', 1) END || {_l(_TAILS)}[1 + (page_id % {len(_TAILS)})::INT] AS host FROM pages),
+s AS (SELECT unnest({_l(_SUFFIXES)}) AS suffix), l AS (SELECT page_id, host, string_split(lower(host), '.') AS p, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM h),
+e AS (SELECT page_id, host, p, k, array_to_string(p[len(p) - k + 1:], '.') AS tail FROM l),
+m AS (SELECT page_id, 0 AS x, k AS n FROM e JOIN s ON s.suffix = tail UNION ALL SELECT page_id, 0, k + 1 FROM e JOIN s ON s.suffix = '*.' || tail WHERE k < len(p) UNION ALL SELECT page_id, 1, k - 1 FROM e JOIN s ON s.suffix = '!' || tail),
+b AS (SELECT page_id, (max({{'x': x, 'n': n}})).n AS n FROM m GROUP BY page_id),
+r AS (SELECT page_id, p, coalesce(n, 1) + 1 AS n FROM (SELECT DISTINCT page_id, p FROM l) LEFT JOIN b USING (page_id))
+SELECT page_id, array_to_string(p[greatest(len(p) - n + 1, 1):], '.') AS registered_domain, array_to_string(p[greatest(len(p) - n + 1, 1):], '.') IN ({", ".join(f"'{d}'" for d in R.TRUSTED_DOMAINS)}) AS trusted FROM r""",
+)
+def url_registered_domain(spark, sf):
+    """Hosts made of the pages' own ones: the registered domain by a table of suffixes, and whether it is a known one."""
+    k, at = F.col("page_id"), lambda xs: F.get(X.array_of(xs), F.pmod(F.col("page_id"), F.lit(len(xs))).cast("int"))
+    host = F.concat(at(_HOSTS), F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("."), U.part(F.col("url"), 2))), at(_TAILS))
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.concat(F.lit("https://"), host, F.lit(":8080/x")).alias("url"))
+    suffixes = spark.createDataFrame([(x,) for x in _SUFFIXES], "suffix string")
+    return U.trusted(pages, suffixes).select("page_id", "registered_domain", "trusted")

@@ -133,7 +133,37 @@ def write_results(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     df.write.mode("append").partitionBy("verdict").format(fmt).save(path)
 
 
+def result_rows(df: DataFrame, kind: str) -> DataFrame:
+    """Results of one kind as ``(type, id, score, verdict)``, verdicts in one spelling."""
+    return df.select(F.lit(kind).alias("type"), F.col("id").cast("string").alias("id"), F.col("score").cast("int").alias("score"), F.initcap(F.lower("verdict")).alias("verdict"))
+
+
+def write_batch(df: DataFrame, path: str, kind: str, run: str, batch: int) -> None:
+    """Results of one kind as the folder of (kind, run, batch), in place of what is there: a batch that is written again leaves the same table."""
+    result_rows(df, kind).drop("type").write.mode("overwrite").parquet(f"{path}/type={kind}/run={run}/batch={int(batch)}")
+
+
+def sink(path: str, kind: str, run: str):
+    """A function for ``foreachBatch`` that writes each batch of results by ``write_batch``. ``run`` names the query: one name as long as its checkpoint lives."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        write_batch(batch, path, kind, run, number)
+
+    return put
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """The results of all kinds and runs below ``path``: ``(type, run, batch, id, score, verdict)``."""
+    out = spark.read.schema("id string, score int, verdict string, type string, run string, batch long").parquet(path)
+    return out.select("type", "run", "batch", "id", "score", "verdict")
+
+
+def part_errors(parts: DataFrame) -> DataFrame:
+    """``(id, errors)``: what could not be read in each container, as (part, error) in order; only containers with errors. Findings of the other parts are not touched."""
+    bad = parts.filter("error is not null").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("entry_ord", F.col("entry_name").alias("part"), "error"))).alias("e"))
+    return bad.select("id", F.transform("e", lambda x: F.struct(x["part"].alias("part"), x["error"].alias("error"))).alias("errors"))
+
+
 def history(urls: DataFrame, documents: DataFrame, mails: DataFrame) -> DataFrame:
-    """One table ``(type, id, score, verdict)`` of all kinds of results, verdicts in one spelling."""
-    one = lambda df, kind: df.select(F.lit(kind).alias("type"), F.col("id").cast("string").alias("id"), F.col("score").cast("int").alias("score"), F.initcap(F.lower("verdict")).alias("verdict"))
-    return one(urls, "url").unionByName(one(documents, "document")).unionByName(one(mails, "email"))
+    """One table ``(type, id, score, verdict)`` of all kinds of results."""
+    return result_rows(urls, "url").unionByName(result_rows(documents, "document")).unionByName(result_rows(mails, "email"))
