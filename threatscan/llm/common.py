@@ -28,21 +28,21 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/threatscan-{spark.sparkContext.applicationId}"
 
 
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends here, on files every executor sees. ``drop_stored`` deletes them."""
     spark = df.sparkSession
-    at = f"{_own_dir(spark)}/t-{uuid.uuid4().hex}"
+    at = f"{own_dir(spark)}/t-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def drop_stored(spark: SparkSession) -> None:
     """Delete the tables that this application has stored. Results that still read them must have been written before."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
