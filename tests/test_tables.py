@@ -123,3 +123,25 @@ def test_part_errors_are_in_order(spark):
     parts = spark.createDataFrame([("a", 2, "z", "late"), ("a", 1, "y", "early"), ("a", 0, "x", None), ("b", 0, "x", None)], "id string, entry_ord int, entry_name string, error string")
     assert [(r.id, [tuple(e) for e in r.errors]) for r in S.part_errors(parts).collect()] == [("a", [("y", "early"), ("z", "late")])]
     assert D.part_findings(parts.withColumn("data", F.lit(b"MZ")), "docx").filter("id = 'b'").count() == 1
+
+
+def test_own_analyzers_take_part_in_a_scan(spark, monkeypatch):
+    from threatscan.operators.scan import document_findings
+
+    monkeypatch.setattr(N, "ANALYZERS", {})
+
+    @N.analyzer("pdf:notes")
+    def notes(df):
+        return N.as_rows(df, [(F.col("note").contains("bad"), "bad_note")])
+
+    files = spark.createDataFrame([("a", "/in/a.pdf", 4, b"%PDF"), ("b", "/in/b.docx", 3, b"bad")], "id string, path string, length long, content binary")
+    table = spark.createDataFrame([("a", "bad"), ("a", "good"), ("b", "bad")], "id string, note string")
+    got = document_findings(files, {"pdf:notes": table}).filter("finding = 'bad_note'").collect()
+    assert [(r.id, r.profile) for r in got] == [("a", "pdf")]
+
+
+def test_mail_files(spark, tmp_path):
+    (tmp_path / "a.eml").write_bytes(b"From: x@y.example\nSubject: hi\n\nBody\n")
+    (tmp_path / "b.txt").write_bytes(b"no mail")
+    got = S.read_mails(spark, str(tmp_path)).collect()
+    assert [(r.sender, r.text_body.strip(), r.reject_reason) for r in got] == [("x@y.example", "Body", None)] and got[0].path.endswith("a.eml")

@@ -59,6 +59,13 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.transform(F.array(sorted_), of)[0]).otherwise(F.lit(0.0))
 
 
+def entropy_over(text: Column, bits: float, digits: int | None = None) -> Column:
+    """Whether the entropy (rounded to ``digits``) is over ``bits``. So many bits take more different characters than most texts have at all, so it is computed for few."""
+    value = entropy(text) if digits is None else F.round(entropy(text), digits)
+    many = (F.length(text) > 2**bits) & (F.size(F.array_distinct(F.split(text, ""))) > 2**bits)
+    return F.coalesce(F.when(many, value > bits), F.lit(False))
+
+
 def leet(text: Column) -> Column:
     """Text with look-alike digits and signs read as letters, in lower case."""
     out = F.translate(F.lower(text), LEET_FROM, LEET_TO)

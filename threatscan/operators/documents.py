@@ -159,7 +159,7 @@ def macro_findings(code: DataFrame, profile: str) -> DataFrame:
     if profile == "pptx":
         rules += [(_any(low, words), finding) for finding, words in R.PPT_MACRO_ONCE.items()]
         rules.append((_has(low, "shell") & (_has(low, "cmd") | _has(low, "exe")), "shell_command"))
-        lines = F.exists(F.split("code", "\n"), lambda x: F.when(F.length(x) > 50, X.entropy(x) > 5.5).otherwise(F.lit(False)))
+        lines = F.exists(F.split("code", "\n"), lambda x: F.when(F.length(x) > 50, X.entropy_over(x, 5.5)).otherwise(F.lit(False)))
         rules += [
             (base64_like(F.col("code"), 40), "base64_payload"), (F.regexp_count(low, F.lit(r"chr\(\d+\)")) > 5, "char_concat_obfuscation"),
             (low.rlike("|".join(R.STRING_SPLITS)), "string_split_obfuscation"), (lines, "high_entropy_string"),
@@ -169,7 +169,7 @@ def macro_findings(code: DataFrame, profile: str) -> DataFrame:
         signatures = R.SIGNATURES_DOCX if profile == "docx" else R.SIGNATURES
         rules += [
             (base64_like(low, 50), "encoded_macro_payload"), (low.rlike("[0-9a-f]{40,}"), "encoded_macro_payload"), (sum((low.rlike(p).cast("int") for p in R.CONCAT_PATTERNS), F.lit(0)), "string_obfuscation"),
-            ((F.length(start) >= 20) & (F.round(X.entropy(start), 2) > 5.5), "high_entropy_string"), (X.n_contained(low, signatures), "known_macro_signature"),
+            ((F.length(start) >= 20) & X.entropy_over(start, 5.5, 2), "high_entropy_string"), (X.n_contained(low, signatures), "known_macro_signature"),
         ]
     return as_rows(code, rules, start=200)
 
@@ -254,7 +254,7 @@ def part_findings(parts: DataFrame, profile: str) -> DataFrame:
             (timed & _has(x, "<p:cmd"), "cmd_trigger_found"), (timed & x.rlike('<p:cTn[^>]*delay="0"'), "zero_delay_trigger"), (timed & _has(low, "mouseover"), "mouseover_trigger"), (timed, "suspicious_animation"),
             (slide & ~_has(x, "<p:ph") & _has(x, "hlinkClick"), "action_button_found"), (slide & ~_has(x, "<p:ph") & _has(x, "hlinkMouseOver"), "mouseover_action"), (slide & _has(low, "ppaction://macro"), "macro_action_button"),
             (slide & _any(low, ["ppaction://hlinksldjump", "ppaction://program"]), "run_program_action"), (slide & _has(x, "<a:noFill/>") & acts, "invisible_button"),
-            (media & unlike, "media_type_mismatch"), (media & mz, "embedded_executable"), (media & (F.length("data") > 10240 * 1024), "large_media_file"), (within(media, (X.entropy(head) > 7.9).cast("int")), "high_entropy_media"),
+            (media & unlike, "media_type_mismatch"), (media & mz, "embedded_executable"), (media & (F.length("data") > 10240 * 1024), "large_media_file"), (within(media, X.entropy_over(head, 7.9).cast("int")), "high_entropy_media"),
             (_has(name, "vbaproject.bin"), "vba_macro_detected"),
         ]
         return as_rows(p, tests, start=400)
@@ -268,11 +268,11 @@ def part_findings(parts: DataFrame, profile: str) -> DataFrame:
     tests = [
         (embedded, "embedded_ole_object"), (embedded & name.rlike(R.ending(R.EMBEDDED_EXECUTABLES[profile])), "embedded_executable"), (embedded & inner.rlike(r"^\.|\..*\."), "double_extension_payload"),
         (name.rlike(R.ending(R.SCRIPTS)), "embedded_script"), (mz, "embedded_executable"), (rels & _has(x, "attachedTemplate") & template, "external_template"), (within(rels & _has(name, "image"), images), "external_image_tracker"),
-        (within(rels, F.size(outside)), "suspicious_relationship"), (within(settings, F.size(_web(x, R.SAFE_HOSTS[profile]))), "hidden_relationship"), (within(other, (X.entropy(F.substr("head", F.lit(1), F.lit(500))) > 7.0).cast("int")), "high_entropy_string"),
+        (within(rels, F.size(outside)), "suspicious_relationship"), (within(settings, F.size(_web(x, R.SAFE_HOSTS[profile]))), "hidden_relationship"), (within(other, X.entropy_over(F.substr("head", F.lit(1), F.lit(500)), 7.0).cast("int")), "high_entropy_string"),
     ]
     if profile == "docx":
         runs = F.regexp_extract_all(x, F.lit("[A-Za-z0-9+/]{100,}={0,2}"), F.lit(0))
-        tests += [(xml & x.rlike("[0-9a-fA-F]{80,}"), "encoded_macro_payload"), (within(xml, F.exists(runs, lambda m: X.entropy(m) > 5.5).cast("int")), "encoded_macro_payload")]
+        tests += [(xml & x.rlike("[0-9a-fA-F]{80,}"), "encoded_macro_payload"), (within(xml, F.exists(runs, lambda m: X.entropy_over(m, 5.5)).cast("int")), "encoded_macro_payload")]
     if profile == "xlsx":
         words = X.contained(low, R.XLM)
         of = lambda k: F.size(F.filter(words, lambda w: F.contains(w, F.lit(k))))

@@ -31,7 +31,8 @@ def document_findings(files: DataFrame, more: dict[str, DataFrame] | None = None
     tables that other tools make, each with the file's ``id``: ``macros (id,
     code)``, ``pages`` and ``links`` of PDF files and workbooks, ``images`` as
     ``image_findings`` reads them, ``templates (h)`` with ``hashes (id, h)``.
-    Containers are unpacked once, into a stored table. Rows that share an id
+    A function registered as ``analyzer("docx:notes")`` gets the table ``more["docx:notes"]``
+    and gives further findings of that format. Containers are unpacked once, into a stored table. Rows that share an id
     are one document. ``clauses`` takes the place of the stock chains
     (``findings.chain_table``, with the user's own rows).
     """
@@ -76,7 +77,8 @@ def _scanned(files: DataFrame, more: dict[str, DataFrame] | None, phase: str, cl
                 out += [D.image_findings(images), _text_findings(images.select("id", F.coalesce("ocr_text", F.lit("")).alias("text")), p)]
             if "hashes" in more and "templates" in more:
                 out.append(D.template_findings(of(more["hashes"], p), more["templates"]))
-        return out
+        # the user's own analyzers of this format
+        return out + [N.ANALYZERS[n](of(more[n], p)) for n in N.ANALYZERS if n in more and n.partition(":")[0] == p]
 
     each = []
     for p in PROFILES.values():

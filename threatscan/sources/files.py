@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 
 from threatscan.rules import documents as R
 
-#: Unpacked bytes of a part, and of all parts of a file, at most, unless the caller says otherwise; beyond, the row carries an error.
-#: They keep a container that unpacks to far more than its size from filling a worker.
-PART_BYTES, FILE_BYTES = 64 << 20, 512 << 20
-
-
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
 
@@ -50,11 +45,19 @@ def mail_rejects(files: DataFrame) -> DataFrame:
     return files.withColumn("reject_reason", F.when(extension(F.col("path")) != ".eml", "not_eml").when(F.col("length") == 0, "empty"))
 
 
-def ooxml_parts(files: DataFrame, key: str = "path", part_bytes: int | None = PART_BYTES, file_bytes: int | None = FILE_BYTES) -> DataFrame:
+def read_mails(spark: SparkSession, path: str) -> DataFrame:
+    """The ``.eml`` files below ``path`` as ``messages`` has them, with ``path``; empty ones have a ``reject_reason``."""
+    files = mail_rejects(read_files(spark, path, "*.eml"))
+    return messages(files).join(files.select(F.col("path").alias("id"), "reject_reason"), "id").withColumn("path", F.col("id"))
+
+
+def ooxml_parts(files: DataFrame, key: str = "path", part_bytes: int | None = None, file_bytes: int | None = None) -> DataFrame:
     """The parts of ZIP containers ``(key, content)`` as ``(id, entry_ord, entry_name, data, error)``; a bad container is one row with an error.
 
-    A part beyond ``part_bytes``, or beyond ``file_bytes`` together with those
-    before it, has an error for its data; None sets no such limit.
+    All parts are unpacked, one by one. Against containers that unpack to far
+    more than their size a caller may set limits: a part beyond ``part_bytes``,
+    or beyond ``file_bytes`` together with those before it, then has an error
+    for its data.
     """
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
