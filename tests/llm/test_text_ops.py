@@ -177,7 +177,7 @@ def test_langid_matches_brute_force(spark):
                 return [0.7**step * sum(log(lang, n, g) for g in found) / len(found) for lang in langs]
         return [0.0] * len(langs)
 
-    model = langid.fit(spark.createDataFrame([(t, lang) for _, t, lang, h in docs if not h], "text string, lang string"), kept=10**7)
+    model = langid.fit(spark.createDataFrame([(t, lang) for _, t, lang, h in docs if not h], "text string, lang string"))
     got = {r.doc_id: r for r in langid.predicted(spark.createDataFrame([d[:2] for d in docs], "doc_id long, text string"), model).collect()}
     for i, t, _, _ in docs:
         ws = split(t)

@@ -3,9 +3,9 @@
 A word that training texts know is scored by its log frequency in each
 language. An unknown word backs off: it is cut into character n-grams of the
 longest order with a known one, then of shorter orders down to single letters.
-Frequencies come from a bounded sample of labelled documents; the model keeps
-the most frequent words and n-grams of each language, so its size is fixed and
-it is broadcast.
+Frequencies come from a bounded sample of labelled documents (``SAMPLE`` for
+each language); the model holds every word and n-gram of that sample and is
+broadcast.
 """
 
 from __future__ import annotations
@@ -19,14 +19,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from threatscan.llm.common import bound_batches, fresh, stored, table
 
 #: Labelled documents of each language that the model is fitted on, at most; chosen by a hash of the text.
 SAMPLE = 20_000
-#: Words, and n-grams of each order, kept for each language.
-KEPT = 20_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Each order further down counts less.
 DISCOUNT = 0.7
@@ -52,19 +49,18 @@ def features(word: str):
             yield f"{n}:{g}"
 
 
-def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
+def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     """The model of ``labelled (text, lang)``: languages, and for each feature its log frequency in each.
 
     Every language with a word is learned. What a language lacks has half a
     count; the halves of all features of a kind are part of each total, so a
     language with few texts is no likelier for that. Null texts and languages
-    are left out. Ties among features at the cut go by their names. Without any
-    labelled text the model knows no language.
+    are left out. Without any labelled text the model knows no language.
     """
     bound_batches(labelled.sparkSession)
     known = labelled.filter("text is not null and lang is not null").select("text", "lang")
     sizes = known.groupBy("lang").count()
-    share = known.join(F.broadcast(sizes), "lang").filter(F.pmod(F.xxhash64("text"), F.ceil(F.col("count") / sample)) == 0)  # one row for each language
+    share = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("text"), F.ceil(F.col("count") / sample)) == 0)
 
     def count(batches):
         for pdf in batches:
@@ -89,9 +85,8 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, kept: int = KEPT) -> dict:
     kind = F.substring("f", 1, 1)
     totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", kind.alias("kind")).agg(F.sum("n")).collect()}  # six rows for each language
     different = {r[0]: r[1] for r in counted.select("f").distinct().groupBy(kind.alias("kind")).count().collect()}  # six rows
-    rank = F.row_number().over(W.partitionBy("lang", kind).orderBy(F.desc("n"), "f"))
     langs = sorted({lang for lang, _ in totals})
-    top = counted.withColumn("rank", rank).filter(F.col("rank") <= kept).select("lang", "f", "n").toPandas()  # at most 6 * kept rows for each language
+    top = counted.select("lang", "f", "n").toPandas()  # what the sample of each language holds
     index = {f: i for i, f in enumerate(sorted(set(top["f"])))}
     kinds = np.array([f[0] for f in index])
     logp = np.empty((len(index), len(langs)), dtype=np.float32)
@@ -166,7 +161,7 @@ def predicted(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     bound_batches(spark)
     name = uuid.uuid4().hex
-    shared = spark.sparkContext.broadcast(model)  # at most 6 * KEPT features for each language
+    shared = spark.sparkContext.broadcast(model)  # the features of at most SAMPLE documents of each language
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(s: pd.Series) -> pd.DataFrame:
