@@ -65,7 +65,7 @@ def test_office_findings(spark, office):
     assert {r.ref: r.value for r in cells.collect()} == {"A1": "one", "B1": '=WEBSERVICE("http://e.xyz")', "C1": "7"}
     assert kinds(D.cell_findings(cells), "b.xlsx") == ["webservice_formula"]
     got = kinds(D.part_findings(pptx, "pptx"), "c.pptx")
-    assert {"cmd_trigger_found", "zero_delay_trigger", "suspicious_animation", "action_button_found", "invisible_button", "media_type_mismatch", "mz_header_found"} <= set(got)
+    assert {"cmd_trigger_found", "zero_delay_trigger", "suspicious_animation", "action_button_found", "invisible_button", "media_type_mismatch", "embedded_executable"} <= set(got)
     assert kinds(D.hidden_slides(pptx), "c.pptx") == ["hidden_slide", "hidden_slide_with_content"]
 
 
