@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threatscan.functions import text as X
 from threatscan.operators import urls as U
 
+# URLs with the least and the highest score they may have, and the verdict.
 BOUNDS = [
     ("https://google.com", None, 45, "safe"),
     ("http://paypa1.com/login", 70, None, "phishing"),
@@ -29,6 +30,7 @@ BOUNDS = [
     ("verify-metamask-wallet-login.netlify.app", 70, None, None),
     ("coinbase-secure-auth-verify.pages.dev", 70, None, None),
 ]
+# Exact scores.
 EXACT = {"http://bit.ly/abc123": 75, "https://google.com": 8, "https://secure-login.tk/verify": 70, "http://paypa1.com/login": 100, "http://192.168.1.100/login.html": 100, "https://dev-environment.example.com": 0}
 
 
