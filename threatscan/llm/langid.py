@@ -4,19 +4,19 @@ A word that training texts know is scored by its log frequency in each
 language. An unknown word backs off: it is cut into character n-grams of the
 longest order with a known one, then of shorter orders down to single letters.
 Frequencies come from a bounded sample of labelled documents (``SAMPLE`` for
-each language); the model holds every word and n-gram of that sample and is
-broadcast.
+each language); the model holds every word and n-gram of that sample, by its
+64-bit hash, and is broadcast.
 """
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,16 +86,21 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     totals = {(r[0], r[1]): r[2] for r in counted.groupBy("lang", kind.alias("kind")).agg(F.sum("n")).collect()}  # six rows for each language
     different = {r[0]: r[1] for r in counted.select("f").distinct().groupBy(kind.alias("kind")).count().collect()}  # six rows
     langs = sorted({lang for lang, _ in totals})
-    top = counted.select("lang", "f", "n").toPandas()  # what the sample of each language holds
-    index = {f: i for i, f in enumerate(sorted(set(top["f"])))}
-    kinds = np.array([f[0] for f in index])
-    logp = np.empty((len(index), len(langs)), dtype=np.float32)
-    for j, lang in enumerate(langs):
-        for k in set(kinds):
-            logp[kinds == k, j] = math.log(0.5 / (totals.get((lang, k), 0) + 0.5 * different[k]))
-    for lang, f, n in zip(top["lang"], top["f"], top["n"], strict=True):
-        logp[index[f], langs.index(lang)] = math.log((n + 0.5) / (totals[lang, f[0]] + 0.5 * different[f[0]]))
-    return {"langs": langs, "index": index, "logp": logp}
+    kinds = sorted(different)
+    # features reach the driver as numbers, in Arrow batches: hash, kind, language, count
+    at = lambda names, c: F.array_position(F.array(*(F.lit(x) for x in names)), c) - 1
+    none = np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.int32), np.empty(0, np.int64)
+    if langs:
+        rows = counted.select(F.xxhash64("f").alias("h"), at(kinds, kind).cast("tinyint").alias("k"), at(langs, F.col("lang")).cast("int").alias("l"), "n").toArrow()
+        h, k, lang_at, n = (rows.column(c).to_numpy() for c in ("h", "k", "l", "n"))
+        del rows
+    else:
+        h, k, lang_at, n = none
+    denominator = np.array([[totals.get((lang, kd), 0) + 0.5 * different[kd] for lang in langs] for kd in kinds]).reshape(len(kinds), len(langs))
+    hashes, first, row = np.unique(h, return_index=True, return_inverse=True)
+    logp = np.log(0.5 / denominator[k[first]]).astype(np.float32) if len(h) else np.empty((0, len(langs)), np.float32)
+    logp[row, lang_at] = np.log((n + 0.5) / denominator[k, lang_at]) if len(h) else 0
+    return {"langs": langs, "hashes": hashes, "logp": logp}
 
 
 class _Rows(dict):
@@ -119,19 +124,25 @@ class Scorer:
     MOST = 400_000
 
     def __init__(self, model: dict):
-        self.langs, self.index, self.logp = model["langs"], model["index"], model["logp"]
+        self.langs, self.hashes, self.logp = model["langs"], model["hashes"], model["logp"]
         self.scores, self.rows = np.empty((1 << 14, len(self.langs))), _Rows(self)
 
+    def known(self, features: list[str]) -> np.ndarray:
+        """Rows of the features that the model has."""
+        h = np.fromiter((xxhash.xxh64_intdigest(f.encode(), 42) for f in features), np.uint64, len(features)).view(np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, h), max(len(self.hashes) - 1, 0))
+        return at[self.hashes[at] == h] if len(self.hashes) else at[:0]
+
     def word(self, w: str) -> np.ndarray:
         """Log frequency of a known word in each language, or the discounted mean of its longest known n-grams'."""
-        known = self.index.get("w:" + w)
-        if known is not None:
-            return self.logp[known]
+        known = self.known(["w:" + w])
+        if len(known):
+            return self.logp[known[0]]
         weight = 1.0
         for n in ORDERS:
             weight *= DISCOUNT
-            found = [x for g in _grams(w, n) if (x := self.index.get(f"{n}:{g}")) is not None]
-            if found:
+            found = self.known([f"{n}:{g}" for g in _grams(w, n)])
+            if len(found):
                 return weight * self.logp[found].mean(axis=0, dtype=np.float64)
         return np.zeros(len(self.langs))
 
