@@ -147,28 +147,28 @@ def list_digests(rows: DataFrame, key: list[str], number: str) -> DataFrame:
     bound_batches(rows.sparkSession)
     kinds = ", ".join(f"{k} long" for k in key)
 
+    names = [*key, "least", "ids"]
+
     def joined(batches):
+        now, ids, out = None, [], []
         for pdf in batches:
-            for k, g in pdf.groupby(key, sort=False):
-                ids = g[number].tolist()
-                yield pd.DataFrame([(*k, ids[i], ",".join(map(str, ids[i : i + CHUNK]))) for i in range(0, len(ids), CHUNK)], columns=[*key, "least", "ids"])
-
-    def packed(batches):
-        """Small frames are put together, so that a batch has many rows."""
-        rows, n = [], 0
-        for pdf in joined(batches):
-            rows.append(pdf)
-            n += len(pdf)
-            if n >= 2000:
-                yield pd.concat(rows)
-                rows, n = [], 0
-        if rows:
-            yield pd.concat(rows)
+            for *k, i in zip(*(pdf[c].tolist() for c in (*key, number)), strict=True):
+                if k != now or len(ids) == CHUNK:
+                    if ids:
+                        out.append((*now, ids[0], ",".join(map(str, ids))))
+                    now, ids = k, []
+                ids.append(i)
+            if len(out) >= 2000:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        if ids:
+            out.append((*now, ids[0], ",".join(map(str, ids))))
+        yield pd.DataFrame(out, columns=names)
 
     def digests(batches):
         now, h, out = None, None, []
         for pdf in batches:
-            for *k, ids in pdf[[*key, "ids"]].itertuples(index=False):
+            for *k, ids in zip(*(pdf[c].tolist() for c in (*key, "ids")), strict=True):
                 if k != now:
                     if h is not None:
                         out.append((*now, h.hexdigest()))
@@ -180,7 +180,7 @@ def list_digests(rows: DataFrame, key: list[str], number: str) -> DataFrame:
         if h is not None:
             yield pd.DataFrame([(*now, h.hexdigest())], columns=[*key, "sha256"])
 
-    chunks = rows.select(*key, number).repartitionByRange(*key, number).sortWithinPartitions(*key, number).mapInPandas(packed, f"{kinds}, least long, ids string")
+    chunks = rows.select(*key, number).repartitionByRange(*key, number).sortWithinPartitions(*key, number).mapInPandas(joined, f"{kinds}, least long, ids string")
     return chunks.repartition(*key).sortWithinPartitions(*key, "least").mapInPandas(digests, f"{kinds}, sha256 string")
 
 
