@@ -24,6 +24,8 @@ from threatscan.llm.common import bound_batches, fresh, stored, table
 
 #: Labelled documents of each language that the model is fitted on, at most; chosen by a hash of the text.
 SAMPLE = 20_000
+#: Different values of ``lang`` that are broadcast with their counts, at most.
+MOST_LANGS = 10_000
 ORDERS = (5, 4, 3, 2, 1)
 #: Each order further down counts less.
 DISCOUNT = 0.7
@@ -59,8 +61,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> dict:
     """
     bound_batches(labelled.sparkSession)
     known = labelled.filter("text is not null and lang is not null").select("text", "lang")
-    sizes = known.groupBy("lang").count()
-    share = known.join(sizes, "lang").filter(F.pmod(F.xxhash64("text"), F.ceil(F.col("count") / sample)) == 0)
+    sizes = stored(known.groupBy("lang").count())
+    few = sizes.limit(MOST_LANGS + 1).count() <= MOST_LANGS  # so many rows are broadcast; texts then stay where they are
+    share = known.join(F.broadcast(sizes) if few else sizes, "lang").filter(F.pmod(F.xxhash64("text"), F.ceil(F.col("count") / sample)) == 0)
 
     def count(batches):
         for pdf in batches:
