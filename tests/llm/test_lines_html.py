@@ -289,3 +289,14 @@ def test_neighbours_meet_across_ranges(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", was[0])
         spark.conf.set("spark.sql.adaptive.enabled", was[1])
+
+
+def test_articles_go_through_the_alignment(spark):
+    """Every page meets its marks: shared lines of articles are found, and the check brings them back."""
+    body = lambda i: f"<div>Menu</div><article><p>copied passage</p><p>own {i}</p><p>more of {i}</p></article><div>Imprint</div>"
+    rows = [(i, f"http://h.example/{i:03}", body(i)) for i in range(30)] + [(50, "http://h.example/001", body(1)), (1, "http://h.example/001", body(1)), (60, "http://alone.example/", body(60))]
+    got = H.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        i = 1 if r.page_id == 50 else r.page_id
+        assert r.text == f"copied passage\nown {i}\nmore of {i}" and (r.n_lines, r.n_deleted, r.n_restored) == (5, 0, int(i != 60))
