@@ -49,7 +49,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the smallest ``doc_id``, then the smallest hash of the text. Equal rows become one; rows without ``doc_id`` stay; null texts are alike."""
+    """One document of each group of near-duplicates, by SimHash links and by similarity: the smallest ``doc_id``, then the smallest hash of the text. Equal rows become one; rows without ``doc_id`` stay; null texts are alike."""
     return one_of_each(docs).select(*docs.columns)
 
 

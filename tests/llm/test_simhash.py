@@ -178,3 +178,32 @@ def test_every_pair_of_a_crowded_key_meets(spark):
         groups.setdefault(r.g, set()).add(r.id)
     assert {(a, b) for g in groups.values() for a in g for b in g} == {(a, b) for a in range(50) for b in range(50)}
     assert max(map(len, groups.values())) < 25
+
+
+def test_one_of_each_takes_simhash_links(spark):
+    """Fingerprints at 3 bits link, also where the sets of shingles are less alike than the bands look for."""
+    w, rng = [f"w{i}" for i in range(300)], random.Random(132)
+    v = list(w)
+    for at in rng.sample(range(300), 9):
+        v[at] = f"x132y{at}"
+    a, b = " ".join(w), " ".join(v)
+    prints = [simhash.simhash([simhash.shingle_set(x, 5)]) for x in (a, b)]
+    assert (prints[0] ^ prints[1]).bit_count() == 3 and jaccard(a, b) < 0.8
+    rows = [(1, a), (2, b), (3, " ".join(f"u{i}" for i in range(300))), (4, None)]
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3, 4]
+
+
+def test_simhash_links_with_repeated_fingerprints(spark):
+    rng = random.Random(12)
+    fps = list(random_fps(80, 3).values())
+    rows = [(i, f) for i, f in enumerate([*fps, *rng.sample(fps, 20)])]
+    df = spark.createDataFrame([(i, f - (1 << 64) if f >> 63 else f) for i, f in rows], "id long, fp long")
+    want = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, f in rows:
+            for j, g in rows:
+                if (f ^ g).bit_count() <= 3:
+                    want[i] = want[j] = min(want[i], want[j])
+    got = {r.id: r.component for r in components(simhash.simhash_links(df)).collect()}
+    assert {i: got.get(i, i) for i in want} == want and len(set(want.values())) < len(fps)

@@ -40,10 +40,10 @@ def shingle_hashes(text: str | None, k: int):
         yield np.fromiter((h(x, 42) for x in map(j, zip(*(part[i:] for i in range(k)), strict=False))), dtype=np.uint64)
 
 
-def fingerprint(text: str | None, k: int = 3) -> int:
-    """The 64-bit SimHash: a bit is 1 if it is set in over half of the shingle hashes; 0 without words."""
+def simhash(hashes) -> int:
+    """The 64-bit SimHash of arrays of hashes: a bit is 1 if it is set in over half of them; 0 without any."""
     ones, n = np.zeros(64, dtype=np.int64), 0
-    for h in shingle_hashes(text, k):
+    for h in hashes:
         n += len(h)
         rows = h.view(np.uint8).reshape(-1, 8)
         for b in range(8):
@@ -51,6 +51,11 @@ def fingerprint(text: str | None, k: int = 3) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]) if n else 0
 
 
+def fingerprint(text: str | None, k: int = 3) -> int:
+    """The SimHash of the shingles of a text, repeats included."""
+    return simhash(shingle_hashes(text, k))
+
+
 def fingerprints(docs: DataFrame, k: int = 3, text: str = "text") -> DataFrame:
     """``docs`` with ``fp`` (long, the fingerprint's bits) in place of the text column."""
     bound_batches(docs.sparkSession)
@@ -283,6 +288,13 @@ def similar_links(nodes: DataFrame, docs: DataFrame, k: int, least: float, most:
     return groups.mapInPandas(walk, "a long, b long")
 
 
+def simhash_links(nodes: DataFrame, radius: int = 3, blocks: int = 6, most: int = 4096) -> DataFrame:
+    """Edges ``(a, b)`` that connect rows of ``nodes (id, fp)`` within ``radius`` bits; fingerprints may repeat."""
+    heads = stored(nodes.groupBy("fp").agg(F.min("id").alias("a")))
+    same = nodes.select("id", "fp").join(heads, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
+    return same.unionAll(links(heads.select(F.col("a").alias("id"), "fp"), radius, blocks, most))
+
+
 def _grouped(docs: DataFrame, k: int, least: float, most: int, shingles: int) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, tk, h)`` of the rows of ``docs (doc_id, text)`` with an id, and ``(h, first)``: the first place ``(doc_id, tk)`` of each shingle set's group.
 
@@ -291,25 +303,27 @@ def _grouped(docs: DataFrame, k: int, least: float, most: int, shingles: int) ->
     """
     bound_batches(docs.sparkSession)
 
-    @F.pandas_udf("h binary, n long, bands array<long>")
+    @F.pandas_udf("h binary, n long, fp long, bands array<long>")
     def sketch(texts: pd.Series) -> pd.DataFrame:
         sets = [shingle_set(x, k) for x in texts]
-        return pd.DataFrame({"h": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sets]})
+        fps = np.array([simhash([s]) for s in sets], dtype=np.uint64).view(np.int64)
+        return pd.DataFrame({"h": [xxhash.xxh128_digest(s.tobytes()) for s in sets], "n": [len(s) for s in sets], "fp": fps, "bands": [band_keys(s) for s in sets]})
 
     docs = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("tk"), "text")
     each = stored(docs.select("doc_id", "tk", sketch("text").alias("s")).select("doc_id", "tk", "s.*"))
-    merged = each.groupBy("h").agg(F.min(F.struct("doc_id", "tk")).alias("place"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = stored(merged.select(F.monotonically_increasing_id().alias("id"), "h", "n", "bands", "place.*"))
-    found = components(similar_links(nodes, docs, k, least, most, shingles))
+    merged = each.groupBy("h").agg(F.min(F.struct("doc_id", "tk")).alias("place"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    nodes = stored(merged.select(F.monotonically_increasing_id().alias("id"), "h", "n", "fp", "bands", "place.*"))
+    found = components(simhash_links(nodes, most=most).unionAll(similar_links(nodes, docs, k, least, most, shingles)))
     named = nodes.join(found, "id", "left").select("h", "doc_id", "tk", F.coalesce("component", "id").alias("component"))
     first = named.groupBy("component").agg(F.min(F.struct("doc_id", "tk")).alias("first"))
     return each.select("doc_id", "tk", "h"), stored(named.join(first, "component").select("h", "first"))
 
 
 def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, most: int = 4096, shingles: int = SHINGLES) -> DataFrame:
-    """``(doc_id, component_id)`` of each row: groups of texts connected by similarity ``least`` or more of their ``k``-word shingle sets.
+    """``(doc_id, component_id)`` of each row: groups of texts connected by 3 or fewer differing bits of the SimHash of their ``k``-word shingle sets, or by a similarity of ``least`` or more of these sets.
 
-    A group is named by its smallest ``doc_id``. Null, empty and blank texts
+    SimHash links come by blocks as in ``near_duplicates``; pairs between 3 bits
+    and ``least`` come by bands of minima. A group is named by its smallest ``doc_id``. Null, empty and blank texts
     form one group. Rows without ``doc_id`` are left out. An empty table gives
     an empty result.
     """
