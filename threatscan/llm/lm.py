@@ -166,7 +166,11 @@ def states(p: dict, inp, start, h, keep: bool = False):
     """Hidden states of a window from the carried state ``h``; with ``keep`` also what backpropagation needs: states before, gates, reset states and candidates."""
     steps, n = inp.shape
     out = np.empty((steps, n, HIDDEN), dtype=np.float32)
-    gates, cand = np.ascontiguousarray(p["x"][:, : 2 * HIDDEN])[inp], np.ascontiguousarray(p["x"][:, 2 * HIDDEN :])[inp]
+    # one gate after the other, so that each lies in one piece
+    by_gate = [np.ascontiguousarray(p["x"][:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3)]
+    u = np.ascontiguousarray(p["u"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 0, 2))
+    kept = steps if keep else 1
+    gates, cand = np.empty((kept, 2, n, HIDDEN), dtype=p["x"].dtype), np.empty((kept, n, HIDDEN), dtype=p["x"].dtype)
     was, reset = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
     begins = start.any(axis=1)
     for t in range(steps):
@@ -174,16 +178,17 @@ def states(p: dict, inp, start, h, keep: bool = False):
             h = h * ~start[t][:, None]
         if keep:
             was[t] = h
-        zr = gates[t]
-        zr += h @ p["u"]
+        zr, c = gates[t % kept], cand[t % kept]
+        for table, to in zip(by_gate, (zr[0], zr[1], c), strict=True):
+            np.take(table, inp[t], axis=0, out=to, mode="clip")
+        zr += np.matmul(h, u)
         _sigmoid(zr)
-        rh = np.multiply(zr[:, HIDDEN:], h, out=reset[t]) if keep else zr[:, HIDDEN:] * h
-        c = cand[t]
+        rh = np.multiply(zr[1], h, out=reset[t]) if keep else zr[1] * h
         c += rh @ p["v"]
         np.tanh(c, out=c)
         new = out[t]
         np.subtract(c, h, out=new)
-        new *= zr[:, :HIDDEN]
+        new *= zr[0]
         new += h
         h = new
     return out, h, (was, gates, reset, cand) if keep else None
@@ -229,25 +234,29 @@ def _output_gradients(p: dict, hs, cls, within):
         if bound >= 40:
             x -= x.max(axis=1, keepdims=True)
         np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
+        x *= np.reciprocal(x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
         x[np.arange(len(at)), at] -= 1
         return x
 
     order = np.argsort(cls, kind="stable")
-    hs, cls, within = hs[order], cls[order], within[order]
-    d = less_one(hs @ p["c"] + p["cb"], cls, _bound(p["c"], p["cb"]))
-    g = {"c": hs.T @ d, "cb": d.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"])}
+    cls, within = cls[order], within[order]
+    one = np.ones((len(hs), HIDDEN + 1), dtype=hs.dtype)  # a column of ones for the biases
+    np.take(hs, order, axis=0, out=one[:, :HIDDEN])
+    c = np.concatenate((p["c"], p["cb"][None]))
+    w = np.concatenate((p["w"], p["wb"][:, None]), axis=1)
+    d = less_one(one @ c, cls, _bound(p["c"], p["cb"]))
+    gc, gw = one.T @ d, np.zeros_like(w)
     dh = d @ p["c"].T
-    cuts, inner = np.searchsorted(cls, np.arange(GROUPS + 1)), _bound(p["w"], p["wb"])
+    cuts, inner = np.searchsorted(cls, np.arange(GROUPS + 1)).tolist(), _bound(p["w"], p["wb"])
     for k in range(GROUPS):
         s = slice(cuts[k], cuts[k + 1])
         if s.start < s.stop:
-            d = less_one(hs[s] @ p["w"][k] + p["wb"][k], within[s], inner)
-            g["w"][k], g["wb"][k] = hs[s].T @ d, d.sum(axis=0)
+            d = less_one(one[s] @ w[k], within[s], inner)
+            np.matmul(one[s].T, d, out=gw[k])
             dh[s] += d @ p["w"][k].T
     out = np.empty_like(dh)
     out[order] = dh
-    return out, g
+    return out, {"c": gc[:-1], "cb": gc[-1], "w": gw[:, :-1], "wb": gw[:, -1]}
 
 
 def gradients(p: dict, inp, cls, within, doc, start, h):
@@ -261,28 +270,31 @@ def gradients(p: dict, inp, cls, within, doc, start, h):
     dhs = np.zeros_like(flat)
     dhs[mask] = d
     dhs = dhs.reshape(steps, n, HIDDEN)
-    z, r = gates[..., :HIDDEN], gates[..., HIDDEN:]
+    z, r = gates[:, 0], gates[:, 1]
     rest = 1 - z
     by_c, by_z, by_r = z * (1 - cand * cand), (cand - was) * z * rest, was * r * (1 - r)
-    dgates, dcand = np.empty((steps, n, 2 * HIDDEN), dtype=np.float32), np.empty((steps, n, HIDDEN), dtype=np.float32)
-    dh, ut, vt, begins = np.zeros((n, HIDDEN), dtype=np.float32), p["u"].T, p["v"].T, start.any(axis=1)
+    dgates, dcand = np.empty((steps, 2, n, HIDDEN), dtype=np.float32), np.empty((steps, n, HIDDEN), dtype=np.float32)
+    dh, vt, begins = np.zeros((n, HIDDEN), dtype=np.float32), np.ascontiguousarray(p["v"].T), start.any(axis=1)
+    ut = np.ascontiguousarray(p["u"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 2, 0))
     for t in range(steps - 1, -1, -1):
         dh += dhs[t]
         drh = np.multiply(dh, by_c[t], out=dcand[t], casting="same_kind") @ vt
-        np.multiply(dh, by_z[t], out=dgates[t, :, :HIDDEN], casting="same_kind")
-        np.multiply(drh, by_r[t], out=dgates[t, :, HIDDEN:], casting="same_kind")
+        np.multiply(dh, by_z[t], out=dgates[t, 0], casting="same_kind")
+        np.multiply(drh, by_r[t], out=dgates[t, 1], casting="same_kind")
         drh *= r[t]
-        drh += dgates[t] @ ut
+        for part in np.matmul(dgates[t], ut):
+            drh += part
         dh *= rest[t]
         dh += drh
         if begins[t]:
             dh *= ~start[t][:, None]
-    g["u"], g["v"] = was.reshape(-1, HIDDEN).T @ dgates.reshape(-1, 2 * HIDDEN), reset.reshape(-1, HIDDEN).T @ dcand.reshape(-1, HIDDEN)
+    dx = np.concatenate((dgates[:, 0], dgates[:, 1], dcand), axis=2).reshape(-1, 3 * HIDDEN)
+    g["u"], g["v"] = was.reshape(-1, HIDDEN).T @ dx[:, : 2 * HIDDEN], reset.reshape(-1, HIDDEN).T @ dx[:, 2 * HIDDEN :]
     flat_in = inp.ravel()
     order = np.argsort(flat_in, kind="stable")
     ids, first = np.unique(flat_in[order], return_index=True)
     g["x"] = np.zeros_like(p["x"])
-    g["x"][ids] = np.add.reduceat(np.concatenate((dgates, dcand), axis=2).reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    g["x"][ids] = np.add.reduceat(dx[order], first, axis=0)
     return {k: v / total for k, v in g.items()}, carried, float(total)
 
 
