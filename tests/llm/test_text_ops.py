@@ -2,6 +2,7 @@ import hashlib
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,39 @@ def test_lm_gradients():
         at += size
 
 
+def test_lm_words_and_inputs_of_whole_batches():
+    odd = ["", None, "  a\tB\x0b\x0c c\r\n", "\xa0x \u2003 X x", "\x1c\x85\u00e9 \u4e2d\u6587 D\u00c9", "   ", "dog Dog cat dog zebra zebra \U0001f600", "cat"]
+    upper = {c: c + 32 for c in range(65, 91)}
+    plain = [[w.decode() for w in (t or "").translate(upper).encode().split()] for t in odd]
+    ws, cuts = lm.words(pa.array(odd, pa.string()))
+    ws = ws.to_pylist()
+    assert [ws[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] == plain
+    distinct = sorted({w for ws in plain for w in ws})
+    assert lm.shapes(pa.array(distinct)).tolist() == [lm.shape(w) for w in distinct]
+
+    near = ["dog", "x"] + [f"w{i}" for i in range(lm.FREQUENT)] + ["cat"]  # the last is near, but not frequent
+    count, log_tail = np.arange(len(near), 0, -1) + 0.0, np.linspace(1, 2, lm.SHAPES)
+    e = lm.Encoder({"near": near, "near_count": count, "log_tail": log_tail})
+    for row, ws in zip(e.texts(pa.array(odd, pa.string())).to_pylist(), plain, strict=True):
+        rank = [near.index(w) if w in near else -1 for w in ws]
+        far = [w for w, r in zip(ws, rank, strict=True) if r < 0]
+        assert np.frombuffer(row["tokens"], "<u2").tolist() == [r if 0 <= r < lm.FREQUENT else lm.FREQUENT + lm.shape(w) for w, r in zip(ws, rank, strict=True)]
+        assert (row["n_tokens"], row["n_near"]) == (len(ws) + 1, len(ws) - len(far))
+        assert dict(zip(row["far"], row["tf"], strict=True)) == {w: far.count(w) for w in far}
+        log = [np.log10(count[r] + 0.1) for r in rank if r >= 0]
+        tail = [(np.log10(count[r] + 0.1) if r >= 0 else 0) - log_tail[lm.shape(w)] for w, r in zip(ws, rank, strict=True) if not 0 <= r < lm.FREQUENT]
+        assert abs(row["near"] - sum(log)) < 1e-9 and abs(row["tail"] - sum(tail)) < 1e-9
+    assert len(e.texts(pa.array([], pa.string()))) == 0
+
+
+def test_lm_sums_of_rows_by_place():
+    rng = np.random.default_rng(4)
+    at = np.sort(np.concatenate((rng.integers(0, 50, 60), np.full(200, 7), np.full(lm._FEW, 51), np.full(lm._FEW + 1, 52), [59])))
+    rows, plain = rng.normal(0, 1, (len(at), 5)), np.zeros((60, 5))
+    np.add.at(plain, at, rows)
+    assert np.allclose(lm._summed(rows, at, 60), plain)
+
+
 def test_lm_probabilities_sum_to_one_and_windows_carry_state():
     rng = np.random.default_rng(2)
     p = lm.unpack(rng.normal(0, 0.3, sum(int(np.prod(d)) for _, d in lm.SHAPES_OF)).astype(np.float32))

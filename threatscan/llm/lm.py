@@ -14,12 +14,12 @@ from __future__ import annotations
 
 import heapq
 import uuid
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,12 +51,13 @@ EPS = 1e-6
 SHAPES_OF = [("x", (INPUTS, 3 * HIDDEN)), ("u", (HIDDEN, 2 * HIDDEN)), ("v", (HIDDEN, HIDDEN)), ("c", (HIDDEN, CLASSES)), ("cb", (CLASSES,)), ("w", (GROUPS, HIDDEN, SIZE)), ("wb", (GROUPS, SIZE))]
 
 
-_ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-
-
-def words(text: str | None) -> list[bytes]:
-    """Lower-cased (A-Z) words as UTF-8; bytes split at ASCII white space only."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_ASCII_LOWER).split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased (A-Z) words of all texts, split at ASCII white space only, and where each text's words begin, with the end."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, cuts = lists.flatten(), np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(), dtype=np.int64))
+    real = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves empty words
+    before = np.append(0, np.cumsum(real.to_numpy(zero_copy_only=False)))
+    return flat.filter(real), before[cuts]
 
 
 def shape(word: str) -> int:
@@ -64,6 +65,13 @@ def shape(word: str) -> int:
     return (2 * ord(word[-1]) + (not word.isascii())) % SHAPES
 
 
+def shapes(distinct: pa.Array) -> np.ndarray:
+    """``shape`` of each word."""
+    last = pc.utf8_slice_codeunits(distinct, -1, None).dictionary_encode()
+    code = np.array([ord(c) for c in last.dictionary.to_pylist()], dtype=np.int64)[last.indices.to_numpy()]
+    return (2 * code + ~pc.string_is_ascii(distinct).to_numpy(zero_copy_only=False)) % SHAPES
+
+
 def shape_column(word: str):
     return F.pmod(2 * F.ascii(F.right(F.col(word), F.lit(1))) + F.col(word).rlike(r"[^\x00-\x7F]").cast("int"), F.lit(SHAPES))
 
@@ -87,36 +95,42 @@ def initial(vocab: dict) -> np.ndarray:
     return flat
 
 
-class _Ranks(dict):
-    def __missing__(self, word: str) -> int:
-        return -1
-
-
 class Encoder:
     """Turns texts into numbers of inputs: frequent words by rank, others by shape."""
 
     def __init__(self, vocab: dict):
-        self.rank = _Ranks((w.encode("utf-8", "surrogatepass"), i) for i, w in enumerate(vocab["near"]))
-        n = len(self.rank)
-        shapes, log_tail = np.array([shape(w) for w in vocab["near"]], dtype=np.int64), vocab["log_tail"]
+        self.near, log_tail = pa.array(vocab["near"], pa.string()), vocab["log_tail"]
+        own, n = shapes(self.near), len(self.near)
         frequent = np.arange(n) < FREQUENT
         # by rank; the last entry is for far words, whose shapes are filled in
-        self.token = np.append(np.where(frequent, np.arange(n), FREQUENT + shapes), 0).astype("<u2")
+        self.token = np.append(np.where(frequent, np.arange(n), FREQUENT + own), 0).astype("<u2")
         self.log = np.append(np.log10(vocab["near_count"] + 0.1), 0)
-        self.tail = np.append(np.where(frequent, 0, self.log[:-1] - log_tail[shapes]), 0)
+        self.tail = np.append(np.where(frequent, 0, self.log[:-1] - log_tail[own]), 0)
         self.log_tail = log_tail
 
-    def text(self, text: str | None):
-        """``(inputs without the end token, tail log10 of near words, near log10 counts, near known, far words)``."""
-        ws = words(text)
-        r = np.fromiter(map(self.rank.__getitem__, ws), dtype=np.int64, count=len(ws))
-        far = np.flatnonzero(r < 0)
-        token = self.token[r]
-        far_words = [ws[i].decode("utf-8", "surrogatepass") for i in far]
-        shapes = np.array([shape(w) for w in far_words], dtype=np.int64)
-        token[far] = FREQUENT + shapes
-        tail = self.tail[r].sum() - self.log_tail[shapes].sum()
-        return token, tail, self.log[r].sum(), len(ws) - len(far), far_words
+    def texts(self, texts: pa.Array) -> pa.StructArray:
+        """Of each text: tokens with the end, near known, near log10 counts, tail log10, far words and their counts, inputs without the end token."""
+        n, (ws, cuts) = len(texts), words(texts)
+        rank = pc.fill_null(pc.index_in(ws, self.near), -1).to_numpy()
+        doc = np.repeat(np.arange(n), np.diff(cuts))
+        at = np.flatnonzero(rank < 0)
+        far = ws.take(pa.array(at)).dictionary_encode()
+        code, kinds = far.indices.to_numpy(), max(1, len(far.dictionary))
+        own = shapes(far.dictionary)[code]
+        token, tail = self.token[rank], self.tail[rank]
+        token[at], tail[at] = FREQUENT + own, -self.log_tail[own]
+        met, tf = np.unique(doc[at] * kinds + code, return_counts=True)
+        lists = pa.array(np.searchsorted(met, np.arange(n + 1) * kinds), pa.int32())
+        columns = {
+            "n_tokens": pa.array(np.diff(cuts) + 1),
+            "n_near": pa.array(np.diff(cuts) - np.bincount(doc[at], minlength=n)),
+            "near": pa.array(np.bincount(doc, weights=self.log[rank], minlength=n)),
+            "tail": pa.array(np.bincount(doc, weights=tail, minlength=n)),
+            "far": pa.ListArray.from_arrays(lists, far.dictionary.take(pa.array(met % kinds))),
+            "tf": pa.ListArray.from_arrays(lists, pa.array(tf, pa.int32())),
+            "tokens": pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((2 * cuts).astype(np.int32)), pa.py_buffer(token)]),
+        }
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
 
 #: Class and place within it of each input.
@@ -154,150 +168,214 @@ def lanes(coded: list, n: int, tight: bool = True):
     return inp, cls, within, doc, start
 
 
-def _sigmoid(x):
+def _sigmoid_of_negated(x):
     """In place."""
-    np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
+def _sigmoid(x):
+    """In place."""
+    return _sigmoid_of_negated(np.negative(x, out=x))
+
+
 def states(p: dict, inp, start, h, keep: bool = False):
     """Hidden states of a window from the carried state ``h``; with ``keep`` also what backpropagation needs: states before, gates, reset states and candidates."""
     steps, n = inp.shape
     out = np.empty((steps, n, HIDDEN), dtype=np.float32)
-    # one gate after the other, so that each lies in one piece
-    by_gate = [np.ascontiguousarray(p["x"][:, k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3)]
-    u = np.ascontiguousarray(p["u"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 0, 2))
+    dtype, both = p["x"].dtype, 2 * HIDDEN
+    # the gates' weights negated, as a sigmoid takes exp(-x); one gate after the other, so that each lies in one piece
+    x = p["x"] * np.repeat(np.array([-1, 1], dtype=dtype), (both, HIDDEN))
+    u = np.ascontiguousarray(-p["u"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 0, 2))
     kept = steps if keep else 1
-    gates, cand = np.empty((kept, 2, n, HIDDEN), dtype=p["x"].dtype), np.empty((kept, n, HIDDEN), dtype=p["x"].dtype)
-    was, reset = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
-    begins = start.any(axis=1)
+    gates, cand = np.empty((kept, 2, n, HIDDEN), dtype=dtype), np.empty((kept, n, HIDDEN), dtype=dtype)
+    was, reset = np.empty_like(out) if keep else None, np.empty((kept, n, HIDDEN), dtype=np.float32)
+    met = np.empty((n, 3 * HIDDEN), dtype=dtype)
+    met_gates, met_cand = met[:, :both].reshape(n, 2, HIDDEN).transpose(1, 0, 2), met[:, both:]
+    begins, inp = start.any(axis=1), inp.astype(np.intp)
     for t in range(steps):
         if begins[t]:
             h = h * ~start[t][:, None]
         if keep:
             was[t] = h
-        zr, c = gates[t % kept], cand[t % kept]
-        for table, to in zip(by_gate, (zr[0], zr[1], c), strict=True):
-            np.take(table, inp[t], axis=0, out=to, mode="clip")
-        zr += np.matmul(h, u)
-        _sigmoid(zr)
-        rh = np.multiply(zr[1], h, out=reset[t]) if keep else zr[1] * h
-        c += rh @ p["v"]
+        zr, c, rh, new = gates[t % kept], cand[t % kept], reset[t % kept], out[t]
+        np.take(x, inp[t], axis=0, out=met, mode="clip")
+        np.matmul(h, u, out=zr, casting="same_kind")
+        zr += met_gates
+        _sigmoid_of_negated(zr)
+        np.multiply(zr[1], h, out=rh, casting="same_kind")
+        np.matmul(rh, p["v"], out=c)
+        c += met_cand
         np.tanh(c, out=c)
-        new = out[t]
-        np.subtract(c, h, out=new)
+        np.subtract(c, h, out=new, casting="same_kind")
         new *= zr[0]
         new += h
         h = new
     return out, h, (was, gates, reset, cand) if keep else None
 
 
-def _picked(x, at, bound: float):
-    """Log softmax of rows of logits at one place each; overwrites ``x``. With a small ``bound`` on all logits no row's own maximum is needed."""
-    x -= bound if bound < 40 else x.max(axis=1, keepdims=True)
-    out = x[np.arange(len(at)), at]
-    np.exp(x, out=x)
-    return out - np.log(x.sum(axis=1))
-
-
 def _bound(w, b) -> float:
     """No logit of states within (-1, 1) is larger in size."""
     return float((np.abs(w).sum(axis=-2) + np.abs(b)).max())
 
 
 #: Rows of logits made at a time, so that they stay in a core's cache.
-_ROWS = 2048
+_ROWS = 1024
+
+
+def _by_class(p: dict, hs, cls, within, rows=None):
+    """Rows of states (all, or those named) in order of their class: the order, states with a column of ones for the biases, classes, places within, and the cuts between the groups."""
+    own = cls if rows is None else cls[rows]
+    order = np.argsort(own.astype(np.uint8), kind="stable")
+    if rows is not None:
+        order = rows[order]
+    one = np.ones((len(order), HIDDEN + 1), dtype=hs.dtype)
+    one[:, :HIDDEN] = np.take(hs, order, axis=0)
+    cls = cls[order]
+    return order, one, cls, within[order], np.searchsorted(cls, np.arange(GROUPS + 1)).tolist()
+
+
+def _with_biases(p: dict):
+    return np.concatenate((p["c"], p["cb"][None])), np.concatenate((p["w"], p["wb"][:, None]), axis=1)
+
+
+def _inner(one, w, cuts):
+    """Logits within the groups of all rows in a group."""
+    x = np.empty((cuts[-1], SIZE), dtype=np.result_type(one, w))
+    for k in range(GROUPS):
+        if cuts[k] < cuts[k + 1]:
+            s = slice(cuts[k], cuts[k + 1])
+            np.matmul(one[s], w[k], out=x[s])
+    return x
+
+
+def _picked(x, at, bound: float):
+    """Log softmax of rows of logits at one place each; overwrites ``x``. With a small ``bound`` on all logits no row's own maximum is needed."""
+    if bound >= 40:
+        x -= x.max(axis=1, keepdims=True)
+    out = x.ravel()[np.arange(0, x.size, x.shape[1]) + at]
+    np.exp(x, out=x)
+    return out - np.log(x @ np.ones(x.shape[1], dtype=x.dtype))
+
+
+def _less_one(x, at, bound: float):
+    """Gradients of negated log softmaxes at one place of each row of logits; overwrites ``x``."""
+    if bound >= 40:
+        x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x *= np.reciprocal(x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= 1
+    return x
 
 
 def log_probabilities(p: dict, hs, cls, within):
     """Natural log of each token's learned probability given flat states."""
-    out = np.empty(len(cls), dtype=hs.dtype)
-    bound, inner = _bound(p["c"], p["cb"]), _bound(p["w"], p["wb"])
+    order, one, cls, within, cuts = _by_class(p, hs, cls, within)
+    c, w = _with_biases(p)
+    lp, bound, inner = np.empty(len(cls), dtype=hs.dtype), _bound(p["c"], p["cb"]), _bound(p["w"], p["wb"])
     for t in range(0, len(cls), _ROWS):
         s = slice(t, t + _ROWS)
-        out[s] = _picked(hs[s] @ p["c"] + p["cb"], cls[s], bound)
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(GROUPS + 1))
-    for k in range(GROUPS):
-        idx = order[cuts[k] : cuts[k + 1]]
-        if len(idx):
-            out[idx] += _picked(hs[idx] @ p["w"][k] + p["wb"][k], within[idx], inner)
+        lp[s] = _picked(one[s] @ c, cls[s], bound)
+    if cuts[-1]:
+        lp[: cuts[-1]] += _picked(_inner(one, w, cuts), within[: cuts[-1]], inner)
+    out = np.empty_like(lp)
+    out[order] = lp
     return out
 
 
-def _output_gradients(p: dict, hs, cls, within):
-    """Gradients of the negated sum of log probabilities: by states, and by the output weights."""
-
-    def less_one(x, at, bound):
-        if bound >= 40:
-            x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x *= np.reciprocal(x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
-        x[np.arange(len(at)), at] -= 1
-        return x
-
-    order = np.argsort(cls, kind="stable")
-    cls, within = cls[order], within[order]
-    one = np.ones((len(hs), HIDDEN + 1), dtype=hs.dtype)  # a column of ones for the biases
-    np.take(hs, order, axis=0, out=one[:, :HIDDEN])
-    c = np.concatenate((p["c"], p["cb"][None]))
-    w = np.concatenate((p["w"], p["wb"][:, None]), axis=1)
-    d = less_one(one @ c, cls, _bound(p["c"], p["cb"]))
-    gc, gw = one.T @ d, np.zeros_like(w)
-    dh = d @ p["c"].T
-    cuts, inner = np.searchsorted(cls, np.arange(GROUPS + 1)).tolist(), _bound(p["w"], p["wb"])
+def _output_gradients(p: dict, hs, cls, within, rows):
+    """Gradients of the negated sum of log probabilities of ``rows``: by states (zero for other rows), and by the output weights."""
+    order, one, cls, within, cuts = _by_class(p, hs, cls, within, rows)
+    c, w = _with_biases(p)
+    ct, wt = np.ascontiguousarray(p["c"].T), np.ascontiguousarray(p["w"].transpose(0, 2, 1))
+    dh, gc, gw, bound = np.empty((len(cls), HIDDEN), dtype=c.dtype), np.zeros_like(c), np.zeros_like(w), _bound(p["c"], p["cb"])
+    for t in range(0, len(cls), _ROWS):
+        s = slice(t, t + _ROWS)
+        d = _less_one(one[s] @ c, cls[s], bound)
+        gc += one[s].T @ d
+        np.matmul(d, ct, out=dh[s])
+    d = _less_one(_inner(one, w, cuts), within[: cuts[-1]], _bound(p["w"], p["wb"]))
     for k in range(GROUPS):
-        s = slice(cuts[k], cuts[k + 1])
-        if s.start < s.stop:
-            d = less_one(one[s] @ w[k], within[s], inner)
-            np.matmul(one[s].T, d, out=gw[k])
-            dh[s] += d @ p["w"][k].T
-    out = np.empty_like(dh)
+        if cuts[k] < cuts[k + 1]:
+            s = slice(cuts[k], cuts[k + 1])
+            np.matmul(one[s].T, d[s], out=gw[k])
+            dh[s] += d[s] @ wt[k]
+    out = np.zeros((len(hs), HIDDEN), dtype=dh.dtype)
     out[order] = dh
     return out, {"c": gc[:-1], "cb": gc[-1], "w": gw[:, :-1], "wb": gw[:, -1]}
 
 
+#: A place with more rows than this is summed by itself.
+_FEW = 6
+
+
+def _summed(rows, at, n: int):
+    """Sums of the rows of each of ``n`` places; rows of one place lie together."""
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+    ids, count = at[first], np.diff(np.append(first, len(at)))
+    out = np.zeros((n, rows.shape[1]), dtype=rows.dtype)
+    many = count > _FEW
+    for i, a, k in zip(ids[many].tolist(), first[many].tolist(), count[many].tolist(), strict=True):
+        np.add.reduce(rows[a : a + k], axis=0, out=out[i])
+    ids, first, count = ids[~many], first[~many], count[~many]
+    for k in range(_FEW):  # the first rows of each place, then the second ones
+        left = np.flatnonzero(count > k)
+        ids, first, count = ids[left], first[left], count[left]
+        out[ids] += np.take(rows, first + k, axis=0)
+    return out
+
+
 def gradients(p: dict, inp, cls, within, doc, start, h):
     """Gradients of the mean negative log-likelihood of one window, cut off at its start; and the state carried on."""
     hs, carried, (was, gates, reset, cand) = states(p, inp, start, h, keep=True)
     steps, n = inp.shape
-    mask = (doc >= 0).ravel()
-    total = max(1, int(mask.sum()))
-    flat = hs.reshape(-1, HIDDEN)
-    d, g = _output_gradients(p, flat[mask], cls.ravel()[mask], within.ravel()[mask])
-    dhs = np.zeros_like(flat)
-    dhs[mask] = d
+    rows = np.flatnonzero(doc >= 0)
+    total = max(1, len(rows))
+    dhs, g = _output_gradients(p, hs.reshape(-1, HIDDEN), cls.ravel(), within.ravel(), rows)
     dhs = dhs.reshape(steps, n, HIDDEN)
-    z, r = gates[:, 0], gates[:, 1]
-    rest = 1 - z
-    by_c, by_z, by_r = z * (1 - cand * cand), (cand - was) * z * rest, was * r * (1 - r)
-    dgates, dcand = np.empty((steps, 2, n, HIDDEN), dtype=np.float32), np.empty((steps, n, HIDDEN), dtype=np.float32)
-    dh, vt, begins = np.zeros((n, HIDDEN), dtype=np.float32), np.ascontiguousarray(p["v"].T), start.any(axis=1)
-    ut = np.ascontiguousarray(p["u"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 2, 0))
+    dh, begins = np.zeros((n, HIDDEN), dtype=np.float32), start.any(axis=1)
+    ut, vt = np.ascontiguousarray(p["u"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 2, 0)), np.ascontiguousarray(p["v"].T)
+    rest, by, drh = np.empty_like(gates[0]), np.empty_like(cand[0]), np.empty_like(cand[0])
     for t in range(steps - 1, -1, -1):
+        # gates and candidates give way to their gradients, so that less memory is gone through
+        both, c = gates[t], cand[t]
+        z, r = both
         dh += dhs[t]
-        drh = np.multiply(dh, by_c[t], out=dcand[t], casting="same_kind") @ vt
-        np.multiply(dh, by_z[t], out=dgates[t, 0], casting="same_kind")
-        np.multiply(drh, by_r[t], out=dgates[t, 1], casting="same_kind")
-        drh *= r[t]
-        for part in np.matmul(dgates[t], ut):
+        np.subtract(1, both, out=rest)
+        np.multiply(c, c, out=by)
+        np.subtract(1, by, out=by)
+        by *= z
+        np.multiply(dh, by, out=c)
+        np.matmul(c, vt, out=drh)
+        np.subtract(hs[t], was[t], out=by)  # z times what the candidate differs by
+        by *= rest[0]
+        np.multiply(dh, by, out=z)
+        np.multiply(reset[t], rest[1], out=by)
+        by *= drh
+        drh *= r
+        r[:] = by
+        for part in np.matmul(both, ut):
             drh += part
-        dh *= rest[t]
+        dh *= rest[0]
         dh += drh
         if begins[t]:
             dh *= ~start[t][:, None]
-    dx = np.concatenate((dgates[:, 0], dgates[:, 1], dcand), axis=2).reshape(-1, 3 * HIDDEN)
-    g["u"], g["v"] = was.reshape(-1, HIDDEN).T @ dx[:, : 2 * HIDDEN], reset.reshape(-1, HIDDEN).T @ dx[:, 2 * HIDDEN :]
-    flat_in = inp.ravel()
-    order = np.argsort(flat_in, kind="stable")
-    ids, first = np.unique(flat_in[order], return_index=True)
-    g["x"] = np.zeros_like(p["x"])
-    g["x"][ids] = np.add.reduceat(dx[order], first, axis=0)
+    # tokens in order of their input, so that the rows of one input lie together
+    at = inp.ravel()
+    order = np.argsort(at.astype(np.uint16), kind="stable")
+    z = order + order // n * n  # the row of a token's first gate
+    take = lambda x, rows: np.take(x.reshape(-1, HIDDEN), rows, axis=0)
+    dx = np.concatenate((take(gates, z), take(gates, z + n), take(cand, order)), axis=1)
+    g["u"], g["v"] = take(was, order).T @ dx[:, : 2 * HIDDEN], take(reset, order).T @ dx[:, 2 * HIDDEN :]
+    g["x"] = _summed(dx, at[order], INPUTS)
     return {k: v / total for k, v in g.items()}, carried, float(total)
 
 
+#: Weights that are moved at a time.
+_BLOCK = 16_384
+
+
 def train(flat: np.ndarray, coded: list, rate: float = RATE, least: int = LEAST_UPDATES) -> tuple[np.ndarray, int]:
     """Weights after one round over the coded texts by truncated backpropagation with Adam, and the tokens seen.
 
@@ -309,7 +387,7 @@ def train(flat: np.ndarray, coded: list, rate: float = RATE, least: int = LEAST_
     inp, cls, within, doc, start = lanes(coded, LANES, tight=False)
     live = [int((doc[t : t + STEPS] >= 0).sum()) for t in range(0, len(inp), STEPS)]
     passes = max(1, -(-least // len(live)))
-    m, v, mean, by = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
+    m, v, mean = (np.zeros_like(flat) for _ in range(3))
     updates, kept, total = 0, 0, passes * len(live)
     for _ in range(passes):
         h = np.zeros((inp.shape[1], HIDDEN), dtype=np.float32)
@@ -317,22 +395,28 @@ def train(flat: np.ndarray, coded: list, rate: float = RATE, least: int = LEAST_
             s = slice(t, t + STEPS)
             g, h, _ = gradients(p, inp[s], cls[s], within[s], doc[s], start[s], h)
             step = np.concatenate([g[name].ravel() for name, _ in SHAPES_OF])
-            step *= min(1.0, 1.0 / (float(np.linalg.norm(step)) + 1e-9))
+            clip = min(1.0, 1.0 / (float(np.linalg.norm(step)) + 1e-9))
             updates += 1
-            # in place, as the weights of several tasks share a cache
-            m *= 0.9
-            m += np.multiply(step, 0.1, out=by)
-            np.multiply(step, step, out=step)
-            v *= 0.999
-            v += np.multiply(step, 0.001, out=step)
-            now = rate * (1 - (updates - 1) / total) * live[k] / max(live)
-            np.sqrt(np.multiply(v, 1 / (1 - 0.999**updates), out=by), out=by)
-            by += EPS
-            np.divide(m, by, out=by)
-            by *= now / (1 - 0.9**updates)
-            flat -= by
+            # both means without their factors 0.1 and 0.001, which the size of the step makes up for
+            size = (0.001 / (1 - 0.999**updates)) ** 0.5
+            now = 0.1 * rate * (1 - (updates - 1) / total) * live[k] / max(live) / (1 - 0.9**updates) / size
+            for at in range(0, len(flat), _BLOCK):  # in place and by blocks, as the weights of several tasks share a cache
+                b = slice(at, at + _BLOCK)
+                gb, mb, vb, fb = step[b], m[b], v[b], flat[b]
+                gb *= clip
+                mb *= 0.9
+                mb += gb
+                vb *= 0.999
+                gb *= gb
+                vb += gb
+                np.sqrt(vb, out=gb)
+                gb += EPS / size
+                np.divide(mb, gb, out=gb)
+                gb *= now
+                fb -= gb
+                if 2 * updates > total:
+                    mean[b] += fb
             if 2 * updates > total:
-                mean += flat
                 kept += 1
     return mean / kept, sum(live)
 
@@ -343,10 +427,8 @@ def counted(texts: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                total.update(words(text))
-            yield pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.binary()).cast(pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+            n = pc.value_counts(words(batch.column(0))[0])
+            yield pa.RecordBatch.from_arrays([n.field("values"), n.field("counts")], ["word", "n"])
 
     return texts.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -429,13 +511,9 @@ def encoded(docs: DataFrame, vocab) -> DataFrame:
     """``docs`` with ``e (n_tokens, n_near, near, tail, far, tf, tokens)`` in place of ``text``."""
     name = uuid.uuid4().hex
 
-    @F.pandas_udf("n_tokens long, n_near long, near double, tail double, far array<string>, tf array<int>, tokens binary")
-    def encode(texts: pd.Series) -> pd.DataFrame:
-        e = _encoder(name, vocab)
-        rows = [e.text(x) for x in texts]
-        far = [Counter(r[4]) for r in rows]
-        columns = {"n_tokens": [len(r[0]) + 1 for r in rows], "n_near": [r[3] for r in rows], "near": [r[2] for r in rows], "tail": [r[1] for r in rows], "far": [list(f.keys()) for f in far], "tf": [list(f.values()) for f in far], "tokens": [r[0].tobytes() for r in rows]}
-        return pd.DataFrame(columns)
+    @F.arrow_udf("n_tokens long, n_near long, near double, tail double, far array<string>, tf array<int>, tokens binary")
+    def encode(texts: pa.Array) -> pa.Array:
+        return _encoder(name, vocab).texts(texts)
 
     return docs.select(*(c for c in docs.columns if c != "text"), encode("text").alias("e"))
 
