@@ -269,6 +269,21 @@ def test_lm_sums_of_rows_by_place():
     assert np.allclose(lm._summed(rows, at, 60), plain)
 
 
+def test_lm_ended_lanes_are_left_out_of_training(monkeypatch):
+    rng, widths, plain = np.random.default_rng(5), [], lm.gradients
+
+    def gradients(p, inp, cls, within, doc, start, h):
+        assert (doc >= 0).any(axis=0).all() and len(h) == inp.shape[1]
+        widths.append(inp.shape[1])
+        return plain(p, inp, cls, within, doc, start, h)
+
+    monkeypatch.setattr(lm, "gradients", gradients)
+    texts = [lm.coded(rng.integers(0, lm.END_INPUT, n).astype("<u2").tobytes()) for n in [lm.STEPS * 8] + [20] * 9]
+    flat = rng.normal(0, 0.1, sum(int(np.prod(d)) for _, d in lm.SHAPES_OF)).astype(np.float32)
+    new, tokens = lm.train(flat, texts, least=1)
+    assert widths == [10] + [1] * 8 and tokens == sum(len(x[0]) for x in texts) and np.isfinite(new).all()
+
+
 def test_lm_probabilities_sum_to_one_and_windows_carry_state():
     rng = np.random.default_rng(2)
     p = lm.unpack(rng.normal(0, 0.3, sum(int(np.prod(d)) for _, d in lm.SHAPES_OF)).astype(np.float32))

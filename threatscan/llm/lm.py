@@ -393,7 +393,8 @@ def train(flat: np.ndarray, coded: list, rate: float = RATE, least: int = LEAST_
         h = np.zeros((inp.shape[1], HIDDEN), dtype=np.float32)
         for k, t in enumerate(range(0, len(inp), STEPS)):
             s = slice(t, t + STEPS)
-            g, h, _ = gradients(p, inp[s], cls[s], within[s], doc[s], start[s], h)
+            on = np.flatnonzero((doc[s] >= 0).any(axis=0))  # lanes that have ended cost nothing
+            g, h[on], _ = gradients(p, *(x[s][:, on] for x in (inp, cls, within, doc, start)), h[on])
             step = np.concatenate([g[name].ravel() for name, _ in SHAPES_OF])
             clip = min(1.0, 1.0 / (float(np.linalg.norm(step)) + 1e-9))
             updates += 1
