@@ -367,3 +367,19 @@ def test_hex_of_utf16(spark):
     }
     rows = spark.createDataFrame([(h.upper(),) for h in cases] + [(h,) for h in cases], "h string").select("h", D.is_utf16_prose(F.col("h")).alias("prose"), D.suspicious_hex(F.col("h")).alias("bad")).collect()
     assert {r.h.lower(): (r.prose, r.bad) for r in rows} == cases
+
+
+def test_entropy_chunks_of_odd_rows_equal_their_sql(spark, tmp_path):
+    """Empty texts have no row and rows of one id are counted together, as in the SQL."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    varied = "".join(chr(0x21 + i % 90) for i in range(150))
+    rows = [(1, None), (2, ""), (3, varied), (3, varied + "é漢😀" * 30), (4, "a" * 19), (5, varied * 50), (6, None), (6, varied), (7, varied), (7, ""), (None, varied), (None, "x"), (None, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    in_order = lambda rows: sorted(map(tuple, rows), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+    want = in_order(con.execute(entry.oracle_sql()["doc_entropy_chunks"]).fetchall())
+    assert in_order(entry.queries()["doc_entropy_chunks"](spark, str(tmp_path)).collect()) == want and [r[0] for r in want] == [1, 3, 4, 5, 6, 7, None]
