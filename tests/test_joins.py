@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from threatscan.operators import documents as D
 from threatscan.operators import findings as N
@@ -110,3 +111,20 @@ def test_near_white_hashes_give_rows_not_pairs(spark, monkeypatch):
     h = np.array([h for _, h in rows], dtype=np.uint64)
     walked = D._walked(np.zeros(len(h), np.int64), h, 3, 3, 11, 9)
     assert len(walked) <= 2 * len(h)
+
+
+def test_hash_pairs_of_crowded_keys(spark, monkeypatch):
+    """Parts that meet two by two give each near pair once; every hash is filed under ten keys, not hundreds."""
+    rng = random.Random(7)
+    white = (1 << 64) - 1
+    hs = list(dict.fromkeys([white ^ rng.getrandbits(14) for _ in range(700)] + [rng.getrandbits(64) for _ in range(300)]))
+    rows = [*enumerate(hs), (5000, hs[3]), (None, 5), (5001, None)]
+    h = np.array(hs, dtype=np.uint64)
+    want = sorted((a, int(b), int(d)) for a in range(len(h)) for b, d in enumerate(np.bitwise_count(h ^ h[a])) if a < b and d <= 9)
+    df = spark.createDataFrame([(i, None if x is None else signed(x)) for i, x in rows], "id long, h long")
+    monkeypatch.setattr(D, "PART", 64)
+    assert sorted(map(tuple, D.hash_pairs(df).collect())) == want
+    monkeypatch.undo()
+    reps = df.filter("h is not null").groupBy("h").agg(F.min("id").alias("first"))
+    agree = D._agreeing(200_000)
+    assert D._dealt(reps, 9 + agree, agree).count() <= 10 * (len(hs) + 1)
