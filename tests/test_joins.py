@@ -1,10 +1,12 @@
 """Joins with large lexicons and crowded keys, against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from threatscan.operators import documents as D
 from threatscan.operators import findings as N
 
@@ -128,3 +130,15 @@ def test_hash_pairs_of_crowded_keys(spark, monkeypatch):
     reps = df.filter("h is not null").groupBy("h").agg(F.min("id").alias("first"))
     agree = D._agreeing(200_000)
     assert D._dealt(reps, 9 + agree, agree).count() <= 10 * (len(hs) + 1)
+
+
+def test_image_pairs_and_classes_of_the_tables(spark):
+    """``phash_pairs`` gives every near pair with its distance; its links are those that ``phash_classes`` counts."""
+    queries = entry.queries()
+    pairs = queries["phash_pairs"](spark, "/root/testdata/sf0.001")
+    assert pairs.columns == ["a", "b", "distance"]
+    pairs = [tuple(r) for r in pairs.collect()]
+    kept = {r.id: (r.class_id, r.n_links) for r in queries["phash_classes"](spark, "/root/testdata/sf0.001").collect()}
+    assert pairs and max(d for *_, d in pairs) <= 9 and all(kept[a][0] == kept[b][0] for a, b, _ in pairs)
+    links = Counter(i for a, b, _ in pairs for i in (a, b))
+    assert all(kept[i][1] == n for i, n in links.items())
