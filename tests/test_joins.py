@@ -50,6 +50,21 @@ def test_lexicon_shards_give_the_same(spark, monkeypatch):
     assert sorted(map(tuple, N.phrase_hits(df, table).collect())) == brute_hits(docs, lexicon)
 
 
+def test_lexicons_of_many_shards_go_by_runs(spark, monkeypatch):
+    """Each way with the same hits: long runs that are cut, long and short terms, rows of one key, equal rows; no automata but for the phrases."""
+    lexicon, docs = random_lexicon(3000, 10)
+    rng = random.Random(9)
+    long = "".join(rng.choice("abc9\u00e9\u6f22") for _ in range(2500))
+    lexicon += [("long", long[985:1100]), ("long", long[:40]), ("edge", long[990:1022]), ("edge", long[999:1001]), ("\u00fc", "term000001"), ("\u00fc", "term000001"), ("x", "term000001\n")]
+    docs += [(200, f"x {long}-{long[:1500]} term000001\nterm000001"), (200, docs[0][1]), (200, docs[0][1]), (201, "Term000001" * 3)]
+    df, table = spark.createDataFrame(docs, "id long, text string"), spark.createDataFrame(lexicon, "category string, term string")
+    shards, real = [], N._shard_hits
+    monkeypatch.setattr(N, "SHARD_CHARS", 2000)
+    monkeypatch.setattr(N, "_shard_hits", lambda low, terms, key: shards.append(len(terms)) or real(low, terms, key))
+    assert sorted(map(tuple, N.phrase_hits(df, table).collect())) == brute_hits(docs, lexicon)
+    assert len(shards) == 1 and shards[0] < 60  # the phrases of two words
+
+
 def signed(h):
     return h - (1 << 64) if h >> 63 else h
 

@@ -131,10 +131,12 @@ def phrase_hits(df: DataFrame, lexicon, text: str = "text", key: str = "id") ->
 
     A list of (category, term) is searched inside the row, without a join, and
     so is a table ``(category, term)`` of ``FEW_TERMS`` rows at most, once their
-    number is known. A larger table is searched for by automata, shard by shard.
+    number is known. A larger table is searched for by automata, or, if it would
+    take many of them, by the runs of letters that its terms lie in.
     """
     if isinstance(lexicon, DataFrame):
-        few = lexicon.select("category", "term").limit(FEW_TERMS + 1).collect()
+        lexicon = stored(lexicon.select("category", "term"))  # read again and again, and maybe dear to make
+        few = lexicon.limit(FEW_TERMS + 1).collect()
         if len(few) > FEW_TERMS:
             return _phrase_join(df, lexicon, text, key)
         lexicon = [tuple(r) for r in few]
@@ -183,26 +185,76 @@ def _shard_hits(low: DataFrame, terms: dict, key: str) -> DataFrame:
     return low.select(key, F.explode(found("__low")).alias("h")).select(key, "h.*")
 
 
-def _phrase_join(df: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
-    """``phrase_hits`` for a table of any size, by multi-pattern automata.
+#: A lexicon of more shards than this is met by runs: one automaton after the other over all texts grows with the square of what grows in both.
+FEW_SHARDS = 2
+#: What a run is: a term made of such characters alone lies inside one run of a text.
+RUN = r"[\p{L}\p{N}]+"
+#: Terms meet runs by so many first characters at most; longer runs than ``PIECE`` are cut for that.
+START, PIECE = 32, 1000
+
 
-    The terms are dealt into shards of about ``SHARD_CHARS`` characters; one
-    shard after the other is sent to the tasks, which read the texts where they
-    lie. No text is shuffled or copied, and the driver holds one shard at a time.
+def _run_hits(low: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """Hits of ``terms (term, categories)``, each of characters of runs alone, in ``low (key, __low)``.
+
+    Every different run of all texts is taken once: its substrings as long as
+    the start of some term meet the terms in an equi-join. The terms of a run,
+    with their numbers, then join the places of the run. Texts are read once,
+    and the work grows as the texts and the lexicon do.
     """
-    lexicon = lexicon.select("category", "term").filter("term <> ''")
-    size = lexicon.agg(F.sum(F.length("term"))).first()[0] or 0
-    n = size // SHARD_CHARS + 1
-    low = df.select(key, F.lower(F.col(text)).alias("__low"))
+    terms = terms.withColumn("start", F.left("term", F.lit(START)))
+    sizes = sorted(r[0] for r in terms.select(F.length("start")).distinct().collect())  # START numbers at most
+    if not sizes:
+        return low.select(key, F.lit("").alias("category"), F.lit("").alias("term"), F.lit(0).alias("hits")).limit(0)
+    # rows of equal keys are told apart by their number, which is stored
+    runs = low.withColumn("__row", F.monotonically_increasing_id()).select("__row", key, F.explode(F.regexp_extract_all("__low", F.lit(RUN), F.lit(0))).alias("run"))
+    runs = stored(runs.filter(F.length("run") >= sizes[0]))
+    at = F.explode(F.sequence(F.lit(1), F.length("run"), F.lit(PIECE)))
+    pieces = runs.select("run").distinct().select("run", at.alias("at")).select("run", F.substr("run", "at", F.lit(PIECE + START - 1)).alias("piece"))
+    n, none = F.length("piece"), F.array().cast("array<string>")
+    cut = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substr("piece", i, k))).otherwise(none)
+    starts = F.array_distinct(F.flatten(F.transform(F.array(*(F.lit(k) for k in sizes)), cut)))
+    met = pieces.select("run", F.explode(starts).alias("start")).join(terms, "start").filter(F.contains("run", F.col("term")))
+    times = (F.length("run") - F.length(F.replace("run", F.col("term")))) / F.length("term")
+    held = met.groupBy("run").agg(F.collect_set(F.struct("term", "categories", times.cast("int").alias("n"))).alias("held"))
+    each = runs.join(held, "run").select("__row", key, F.explode("held").alias("h")).select("__row", key, "h.*")
+    of = each.groupBy("__row", key, "term").agg(F.sum("n").cast("int").alias("hits"), F.first("categories").alias("categories"))
+    return of.select(key, F.explode("categories").alias("category"), "term", "hits")
 
-    def shard(k: int) -> dict:
-        of = lexicon.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).groupBy("term").agg(F.collect_list("category").alias("c"))
-        return {r.term: r.c for r in of.collect()}
 
-    if n == 1:
-        return _shard_hits(low, shard(0), key)
-    low = stored(low)
-    return reduce(DataFrame.unionAll, [stored(_shard_hits(low, shard(k), key)) for k in range(n)])
+def _phrase_join(df: DataFrame, lexicon: DataFrame, text: str, key: str) -> DataFrame:
+    """``phrase_hits`` for a table of any size.
+
+    Up to ``FEW_SHARDS`` shards of about ``SHARD_CHARS`` characters of terms are
+    searched for by multi-pattern automata, one shard after the other: it is
+    sent to the tasks, which read the texts where they lie; no text is shuffled
+    or copied, and the driver holds one shard at a time. Of a larger lexicon the
+    terms of letters and digits alone, which are nearly all in a lexicon of
+    words, are met by the runs of the texts; phrases of several words go by
+    automata.
+    """
+    lexicon = lexicon.filter("term <> ''")
+    low = df.select(key, F.lower(F.col(text)).alias("__low"))
+
+    def shards(part: DataFrame) -> int:
+        return (part.agg(F.sum(F.length("term"))).first()[0] or 0) // SHARD_CHARS + 1
+
+    def by_automata(part: DataFrame, n: int) -> DataFrame:
+        def shard(k: int) -> dict:
+            of = part.filter(F.pmod(F.xxhash64("term"), F.lit(n)) == k).groupBy("term").agg(F.collect_list("category").alias("c"))
+            return {r.term: r.c for r in of.collect()}
+
+        if n == 1:
+            return _shard_hits(low, shard(0), key)
+        texts = stored(low)
+        return reduce(DataFrame.unionAll, [stored(_shard_hits(texts, shard(k), key)) for k in range(n)])
+
+    n = shards(lexicon)
+    if n <= FEW_SHARDS:
+        return by_automata(lexicon, n)
+    inside = F.col("term").rlike(rf"\A{RUN}\z")
+    found = _run_hits(low, lexicon.filter(inside).groupBy("term").agg(F.collect_list("category").alias("categories")), key)
+    rest = lexicon.filter(~inside)
+    return found if rest.isEmpty() else found.unionAll(by_automata(rest, shards(rest)))
 
 
 #: (finding, category, least hits)
