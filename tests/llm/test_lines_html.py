@@ -300,3 +300,26 @@ def test_articles_go_through_the_alignment(spark):
     for r in got:
         i = 1 if r.page_id == 50 else r.page_id
         assert r.text == f"copied passage\nown {i}\nmore of {i}" and (r.n_lines, r.n_deleted, r.n_restored) == (5, 0, int(i != 60))
+
+
+def test_near_copies_do_not_hide_the_pages_around_them(spark):
+    """Runs of near copies, also across ranges: each page is aligned with the page before its run and the one behind it."""
+    near = [f"line {i} of all copies" for i in range(20)]
+    body = lambda own, foot: "".join(f"<p>{x}</p>" for x in ["Top menu", *own, foot])
+    rows = [(0, "http://h.example/a", body(["first page", "x"], "Left foot")), (90, "http://h.example/z", body(["last page", "y"], "Right foot")), (91, "http://h.example/m50", "")]
+    own = {i: [f"own {i}", *near] for i in range(1, 61)}
+    rows += [(i, f"http://h.example/m{i:02}", body(x, "Left foot" if i % 2 else "Right foot")) for i, x in own.items()]
+    rows += [(100 + i, f"http://only.example/{i}", body([f"own {i}", *near], "Foot")) for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    was = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        for parts in ("1", "7", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            spark.conf.set("spark.sql.adaptive.enabled", "false")
+            got = {r.page_id: r.text for r in H.extracted(df).collect()}
+            want = {i: "\n".join(x) for i, x in own.items()} | {0: "first page\nx", 90: "last page\ny", 91: ""}
+            want |= {100 + i: "\n".join(["Top menu", f"own {i}", *near, "Foot"]) for i in range(5)}
+            assert got == want, parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was[0])
+        spark.conf.set("spark.sql.adaptive.enabled", was[1])
